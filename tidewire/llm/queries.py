@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from tidewire.llm import sharding, urlfilter
+from tidewire.llm import ann, packing, sharding, urlfilter
 
 QUERIES = {
+    "op2_packing": packing.op2_packing,
+    "op3_neighbours": ann.op3_neighbours,
     "op6_urls": urlfilter.op6_urls,
     "op9_shards": sharding.op9_shards,
 }
