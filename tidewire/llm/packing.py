@@ -16,6 +16,8 @@ from __future__ import annotations
 
 import os
 import re
+import sys
+from array import array
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -25,14 +27,18 @@ from pyspark.sql import functions as F
 from tidewire.llm.common import small_batches, text_of
 
 END_ID, LONGEST = 2, 4096
-#: Words whose ids a worker keeps: at most twice this number.
-CACHE_WORDS = 150_000
+#: Words and pieces of words whose ids a worker keeps (about 300 bytes each).
+CACHE_WORDS, CACHE_PIECES = 800_000, 400_000
 #: Longer words are encoded but not kept.
 CACHE_CHARS = 48
 #: Bytes of ids in a batch that a worker hands over.
 OUT_BYTES = 8 << 20
 
 _ASCII_SPACE = re.compile("[ \t\n\r\x0b\x0c]+")
+#: Printable ASCII and Latin letters that normalise to themselves.
+_PLAIN = re.compile("[!-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u0148\u014a-\u017f]+")
+#: The pre-tokenizer's pattern on such characters, lower-cased.
+_SPLIT = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00c0-\u017f]+|[0-9]|[^a-z0-9\u00c0-\u017f]+")
 
 
 def tokenizer_path(path: str | None = None) -> str:
@@ -44,13 +50,57 @@ def tokenizer_path(path: str | None = None) -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def byte_symbols() -> dict[int, str]:
+    """Byte-level symbols of the two-byte characters of ``_PLAIN``, by rule.
+
+    Printable Latin-1 bytes stand for themselves, the other bytes for the
+    characters from U+0100 on, in order.
+    """
+    shown = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    hidden = [b for b in range(256) if b not in shown]
+    symbol = {b: chr(b) if b in shown else chr(256 + hidden.index(b)) for b in range(256)}
+    return {c: "".join(symbol[b] for b in chr(c).encode()) for c in range(0xC0, 0x180)}
+
+
+class _Pieces(dict):
+    """Ids of a lower-cased piece, as bytes: the tokenizer's model applied to it."""
+
+    def __init__(self, model):
+        self.model, self.symbols = model, byte_symbols()
+
+    def __missing__(self, piece: str) -> bytes:
+        ids = array("I", [t.id for t in self.model.tokenize(piece.translate(self.symbols))]).tobytes()
+        if len(piece) <= CACHE_CHARS:
+            self[piece] = ids
+        return ids
+
+
+class _Words(dict):
+    """Ids of a word (no white space inside), as bytes."""
+
+    def __init__(self, tokenizer, special: list[str]):
+        self.tokenizer, self.special = tokenizer, special
+        self.pieces = _Pieces(tokenizer.model)
+
+    def __missing__(self, word: str) -> bytes:
+        if _PLAIN.fullmatch(word) and not ("<" in word and any(s in word for s in self.special)):
+            # Normalising and splitting such characters takes no tables.
+            ids = b"".join(map(self.pieces.__getitem__, _SPLIT.findall(word.lower())))
+        else:
+            ids = array("I", self.tokenizer.encode(word, add_special_tokens=False).ids).tobytes()
+        if len(word) <= CACHE_CHARS:
+            self[word] = ids
+        return ids
+
+
 class WordEncoder:
     """Ids of whole texts, equal to the tokenizer's own, word by word.
 
     This vocabulary never merges over white space, so a text's ids are those of
     its words in a row. Ids of a word are kept as little-endian 32-bit bytes in
-    two generations of bounded size. Words not yet known are encoded together,
-    with a special token between them.
+    caches of bounded size. A new word of plain Latin letters is lower-cased,
+    split into pieces and looked up in the tokenizer's model; any other word
+    goes through the whole tokenizer.
     """
 
     def __init__(self, path: str):
@@ -59,10 +109,7 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.separator = self.special[-1]
-        self.separator_id = self.tokenizer.token_to_id(self.separator)
-        self.new: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
+        self.known = _Words(self.tokenizer, self.special)
 
     @staticmethod
     def words(text: str) -> list[str]:
@@ -72,48 +119,13 @@ class WordEncoder:
             return [w for w in _ASCII_SPACE.split(text) if w]
         return text.split()
 
-    def _ids(self, text: str) -> bytes:
-        import numpy as np
-
-        return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
-
-    def _encode(self, words: list[str]) -> dict[str, bytes]:
-        import numpy as np
-
-        plain, found = [], {}
-        for w in words:
-            if "<" in w and any(s in w for s in self.special):
-                found[w] = self._ids(w)
-            else:
-                plain.append(w)
-        at = 0
-        while at < len(plain):
-            end, chars = at, 0
-            while end < len(plain) and chars < 50_000:
-                chars += len(plain[end])
-                end += 1
-            ids = np.asarray(self.tokenizer.encode(self.separator.join(plain[at:end]), add_special_tokens=False).ids, dtype="<u4")
-            cuts = np.flatnonzero(ids == self.separator_id)
-            starts, ends = [0, *(cuts + 1).tolist()], [*cuts.tolist(), len(ids)]
-            raw = ids.tobytes()
-            for w, s, e in zip(plain[at:end], starts, ends, strict=True):
-                found[w] = raw[4 * s : 4 * e]
-            at = end
-        return found
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        split = [self.words(t) for t in texts]
-        known = self.new
-        parts = [list(map(known.get, words)) for words in split]
-        missing = {w for words, ids in zip(split, parts, strict=True) if None in ids for w, i in zip(words, ids, strict=True) if i is None}
-        if missing:
-            found = {w: self.old[w] for w in missing if w in self.old}
-            found |= self._encode([w for w in missing if w not in found])
-            parts = [[found[w] if i is None else i for w, i in zip(words, ids, strict=True)] if None in ids else ids for words, ids in zip(split, parts, strict=True)]
-            self.new.update((w, i) for w, i in found.items() if len(w) <= CACHE_CHARS)
-            if len(self.new) > CACHE_WORDS:
-                self.old, self.new = self.new, {}
-        return [b"".join(p) for p in parts]
+    def encode(self, text: str) -> bytes:
+        ids = b"".join(map(self.known.__getitem__, self.words(text)))
+        if len(self.known) > CACHE_WORDS:
+            self.known.clear()
+        if len(self.known.pieces) > CACHE_PIECES:
+            self.known.pieces.clear()
+        return ids if sys.byteorder == "little" else array("I", ids).byteswap().tobytes()
 
 
 _ENCODERS: dict[str, WordEncoder] = {}
@@ -165,23 +177,17 @@ def pack(documents: DataFrame, key: str = "doc_id", text: str = "text", longest:
 
         for batch in it:
             keys, texts = batch.column(0), batch.column(1).to_pylist()
-            rows, held, at = [], 0, 0
-            while at < len(texts):
-                to, chars = at, 0  # a slice of bounded text, however long texts are
-                while to < len(texts) and (chars < 2_000_000 or to == at):
-                    chars += len(texts[to])
-                    to += 1
-                for i, raw in enumerate(encoder(path).encode(texts[at:to]), at):
-                    raw += end
-                    n, start = len(raw) // 4, 0
-                    for length in piece_lengths(n, longest):
-                        rows.append((i, start, length, n, raw[4 * start : 4 * (start + length)]))
-                        start += length
-                    held += len(raw)
-                    if held >= OUT_BYTES:
-                        yield out(rows, keys)
-                        rows, held = [], 0
-                at = to
+            rows, held = [], 0
+            for i, text_ in enumerate(texts):
+                raw = encoder(path).encode(text_) + end
+                n, start = len(raw) // 4, 0
+                for length in piece_lengths(n, longest):
+                    rows.append((i, start, length, n, raw[4 * start : 4 * (start + length)]))
+                    start += length
+                held += len(raw)
+                if held >= OUT_BYTES:
+                    yield out(rows, keys)
+                    rows, held = [], 0
             if rows:
                 yield out(rows, keys)
 
