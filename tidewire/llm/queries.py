@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from tidewire.llm import ann, packing, sharding, urlfilter, warc
+from tidewire.llm import ann, packing, pii, sharding, urlfilter, warc
 
 QUERIES = {
     "op2_packing": packing.op2_packing,
     "op3_neighbours": ann.op3_neighbours,
     "op4_warc": warc.op4_warc,
     "op6_urls": urlfilter.op6_urls,
+    "op10_pii": pii.op10_pii,
     "op9_shards": sharding.op9_shards,
 }
 
