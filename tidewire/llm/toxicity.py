@@ -29,7 +29,7 @@ from tidewire.llm.common import fold, materialize, small_batches, text_of
 SAMPLE, VOCABULARY = 8000, 20_000
 #: A word must occur in so many toxic sample documents.
 LEAST = 3
-ROUNDS, RATE, PENALTY = 300, 0.3, 0.002
+ROUNDS, RATE, PENALTY = 500, 0.3, 0.0003
 THRESHOLD = 0.3
 CACHE_WORDS = 300_000
 
@@ -116,7 +116,7 @@ def fit(bags: list[tuple[int, list[list[int]], float, float]], size: int, start:
         step = np.bincount(words, weights=by_sentence[sentence], minlength=size) - PENALTY * seen * w
         w = np.clip(w + RATE * 8 * step / seen, -4, 14)
         total = importance.sum()
-        bias = float(np.clip(bias + RATE * 20 * ((pull * plain * p0).sum() + by_sentence.sum()) / total, -12, -4))
+        bias = float(np.clip(bias + RATE * 20 * ((pull * plain * p0).sum() + by_sentence.sum()) / total, -14, -4))
         rest = float(np.clip(rest + RATE * 20 * (pull * pr).sum() / total, -8, -1))
     return w, bias, rest
 
