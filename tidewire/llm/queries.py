@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from tidewire.llm import ann, packing, pii, quality, sharding, toxicity, urlfilter, warc
+from tidewire.llm import ann, decontaminate, neardup, packing, pii, quality, sharding, toxicity, urlfilter, warc
 
 QUERIES = {
+    "op1_leaks": decontaminate.op1_leaks,
     "op2_packing": packing.op2_packing,
     "op3_neighbours": ann.op3_neighbours,
     "op4_warc": warc.op4_warc,
     "op5_quality": quality.op5_quality,
     "op6_urls": urlfilter.op6_urls,
+    "op7_near_duplicates": neardup.op7_near_duplicates,
     "op8_toxicity": toxicity.op8_toxicity,
     "op10_pii": pii.op10_pii,
     "op9_shards": sharding.op9_shards,
