@@ -11,13 +11,16 @@ axis is within the shingle's count. Two signatures agree in a component with
 exactly the probability of the similarity.
 
 Texts of equal words are first put together. Signatures are cut into bands;
-texts that agree in a band are in one bucket. In a bucket the smallest members
+texts that agree in a band are in one bucket. In a bucket some members
 are centres in turn: each is compared with the bucket's later members of other
 classes, by the exact overlap of their multisets, and the links found are
 joined into classes. A bucket is done when its members are in one class or
-every pair across classes has been compared; the number of centres a round
-grows fourfold, so the rounds are few, what a round emits is linear in the
-bucket for each centre, and no bucket is cut off.
+every possible pair across classes has been compared; the number of centres a
+round grows fourfold, so the rounds are few, what a round emits is linear in
+the bucket for each centre, and no bucket is cut off. Pairs that cannot be
+similar, by their sizes and by how many of their elements no other text has,
+are never formed: in a large group of copies that differ each in its own way
+this leaves the pairs with the original.
 """
 
 from __future__ import annotations
@@ -204,22 +207,52 @@ def components(edges: DataFrame) -> DataFrame:
             return ids.unionByName(edges.select(F.col("v").alias("id"), F.col("v").alias("root")).distinct())
 
 
+def reaches(sets: DataFrame) -> DataFrame:
+    """``id, n, reach``: a multiset's size and the size of the largest one that
+    it can be similar to.
+
+    Elements that no other multiset has (u of n) are in no overlap, and a pair
+    is similar only if its overlap is at least ``s / (1 + s)`` of both sizes'
+    sum; so the other's size is at most ``(1 + s) / s * (n - u) - n``. Ids
+    whose reach is below ``s * n`` are similar to nothing and are left out.
+    """
+    elements = sets.select("id", F.explode("members").alias("e"))
+    alone = elements.groupBy("e").agg(F.count("*").alias("k"), F.min("id").alias("id")).where("k = 1").groupBy("id").agg(F.count("*").alias("u"))
+    n, u = F.col("n"), F.coalesce("u", F.lit(0))
+    sized = sets.select("id", F.size("members").alias("n")).join(alone, "id", "left")
+    bound = sized.select("id", "n", F.floor((1 + SIMILARITY) / SIMILARITY * (n - u) - n + 1e-6).cast("int").alias("reach"))
+    return bound.where(F.col("reach") >= F.col("n") * SIMILARITY - 1e-6)
+
+
 def links(documents: DataFrame, key: str, text: str, buckets: DataFrame) -> DataFrame:
-    """``id, root``: classes of the ids in ``buckets (bucket, id)``."""
+    """``id, root``: classes of the ids in ``buckets (bucket, id)``.
+
+    Centres are taken in the order of how much a member shares with others, so
+    that of a text and its copies the text comes first.
+    """
     sets = materialize(_sets(documents, key, text, buckets.select("id").distinct()), "sets")
-    edges, centres, active = None, 1, buckets.select("bucket", "id", F.col("id").alias("root"))
+    live = materialize(buckets.join(materialize(reaches(sets), "reaches"), "id"), "live")
+    sizes = live.groupBy("bucket").agg(F.count("*").alias("k")).where("k > 1")
+    degrees = live.join(sizes, "bucket").groupBy("id").agg(F.sum("k").alias("degree"))
+    live = live.join(degrees, "id").select("bucket", F.struct((-F.col("degree")).alias("d"), "id").alias("o"), "id", "n", "reach", F.col("id").alias("root"))
+    active = materialize(live, "active")
+    edges, centres = None, 1
     while True:
-        order = Window.partitionBy("bucket").orderBy("id")
-        first = active.withColumn("n", F.row_number().over(order)).where(F.col("n") <= centres)
-        first = first.select("bucket", F.col("id").alias("a"), F.col("root").alias("ra"))
-        pairs = active.join(first, "bucket").where("id > a AND root <> ra").select("a", F.col("id").alias("b")).distinct()
+        order = Window.partitionBy("bucket").orderBy("o")
+        first = active.withColumn("k", F.row_number().over(order)).where(F.col("k") <= centres)
+        first = first.select("bucket", F.col("o").alias("oa"), F.col("id").alias("a"), F.col("n").alias("na"), F.col("reach").alias("ta"), F.col("root").alias("ra"))
+        possible = f"o > oa AND root <> ra AND n <= ta AND na <= reach AND n >= na * {SIMILARITY} - 1e-6 AND na >= n * {SIMILARITY} - 1e-6"
+        pairs = active.join(first, "bucket").where(possible).select("a", F.col("id").alias("b")).distinct()
         new = materialize(verified(pairs, sets), "links")
         edges = new if edges is None else edges.unionByName(new)
         classes = materialize(components(edges), "classes")
-        # The later members of buckets that still hold several classes go on.
-        last = first.groupBy("bucket").agg(F.max("a").alias("last"))
-        rest = active.join(last, "bucket").where("id > last").select("bucket", "id")
-        rest = rest.join(classes, "id", "left").select("bucket", "id", F.coalesce("root", "id").alias("root"))
+        # The later members go on in buckets that still hold several classes,
+        # as far as they can reach the smallest of them.
+        last = first.groupBy("bucket").agg(F.max("oa").alias("last"))
+        rest = active.join(last, "bucket").where("o > last").select("bucket", "o", "id", "n", "reach")
+        rest = materialize(rest.join(classes, "id", "left").select("bucket", "o", "id", "n", "reach", F.coalesce("root", "id").alias("root")), "rest")
+        least = rest.groupBy("bucket").agg(F.min("n").alias("least"))
+        rest = rest.join(least, "bucket").where("reach >= least").drop("least")
         several = rest.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("bucket")
         active = materialize(rest.join(several, "bucket", "left_semi"), "active")
         if active.isEmpty():
