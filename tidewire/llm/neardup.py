@@ -251,9 +251,10 @@ def links(documents: DataFrame, key: str, text: str, buckets: DataFrame) -> Data
         last = first.groupBy("bucket").agg(F.max("oa").alias("last"))
         rest = active.join(last, "bucket").where("o > last").select("bucket", "o", "id", "n", "reach")
         rest = materialize(rest.join(classes, "id", "left").select("bucket", "o", "id", "n", "reach", F.coalesce("root", "id").alias("root")), "rest")
-        least = rest.groupBy("bucket").agg(F.min("n").alias("least"))
-        rest = rest.join(least, "bucket").where("reach >= least").drop("least")
-        several = rest.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("bucket")
+        classes_of = F.min("root").alias("lo"), F.max("root").alias("hi")
+        several = rest.groupBy("bucket").agg(*classes_of, F.min("n").alias("least")).where("lo <> hi").select("bucket", "least")
+        rest = materialize(rest.join(several, "bucket").where("reach >= least").drop("least"), "rest")
+        several = rest.groupBy("bucket").agg(*classes_of).where("lo <> hi").select("bucket")
         active = materialize(rest.join(several, "bucket", "left_semi"), "active")
         if active.isEmpty():
             return classes
