@@ -1,6 +1,6 @@
 """Nearest neighbours by an adaptive dimension scan of an inverted file.
 
-Fit (on a sample of at most ``SAMPLE`` vectors, on the driver): a random
+Fit (on a sample of about ``SAMPLE`` vectors, on the driver): a random
 rotation, centroids by spherical k-means, and the number of lists to probe, the
 smallest that reaches ``TARGET`` recall on the sample. Index: every distinct
 vector is put into the list of its nearest centroid; a list is split into
@@ -27,7 +27,8 @@ from pyspark.sql import functions as F
 
 from tidewire.llm.common import materialize
 
-#: Rows that the index is fitted on, and the recall it is calibrated to.
+#: About so many vectors the index is fitted on (by hash, at most twice as many),
+#: and the recall it is calibrated to.
 SAMPLE, TARGET = 8192, 0.97
 #: Vectors of one candidate block and queries of one query block at most.
 BLOCK, QUERIES = 4096, 4096
@@ -125,7 +126,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, key: str = "vec_id", vector:
     total = reps.count()
     if not total:
         return spark.createDataFrame([], out)
-    sample = np.vstack([np.asarray(r.v) for r in reps.orderBy(F.xxhash64("rep"), "rep").limit(SAMPLE).select("v").collect()])
+    sample = np.vstack([np.asarray(r.v) for r in reps.where(F.pmod(F.xxhash64("rep"), F.lit(max(1, total // SAMPLE))) == 0).limit(2 * SAMPLE).select("v").collect()])
     model = fit(sample, total, k)
     rotation, centroids, probes, seen = model["rotation"], model["centroids"], model["probes"], model["sample"]
 

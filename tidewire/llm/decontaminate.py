@@ -295,19 +295,23 @@ def leaks(documents: DataFrame, benchmark: DataFrame, key: str = "doc_id", text:
     return out.select(F.col("key").alias(key), F.col("item").alias(item), "start", "end", "edits")
 
 
+def _clean(shared):
+    """A column function: whether a text holds no place of the broadcast index."""
+
+    @F.pandas_udf("boolean")
+    def clean(texts: pd.Series) -> pd.Series:
+        whole = texts.tolist()
+        return pd.Series([not places for at, to in slices(whole) for places in find_places(whole[at:to], shared.value)], dtype=bool)
+
+    return clean
+
+
 def without_leaks(documents: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text") -> DataFrame:
     """The rows of ``documents`` that hold no place of any item; null texts stay."""
     spark = documents.sparkSession
     small_batches(spark)
     for index in indexes(benchmark, item, item_text):
-        shared = spark.sparkContext.broadcast(index)
-
-        @F.pandas_udf("boolean")
-        def clean(texts: pd.Series, shared=shared) -> pd.Series:
-            whole = texts.fillna("").tolist()
-            return pd.Series([not places for at, to in slices(whole) for places in find_places(whole[at:to], shared.value)], dtype=bool)
-
-        documents = documents.where(clean(text_of(text)))
+        documents = documents.where(_clean(spark.sparkContext.broadcast(index))(text_of(text)))
     return documents
 
 

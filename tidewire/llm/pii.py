@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from tidewire.llm.common import small_batches, text_of
 
 KINDS = ("email", "ip", "card", "phone")
-#: Texts that the potentials are learned from at most.
+#: About so many texts the potentials are learned from, at most twice as many.
 SAMPLE = 4000
 #: A free node adds a span if its marginal for one kind reaches this.
 SURE = 0.9
@@ -280,14 +280,16 @@ def find_spans(text: str, model: dict) -> tuple[list, list]:
 
 
 def train(documents: DataFrame, key: str = "doc_id", text: str = "text", sample: int = SAMPLE) -> dict:
-    """Learn the potentials from at most ``sample`` texts that have candidates,
-    chosen by a hash of their key (a bounded amount of text for the driver)."""
+    """Learn the potentials from about ``sample`` texts that have candidates (never
+    twice as many), chosen by a hash; the driver gets a bounded amount of text."""
     small_batches(documents.sparkSession)
     body = text_of(text)
-    # The part of a text around its candidates is all that learning looks at.
-    chosen = documents.where(body.rlike("@|[0-9].{0,3}[0-9].{0,3}[0-9]")).select(F.xxhash64(F.col(key)).alias("h"), F.sha1(body).alias("s"), body.alias("t"))
-    few = chosen.orderBy("h", "s").limit(sample)
+    chosen = documents.where(body.rlike("@|[0-9].{0,3}[0-9].{0,3}[0-9]")).select(F.xxhash64(F.col(key), F.sha1(body)).alias("h"), body.alias("t"))
+    # A share of the texts by hash, so that no task gathers them.
+    parts = max(1, chosen.count() // sample)
+    few = chosen.where(F.pmod("h", F.lit(parts)) == 0).limit(2 * sample)
 
+    # What stands around the candidates is all that learning looks at.
     def around(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
             texts = []
