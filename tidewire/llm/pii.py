@@ -23,6 +23,7 @@ from collections.abc import Iterator
 from itertools import pairwise
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -346,8 +347,6 @@ def redact(text: str, spans: list[tuple[str, int, int]]) -> str:
 
 def redact_column(documents: DataFrame, text: str, model: dict) -> DataFrame:
     """``documents`` with the personal data in ``text`` replaced; nulls stay."""
-    import pandas as pd
-
     @F.pandas_udf("string")
     def clean(texts: pd.Series) -> pd.Series:
         return texts.map(lambda t: t if t is None else redact(t, find_spans(t, model)[1]))
