@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewire.llm.common import materialize
+from tidewire.llm.common import materialize, small_batches
 
 #: About so many vectors the index is fitted on (by hash, at most twice as many),
 #: and the recall it is calibrated to.
@@ -113,6 +113,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, key: str = "vec_id", vector:
     score is the cosine in double precision of the original vectors.
     """
     spark = vectors.sparkSession
+    small_batches(spark)
     keep = k + 1  # a query may find itself
     out = f"query_id long, rank int, {key} long, score double"
     rows = usable(vectors.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v")), "v")

@@ -18,9 +18,10 @@ joined into classes. A bucket is done when its members are in one class or
 every possible pair across classes has been compared; the number of centres a
 round grows fourfold, so the rounds are few, what a round emits is linear in
 the bucket for each centre, and no bucket is cut off. Pairs that cannot be
-similar, by their sizes and by how many of their elements no other text has,
-are never formed: in a large group of copies that differ each in its own way
-this leaves the pairs with the original.
+similar, by their sizes, by how many of their elements no other text has, and
+by their overlap with the bucket's first centre, are never formed: in a large
+group of copies that differ each in its own way this leaves the pairs with the
+original.
 """
 
 from __future__ import annotations
@@ -172,16 +173,14 @@ def _sets(documents: DataFrame, key: str, text: str, wanted: DataFrame) -> DataF
     return kept.mapInArrow(run, "id long, members array<int>")
 
 
-def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs ``(a, b)`` whose multisets have at least ``SIMILARITY``."""
+def overlaps(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """``a, b, common, similar`` of pairs ``(a, b)``: the overlap of their
+    multisets and whether their similarity reaches ``SIMILARITY``."""
     left = sets.select(F.col("id").alias("b"), F.col("members").alias("mb"))
     right = sets.select(F.col("id").alias("a"), F.col("members").alias("ma"))
-    both = pairs.join(left, "b").join(right, "a")
-    na, nb = F.size("ma"), F.size("mb")
-    # Sizes alone bound the similarity, so far ones are not intersected.
-    near = F.least(na, nb) >= F.greatest(na, nb) * SIMILARITY
-    common = F.when(near, F.size(F.array_intersect("ma", "mb"))).otherwise(0)
-    return both.withColumn("c", common).where(F.col("c") >= (na + nb - F.col("c")) * SIMILARITY - 1e-9).select("a", "b")
+    both = pairs.join(left, "b").join(right, "a").withColumn("common", F.size(F.array_intersect("ma", "mb")))
+    union = F.size("ma") + F.size("mb") - F.col("common")
+    return both.select("a", "b", "common", (F.col("common") >= union * SIMILARITY - 1e-9).alias("similar"))
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -207,53 +206,62 @@ def components(edges: DataFrame) -> DataFrame:
             return ids.unionByName(edges.select(F.col("v").alias("id"), F.col("v").alias("root")).distinct())
 
 
-def reaches(sets: DataFrame) -> DataFrame:
-    """``id, n, reach``: a multiset's size and the size of the largest one that
-    it can be similar to.
+#: A pair is similar only if its overlap is this share of both sizes' sum.
+SHARE = SIMILARITY / (1 + SIMILARITY)
 
-    Elements that no other multiset has (u of n) are in no overlap, and a pair
-    is similar only if its overlap is at least ``s / (1 + s)`` of both sizes'
-    sum; so the other's size is at most ``(1 + s) / s * (n - u) - n``. Ids
-    whose reach is below ``s * n`` are similar to nothing and are left out.
+
+def unshared(sets: DataFrame) -> DataFrame:
+    """``id, n, u``: a multiset's size and how many of its elements no other has.
+
+    Those are in no overlap, so a multiset with more than ``(1 - s) * n`` of
+    them is similar to nothing and is left out.
     """
     elements = sets.select("id", F.explode("members").alias("e"))
-    alone = elements.groupBy("e").agg(F.count("*").alias("k"), F.min("id").alias("id")).where("k = 1").groupBy("id").agg(F.count("*").alias("u"))
-    n, u = F.col("n"), F.coalesce("u", F.lit(0))
-    sized = sets.select("id", F.size("members").alias("n")).join(alone, "id", "left")
-    bound = sized.select("id", "n", F.floor((1 + SIMILARITY) / SIMILARITY * (n - u) - n + 1e-6).cast("int").alias("reach"))
-    return bound.where(F.col("reach") >= F.col("n") * SIMILARITY - 1e-6)
+    alone = elements.groupBy("e").agg(F.count("*").alias("k"), F.min("id").alias("id")).where("k = 1").groupBy("id").agg(F.count("*").cast("int").alias("u"))
+    sized = sets.select("id", F.size("members").alias("n")).join(alone, "id", "left").select("id", "n", F.coalesce("u", F.lit(0)).alias("u"))
+    return sized.where(F.col("n") - F.col("u") >= F.col("n") * SIMILARITY - 1e-6)
 
 
 def links(documents: DataFrame, key: str, text: str, buckets: DataFrame) -> DataFrame:
     """``id, root``: classes of the ids in ``buckets (bucket, id)``.
 
     Centres are taken in the order of how much a member shares with others, so
-    that of a text and its copies the text comes first.
+    that of a text and its copies the text comes first. After the first round
+    each member carries its overlap with its bucket's first centre (``c``) and
+    the number of its other elements that are shared at all (``x``): two
+    members overlap in at most the smaller ``c`` plus the smaller ``x``.
     """
     sets = materialize(_sets(documents, key, text, buckets.select("id").distinct()), "sets")
-    live = materialize(buckets.join(materialize(reaches(sets), "reaches"), "id"), "live")
+    live = materialize(buckets.join(materialize(unshared(sets), "unshared"), "id"), "live")
     sizes = live.groupBy("bucket").agg(F.count("*").alias("k")).where("k > 1")
     degrees = live.join(sizes, "bucket").groupBy("id").agg(F.sum("k").alias("degree"))
-    live = live.join(degrees, "id").select("bucket", F.struct((-F.col("degree")).alias("d"), "id").alias("o"), "id", "n", "reach", F.col("id").alias("root"))
+    unknown = (F.col("n") - F.col("u")).alias("c"), (F.col("n") - F.col("u")).alias("x")
+    live = live.join(degrees, "id").select("bucket", F.struct((-F.col("degree")).alias("d"), "id").alias("o"), "id", "n", "u", *unknown, F.col("id").alias("root"))
     active = materialize(live, "active")
     edges, centres = None, 1
     while True:
         order = Window.partitionBy("bucket").orderBy("o")
         first = active.withColumn("k", F.row_number().over(order)).where(F.col("k") <= centres)
-        first = first.select("bucket", F.col("o").alias("oa"), F.col("id").alias("a"), F.col("n").alias("na"), F.col("reach").alias("ta"), F.col("root").alias("ra"))
-        possible = f"o > oa AND root <> ra AND n <= ta AND na <= reach AND n >= na * {SIMILARITY} - 1e-6 AND na >= n * {SIMILARITY} - 1e-6"
+        first = materialize(first.select("bucket", F.col("o").alias("oa"), F.col("id").alias("a"), F.col("n").alias("na"), F.col("c").alias("ca"), F.col("x").alias("xa"), F.col("root").alias("ra")), "first")
+        possible = f"o > oa AND root <> ra AND n >= na * {SIMILARITY} - 1e-6 AND na >= n * {SIMILARITY} - 1e-6 AND least(c, ca) + least(x, xa) >= (n + na) * {SHARE} - 1e-6"
         pairs = active.join(first, "bucket").where(possible).select("a", F.col("id").alias("b")).distinct()
-        new = materialize(verified(pairs, sets), "links")
+        compared = materialize(overlaps(pairs, sets), "compared")
+        new = compared.where("similar").select("a", "b")
         edges = new if edges is None else edges.unionByName(new)
         classes = materialize(components(edges), "classes")
-        # The later members go on in buckets that still hold several classes,
-        # as far as they can reach the smallest of them.
-        last = first.groupBy("bucket").agg(F.max("oa").alias("last"))
-        rest = active.join(last, "bucket").where("o > last").select("bucket", "o", "id", "n", "reach")
-        rest = materialize(rest.join(classes, "id", "left").select("bucket", "o", "id", "n", "reach", F.coalesce("root", "id").alias("root")), "rest")
+        # The later members go on in buckets that still hold several classes.
+        last = first.groupBy("bucket").agg(F.max("oa").alias("last"), F.min("a").alias("a"))
+        rest = active.join(last, "bucket").where("o > last")
+        if centres == 1:
+            known = compared.select("a", F.col("b").alias("id"), "common")
+            rest = rest.join(known, ["a", "id"], "left").withColumn("c", F.coalesce("common", "c")).withColumn("x", F.when(F.col("common").isNotNull(), F.col("n") - F.col("u") - F.col("common")).otherwise(F.col("x")))
+        rest = rest.select("bucket", "o", "id", "n", "u", "c", "x").join(classes, "id", "left")
+        rest = materialize(rest.select("bucket", "o", "id", "n", "u", "c", "x", F.coalesce("root", "id").alias("root")), "rest")
+        # A member goes on while its bound allows the smallest of its bucket.
         classes_of = F.min("root").alias("lo"), F.max("root").alias("hi")
-        several = rest.groupBy("bucket").agg(*classes_of, F.min("n").alias("least")).where("lo <> hi").select("bucket", "least")
-        rest = materialize(rest.join(several, "bucket").where("reach >= least").drop("least"), "rest")
+        several = rest.groupBy("bucket").agg(*classes_of, F.min("n").alias("least"), F.max("x").alias("most")).where("lo <> hi").select("bucket", "least", "most")
+        rest = rest.join(several, "bucket").where(f"c + least(x, most) >= (n + least) * {SHARE} - 1e-6").drop("least", "most")
+        rest = materialize(rest, "rest")
         several = rest.groupBy("bucket").agg(*classes_of).where("lo <> hi").select("bucket")
         active = materialize(rest.join(several, "bucket", "left_semi"), "active")
         if active.isEmpty():
