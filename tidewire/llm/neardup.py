@@ -238,35 +238,46 @@ def links(documents: DataFrame, key: str, text: str, buckets: DataFrame) -> Data
     unknown = (F.col("n") - F.col("u")).alias("c"), (F.col("n") - F.col("u")).alias("x")
     live = live.join(degrees, "id").select("bucket", F.struct((-F.col("degree")).alias("d"), "id").alias("o"), "id", "n", "u", *unknown, F.col("id").alias("root"))
     active = materialize(live, "active")
-    edges, centres = None, 1
-    while True:
+    near = f"n >= na * {SIMILARITY} - 1e-6 AND na >= n * {SIMILARITY} - 1e-6"
+
+    # The first round: every member meets its bucket's first, found by a minimum.
+    first = active.groupBy("bucket").agg(F.min(F.struct("o", "id", "n")).alias("f")).select("bucket", F.col("f.id").alias("a"), F.col("f.n").alias("na"))
+    met = materialize(active.join(first, "bucket").where("id <> a"), "met")
+    compared = materialize(overlaps(met.where(near).select("a", F.col("id").alias("b")).distinct(), sets), "compared")
+    edges = compared.where("similar").select("a", "b")
+    classes = materialize(components(edges), "classes")
+    rest = met.join(compared.select("a", F.col("b").alias("id"), "common"), ["a", "id"], "left")
+    other = F.col("n") - F.col("u") - F.col("common")
+    rest = rest.select("bucket", "o", "id", "n", "u", F.coalesce("common", "c").alias("c"), F.coalesce(other, "x").alias("x"))
+    active = _open_buckets(rest, classes)
+
+    centres = 4
+    while not active.isEmpty():
         order = Window.partitionBy("bucket").orderBy("o")
         first = active.withColumn("k", F.row_number().over(order)).where(F.col("k") <= centres)
         first = materialize(first.select("bucket", F.col("o").alias("oa"), F.col("id").alias("a"), F.col("n").alias("na"), F.col("c").alias("ca"), F.col("x").alias("xa"), F.col("root").alias("ra")), "first")
-        possible = f"o > oa AND root <> ra AND n >= na * {SIMILARITY} - 1e-6 AND na >= n * {SIMILARITY} - 1e-6 AND least(c, ca) + least(x, xa) >= (n + na) * {SHARE} - 1e-6"
+        possible = f"o > oa AND root <> ra AND {near} AND least(c, ca) + least(x, xa) >= (n + na) * {SHARE} - 1e-6"
         pairs = active.join(first, "bucket").where(possible).select("a", F.col("id").alias("b")).distinct()
-        compared = materialize(overlaps(pairs, sets), "compared")
-        new = compared.where("similar").select("a", "b")
-        edges = new if edges is None else edges.unionByName(new)
+        edges = edges.unionByName(materialize(overlaps(pairs, sets), "compared").where("similar").select("a", "b"))
         classes = materialize(components(edges), "classes")
-        # The later members go on in buckets that still hold several classes.
-        last = first.groupBy("bucket").agg(F.max("oa").alias("last"), F.min("a").alias("a"))
-        rest = active.join(last, "bucket").where("o > last")
-        if centres == 1:
-            known = compared.select("a", F.col("b").alias("id"), "common")
-            rest = rest.join(known, ["a", "id"], "left").withColumn("c", F.coalesce("common", "c")).withColumn("x", F.when(F.col("common").isNotNull(), F.col("n") - F.col("u") - F.col("common")).otherwise(F.col("x")))
-        rest = rest.select("bucket", "o", "id", "n", "u", "c", "x").join(classes, "id", "left")
-        rest = materialize(rest.select("bucket", "o", "id", "n", "u", "c", "x", F.coalesce("root", "id").alias("root")), "rest")
-        # A member goes on while its bound allows the smallest of its bucket.
-        classes_of = F.min("root").alias("lo"), F.max("root").alias("hi")
-        several = rest.groupBy("bucket").agg(*classes_of, F.min("n").alias("least"), F.max("x").alias("most")).where("lo <> hi").select("bucket", "least", "most")
-        rest = rest.join(several, "bucket").where(f"c + least(x, most) >= (n + least) * {SHARE} - 1e-6").drop("least", "most")
-        rest = materialize(rest, "rest")
-        several = rest.groupBy("bucket").agg(*classes_of).where("lo <> hi").select("bucket")
-        active = materialize(rest.join(several, "bucket", "left_semi"), "active")
-        if active.isEmpty():
-            return classes
+        last = first.groupBy("bucket").agg(F.max("oa").alias("last"))
+        rest = active.join(last, "bucket").where("o > last").select("bucket", "o", "id", "n", "u", "c", "x")
+        active = _open_buckets(rest, classes)
         centres *= 4
+    return classes
+
+
+def _open_buckets(rest: DataFrame, classes: DataFrame) -> DataFrame:
+    """The members that go on: those of buckets that still hold several classes,
+    while their bound allows the smallest multiset of their bucket."""
+    named = rest.join(classes, "id", "left")
+    named = materialize(named.select("bucket", "o", "id", "n", "u", "c", "x", F.coalesce("root", "id").alias("root")), "rest")
+    classes_of = F.min("root").alias("lo"), F.max("root").alias("hi")
+    several = named.groupBy("bucket").agg(*classes_of, F.min("n").alias("least"), F.max("x").alias("most")).where("lo <> hi").select("bucket", "least", "most")
+    able = named.join(several, "bucket").where(f"c + least(x, most) >= (n + least) * {SHARE} - 1e-6").drop("least", "most")
+    able = materialize(able, "able")
+    several = able.groupBy("bucket").agg(*classes_of).where("lo <> hi").select("bucket")
+    return materialize(able.join(several, "bucket", "left_semi"), "active")
 
 
 def near_duplicates(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
