@@ -91,7 +91,7 @@ class Model:
         self.omega = rng.standard_normal((_STATS, FEATURES)) * np.sqrt(2 * GAMMA)
         self.phase = rng.uniform(0, 2 * np.pi, FEATURES)
         self.weights = np.zeros(FEATURES + 1)
-        self.edges, self.values = np.asarray([0.0]), np.asarray([0.5, 0.5])
+        self.edges, self.values = np.asarray([0.0]), np.asarray([0.5])
 
     def map(self, stats: np.ndarray) -> np.ndarray:
         z = np.clip((stats - self.mean) / self.scale, -6, 6)
