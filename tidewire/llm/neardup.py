@@ -16,7 +16,7 @@ are centres in turn: each is compared with the bucket's later members of other
 classes, by the exact overlap of their multisets, and the links found are
 joined into classes. A bucket is done when its members are in one class or
 every possible pair across classes has been compared; the number of centres a
-round grows fourfold, so the rounds are few, what a round emits is linear in
+round grows sixteenfold, so the rounds are few, what a round emits is linear in
 the bucket for each centre, and no bucket is cut off. Pairs that cannot be
 similar, by their sizes, by how many of their elements no other text has, and
 by their overlap with the bucket's first centre, are never formed: in a large
@@ -39,6 +39,8 @@ WORDS, SIMILARITY = 5, 0.8
 #: Bands times rows is the size of a signature; at similarity 0.8 a pair shares
 #: no band with a probability of 5e-5.
 BANDS, ROWS = 25, 5
+#: By how much the centres of a bucket grow from round to round.
+GROWTH = 16
 SEED = np.uint64(0x51ED2701A9C3)
 
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -251,19 +253,21 @@ def links(documents: DataFrame, key: str, text: str, buckets: DataFrame) -> Data
     rest = rest.select("bucket", "o", "id", "n", "u", F.coalesce("common", "c").alias("c"), F.coalesce(other, "x").alias("x"))
     active = _open_buckets(rest, classes)
 
-    centres = 4
+    centres = GROWTH
     while not active.isEmpty():
         order = Window.partitionBy("bucket").orderBy("o")
         first = active.withColumn("k", F.row_number().over(order)).where(F.col("k") <= centres)
         first = materialize(first.select("bucket", F.col("o").alias("oa"), F.col("id").alias("a"), F.col("n").alias("na"), F.col("c").alias("ca"), F.col("x").alias("xa"), F.col("root").alias("ra")), "first")
         possible = f"o > oa AND root <> ra AND {near} AND least(c, ca) + least(x, xa) >= (n + na) * {SHARE} - 1e-6"
         pairs = active.join(first, "bucket").where(possible).select("a", F.col("id").alias("b")).distinct()
-        edges = edges.unionByName(materialize(overlaps(pairs, sets), "compared").where("similar").select("a", "b"))
-        classes = materialize(components(edges), "classes")
+        new = materialize(overlaps(pairs, sets).where("similar").select("a", "b"), "links")
+        if not new.isEmpty():
+            edges = edges.unionByName(new)
+            classes = materialize(components(edges), "classes")
         last = first.groupBy("bucket").agg(F.max("oa").alias("last"))
         rest = active.join(last, "bucket").where("o > last").select("bucket", "o", "id", "n", "u", "c", "x")
         active = _open_buckets(rest, classes)
-        centres *= 4
+        centres *= GROWTH
     return classes
 
 
@@ -300,7 +304,8 @@ def near_duplicates(documents: DataFrame, key: str = "doc_id", text: str = "text
     named = firsts.select("fp", "id")
     other = signed.select("fp", "id").distinct().join(named.select("fp", F.col("id").alias("first")), "fp").where("id <> first").select(F.col("id").alias("a"), F.col("first").alias("b"))
     classes = links(documents, key, text, buckets)
-    whole = components(other.unionByName(classes.select(F.col("id").alias("a"), F.col("root").alias("b"))))
+    other = materialize(other, "other")
+    whole = classes if other.isEmpty() else components(other.unionByName(classes.select(F.col("id").alias("a"), F.col("root").alias("b"))))
     rows = signed.select("id").join(whole, "id", "left")
     return rows.select(F.col("id").alias(key), F.coalesce("root", "id").alias("class_id"))
 
