@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 #: Rows of one Arrow batch sent to a Python worker, so that a batch of very
 #: long texts still fits into a worker's memory.
-BATCH_ROWS = 500
+BATCH_ROWS = 200
 
 
 def shared_dir(spark: SparkSession) -> str:
