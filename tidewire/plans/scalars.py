@@ -16,20 +16,19 @@ def add(name, source, run, sql=None):
         ORACLES[name] = sql
 
 
-T = F.col("text")
 STOP = ["the", "of", "and", "to", "in"]
 add("strip_tags", "pages", lambda d: d.select("page_id", F.md5(X.strip_tags(F.col("html"))).alias("h")), "SELECT page_id, md5(regexp_replace(html, '<[^>]+>', ' ', 'g')) AS h FROM pages")
 add("strip_urls", "pages", lambda d: d.select("page_id", X.strip_urls(F.concat(F.lit("see "), "url", F.lit(" now www.a.b c"))).alias("t")), r"SELECT page_id, regexp_replace(regexp_replace('see ' || url || ' now www.a.b c', 'https?://\S+', '', 'g'), 'www\.\S+', '', 'g') AS t FROM pages")
-add("squeeze", "documents", lambda d: d.select("doc_id", F.md5(X.squeeze(T)).alias("h")), r"SELECT doc_id, md5(trim(regexp_replace(text, '[\s\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+', ' ', 'g'), ' ')) AS h FROM documents")
+add("squeeze", "documents", lambda d: d.select("doc_id", F.md5(X.squeeze(F.col("text"))).alias("h")), r"SELECT doc_id, md5(trim(regexp_replace(text, '[\s\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+', ' ', 'g'), ' ')) AS h FROM documents")
 add("clean_page", "pages", lambda d: d.select("page_id", F.md5(X.clean_text(F.col("html"))).alias("h"), F.length(X.clean_text(F.col("html"))).alias("n")),
     r"WITH c AS (SELECT page_id, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(coalesce(html, ''), '<[^>]+>', ' ', 'g'), 'https?://\S+', '', 'g'), 'www\.\S+', '', 'g'), '[\s\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+', ' ', 'g'), ' ') AS t FROM pages) SELECT page_id, md5(t) AS h, CAST(length(t) AS INTEGER) AS n FROM c")
-add("valid_articles", "documents", lambda d: d.where(X.is_article(T)).select("doc_id"), "SELECT doc_id FROM documents WHERE length(trim(text, ' ')) >= 200")
+add("valid_articles", "documents", lambda d: d.where(X.is_article(F.col("text"))).select("doc_id"), "SELECT doc_id FROM documents WHERE length(trim(text, ' ')) >= 200")
 add("blank_to_null", "conversations", lambda d: d.select("conv_id", "turn", X.blank_to_null(F.when(F.col("turn") % 3 == 0, "  ").otherwise(F.col("role"))).alias("t")), "SELECT conv_id, turn, nullif(trim(CASE WHEN turn % 3 = 0 THEN '  ' ELSE role END, ' '), '') AS t FROM conversations")
-add("sentences", "documents", lambda d: d.select("doc_id", F.size(X.sentences(T)).alias("n")))
-add("extractive_summary", "documents", lambda d: d.select("doc_id", X.extractive_summary(T).alias("summary")))
-add("concise_summary", "documents", lambda d: d.select("doc_id", X.concise_summary(T).alias("summary")))
+add("sentences", "documents", lambda d: d.select("doc_id", F.size(X.sentences(F.col("text"))).alias("n")))
+add("extractive_summary", "documents", lambda d: d.select("doc_id", X.extractive_summary(F.col("text")).alias("summary")))
+add("concise_summary", "documents", lambda d: d.select("doc_id", X.concise_summary(F.col("text")).alias("summary")))
 add("article_id", "pages", lambda d: d.select("page_id", X.article_id(F.col("url")).alias("article_id")), "SELECT page_id, substring(sha256(url), 1, 16) AS article_id FROM pages")
-add("tokens", "documents", lambda d: d.select("doc_id", X.tokens(T, STOP, {"that": "which"}).alias("tokens")),
+add("tokens", "documents", lambda d: d.select("doc_id", X.tokens(F.col("text"), STOP, {"that": "which"}).alias("tokens")),
     "SELECT doc_id, (WITH t AS (SELECT unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS w, generate_subscripts(regexp_extract_all(lower(text), '[a-z0-9]+'), 1) AS i), k AS (SELECT CASE WHEN w = 'that' THEN 'which' ELSE w END AS w, min(i) AS i FROM t WHERE length(w) >= 2 AND w NOT IN ('the','of','and','to','in') GROUP BY 1) SELECT coalesce(list(w ORDER BY i), []) FROM k) AS tokens FROM documents")
 add("json_list", "events", lambda d: d.select("event_id", F.size(X.json_list(F.concat(F.lit('["a","'), "event_type", F.lit('"]')))).alias("n"), F.size(X.json_list(F.col("props"))).alias("none")), "SELECT event_id, CAST(2 AS INTEGER) AS n, CAST(0 AS INTEGER) AS none FROM events")
 add("json_field", "events", lambda d: d.select("event_id", F.get_json_object("props", "$.k").cast("long").alias("k")), "SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events")
@@ -40,7 +39,7 @@ add("colour", "events", lambda d: d.select("event_id", X.colour_of(F.col("value"
 add("stamp_to_iso", "events", lambda d: d.select("event_id", X.stamp_to_iso(F.when(F.col("event_id") % 2 == 0, F.date_format("ts", "yyyyMMdd'T'HHmmss'Z'")).otherwise("soon")).alias("t")), "SELECT event_id, CASE WHEN event_id % 2 = 0 THEN strftime(ts, '%Y-%m-%dT%H:%M:%SZ') ELSE 'soon' END AS t FROM events")
 add("source_kind", "documents", lambda d: d.select("doc_id", X.source_kind(F.col("source"), [("wire", ["src1"]), ("agency", ["src2", "src3"])], "press").alias("kind")), "SELECT doc_id, CASE WHEN contains(lower(source), 'src1') THEN 'wire' WHEN contains(lower(source), 'src2') OR contains(lower(source), 'src3') THEN 'agency' ELSE 'press' END AS kind FROM documents")
 add("confidence_percent", "events", lambda d: d.select("event_id", F.bround(F.when(F.col("value") <= 1, F.col("value") * 100).otherwise(F.col("value")), 1).alias("c")))
-add("classifier_text", "documents", lambda d: d.select("doc_id", F.md5(F.concat_ws(". ", F.nullif("source", F.lit("")), F.nullif(T, F.lit("")))).alias("h")), "SELECT doc_id, md5(concat_ws('. ', nullif(source, ''), nullif(text, ''))) AS h FROM documents")
-add("embedding_text", "documents", lambda d: d.select("doc_id", F.md5(F.substring(F.concat_ws(" ", "source", F.substring(T, 1, 500), "lang"), 1, 1000)).alias("h")), "SELECT doc_id, md5(substring(concat_ws(' ', source, substring(text, 1, 500), lang), 1, 1000)) AS h FROM documents")
+add("classifier_text", "documents", lambda d: d.select("doc_id", F.md5(F.concat_ws(". ", F.nullif("source", F.lit("")), F.nullif(F.col("text"), F.lit("")))).alias("h")), "SELECT doc_id, md5(concat_ws('. ', nullif(source, ''), nullif(text, ''))) AS h FROM documents")
+add("embedding_text", "documents", lambda d: d.select("doc_id", F.md5(F.substring(F.concat_ws(" ", "source", F.substring(F.col("text"), 1, 500), "lang"), 1, 1000)).alias("h")), "SELECT doc_id, md5(substring(concat_ws(' ', source, substring(text, 1, 500), lang), 1, 1000)) AS h FROM documents")
 add("hex_bytes", "documents", lambda d: d.select("doc_id", F.lower(F.hex(F.col("source").cast("binary"))).alias("h")), "SELECT doc_id, lower(hex(source)) AS h FROM documents")
 add("rank_label", "nation", lambda d: d.select("n_nationkey", F.lpad(F.col("n_nationkey").cast("string"), 2, "0").alias("rank")), "SELECT n_nationkey, lpad(CAST(n_nationkey AS VARCHAR), 2, '0') AS rank FROM nation")
