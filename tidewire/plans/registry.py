@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from tidewire.plans import briefs, ingestion, language, listing, scalars, searching
+from tidewire.plans import briefs, connecting, ingestion, language, listing, scalars, searching
 
 QUERIES: dict = {}
 ORACLES: dict = {}
-for _module in (listing, scalars, ingestion, searching, language, briefs):
+for _module in (listing, scalars, ingestion, searching, language, briefs, connecting):
     QUERIES |= _module.QUERIES
     ORACLES |= _module.ORACLES

@@ -1,0 +1,15 @@
+"""Paths of streams' results and checkpoints."""
+
+from __future__ import annotations
+
+import tempfile
+import uuid
+
+from pyspark.sql import SparkSession
+
+
+def new_path(spark: SparkSession, name: str) -> str:
+    """An unused path in the folder that driver and executors share
+    (``spark.checkpoint.dir``); only where that is unset, a temporary one."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir()
+    return f"{base.rstrip('/')}/tidewire-{uuid.uuid4().hex}/{name}"
