@@ -80,13 +80,15 @@ def as_payload(fields: list[tuple[str, Column]]) -> Column:
 def json_rows(spark: SparkSession, path: str, depth: int = 1) -> DataFrame:
     """``payload, error`` of a JSON list or of JSON lines; the first character
     tells which. An item that is no object is an error."""
-    layout = _first_line(spark, path).lstrip()[:1]
-    read = spark.read.option("primitivesAsString", True).option("multiLine", layout == "[").option("columnNameOfCorruptRecord", "_corrupt").option("mode", "PERMISSIVE")
-    rows = read.json(path)
-    if "_corrupt" not in rows.columns:
-        rows = rows.withColumn("_corrupt", F.lit(None).cast("string"))
-    kept = StructType([f for f in rows.schema.fields if f.name != "_corrupt"])
-    return rows.select(as_payload(flatten_fields(kept, depth)).alias("payload"), F.when(F.col("_corrupt").isNotNull(), "item is no JSON object").alias("error"))
+    is_list = _first_line(spark, path).lstrip()[:1] == "["
+    found = spark.read.option("primitivesAsString", True).option("multiLine", is_list).option("columnNameOfCorruptRecord", "_corrupt").json(path).schema
+    kept = StructType([f for f in found.fields if f.name != "_corrupt"])
+    text = spark.read.text(path, wholetext=is_list)
+    items = text.select(F.explode(F.from_json("value", "array<string>")).alias("value")) if is_list else text.where(F.trim("value") != "")
+    row = F.from_json("value", kept.add("_corrupt", "string"), {"columnNameOfCorruptRecord": "_corrupt"})
+    rows = items.select(row.alias("r"))
+    fields = flatten_fields(StructType(kept.fields[:-1]), depth, path=F.col("r"))
+    return rows.select(as_payload(fields).alias("payload"), F.when(F.col("r._corrupt").isNotNull(), "item is no JSON object").alias("error"))
 
 
 def table_rows(df: DataFrame) -> DataFrame:
