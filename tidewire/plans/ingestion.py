@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidewire.operators import ingest, leader, merge
+from tidewire.operators import ingest, leader, merge, store
 from tidewire.operators.aggregates import cluster_stats
+from tidewire.plans.articles import ARTICLES_SQL, articles
 from tidewire.tables import table
 
 QUERIES, ORACLES = {}, {}
@@ -123,3 +124,25 @@ def leader_clusters(spark, root):
 @query("SELECT count(*) AS clusters, CAST(sum(n) AS BIGINT) AS articles, CAST(sum(n - 1) AS BIGINT) AS duplicates, max(n) AS largest FROM (SELECT source, count(*) AS n FROM documents GROUP BY 1)")
 def cluster_statistics(spark, root):
     return cluster_stats(table(spark, root, "documents"), "source")
+
+
+@query("SELECT '2026-01-01' AS started, count(*) AS articles, count(*) FILTER (article_text <> '') AS with_text, count(*) FILTER (article_type IS NOT NULL) AS classified, count(*) FILTER (threat_level IN ('HIGH', 'CRITICAL')) AS high_threat, count(*) FILTER (army_monitoring_needed = 'YES') AS monitoring FROM articles")
+def run_log(spark, root):
+    return store.run_log(articles(spark, root), "2026-01-01")
+
+
+ORACLES["run_log"] = ARTICLES_SQL + ORACLES["run_log"]
+
+
+@query("SELECT o_orderkey, CAST(CASE WHEN o_custkey IN (SELECT c_custkey FROM customer WHERE c_custkey % 2 = 0) THEN 1 ELSE o_orderkey % 3 END AS INTEGER) AS seen FROM orders")
+def mark_processed(spark, root):
+    """A flag set by a set of keys; other rows keep theirs."""
+    o = table(spark, root, "orders").select("o_orderkey", F.col("o_custkey").alias("article_id"), (F.col("o_orderkey") % 3).cast("int").alias("seen"))
+    done = table(spark, root, "customer").where("c_custkey % 2 = 0").select(F.col("c_custkey").alias("article_id"))
+    return store.mark(o, done, "seen").select("o_orderkey", "seen")
+
+
+@query("SELECT doc_id, dense_rank() OVER (ORDER BY f) - 1 AS cluster FROM (SELECT doc_id, min(doc_id) OVER (PARTITION BY source) AS f FROM documents WHERE source IS NOT NULL)")
+def number_clusters(spark, root):
+    """Sources numbered by their first document."""
+    return store.number_clusters(table(spark, root, "documents").where("source IS NOT NULL").select("doc_id", "source"), "source", "doc_id").select("doc_id", "cluster")
