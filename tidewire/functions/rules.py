@@ -108,3 +108,16 @@ def top_labels(scores: Column, least: float = 0.25, most: int = 5) -> Column:
     good = F.filter(entries, lambda e: e["value"] >= least)
     chosen = F.when(F.size(good) > 0, F.slice(good, 1, most)).otherwise(F.slice(entries, 1, 1))
     return F.transform(chosen, lambda e: e["key"])
+
+
+def topics_of(equipment: Column, keywords: Column, countries: Column, rules: dict[str, dict[str, list[str]]]) -> Column:
+    """Sorted topics: a rule holds if a substring is in the equipment names, or
+    a word is among the keywords or countries. Null lists count as empty."""
+    names = F.lower(F.array_join(F.coalesce(equipment, F.array()), " "))
+    have = {"keywords": keywords, "countries": countries}
+    found = []
+    for topic, needs in rules.items():
+        tests = [names.contains(w) for w in needs.get("equipment", [])]
+        tests += [F.array_contains(have[k], w) for k in have for w in needs.get(k, [])]
+        found.append(F.when(F.greatest(*[F.coalesce(t, F.lit(False)).cast("int") for t in [*tests, F.lit(False)]]) == 1, F.lit(topic)))
+    return F.array_sort(F.array_compact(F.array(*found)))
