@@ -75,6 +75,40 @@ def test_leaks_of_odd_tables(spark, prose):
     assert decontaminate.without_leaks(docs, item).count() == 5
 
 
+def test_every_passage_of_a_long_item_is_found(spark, prose):
+    rng = random.Random(11)
+    items = [(i, prose(700 + i, 90)[:n]) for i, n in enumerate((250, 394, 130, 3000))]
+    quotes = [(d, *items[d % 4]) for d in range(80)]
+    texts = []
+    for d, _, whole in quotes:
+        at = rng.randrange(len(whole) - 119)
+        quote = list(whole[at : at + 120])
+        for _ in range((d % 3) * 3):
+            quote[rng.randrange(len(quote))] = rng.choice("xyz")
+        text = prose(800 + d, 80)
+        cut = rng.randrange(len(text))
+        texts.append((d, text[:cut] + "".join(quote) + text[cut:]))
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    got = decontaminate.leaks(docs, benchmark).collect()
+    assert {(r.doc_id, r.item_id) for r in got} == {(d, i) for d, i, _ in quotes}
+    assert decontaminate.without_leaks(docs, benchmark).count() == 0
+
+
+def test_passages_equal_brute_force(prose):
+    rng = random.Random(12)
+    item = prose(900, 60)[:170]
+    index = decontaminate.Index([(1, item)])
+    for d in range(40):
+        quote = list(item[(at := rng.randrange(60)) : at + rng.randrange(95, 125)])
+        for _ in range(rng.randint(0, 12)):
+            quote[rng.randrange(len(quote))] = rng.choice(["", "x", "yz"])
+        text = prose(950 + d, 8) + "".join(quote) + prose(990 + d, 8)
+        normal = "".join(map(chr, decontaminate.normalise([text])[0][:-1]))
+        want = any(edit_distance_inside(item[s : s + 120], normal) <= 12 for s in range(51))
+        assert bool(decontaminate.find_places([text], index)[0]) == want
+
+
 # 2 -----------------------------------------------------------------------------
 
 

@@ -1,14 +1,18 @@
 """Benchmark decontamination by the q-gram lemma.
 
 Texts are compared in lower case, with every run of other characters than
-letters and digits as one space. A benchmark item is cut into overlapping
-passages. A place in a document that equals a passage of n characters up to e
-edits shares at least ``n - q + 1 - q * e`` q-grams with it, and all of them lie
-on diagonals (position in the text minus position in the passage) that differ
-by at most e on either side. So shared q-grams are counted in overlapping
-diagonal bands that are wide enough to hold such a place wholly in one band;
-bands that reach the bound are verified by banded alignment. Nothing within the
-edit budget can be missed.
+letters and digits as one space. A passage is any ``PASSAGE`` characters in a
+row of a benchmark item, wherever they begin, or the whole of a shorter item. A
+place in a document that equals a passage of n characters up to e edits shares
+at least ``n - q + 1 - q * e`` q-grams with it, and all of them lie on diagonals
+(position in the text minus position in the item) that differ by at most e on
+either side. So shared q-grams are counted in overlapping diagonal bands that
+are wide enough to hold such a place wholly in one band; in a band, each passage
+that holds as many as the bound is verified by banded alignment. Nothing within the edit budget can be missed.
+
+The distances of two passages that begin next to each other differ by at most
+1, so one alignment settles as many neighbours as its distance is away from the
+budget.
 
 The q-grams of a block of items are a bounded table that every task holds; a
 larger benchmark is worked through in blocks, one scan of the documents each.
@@ -25,8 +29,11 @@ from pyspark.sql import functions as F
 
 from tidewire.llm.common import small_batches, text_of
 
-#: q, edits a character, and the length and distance of an item's passages.
-Q, BUDGET, PASSAGE, STRIDE = 8, 0.1, 120, 60
+#: q, edits a character, and the length of an item's passages.
+Q, BUDGET, PASSAGE = 8, 0.1, 120
+#: Characters of an item that are compared at once; a longer item is cut into
+#: stretches that overlap, so that each passage lies wholly in one.
+STRETCH = 1024
 #: q-grams of a block of items at most (about 40 bytes each in a task).
 BLOCK_GRAMS = 1_000_000
 #: Characters of text that are worked on at once.
@@ -63,47 +70,29 @@ def normalise(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return out.astype(np.uint32), at, starts
 
 
-def grams(codes: np.ndarray) -> np.ndarray:
+def grams(codes: np.ndarray, q: int = Q) -> np.ndarray:
     """A 64-bit number for the q-gram that begins at each place."""
     h, width = codes.astype(np.uint64) + np.uint64(1), 1
     factor = np.uint64(0x9E3779B97F4A7C15)
     with np.errstate(over="ignore"):
-        while width < Q:
-            h = h[:-width] * factor + h[width:] if len(h) > width else h[:0]
+        while width < q:
+            step = min(width, q - width)
+            h = h[:-step] * factor + h[step:] if len(h) > step else h[:0]
             factor = factor * factor
-            width *= 2
+            width += step
     return h
 
 
-class Index:
-    """The passages of a block of items and their q-grams."""
+class Table:
+    """The q-grams of some stretches (number, characters), for one q."""
 
-    def __init__(self, items: list[tuple[int, str]]):
-        self.items, self.passages, offsets, owners, keys = [], [], [], [], []
-        for item, text in items:
-            codes = normalise([text or ""])[0][:-1]
-            if len(codes) and codes[-1] == 32:
-                codes = codes[:-1]
-            n = len(codes)
-            if n < Q:
-                continue
-            last = max(0, n - PASSAGE)
-            for start in sorted({*range(0, last + 1, STRIDE), last}):
-                part = codes[start : start + PASSAGE]
-                g = grams(part)
-                owners.append(np.full(len(g), len(self.passages), dtype=np.int32))
-                offsets.append(np.arange(len(g), dtype=np.int32))
-                keys.append(g)
-                self.items.append(item)
-                self.passages.append(part)
-        lengths = np.array([len(p) for p in self.passages], dtype=np.int64)
-        self.edits = np.floor(lengths * BUDGET).astype(np.int64)
-        self.bound = np.maximum(1, lengths - Q + 1 - Q * self.edits)
-        self.width = 2 * self.edits + 1
-        key = np.concatenate(keys) if keys else np.zeros(0, np.uint64)
+    def __init__(self, q: int, stretches: list[tuple[int, np.ndarray]]):
+        self.q = q
+        keys = [grams(part, q) for _, part in stretches]
+        key = np.concatenate(keys)
         order = np.argsort(key, kind="stable")
-        self.owner = np.concatenate(owners)[order] if keys else np.zeros(0, np.int32)
-        self.offset = np.concatenate(offsets)[order] if keys else np.zeros(0, np.int32)
+        self.owner = np.concatenate([np.full(len(g), i, dtype=np.int32) for (i, _), g in zip(stretches, keys, strict=True)])[order]
+        self.offset = np.concatenate([np.arange(len(g), dtype=np.int32) for g in keys])[order]
         self.key, self.first, self.count = np.unique(key[order], return_index=True, return_counts=True)
         self.bits = int(min(26, max(16, np.ceil(np.log2(16 * max(1, len(self.key)))))))
         self.table = np.zeros(1 << self.bits, dtype=bool)
@@ -114,12 +103,12 @@ class Index:
             return ((key * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(64 - self.bits)).astype(np.int64)
 
     def shared(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(place, passage, place in the passage) of every shared q-gram."""
-        key = grams(codes)
+        """(place, stretch, place in the stretch) of every shared q-gram."""
+        key = grams(codes, self.q)
         at = np.flatnonzero(self.table[self._slot(key)])
         found = np.searchsorted(self.key, key[at])
         found[found == len(self.key)] = 0
-        same = self.key[found] == key[at] if len(self.key) else np.zeros(len(at), bool)
+        same = self.key[found] == key[at]
         at, found = at[same], found[same]
         n = self.count[found]
         place = np.repeat(at, n)
@@ -127,6 +116,38 @@ class Index:
         return place, self.owner[entry], self.offset[entry]
 
 
+class Index:
+    """The stretches of a block of items (``passages``: all passages of an item
+    of up to ``STRETCH`` characters) and their q-grams."""
+
+    def __init__(self, items: list[tuple[int, str]]):
+        self.items, self.passages, self.begins = [], [], []
+        for item, text in items:
+            codes = normalise([text or ""])[0][:-1]
+            if len(codes) and codes[-1] == 32:
+                codes = codes[:-1]
+            n = len(codes)
+            if n < Q:
+                continue
+            for start in range(0, max(0, n - PASSAGE) + 1, STRETCH - PASSAGE + 1):
+                self.items.append(item)
+                self.passages.append(codes[start : start + STRETCH])
+                self.begins.append(start)
+        whole = np.array([len(p) for p in self.passages], dtype=np.int64)
+        self.length = np.minimum(whole, PASSAGE)  # of a passage
+        self.last = whole - self.length  # where the last passage begins
+        self.edits = np.floor(self.length * BUDGET).astype(np.int64)
+        self.q = np.full(len(whole), Q)
+        self.bound = np.maximum(1, self.length - self.q + 1 - self.q * self.edits)
+        self.width = 2 * self.edits + 1
+        by_q = [(q, [(i, self.passages[i]) for i in np.flatnonzero(self.q == q).tolist()]) for q in (Q,)]
+        self.tables = [Table(q, some) for q, some in by_q if some]
+
+    def shared(self, codes: np.ndarray) -> tuple[np.ndarray, ...]:
+        """(place, stretch, place in the stretch) of every shared q-gram."""
+        return tuple(map(np.concatenate, zip(*(t.shared(codes) for t in self.tables), strict=True)))
+
+
 def align(passage: np.ndarray, region: np.ndarray, most: int) -> tuple[int, int, int] | None:
     """(start, end, edits) of the best place of ``passage`` in ``region`` with at
     most ``most`` edits, the earliest end first; None if there is none.
@@ -157,32 +178,53 @@ def align(passage: np.ndarray, region: np.ndarray, most: int) -> tuple[int, int,
     return end - int(np.flatnonzero(back == ends[end])[0]), end, int(ends[end])
 
 
-def within_budget(codes: np.ndarray, index: Index, passages: np.ndarray, lows: np.ndarray) -> np.ndarray:
-    """Whether a passage can be placed with its edits in the band of two widths
-    of diagonals from ``lows``: banded alignment of many bands side by side.
+def distances(codes: np.ndarray, index: Index, owner: np.ndarray, start: np.ndarray, low: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """The least edits with which the passage at ``start`` of each stretch can be
+    placed in the band of two widths of diagonals from ``low``, in the text from
+    ``begin`` to ``end``: banded alignment of many bands side by side.
 
     Cell (i, j) is the least number of edits for the first i characters ending
-    before text character ``low + i + j``; it follows from (i - 1, j),
+    before text character ``low + start + i + j``; it follows from (i - 1, j),
     (i - 1, j + 1) and (i, j - 1).
     """
-    good = np.zeros(len(passages), dtype=bool)
-    lengths = np.array([len(p) for p in index.passages])[passages] if len(passages) else np.zeros(0, int)
-    for n in np.unique(lengths):
-        group = np.flatnonzero(lengths == n)
-        wide = 2 * int(index.width[passages[group[0]]])
-        for at in range(0, len(group), 2000):
-            some = group[at : at + 2000]
-            own = np.stack([index.passages[p] for p in passages[some]])
-            reach = lows[some][:, None] + np.arange(n + wide)
-            text = np.where((reach >= 0) & (reach < len(codes)), codes[np.clip(reach, 0, len(codes) - 1)], END)
-            steps = np.arange(wide, dtype=np.int16)
-            row = np.zeros((len(some), wide), dtype=np.int16)
+    out = np.zeros(len(owner), dtype=np.int64)
+    for n in np.unique(index.length[owner]):
+        group = np.flatnonzero(index.length[owner] == n)
+        wide = 2 * int(index.width[owner[group[0]]])
+        steps = np.arange(wide, dtype=np.int16)[:, None]
+        for at in range(0, len(group), 1000):
+            some = group[at : at + 1000]
+            own = np.stack([index.passages[p][s : s + n] for p, s in zip(owner[some].tolist(), start[some].tolist(), strict=True)], axis=1)
+            reach = (low + start)[some] + np.arange(n + wide)[:, None]
+            text = np.where((reach >= begin[some]) & (reach < end[some]), codes[np.clip(reach, 0, len(codes) - 1)], END)
+            row = np.zeros((wide, len(some)), dtype=np.int16)
             for i in range(n):
-                new = row + (text[:, i : i + wide] != own[:, i, None])
-                np.minimum(new[:, :-1], row[:, 1:] + 1, out=new[:, :-1])
-                row = np.minimum.accumulate(new - steps, axis=1) + steps
-            good[some] = row.min(axis=1) <= index.edits[passages[some]]
-    return good
+                new = row + (text[i : i + wide] != own[i])
+                np.minimum(new[:-1], row[1:] + 1, out=new[:-1])
+                row = np.minimum.accumulate(new - steps, axis=0) + steps
+            out[some] = row.min(axis=0)
+    return out
+
+
+def candidates(index: Index, key: np.ndarray, offset: np.ndarray, span: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(key, first, last): ranges of passages, by where they begin in their
+    stretch, that hold enough shared q-grams of one band. ``key``: stretch times
+    ``span`` plus band, sorted, then by ``offset``; nothing twice."""
+    owner = key // span
+    far = np.arange(len(key)) + index.bound[owner] - 1
+    at = np.flatnonzero(far < len(key))
+    at = at[key[far[at]] == key[at]]
+    room = (index.length - index.q)[owner]
+    at = at[offset[far[at]] - offset[at] <= room[at]]
+    first = np.maximum(0, offset[far[at]] - room[at])
+    last = np.minimum(offset[at], index.last[owner[at]])
+    key = key[at]
+    # Ranges of a band that overlap or touch become one.
+    new = np.ones(len(at), dtype=bool)
+    new[1:] = (key[1:] != key[:-1]) | (first[1:] > last[:-1] + 1)
+    begins = np.flatnonzero(new)
+    ends = np.append(begins[1:], len(at))[: len(begins)] - 1
+    return key[begins], first[begins], last[ends]
 
 
 def find_places(texts: list[str], index: Index) -> list[list[tuple[int, int, int, int]]]:
@@ -190,50 +232,65 @@ def find_places(texts: list[str], index: Index) -> list[list[tuple[int, int, int
     of one item that touch joined, in code points of the text."""
     codes, origin, starts = normalise(texts)
     found: list[list] = [[] for _ in texts]
-    if not len(index.key):
+    if not index.tables:
         return found
     place, owner, offset = index.shared(codes)
+    text_ends = np.flatnonzero(codes == END)
+    text_begins = np.append(0, text_ends[:-1] + 1)
+    # Texts are counted as lying so far apart that no band reaches two of them.
+    gap = 2 * STRETCH
+    apart = np.arange(len(texts)) * gap
     # A diagonal lies in two bands of two widths each; band numbers count from 1.
-    width = index.width[owner]
-    diagonal = place - offset + PASSAGE
-    band = diagonal // width + 1
-    span = len(codes) + 2 * PASSAGE + 2
-    # Each q-gram of a passage counts once in a band, however often it occurs.
-    each = np.concatenate([owner * np.int64(span) + band, owner * np.int64(span) + band - 1]) * PASSAGE + np.concatenate([offset, offset])
+    diagonal = place + np.searchsorted(text_ends, place) * gap - offset + STRETCH
+    band = diagonal // index.width[owner] + 1
+    span = len(codes) + (len(texts) + 1) * gap
+    # Each q-gram of a stretch counts once in a band, however often it occurs.
+    each = np.concatenate([owner * np.int64(span) + band, owner * np.int64(span) + band - 1]) * STRETCH + np.concatenate([offset, offset])
     each.sort()
     each = each[np.concatenate([[True], each[1:] != each[:-1]])] if len(each) else each
-    key = each // PASSAGE
-    begins = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, int)
-    count = np.diff(np.concatenate([begins, [len(key)]]))
-    key = key[begins]
-    passage, band = key // span, key % span
-    enough = np.flatnonzero(count >= index.bound[passage])
-    passage, band = passage[enough], band[enough]
-    enough = within_budget(codes, index, passage, (band - 1) * index.width[passage] - PASSAGE)
-    text_ends = np.flatnonzero(codes == END)
+    key, first, last = candidates(index, each // STRETCH, each % STRETCH, span)
+    passing = []
+    while len(key):
+        owner, band, middle = key // span, key % span, (first + last) // 2
+        low = (band - 1) * index.width[owner] - STRETCH
+        text = np.searchsorted(text_ends + apart, low, side="right")
+        low = low - apart[text]
+        edits = distances(codes, index, owner, middle, low, text_begins[text], text_ends[text])
+        most = index.edits[owner]
+        good = edits <= most
+        settled = np.where(good, most - edits, edits - most - 1)
+        a, z = np.maximum(first, middle - settled), np.minimum(last, middle + settled)
+        passing += zip(*(x[good].tolist() for x in (key, a, z, text, owner, low)), strict=True)
+        key, first, last = np.append(key, key), np.append(first, z + 1), np.append(a - 1, last)
+        more = first <= last
+        key, first, last = key[more], first[more], last[more]
     hits: dict[tuple[int, int], list] = {}
-    for p, b in zip(passage[enough].tolist(), band[enough].tolist(), strict=True):
-        w, e, own = int(index.width[p]), int(index.edits[p]), index.passages[p]
-        low = (b - 1) * w - PASSAGE
-        high = low + 2 * w + len(own) + e
-        low, high = max(0, low), min(len(codes), high)
-        # The band may reach over the end of a text; each text is its own region.
-        for d in range(int(np.searchsorted(text_ends, low)), int(np.searchsorted(text_ends, high)) + 1):
-            if d >= len(texts):
-                break
-            a = max(low, int(text_ends[d - 1]) + 1 if d else 0)
-            z = min(high, int(text_ends[d]))
-            if z - a >= len(own) - e and (best := align(own, codes[a:z], e)):
-                s, t = origin[a + best[0]] - starts[d], origin[a + best[1] - 1] + 1 - starts[d]
-                hits.setdefault((d, index.items[p]), []).append((int(s), int(t), best[2]))
+    runs: list[list] = []
+    for k, a, z, *band in sorted(passing):
+        if runs and runs[-1][0] == k and a == runs[-1][2] + 1:
+            runs[-1][2] = z
+        else:
+            runs.append([k, a, z, *band])
+    for _, a, z, d, p, low in runs:
+        e, n, w = int(index.edits[p]), int(index.length[p]), int(index.width[p])
+        places = []
+        for s in (a, z) if a < z else (a,):
+            begin = max(low + s, int(text_begins[d]))
+            own, region = index.passages[p][s : s + n], codes[begin : max(begin, min(low + s + 2 * w + n + e, int(text_ends[d])))]
+            if best := align(own, region, e):
+                places.append((begin + best[0], begin + best[1], index.begins[p] + s, best[2]))
+        if places:
+            hits.setdefault((d, index.items[p]), []).append((min(x[0] for x in places), max(x[1] for x in places), places))
     for (d, item), places in hits.items():
-        joined: list[list[int]] = []
-        for s, t, e in sorted(places):
+        joined: list[list] = []
+        for s, t, ends in sorted(places):
             if joined and s <= joined[-1][1]:
-                joined[-1] = [joined[-1][0], max(joined[-1][1], t), max(joined[-1][2], e)]
+                joined[-1] = [joined[-1][0], max(joined[-1][1], t), joined[-1][2] + ends]
             else:
-                joined.append([s, t, e])
-        found[d] += [(item, s, t, e) for s, t, e in joined]
+                joined.append([s, t, ends])
+        for s, t, ends in joined:
+            edits = max(min((x[2], x[3]) for x in ends)[1], -max((x[2], -x[3]) for x in ends)[1])
+            found[d].append((item, int(origin[s] - starts[d]), int(origin[t - 1] + 1 - starts[d]), edits))
     return found
 
 
@@ -266,8 +323,9 @@ def indexes(benchmark: DataFrame, item: str, text: str) -> Iterator[Index]:
 def leaks(documents: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text") -> DataFrame:
     """``key, item, start, end, edits``: one row for each place of an item.
 
-    Places are in code points of the whole text; ``edits`` is the most that one
-    passage there needed. Null texts count as empty and have no place; null
+    Places are in code points of the whole text. Passages that touch there are
+    one place; ``edits`` is what the item's first or its last passage found there
+    needed, the more of the two. Null texts count as empty and have no place; null
     items and items of fewer than q normalised characters are not sought;
     repeated documents give repeated rows; equal items are each reported; an
     empty table on either side gives an empty result. Other columns are not
