@@ -166,6 +166,13 @@ def test_neighbours_recall_and_ties(spark):
     assert ann.nearest(df.limit(0), df.limit(0)).count() == 0
 
 
+def test_every_query_gets_all_its_rows(spark):
+    x = np.random.default_rng(8).standard_normal((12_000, 64))
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<double>")
+    got = collections.Counter(r.query_id for r in ann.nearest(df, df.where("vec_id % 50 = 0")).collect())
+    assert got == {i: 5 for i in range(0, 12_000, 50)}
+
+
 def test_few_candidates(spark):
     df = spark.createDataFrame([(0, [1.0, 0.0]), (50, [2.0, 0.0]), (3, [0.0, 1.0])], "vec_id long, embedding array<double>")
     rows = ann.nearest(df, df.where("vec_id % 50 = 0")).orderBy("query_id", "rank").collect()

@@ -8,8 +8,10 @@ blocks of bounded size. Search: a query goes to every block of its nearest
 lists. In a block, rotated vectors are read in column blocks; after each one
 the partial squared distance, scaled to all dimensions, is tested against the
 query's radius, and candidates that exceed it significantly are abandoned.
-The radius starts as the distance to the K-th nearest sample vector, an upper
-bound. What survives is scored by the exact cosine of the original vectors.
+The radius is the distance to the K-th nearest sample vector, an upper bound.
+What survives is scored by the exact cosine of the original vectors. The
+sample's nearest may lie in lists that are not probed; a query that is left with
+too few hits goes to every list, without a radius.
 
 Equal vectors are searched once: candidates and queries are first grouped by
 the vector, keeping the smallest ids, so a vector that a third of all rows
@@ -102,6 +104,14 @@ def adaptive_scan(queries: np.ndarray, radius: np.ndarray, rows: np.ndarray) ->
     return qi, ri
 
 
+def whole_scan(queries: np.ndarray, rows: np.ndarray, keep: int) -> tuple[np.ndarray, np.ndarray]:
+    """(query, row) positions of each query's ``keep`` nearest rows, with their
+    ties; unit vectors."""
+    gap = -(queries @ rows.T)
+    radius = np.partition(gap, keep - 1, axis=1)[:, keep - 1] if len(rows) > keep else np.full(len(queries), np.inf)
+    return np.nonzero(gap <= radius[:, None] + 1e-9)
+
+
 def nearest(vectors: DataFrame, queries: DataFrame, key: str = "vec_id", vector: str = "embedding", k: int = 5) -> DataFrame:
     """``query_id, rank, <key>, score``: the k nearest found for each query.
 
@@ -145,16 +155,9 @@ def nearest(vectors: DataFrame, queries: DataFrame, key: str = "vec_id", vector:
             yield pd.DataFrame({"qid": np.repeat(pdf.id.to_numpy(), near.shape[1]), "v": np.repeat(pdf.v.to_numpy(), near.shape[1]), "radius": np.repeat(radius, near.shape[1]), "list": near.ravel().astype("int32")})
 
     indexed = materialize(reps.mapInPandas(assign, "v array<double>, rep long, ids array<long>, list int"), "index")
-    distinct_queries = asked.groupBy("v").agg(F.min("id").alias("id"))
+    distinct_queries = materialize(asked.groupBy("v").agg(F.min("id").alias("id")), "asked")
     routed = materialize(distinct_queries.select("id", "v").mapInPandas(route, "qid long, v array<double>, radius double, list int"), "probes")
 
-    # How often a list is cut: one row a list, and lists are bounded.
-    sizes = indexed.groupBy("list").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts"))
-    asks = routed.groupBy("list").agg(F.ceil(F.count("*") / QUERIES).cast("int").alias("turns"))
-    cuts = F.broadcast(sizes.join(asks, "list"))
-    left = indexed.join(cuts, "list").select("list", F.pmod(F.xxhash64("rep"), F.col("parts")).alias("part"), F.explode(F.sequence(F.lit(0), F.col("turns") - 1)).alias("turn"), "v", "rep", "ids")
-    right = routed.join(cuts, "list").select("list", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts").cast("long") - 1)).alias("part"), F.pmod(F.xxhash64("qid"), F.col("turns")).cast("int").alias("turn"), "qid", "v", "radius")
-
     def search(cands: pd.DataFrame, asks: pd.DataFrame) -> pd.DataFrame:
         empty = pd.DataFrame({"qid": pd.Series(dtype="int64"), "score": pd.Series(dtype="float64"), "rep": pd.Series(dtype="int64"), "ids": pd.Series(dtype="object")})
         if not len(cands) or not len(asks):
@@ -164,7 +167,8 @@ def nearest(vectors: DataFrame, queries: DataFrame, key: str = "vec_id", vector:
         x, y = _unit(raw) @ rotation, _unit(asked_raw) @ rotation
         reps_, qids, found = cands.rep.to_numpy(), asks.qid.to_numpy(), []
         for at in range(0, len(y), 256):
-            qi, ri = adaptive_scan(y[at : at + 256], asks.radius.to_numpy()[at : at + 256], x)
+            radius = asks.radius.to_numpy()[at : at + 256]
+            qi, ri = whole_scan(y[at : at + 256], x, keep) if np.isinf(radius).all() else adaptive_scan(y[at : at + 256], radius, x)
             a, b = asked_raw[at + qi], raw[ri]
             sa, sb = np.abs(a).max(axis=1), np.abs(b).max(axis=1)
             plain = bool(len(qi)) and sa.max() < 1e100 and sb.max() < 1e100 and sa.min() > 1e-100 and sb.min() > 1e-100
@@ -176,10 +180,25 @@ def nearest(vectors: DataFrame, queries: DataFrame, key: str = "vec_id", vector:
         best = pd.concat(found)
         return pd.DataFrame({"qid": qids[best.q], "score": best.score.to_numpy(), "rep": best.rep.to_numpy(), "ids": cands.ids.to_numpy()[best.row]}) if len(best) else empty
 
-    cell = ["list", "part", "turn"]
-    hits = left.groupBy(*cell).cogroup(right.groupBy(*cell)).applyInPandas(search, "qid long, score double, rep long, ids array<long>")
-    top = Window.partitionBy("qid").orderBy(F.desc("score"), "rep")
-    hits = hits.withColumn("n", F.row_number().over(top)).where(F.col("n") <= keep)
+    def scan(routed: DataFrame) -> DataFrame:
+        # How often a list is cut: one row a list, and lists are bounded.
+        sizes = indexed.groupBy("list").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts"))
+        asks = routed.groupBy("list").agg(F.ceil(F.count("*") / QUERIES).cast("int").alias("turns"))
+        cuts = F.broadcast(sizes.join(asks, "list"))
+        left = indexed.join(cuts, "list").select("list", F.pmod(F.xxhash64("rep"), F.col("parts")).alias("part"), F.explode(F.sequence(F.lit(0), F.col("turns") - 1)).alias("turn"), "v", "rep", "ids")
+        right = routed.join(cuts, "list").select("list", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts").cast("long") - 1)).alias("part"), F.pmod(F.xxhash64("qid"), F.col("turns")).cast("int").alias("turn"), "qid", "v", "radius")
+        cell = ["list", "part", "turn"]
+        hits = left.groupBy(*cell).cogroup(right.groupBy(*cell)).applyInPandas(search, "qid long, score double, rep long, ids array<long>")
+        top = Window.partitionBy("qid").orderBy(F.desc("score"), "rep")
+        return hits.withColumn("n", F.row_number().over(top)).where(F.col("n") <= keep)
+
+    hits = materialize(scan(routed), "hits")
+    enough = hits.groupBy("qid").agg(F.sum(F.size("ids")).alias("found")).where(F.col("found") >= keep).select("qid")
+    short = materialize(distinct_queries.select(F.col("id").alias("qid"), "v").join(enough, "qid", "left_anti"), "short")
+    if not short.isEmpty():
+        every = F.explode(F.sequence(F.lit(0), F.lit(len(centroids) - 1))).alias("list")
+        again = scan(short.select("qid", "v", F.lit(float("inf")).alias("radius"), every))
+        hits = hits.join(short.select("qid"), "qid", "left_anti").unionByName(again)
     # The few best vectors of each distinct query, as single ids again.
     flat = hits.select("qid", "score", F.explode("ids").alias("id"))
     order = Window.partitionBy("qid").orderBy(F.desc("score"), "id")
