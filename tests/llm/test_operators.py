@@ -109,6 +109,20 @@ def test_passages_equal_brute_force(prose):
         assert bool(decontaminate.find_places([text], index)[0]) == want
 
 
+@pytest.mark.parametrize("n", [10, 13, 15, 20, 23, 30, 31])
+def test_short_items_are_found_with_all_their_edits(n):
+    item = "abcdefghijklmnopqrstuvwxyz0123456789"[:n]
+    e = int(n * decontaminate.BUDGET)
+    index = decontaminate.Index([(1, item)])
+    for shift in range(-2, 3):
+        quote = list(item)
+        for j in range(1, e + 1):
+            quote[j * n // (e + 1) + (shift if e == 1 else 0)] = "ßé"[j % 2]
+        places = decontaminate.find_places(["one two " + "".join(quote) + " three"], index)[0]
+        assert [(p[0], p[3]) for p in places] == [(1, e)]
+    assert decontaminate.find_places(["nothing of it in here"], index) == [[]]
+
+
 # 2 -----------------------------------------------------------------------------
 
 

@@ -8,7 +8,9 @@ at least ``n - q + 1 - q * e`` q-grams with it, and all of them lie on diagonals
 (position in the text minus position in the item) that differ by at most e on
 either side. So shared q-grams are counted in overlapping diagonal bands that
 are wide enough to hold such a place wholly in one band; in a band, each passage
-that holds as many as the bound is verified by banded alignment. Nothing within the edit budget can be missed.
+that holds as many as the bound is verified by banded alignment. Where q-grams
+of ``Q`` characters leave a bound below 1 (short items), shorter ones are
+counted. Nothing within the edit budget can be missed.
 
 The distances of two passages that begin next to each other differ by at most
 1, so one alignment settles as many neighbours as its distance is away from the
@@ -31,6 +33,8 @@ from tidewire.llm.common import small_batches, text_of
 
 #: q, edits a character, and the length of an item's passages.
 Q, BUDGET, PASSAGE = 8, 0.1, 120
+#: q for items so short that ``Q`` leaves no shared q-gram for certain.
+SHORT_Q = 5
 #: Characters of an item that are compared at once; a longer item is cut into
 #: stretches that overlap, so that each passage lies wholly in one.
 STRETCH = 1024
@@ -137,10 +141,10 @@ class Index:
         self.length = np.minimum(whole, PASSAGE)  # of a passage
         self.last = whole - self.length  # where the last passage begins
         self.edits = np.floor(self.length * BUDGET).astype(np.int64)
-        self.q = np.full(len(whole), Q)
-        self.bound = np.maximum(1, self.length - self.q + 1 - self.q * self.edits)
+        self.q = np.where(self.length - Q + 1 - Q * self.edits >= 1, Q, SHORT_Q)
+        self.bound = self.length - self.q + 1 - self.q * self.edits
         self.width = 2 * self.edits + 1
-        by_q = [(q, [(i, self.passages[i]) for i in np.flatnonzero(self.q == q).tolist()]) for q in (Q,)]
+        by_q = [(q, [(i, self.passages[i]) for i in np.flatnonzero(self.q == q).tolist()]) for q in (Q, SHORT_Q)]
         self.tables = [Table(q, some) for q, some in by_q if some]
 
     def shared(self, codes: np.ndarray) -> tuple[np.ndarray, ...]:
