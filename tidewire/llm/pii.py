@@ -2,23 +2,30 @@
 
 The base finds e-mail and IP addresses, card and phone numbers by pattern, in
 time linear in the text. The field then reads every text that has a candidate
-(a token with ``@`` or a chunk of digits): candidates are its nodes, each with
-a label (none or a kind). Node potentials come from the candidate's shape and
-the word before it; neighbouring candidates share a transition potential; and
-distant candidates that repeat or resemble each other (the same address in
-other letters, the same digits in other punctuation, one number with and
-without its country code) share a skip potential. Loopy belief propagation,
-with base spans held fixed, gives each node a marginal; a free node that is
-surely personal data adds a span. Text without candidates has only nodes of
-the label none, so nothing is inferred there.
-
-The potentials are learned by pseudo-likelihood from base labels of a bounded
-sample of texts (``SAMPLE``).
+(a token with ``@``, a chunk of digits, four numbers in a row): candidates are
+its nodes, each with a label (none or a kind). Node potentials come from the
+candidate's shape and the word before it; each candidate shares a transition
+potential with the next; and distant candidates that repeat or resemble each
+other (an address in other letters or with other marks, the same digits in
+other punctuation, one number with and without its country code) share a skip
+potential. Loopy belief propagation, with base spans held fixed, gives each
+node a marginal; a free node that is surely personal data adds a span.
+
+All potentials are learned together by pseudo-likelihood. As patterns know
+nothing of what they miss, learning hides labels from them: on a bounded sample
+of texts (``SAMPLE``) each base entity is mentioned once more in a form that no
+pattern matches, with its label kept; every other candidate is repeated as none;
+and entities of another text are mentioned in such a form as none, because a
+look-alike alone is no evidence. So what the field learns is how far to trust
+shape, context, sequence and repetition, and with the base held fixed it labels
+the mentions that the patterns miss.
 """
 
 from __future__ import annotations
 
 import re
+import zlib
+from bisect import bisect_left
 from collections.abc import Iterator
 from itertools import pairwise
 
@@ -36,6 +43,10 @@ SAMPLE = 4000
 #: A free node adds a span if its marginal for one kind reaches this.
 SURE = 0.9
 ROUNDS, DAMPING = 12, 0.3
+#: Candidates of one sampled text that are learned from at most (those whose
+#: places have the least hashes), and characters before one that are kept.
+PER_TEXT, AROUND = 200, 40
+STEPS, RATE, PENALTY = 250, 0.15, 0.01
 
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -46,8 +57,10 @@ _CARD = re.compile(r"(?<![0-9])[0-9](?:[\x20-]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _EVIDENCE = re.compile(r"[@0-9]")
 _NUMBER = re.compile(r"\+?[0-9(](?:[\x20().-]?[0-9()])*+")
+_QUAD = re.compile(r"[0-9]{1,3}(?:[.\x20-][0-9]{1,3}){3}")
 _TOKEN = re.compile(r"\S+")
 _DIGITS = re.compile(r"[^0-9]+")
+_MARKS = re.compile(r"[\W_]+")
 
 
 def luhn(digits: str) -> bool:
@@ -56,6 +69,12 @@ def luhn(digits: str) -> bool:
     return (odd + even) % 10 == 0
 
 
+def _octet(digits: str) -> bool:
+    """At most 255, with any number of leading zeros."""
+    rest = digits.lstrip("0")
+    return len(rest) <= 3 and int(rest or "0") <= 255
+
+
 def base_spans(text: str) -> list[tuple[str, int, int]]:
     """Pattern spans by kind as listed, then start."""
     found = []
@@ -71,7 +90,7 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     if not _EVIDENCE.search(text):
         return found
     for m in _IP.finditer(text):
-        if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m[0].split(".")):
+        if all(_octet(p) for p in m[0].split(".")):
             found.append(("ip", *m.span()))
     for m in _CARD.finditer(text):
         digits = m[0].replace(" ", "").replace("-", "")
@@ -87,74 +106,99 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 # Nodes -----------------------------------------------------------------------
 
 
-def candidates(text: str) -> list[tuple[int, int]]:
-    """Tokens with ``@`` and chunks of digits, in order, without overlap."""
-    found = []
+def candidates(text: str, base: list[tuple[str, int, int]] = ()) -> list[tuple[int, int]]:
+    """The base spans, and beside them tokens with ``@``, chunks of seven digits
+    or more and four short numbers in a row; in order, without overlap."""
+    found: list[tuple[int, int]] = []
+    for start, end in sorted(((s, e) for _, s, e in base), key=lambda x: (x[0], -x[1])):
+        if not found or start >= found[-1][1]:
+            found.append((start, end))
+    chunks = []
     if "@" in text:
         for m in _TOKEN.finditer(text):
             if "@" in m[0]:
                 token = m[0].strip("()[]{}<>.,;:!?\"'*&$#%")
                 if len(token) > 2:
                     start = m.start() + m[0].index(token)
-                    found.append((start, start + len(token)))
-    taken, at = list(found), 0
+                    chunks.append((start, start + len(token)))
+    found = _beside(found, chunks)
+    chunks = []
     for m in _NUMBER.finditer(text):
         start, end = m.start(), m.end()
         while end > start and text[end - 1] in " ().-":
             end -= 1
-        while start < end and text[start] in ")(":
+        closing = text.rfind(")", start, end)
+        while start < end and (text[start] == ")" or (text[start] == "(" and closing < start)):
             start += 1
-        if sum(c.isdigit() for c in text[start:end]) < 7:
-            continue
+        token = text[start:end]
+        if len(_DIGITS.sub("", token)) >= 7 or _QUAD.fullmatch(token):
+            chunks.append((start, end))
+    return _beside(found, chunks)
+
+
+def _beside(taken: list[tuple[int, int]], chunks: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """``taken`` and those chunks that overlap none of it, in order."""
+    found, at = list(taken), 0
+    for start, end in chunks:
         while at < len(taken) and taken[at][1] <= start:
             at += 1
-        if at < len(taken) and taken[at][0] < end:
-            continue
-        found.append((start, end))
+        if at == len(taken) or taken[at][0] >= end:
+            found.append((start, end))
     return sorted(found)
 
 
-def shape(text: str, start: int, end: int) -> list[str]:
-    """Names of the features of a candidate."""
-    token = text[start:end]
-    digits = sum(c.isdigit() for c in token)
-    before = text[max(0, start - 24) : start].split()
-    word = before[-1].lower().strip(":;,.()") if before else "^"
-    names = ["bias", f"digits{min(digits, 20)}", f"at{min(token.count('@'), 2)}", f"dots{min(token.count('.'), 4)}", f"before={word}"]
+def words_before(text: str, nodes: list[tuple[int, int]]) -> list[str]:
+    """For each node the token before the one it stands in; ``^`` if none."""
+    tokens = [m.span() for m in _TOKEN.finditer(text)] if nodes else []
+    out, at = [], 0
+    for start, _ in nodes:
+        while at + 1 < len(tokens) and tokens[at + 1][0] <= start:
+            at += 1
+        word = text[slice(*tokens[at - 1])].lower().strip(":;,.()") if at else "^"
+        out.append(word)
+    return out
+
+
+def shape(token: str, word: str) -> list[str]:
+    """Names of the features of a candidate that follows a word."""
+    digits = _DIGITS.sub("", token)
+    parts = token.split(".")
+    names = ["bias", f"digits{min(len(digits), 20)}", f"at{min(token.count('@'), 2)}", f"dots{min(len(parts) - 1, 4)}", f"before={word}"]
     if token[0] == "+":
         names.append("plus")
     if "@" in token:
         names.append(f"domain{'.' in token.rpartition('@')[2]}")
-    if any(c in token for c in " -"):
+    if " " in token or "-" in token:
         names.append("parted")
-    if 13 <= digits <= 19:
-        names.append(f"luhn{luhn(_DIGITS.sub('', token))}")
-    if token.count(".") == 3:
-        names.append(f"octets{all(p.isdigit() and len(p) < 4 and int(p) < 256 for p in token.split('.'))}")
+    if 13 <= len(digits) <= 19:
+        names.append(f"luhn{luhn(digits)}")
+    if len(parts) == 4:
+        names.append(f"octets{all(p.isascii() and p.isdigit() and _octet(p) for p in parts)}")
     return names
 
 
-def same_as(text: str, start: int, end: int) -> list[str]:
+def same_as(token: str) -> list[str]:
     """Keys under which a candidate counts as a repetition of another."""
-    token = text[start:end]
     if "@" in token:
-        return ["@" + token.casefold()]
+        local, _, domain = token.casefold().partition("@")
+        return ["@" + _MARKS.sub("", token.casefold()), f"{local}@{_MARKS.split(domain)[0]}"]
+    if _QUAD.fullmatch(token):
+        return ["." + ".".join(p.lstrip("0") or "0" for p in re.split(r"[.\x20-]", token))]
     digits = _DIGITS.sub("", token)
     return ["#" + digits] + ([f"~{digits[-9:]}"] if 9 <= len(digits) <= 15 else [])
 
 
-def edges_of(text: str, nodes: list[tuple[int, int]]) -> tuple[list, list]:
+def edges_of(tokens: list[str]) -> tuple[list, list]:
     """Neighbour edges and skip edges; each repetition is tied to the one before
     it, so there are no more edges than keys."""
-    near = [(i, i + 1) for i, (a, b) in enumerate(pairwise(nodes)) if b[0] - a[1] <= 80]
     last: dict[str, int] = {}
     skip = set()
-    for i, (s, e) in enumerate(nodes):
-        for key in same_as(text, s, e):
+    for i, token in enumerate(tokens):
+        for key in same_as(token):
             if key in last:
                 skip.add((last[key], i))
             last[key] = i
-    return near, sorted(skip)
+    return list(pairwise(range(len(tokens)))), sorted(skip)
 
 
 def base_labels(nodes: list[tuple[int, int]], spans: list[tuple[str, int, int]]) -> list[int]:
@@ -171,53 +215,102 @@ def base_labels(nodes: list[tuple[int, int]], spans: list[tuple[str, int, int]])
 # Learning --------------------------------------------------------------------
 
 
+def disguised(kind: str, token: str, turn: int) -> str:
+    """A mention of an entity that no pattern matches."""
+    digits = _DIGITS.sub("", token)
+    if kind == "email":
+        local, _, domain = token.partition("@")
+        return (f"{local}@{domain.replace('.', '_')}", f"{local}@{domain.partition('.')[0]}", token.upper().replace(".", "_"))[turn % 3]
+    if kind == "ip":
+        return token.replace(".", "- "[turn % 2])
+    if kind == "card":
+        return ".".join(digits[i : i + 4] for i in range(0, len(digits), 4))
+    last = digits[-10:]
+    return (f"({last[:3]}) {last[3:6]}-{last[6:]}", f"{last[:3]}-{last[3:6]}-{last[6:]}", f"{last[:3]}.{last[3:6]}.{last[6:]}", digits)[turn % 4]
+
+
+def masked(text: str, others: list[tuple[str, str]], turn: int) -> tuple[list[str], list[str], list[int], list[tuple[str, str]]]:
+    """``(tokens, words before, labels, entities)``: the candidates of a text and
+    the further mentions that learning adds; the text's own entities."""
+    base = base_spans(text)
+    nodes = candidates(text, base)
+    labels = base_labels(nodes, base)
+    tokens, words = [text[s:e] for s, e in nodes], words_before(text, nodes)
+    own = [(KINDS[y - 1], t) for t, y in zip(tokens, labels, strict=True) if y]
+    more = [(disguised(k, t, turn + i), KINDS.index(k) + 1) for i, (k, t) in enumerate(own)]
+    more += [(t, 0) for t, y in zip(tokens, labels, strict=True) if not y]
+    known = {key for t in tokens for key in same_as(t)}
+    more += [(x, 0) for i, (k, t) in enumerate(others) if not known & set(same_as(x := disguised(k, t, turn + i)))]
+    # In no order, each after a word that some candidate of the text follows.
+    for i, (token, label) in enumerate(sorted(more, key=lambda x: zlib.crc32(x[0].encode()))):
+        if not any(base_labels([(0, len(token))], base_spans(token))):
+            tokens.append(token)
+            words.append(words[(turn + i) % len(nodes)] if nodes else "^")
+            labels.append(label)
+    return tokens, words, labels, own
+
+
 def learn(texts: list[str]) -> dict:
-    """Potentials from the base labels of some texts."""
+    """Potentials of the masked candidates of some texts, by gradient ascent on
+    the penalised pseudo-likelihood: of each node's label, given its neighbours'."""
     names: dict[str, int] = {}
-    rows, labels = [], []
+    rows, labels, near, skip, others = [], [], [], [], []
     size = len(KINDS) + 1
-    near_counts, skip_counts = np.ones((size, size)), np.ones((size, size))
-    for text in texts:
-        nodes = candidates(text)
-        own = base_labels(nodes, base_spans(text))
-        near, skip = edges_of(text, nodes)
-        for i, (s, e) in enumerate(nodes):
-            rows.append([names.setdefault(n, len(names)) for n in shape(text, s, e)])
-            labels.append(own[i])
-        for pairs, counts in ((near, near_counts), (skip, skip_counts)):
-            for i, j in pairs:
-                counts[own[i], own[j]] += 1
-    weights = np.zeros((len(names), size))
-    if rows:
-        y = np.asarray(labels)
-        owner = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
-        flat = np.concatenate([np.asarray(r) for r in rows])
-        scale = 1 / np.sqrt(np.bincount(flat, minlength=len(names)) + 5.0)
-        for _ in range(150):
-            z = np.zeros((len(rows), size))
-            np.add.at(z, owner, weights[flat])
-            p = np.exp(z - z.max(axis=1, keepdims=True))
-            p /= p.sum(axis=1, keepdims=True)
-            p[np.arange(len(y)), y] -= 1
-            step = np.zeros_like(weights)
-            np.add.at(step, flat, p[owner])
-            weights -= 0.5 * scale[:, None] * (step * scale[:, None] + 0.002 * weights)
-
-    def potential(counts: np.ndarray, both_ways: bool) -> np.ndarray:
-        p = counts + counts.T if both_ways else counts
-        p = p / p.sum()
-        return np.clip(np.log(p / (p.sum(1, keepdims=True) * p.sum(0, keepdims=True))), -3, 3)
-
-    # A skip edge speaks for one entity: it may only draw labels together.
-    skip = potential(skip_counts, True)
-    skip = np.where(np.eye(size, dtype=bool), np.maximum(skip, 3.0), np.minimum(skip, 0.0))
-    skip[0, 0] = 0.0
-    return {"names": names, "weights": weights, "near": np.clip(potential(near_counts, False), -0.5, 0.5), "skip": skip}
+    for turn, text in enumerate(texts):
+        tokens, words, own, entities = masked(text, others, turn)
+        first = len(rows)
+        rows += [[names.setdefault(n, len(names)) for n in shape(t, w)] for t, w in zip(tokens, words, strict=True)]
+        labels += own
+        for found, edges in zip(edges_of(tokens), (near, skip), strict=True):
+            edges += [(first + i, first + j) for i, j in found]
+        others = entities
+    model = {"names": names, "weights": np.zeros((len(names), size)), "near": np.zeros((size, size)), "skip": np.zeros((size, size))}
+    if not rows:
+        return model
+    graph = (rows, np.asarray(labels), np.asarray(near, dtype=int).reshape(-1, 2), np.asarray(skip, dtype=int).reshape(-1, 2))
+    at = [model[k] for k in ("weights", "near", "skip")]
+    speed, spread = [np.zeros_like(x) for x in at], [np.zeros_like(x) for x in at]
+    for step in range(1, STEPS + 1):
+        for x, g, v, r in zip(at, pseudo_gradient(model, *graph)[1], speed, spread, strict=True):
+            v += 0.1 * (g - v)
+            r += 0.01 * (g * g - r)
+            x += RATE * (v / (1 - 0.9**step)) / (np.sqrt(r / (1 - 0.99**step)) + 1e-8)
+    return model
+
+
+def pseudo_gradient(model: dict, rows: list[list[int]], y: np.ndarray, near: np.ndarray, skip: np.ndarray) -> tuple[float, list[np.ndarray]]:
+    """The penalised mean log pseudo-likelihood and its gradient by weights,
+    neighbour and skip potentials (the last symmetric)."""
+    w, a, b = model["weights"], model["near"], model["skip"]
+    owner = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
+    flat = np.concatenate([np.asarray(r, dtype=int) for r in rows])
+    z = np.zeros((len(y), w.shape[1]))
+    np.add.at(z, owner, w[flat])
+    for edges, left, right in ((near, a, a), (skip, b, b)):
+        if len(edges):
+            i, j = edges.T
+            np.add.at(z, i, left[:, y[j]].T)
+            np.add.at(z, j, right[y[i]])
+    z -= z.max(axis=1, keepdims=True)
+    log = z - np.log(np.exp(z).sum(axis=1, keepdims=True))
+    gap = -np.exp(log)
+    gap[np.arange(len(y)), y] += 1
+    by = [np.zeros_like(w), np.zeros_like(a), np.zeros_like(b)]
+    np.add.at(by[0], flat, gap[owner])
+    for edges, g in ((near, by[1]), (skip, by[2])):
+        if len(edges):
+            i, j = edges.T
+            np.add.at(g.T, y[j], gap[i])
+            np.add.at(g, y[i], gap[j])
+    by[2] = (by[2] + by[2].T) / 2
+    n = len(y)
+    value = log[np.arange(n), y].sum() / n - PENALTY / n * sum((x * x).sum() for x in (w, a, b)) / 2
+    return float(value), [(g - PENALTY * x) / n for g, x in zip(by, (w, a, b), strict=True)]
 
 
 def marginals(unary: np.ndarray, fixed: list[int], near: list, skip: list, model: dict) -> np.ndarray:
-    """Node marginals by damped loopy belief propagation; ``fixed`` nodes with a
-    label above 0 are held."""
+    """Node marginals by damped loopy belief propagation (exact where edges form
+    no loop); ``fixed`` nodes with a label above 0 are held."""
     theta = unary.copy()
     for i, label in enumerate(fixed):
         if label:
@@ -245,21 +338,20 @@ def marginals(unary: np.ndarray, fixed: list[int], near: list, skip: list, model
 
 def added_spans(text: str, base: list[tuple[str, int, int]], model: dict) -> list[tuple[str, int, int]]:
     """Spans that the field adds to the base."""
-    nodes = candidates(text)
+    nodes = candidates(text, base)
     fixed = base_labels(nodes, base)
     if all(fixed):
         return []
     names, weights = model["names"], model["weights"]
+    tokens, words = [text[s:e] for s, e in nodes], words_before(text, nodes)
     unary = np.zeros((len(nodes), len(KINDS) + 1))
-    for i, (s, e) in enumerate(nodes):
-        known = [names[n] for n in shape(text, s, e) if n in names]
+    for i, (token, word) in enumerate(zip(tokens, words, strict=True)):
+        known = [names[n] for n in shape(token, word) if n in names]
         unary[i] = weights[known].sum(axis=0) if known else 0.0
-    near, skip = edges_of(text, nodes)
+    near, skip = edges_of(tokens)
     p = marginals(unary, fixed, near, skip, model)
     taken = sorted((s, e) for _, s, e in base)
     starts = [s for s, _ in taken]
-    from bisect import bisect_left
-
     found = []
     for i, (s, e) in enumerate(nodes):
         label = int(p[i].argmax())
@@ -290,16 +382,18 @@ def train(documents: DataFrame, key: str = "doc_id", text: str = "text", sample:
     parts = max(1, chosen.count() // sample)
     few = chosen.where(F.pmod("h", F.lit(parts)) == 0).limit(2 * sample)
 
-    # What stands around the candidates is all that learning looks at.
+    # The candidates with the word before each are all that learning looks at.
     def around(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
             texts = []
             for t in batch.column(0).to_pylist():
-                nodes = candidates(t)[:200]
-                texts.append(" \n".join(t[max(0, s - 30) : e + 30] for s, e in nodes))
+                nodes = candidates(t, base_spans(t))
+                if len(nodes) > PER_TEXT:
+                    nodes = sorted(sorted(nodes, key=lambda n: zlib.crc32(b"%d" % n[0]))[:PER_TEXT])
+                texts.append(" \n".join(f"{w[-AROUND:]} {t[s:e]}" for w, (s, e) in zip(words_before(t, nodes), nodes, strict=True)))
             yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], ["t"])
 
-    return learn([r.t for r in few.select("t").mapInArrow(around, "t string").collect() if r.t])
+    return learn(sorted(r.t for r in few.select("t").mapInArrow(around, "t string").collect() if r.t))
 
 
 SPAN = "array<struct<kind: string, start: long, end: long>>"
