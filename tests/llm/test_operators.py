@@ -66,9 +66,12 @@ def test_leaks_equal_brute_force(spark, prose):
 
 def test_leaks_of_odd_tables(spark, prose):
     docs, _ = odd_documents(spark, prose)
-    item = spark.createDataFrame([(1, prose(1, 30)), (2, None), (3, "tiny"), (None, "x" * 50)], "item_id long, text string")
+    item = spark.createDataFrame([(1, prose(1, 30)), (2, None), (3, "tiny"), (4, " ."), (None, "x" * 50)], "item_id long, text string")
     found = decontaminate.leaks(docs, item).collect()
     assert sorted((r.doc_id, r.item_id) for r in found) == [(4, 1), (5, 1)]
+    # Repeated documents give repeated rows, equal items are each reported.
+    twice = decontaminate.leaks(docs.unionByName(docs), item.unionByName(spark.createDataFrame([(9, prose(1, 30))], item.schema))).collect()
+    assert sorted((r.doc_id, r.item_id) for r in twice) == [(4, 1)] * 2 + [(4, 9)] * 2 + [(5, 1)] * 2 + [(5, 9)] * 2
     assert decontaminate.leaks(docs.limit(0), item).count() == 0
     assert decontaminate.leaks(docs, item.limit(0)).count() == 0
     assert decontaminate.without_leaks(docs, item).columns == docs.columns
@@ -123,6 +126,31 @@ def test_short_items_are_found_with_all_their_edits(n):
     assert decontaminate.find_places(["nothing of it in here"], index) == [[]]
 
 
+def test_items_of_every_length_equal_brute_force():
+    rng = random.Random(21)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    items = [(n, "".join(rng.choice(letters) for _ in range(n))) for n in range(1, 131)]
+    index = decontaminate.Index(items)
+    texts, want = [], []
+    for n, item in items:
+        e = int(min(n, 120) * decontaminate.BUDGET)
+        for edits in {0, 1, e // 2, e, e + 1, e + 2}:
+            for _ in range(3):
+                quote = list(item)
+                for at in rng.sample(range(n), min(n, edits)):
+                    quote[at] = rng.choice(["", "9", quote[at] + "8"])
+                text = "7777 " + "".join(quote) + " 6666"
+                if n < decontaminate.Q:
+                    near = item in text.split()
+                else:
+                    near = any(edit_distance_inside(item[s : s + 120], text) <= e for s in range(max(1, n - 119)))
+                texts.append(text)
+                want.append((n, near))
+    found = decontaminate.find_places(texts, index)
+    for text, (n, near), places in zip(texts, want, found, strict=True):
+        assert any(p[0] == n for p in places) == near, (n, text)
+
+
 # 2 -----------------------------------------------------------------------------
 
 

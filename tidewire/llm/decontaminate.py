@@ -10,7 +10,9 @@ either side. So shared q-grams are counted in overlapping diagonal bands that
 are wide enough to hold such a place wholly in one band; in a band, each passage
 that holds as many as the bound is verified by banded alignment. Where q-grams
 of ``Q`` characters leave a bound below 1 (short items), shorter ones are
-counted. Nothing within the edit budget can be missed.
+counted; an item of fewer than ``Q`` characters, which has no edits, is one
+q-gram of its own length and must stand as whole words. Nothing within the edit
+budget can be missed.
 
 The distances of two passages that begin next to each other differ by at most
 1, so one alignment settles as many neighbours as its distance is away from the
@@ -131,7 +133,7 @@ class Index:
             if len(codes) and codes[-1] == 32:
                 codes = codes[:-1]
             n = len(codes)
-            if n < Q:
+            if not n:
                 continue
             for start in range(0, max(0, n - PASSAGE) + 1, STRETCH - PASSAGE + 1):
                 self.items.append(item)
@@ -141,11 +143,10 @@ class Index:
         self.length = np.minimum(whole, PASSAGE)  # of a passage
         self.last = whole - self.length  # where the last passage begins
         self.edits = np.floor(self.length * BUDGET).astype(np.int64)
-        self.q = np.where(self.length - Q + 1 - Q * self.edits >= 1, Q, SHORT_Q)
+        self.q = np.where(self.length - Q + 1 - Q * self.edits >= 1, Q, np.minimum(self.length, np.where(self.length < Q, Q, SHORT_Q)))
         self.bound = self.length - self.q + 1 - self.q * self.edits
         self.width = 2 * self.edits + 1
-        by_q = [(q, [(i, self.passages[i]) for i in np.flatnonzero(self.q == q).tolist()]) for q in (Q, SHORT_Q)]
-        self.tables = [Table(q, some) for q, some in by_q if some]
+        self.tables = [Table(q, [(i, self.passages[i]) for i in np.flatnonzero(self.q == q).tolist()]) for q in np.unique(self.q).tolist()]
 
     def shared(self, codes: np.ndarray) -> tuple[np.ndarray, ...]:
         """(place, stretch, place in the stretch) of every shared q-gram."""
@@ -231,6 +232,11 @@ def candidates(index: Index, key: np.ndarray, offset: np.ndarray, span: int) ->
     return key[begins], first[begins], last[ends]
 
 
+def _inside_word(codes: np.ndarray, at: int) -> bool:
+    """Whether there is a letter or digit at this place of normalised texts."""
+    return at >= 0 and codes[at] not in (32, END)
+
+
 def find_places(texts: list[str], index: Index) -> list[list[tuple[int, int, int, int]]]:
     """For each text its ``(item, start, end, edits)``: places of passages, those
     of one item that touch joined, in code points of the text."""
@@ -281,7 +287,10 @@ def find_places(texts: list[str], index: Index) -> list[list[tuple[int, int, int
         for s in (a, z) if a < z else (a,):
             begin = max(low + s, int(text_begins[d]))
             own, region = index.passages[p][s : s + n], codes[begin : max(begin, min(low + s + 2 * w + n + e, int(text_ends[d])))]
-            if best := align(own, region, e):
+            best = align(own, region, e)
+            if best and n < Q and (_inside_word(codes, begin + best[0] - 1) or _inside_word(codes, begin + best[1])):
+                best = None
+            if best:
                 places.append((begin + best[0], begin + best[1], index.begins[p] + s, best[2]))
         if places:
             hits.setdefault((d, index.items[p]), []).append((min(x[0] for x in places), max(x[1] for x in places), places))
@@ -330,7 +339,7 @@ def leaks(documents: DataFrame, benchmark: DataFrame, key: str = "doc_id", text:
     Places are in code points of the whole text. Passages that touch there are
     one place; ``edits`` is what the item's first or its last passage found there
     needed, the more of the two. Null texts count as empty and have no place; null
-    items and items of fewer than q normalised characters are not sought;
+    items and items without a letter or digit are not sought;
     repeated documents give repeated rows; equal items are each reported; an
     empty table on either side gives an empty result. Other columns are not
     read.
