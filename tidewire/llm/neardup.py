@@ -3,25 +3,29 @@
 A document is the multiset of its five-word shingles (lower case, words parted
 by white space); the similarity of two is the weighted Jaccard index
 ``sum(min) / sum(max)`` of their shingle counts. A BagMinHash signature takes,
-for every component, the first point of Poisson processes that run over
-(shingle, weight): the weight axis is cut into dyadic intervals (0, 1], (1, 2],
-(2, 4], ... with a process each, whose points are drawn in order only while
-they can still lower a component; a point counts if its place on the weight
-axis is within the shingle's count. Two signatures agree in a component with
-exactly the probability of the similarity.
-
-Texts of equal words are first put together. Signatures are cut into bands;
-texts that agree in a band are in one bucket. In a bucket some members
-are centres in turn: each is compared with the bucket's later members of other
-classes, by the exact overlap of their multisets, and the links found are
-joined into classes. A bucket is done when its members are in one class or
-every possible pair across classes has been compared; the number of centres a
-round grows sixteenfold, so the rounds are few, what a round emits is linear in
-the bucket for each centre, and no bucket is cut off. Pairs that cannot be
-similar, by their sizes, by how many of their elements no other text has, and
-by their overlap with the bucket's first centre, are never formed: in a large
-group of copies that differ each in its own way this leaves the pairs with the
-original.
+for every component, the first point of hierarchical Poisson processes that run
+over (shingle, weight). The weight axis is cut into dyadic intervals (0, 1],
+(1, 2], (2, 4], ..., each the root of a tree. The process of an interval draws
+one point, which counts if it lies within the shingle's count, and is then split
+into its halves, whose processes go on from that time; intervals of one weight
+are not split further. Halves beyond the count, and whatever comes later than
+the worst component, are never visited, so large counts cost little. A process
+depends on its shingle and interval alone: two signatures agree in a component
+with exactly the probability of the similarity.
+
+Texts of equal words are one node, named by a 128-bit fingerprint. Signatures
+are cut into bands; nodes that agree in a band are in one bucket. In a bucket
+some members are centres in turn: each is compared with the bucket's later
+members of other classes, by the exact overlap of their multisets (of 64-bit
+shingle numbers), and the links found are joined into classes. A bucket is done
+when its members are in one class or every possible pair across classes has been
+compared; the number of centres a round grows sixteenfold, so the rounds are
+few, what a round emits is linear in the bucket for each centre, and no bucket
+is cut off. Large buckets are dealt out in parts, each of which meets the
+centres. Pairs that cannot be similar, by their sizes, by how many of their
+elements no other text has, and by their overlap with the bucket's first centre,
+are never formed: in a large group of copies that differ each in its own way
+this leaves the pairs with the original.
 """
 
 from __future__ import annotations
@@ -39,8 +43,12 @@ WORDS, SIMILARITY = 5, 0.8
 #: Bands times rows is the size of a signature; at similarity 0.8 a pair shares
 #: no band with a probability of 5e-5.
 BANDS, ROWS = 25, 5
-#: By how much the centres of a bucket grow from round to round.
-GROWTH = 16
+#: By how much the centres of a bucket grow from round to round, and rows of a
+#: bucket's part.
+GROWTH, PART = 16, 256
+#: Rows of a list of texts that is broadcast (about 60 bytes each); a longer one
+#: is joined by a shuffle.
+BROADCAST_ROWS = 500_000
 SEED = np.uint64(0x51ED2701A9C3)
 
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -83,39 +91,62 @@ def signature(keys: np.ndarray, counts: np.ndarray, size: int = BANDS * ROWS) ->
     least = np.full(size, np.inf)
     if not len(keys):
         return least.view(np.uint64)
-    # A process for each key and each dyadic interval that its count reaches.
+    # A root for each key and each dyadic interval that its count reaches.
     tops = np.frexp(counts - 1.0)[1] if counts.max() > 1 else np.zeros(len(keys), dtype=int)
-    if tops.max() > 0:
-        key = np.repeat(keys, tops + 1)
-        level = np.arange(len(key)) - np.repeat(np.cumsum(tops + 1) - tops - 1, tops + 1)
-        count = np.repeat(counts, tops + 1).astype(np.float64)
-        low = np.where(level > 0, np.exp2(np.maximum(level - 1, 0)), 0.0)
-        span = np.where(level > 0, low, 1.0)
-        reach = (count - low) / span  # share of the interval that counts
-        state = mix(key ^ mix(level.astype(np.uint64) + SEED))
-    else:
-        span = reach = np.ones(len(keys))
-        state = mix(keys ^ mix(np.zeros(1, np.uint64) + SEED))
-    at, drawn = np.zeros(len(state)), 0
+    key = np.repeat(keys, tops + 1)
+    level = np.arange(len(key)) - np.repeat(np.cumsum(tops + 1) - tops - 1, tops + 1)
+    count = np.repeat(counts, tops + 1)
+    low = np.where(level > 0, 1 << np.maximum(level - 1, 0), 0)
+    span = np.maximum(low, 1)
+    at, leaves = np.zeros(len(key)), []
+    while len(key):
+        single = span == 1
+        leaves.append((_seeds(key[single], low[single], span[single]), at[single]))
+        key, count, low, span, at = (x[~single] for x in (key, count, low, span, at))
+        if not len(key):
+            break
+        when, place, component = _points(_seeds(key, low, span), 0, 1, size)
+        when = at + when[:, 0] / span
+        fits = low + place[:, 0] * span < count
+        np.minimum.at(least, component[fits, 0], when[fits])
+        going = when < least.max()
+        key, count, low, half, at = key[going], count[going], low[going], span[going] // 2, when[going]
+        upper = low + half < count
+        key, count, at = (np.concatenate([x, x[upper]]) for x in (key, count, at))
+        low, span = np.concatenate([low, low[upper] + half[upper]]), np.concatenate([half, half[upper]])
+    state, at = (np.concatenate(x) for x in zip(*leaves, strict=True))
+    drawn = 0
     while len(state):
         # A few points of each process at once while there are few processes.
         n = max(1, 6 * size // len(state)) if drawn == 0 else max(1, min(64, 2 * size // len(state)))
-        with np.errstate(over="ignore"):
-            draw = mix(state[:, None] + np.arange(drawn + 1, drawn + n + 1, dtype=np.uint64) * _C)
-        other = mix(draw)
-        step = -np.log(((draw >> np.uint64(11)).astype(np.float64) + 0.5) * 2.0**-53) / span[:, None]
+        step, _, component = _points(state, drawn, n, size)
         step[:, 0] += at
         when = np.cumsum(step, axis=1)
-        place = (other >> np.uint64(32)).astype(np.float64) * 2.0**-32
-        component = ((other & np.uint64(0xFFFFFFFF)) * np.uint64(size) >> np.uint64(32)).astype(np.int64)
-        fits = place < reach[:, None]
-        np.minimum.at(least, component[fits], when[fits])
+        np.minimum.at(least, component.ravel(), when.ravel())
         at, drawn = when[:, -1], drawn + n
         going = at < least.max()
-        state, span, reach, at = state[going], span[going], reach[going], at[going]
+        state, at = state[going], at[going]
     return least.view(np.uint64)
 
 
+def _seeds(key: np.ndarray, low: np.ndarray, span: np.ndarray) -> np.ndarray:
+    """The state of the process of a key and an interval."""
+    with np.errstate(over="ignore"):
+        return mix(key ^ mix(low.astype(np.uint64) * _B + span.astype(np.uint64) + SEED))
+
+
+def _points(state: np.ndarray, drawn: int, n: int, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The next ``n`` points of processes of rate 1: pauses before them, places
+    in their interval (0 to 1) and components."""
+    with np.errstate(over="ignore"):
+        draw = mix(state[:, None] + np.arange(drawn + 1, drawn + n + 1, dtype=np.uint64) * _C)
+    other = mix(draw)
+    pause = -np.log(((draw >> np.uint64(11)).astype(np.float64) + 0.5) * 2.0**-53)
+    place = (other >> np.uint64(32)).astype(np.float64) * 2.0**-32
+    component = ((other & np.uint64(0xFFFFFFFF)) * np.uint64(size) >> np.uint64(32)).astype(np.int64)
+    return pause, place, component
+
+
 def bands_of(sig: np.ndarray) -> np.ndarray:
     """A number for each band, which holds the band's own number."""
     rows = sig.reshape(BANDS, ROWS)
@@ -127,12 +158,12 @@ def bands_of(sig: np.ndarray) -> np.ndarray:
 
 
 def members_of(numbers: np.ndarray) -> np.ndarray:
-    """The multiset as a set: a 32-bit number for each (shingle, occurrence)."""
+    """The multiset as a set: a 64-bit number for each (shingle, occurrence)."""
     keys, counts = counted(numbers)
     key = np.repeat(keys, counts)
     turn = np.arange(len(key)) - np.repeat(np.cumsum(counts) - counts, counts)
     with np.errstate(over="ignore"):
-        return np.unique((mix(key + turn.astype(np.uint64) * _A) >> np.uint64(32)).astype(np.uint32)).view(np.int32)
+        return np.unique(mix(key + turn.astype(np.uint64) * _A)).view(np.int64)
 
 
 def fingerprint(words: list[str]) -> bytes:
@@ -141,45 +172,52 @@ def fingerprint(words: list[str]) -> bytes:
     return xxhash.xxh3_128_digest(" ".join(words).encode("utf-8", "surrogatepass"))
 
 
-def _signed(documents: DataFrame, key: str, text: str) -> DataFrame:
-    """``id, fp, bands``: fingerprint of the words and band numbers (null: no words)."""
+def _keyed(documents: DataFrame, key: str, text: str) -> DataFrame:
+    """``id, digest, text``: the digest names the text of a row."""
+    body = text_of(text)
+    return documents.select(F.col(key).cast("long").alias("id"), F.unhex(F.md5(body)).alias("digest"), body.alias("text"))
+
+
+def _signed(rows: DataFrame) -> DataFrame:
+    """``id, digest, node, bands``: fingerprint of the words and band numbers
+    (null: no words)."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
             prints, bands, seen = [], [], {}
-            for t in batch.column(1).to_pylist():
+            for t in batch.column(2).to_pylist():
                 words = words_of(t)
                 fp = fingerprint(words)
                 if fp not in seen:
                     seen[fp] = bands_of(signature(*counted(shingles(words)))).tolist() if words else None
                 prints.append(fp)
                 bands.append(seen[fp])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], ["id", "fp", "bands"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(prints, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], ["id", "digest", "node", "bands"])
 
-    read = documents.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("id"), text_of(text).alias("text"))
-    return read.mapInArrow(run, "id long, fp binary, bands array<long>")
+    return rows.mapInArrow(run, "id long, digest binary, node binary, bands array<long>")
 
 
-def _sets(documents: DataFrame, key: str, text: str, wanted: DataFrame) -> DataFrame:
-    """``id, members`` of the wanted ids (column ``id``)."""
+def _sets(rows: DataFrame, wanted: DataFrame, repeated: bool) -> DataFrame:
+    """``node, members`` of the wanted rows (``id, digest, node``)."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
             sets = [members_of(shingles(words_of(t))) for t in batch.column(1).to_pylist()]
-            flat = pa.array(np.concatenate(sets) if sets else np.zeros(0, np.int32), pa.int32())
+            flat = pa.array(np.concatenate(sets) if sets else np.zeros(0, np.int64), pa.int64())
             ends = pa.array(np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32), pa.int32())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(ends, flat)], ["id", "members"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(ends, flat)], ["node", "members"])
 
-    read = documents.select(F.col(key).cast("long").alias("id"), text_of(text).alias("text"))
-    kept = read.join(wanted, "id", "left_semi").dropDuplicates(["id"])
-    return kept.mapInArrow(run, "id long, members array<int>")
+    few = F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted
+    kept = rows.join(few, rows.id.eqNullSafe(few.id) & (rows.digest == few.digest)).select("node", "text")
+    kept = kept.dropDuplicates(["node"]) if repeated else kept
+    return kept.mapInArrow(run, "node binary, members array<long>")
 
 
 def overlaps(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """``a, b, common, similar`` of pairs ``(a, b)``: the overlap of their
     multisets and whether their similarity reaches ``SIMILARITY``."""
-    left = sets.select(F.col("id").alias("b"), F.col("members").alias("mb"))
-    right = sets.select(F.col("id").alias("a"), F.col("members").alias("ma"))
+    left = sets.select(F.col("node").alias("b"), F.col("members").alias("mb"))
+    right = sets.select(F.col("node").alias("a"), F.col("members").alias("ma"))
     both = pairs.join(left, "b").join(right, "a").withColumn("common", F.size(F.array_intersect("ma", "mb")))
     union = F.size("ma") + F.size("mb") - F.col("common")
     return both.select("a", "b", "common", (F.col("common") >= union * SIMILARITY - 1e-9).alias("similar"))
@@ -213,19 +251,27 @@ SHARE = SIMILARITY / (1 + SIMILARITY)
 
 
 def unshared(sets: DataFrame) -> DataFrame:
-    """``id, n, u``: a multiset's size and how many of its elements no other has.
+    """``node, n, u``: a multiset's size and how many of its elements no other has.
 
     Those are in no overlap, so a multiset with more than ``(1 - s) * n`` of
     them is similar to nothing and is left out.
     """
-    elements = sets.select("id", F.explode("members").alias("e"))
-    alone = elements.groupBy("e").agg(F.count("*").alias("k"), F.min("id").alias("id")).where("k = 1").groupBy("id").agg(F.count("*").cast("int").alias("u"))
-    sized = sets.select("id", F.size("members").alias("n")).join(alone, "id", "left").select("id", "n", F.coalesce("u", F.lit(0)).alias("u"))
+    elements = sets.select("node", F.explode("members").alias("e"))
+    alone = elements.groupBy("e").agg(F.count("*").alias("k"), F.min("node").alias("node")).where("k = 1").groupBy("node").agg(F.count("*").cast("int").alias("u"))
+    sized = sets.select("node", F.size("members").alias("n")).join(alone, "node", "left").select("node", "n", F.coalesce("u", F.lit(0)).alias("u"))
     return sized.where(F.col("n") - F.col("u") >= F.col("n") * SIMILARITY - 1e-6)
 
 
-def links(documents: DataFrame, key: str, text: str, buckets: DataFrame) -> DataFrame:
-    """``id, root``: classes of the ids in ``buckets (bucket, id)``.
+def _in_parts(few: DataFrame) -> DataFrame:
+    """The few rows of a bucket for each of its parts, written."""
+    return materialize(few.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts"), "few")
+
+
+ROW = ["bucket", "part", "parts", "o", "node", "n", "u"]
+
+
+def links(sets: DataFrame, buckets: DataFrame) -> DataFrame:
+    """``node, root``: classes of the nodes in ``buckets (bucket, node)``.
 
     Centres are taken in the order of how much a member shares with others, so
     that of a text and its copies the text comes first. After the first round
@@ -233,39 +279,41 @@ def links(documents: DataFrame, key: str, text: str, buckets: DataFrame) -> Data
     the number of its other elements that are shared at all (``x``): two
     members overlap in at most the smaller ``c`` plus the smaller ``x``.
     """
-    sets = materialize(_sets(documents, key, text, buckets.select("id").distinct()), "sets")
-    live = materialize(buckets.join(materialize(unshared(sets), "unshared"), "id"), "live")
+    live = materialize(buckets.join(materialize(unshared(sets), "unshared"), "node"), "live")
     sizes = live.groupBy("bucket").agg(F.count("*").alias("k")).where("k > 1")
-    degrees = live.join(sizes, "bucket").groupBy("id").agg(F.sum("k").alias("degree"))
-    unknown = (F.col("n") - F.col("u")).alias("c"), (F.col("n") - F.col("u")).alias("x")
-    live = live.join(degrees, "id").select("bucket", F.struct((-F.col("degree")).alias("d"), "id").alias("o"), "id", "n", "u", *unknown, F.col("id").alias("root"))
-    active = materialize(live, "active")
+    sizes = materialize(sizes.select("bucket", "k", F.ceil(F.col("k") / PART).cast("int").alias("parts")), "sizes")
+    live = materialize(live.join(sizes, "bucket").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")), "sized")
+    degrees = materialize(live.groupBy("node").agg(F.sum("k").alias("degree")), "degrees")
+    shared = F.col("n") - F.col("u")
+    active = live.join(degrees, "node").withColumn("o", F.struct((-F.col("degree")).alias("d"), "node"))
+    active = materialize(active.select(*ROW, shared.alias("c"), shared.alias("x")), "active")
     near = f"n >= na * {SIMILARITY} - 1e-6 AND na >= n * {SIMILARITY} - 1e-6"
 
     # The first round: every member meets its bucket's first, found by a minimum.
-    first = active.groupBy("bucket").agg(F.min(F.struct("o", "id", "n")).alias("f")).select("bucket", F.col("f.id").alias("a"), F.col("f.n").alias("na"))
-    met = materialize(active.join(first, "bucket").where("id <> a"), "met")
-    compared = materialize(overlaps(met.where(near).select("a", F.col("id").alias("b")).distinct(), sets), "compared")
+    first = active.groupBy("bucket").agg(F.min(F.struct("o", "node", "n", "parts")).alias("f"))
+    first = _in_parts(first.select("bucket", F.col("f.parts").alias("parts"), F.col("f.node").alias("a"), F.col("f.n").alias("na")))
+    met = materialize(active.join(first, ["bucket", "part"]).where("node <> a"), "met")
+    compared = materialize(overlaps(met.where(near).select("a", F.col("node").alias("b")).distinct(), sets), "compared")
     edges = compared.where("similar").select("a", "b")
     classes = materialize(components(edges), "classes")
-    rest = met.join(compared.select("a", F.col("b").alias("id"), "common"), ["a", "id"], "left")
-    other = F.col("n") - F.col("u") - F.col("common")
-    rest = rest.select("bucket", "o", "id", "n", "u", F.coalesce("common", "c").alias("c"), F.coalesce(other, "x").alias("x"))
+    rest = met.join(compared.select("a", F.col("b").alias("node"), "common"), ["a", "node"], "left")
+    other = shared - F.col("common")
+    rest = rest.select(*ROW, F.coalesce("common", "c").alias("c"), F.coalesce(other, "x").alias("x"))
     active = _open_buckets(rest, classes)
 
     centres = GROWTH
     while not active.isEmpty():
         order = Window.partitionBy("bucket").orderBy("o")
         first = active.withColumn("k", F.row_number().over(order)).where(F.col("k") <= centres)
-        first = materialize(first.select("bucket", F.col("o").alias("oa"), F.col("id").alias("a"), F.col("n").alias("na"), F.col("c").alias("ca"), F.col("x").alias("xa"), F.col("root").alias("ra")), "first")
+        first = _in_parts(first.select("bucket", "parts", F.col("o").alias("oa"), F.col("node").alias("a"), F.col("n").alias("na"), F.col("c").alias("ca"), F.col("x").alias("xa"), F.col("root").alias("ra")))
         possible = f"o > oa AND root <> ra AND {near} AND least(c, ca) + least(x, xa) >= (n + na) * {SHARE} - 1e-6"
-        pairs = active.join(first, "bucket").where(possible).select("a", F.col("id").alias("b")).distinct()
+        pairs = active.join(first, ["bucket", "part"]).where(possible).select("a", F.col("node").alias("b")).distinct()
         new = materialize(overlaps(pairs, sets).where("similar").select("a", "b"), "links")
         if not new.isEmpty():
             edges = edges.unionByName(new)
             classes = materialize(components(edges), "classes")
-        last = first.groupBy("bucket").agg(F.max("oa").alias("last"))
-        rest = active.join(last, "bucket").where("o > last").select("bucket", "o", "id", "n", "u", "c", "x")
+        last = materialize(first.groupBy("bucket", "part").agg(F.max("oa").alias("last")), "last")
+        rest = active.join(last, ["bucket", "part"]).where("o > last").select(*ROW, "c", "x")
         active = _open_buckets(rest, classes)
         centres *= GROWTH
     return classes
@@ -274,50 +322,67 @@ def links(documents: DataFrame, key: str, text: str, buckets: DataFrame) -> Data
 def _open_buckets(rest: DataFrame, classes: DataFrame) -> DataFrame:
     """The members that go on: those of buckets that still hold several classes,
     while their bound allows the smallest multiset of their bucket."""
-    named = rest.join(classes, "id", "left")
-    named = materialize(named.select("bucket", "o", "id", "n", "u", "c", "x", F.coalesce("root", "id").alias("root")), "rest")
-    classes_of = F.min("root").alias("lo"), F.max("root").alias("hi")
-    several = named.groupBy("bucket").agg(*classes_of, F.min("n").alias("least"), F.max("x").alias("most")).where("lo <> hi").select("bucket", "least", "most")
-    able = named.join(several, "bucket").where(f"c + least(x, most) >= (n + least) * {SHARE} - 1e-6").drop("least", "most")
+    named = rest.join(classes.select(F.col("id").alias("node"), "root"), "node", "left")
+    named = materialize(named.select(*ROW, "c", "x", F.coalesce("root", "node").alias("root")), "rest")
+    classes_of = F.max("parts").alias("parts"), F.min("root").alias("lo"), F.max("root").alias("hi")
+    several = named.groupBy("bucket").agg(*classes_of, F.min("n").alias("least"), F.max("x").alias("most")).where("lo <> hi")
+    several = _in_parts(several.select("bucket", "parts", "least", "most"))
+    able = named.join(several, ["bucket", "part"]).where(f"c + least(x, most) >= (n + least) * {SHARE} - 1e-6").drop("least", "most")
     able = materialize(able, "able")
-    several = able.groupBy("bucket").agg(*classes_of).where("lo <> hi").select("bucket")
-    return materialize(able.join(several, "bucket", "left_semi"), "active")
+    several = _in_parts(able.groupBy("bucket").agg(*classes_of).where("lo <> hi").select("bucket", "parts"))
+    return materialize(able.join(several, ["bucket", "part"], "left_semi"), "active")
+
+
+def classes_of_rows(documents: DataFrame, key: str, text: str) -> tuple[DataFrame, bool]:
+    """``id, digest, node, root, class_id`` of every row, and whether any row is
+    repeated."""
+    small_batches(documents.sparkSession)
+    rows = _keyed(documents, key, text)
+    signed = materialize(_signed(rows), "signed")
+    repeated = not signed.groupBy("id", "digest").agg(F.count("*").alias("k")).where("k > 1").isEmpty()
+    # A node's row: the least key with one of its texts, null keys last.
+    firsts = signed.groupBy("node").agg(F.min(F.struct(F.col("id").isNull().alias("no"), "id", "digest", "bands")).alias("r"))
+    firsts = materialize(firsts.select("node", "r.id", "r.digest", "r.bands"), "firsts")
+    entries = firsts.where(F.col("bands").isNotNull()).select("node", F.explode("bands").alias("bucket"))
+    shared = materialize(entries.groupBy("bucket").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi").select("bucket"), "shared")
+    buckets = materialize(entries.join(shared, "bucket").select("bucket", "node").distinct(), "buckets")
+    wanted = materialize(firsts.join(buckets.select("node").distinct(), "node", "left_semi").select("id", "digest", "node"), "wanted")
+    classes = links(materialize(_sets(rows, wanted, repeated), "sets"), buckets).select(F.col("id").alias("node"), "root")
+    ids = materialize(firsts.select("node", "id").join(classes, "node").groupBy("root").agg(F.min("id").alias("class_id")), "ids")
+    named = classes.join(ids, "root")
+    nodes = firsts.select("node", "id").join(named, "node", "left").select("node", F.coalesce("root", "node").alias("root"), F.when(F.col("root").isNull(), F.col("id")).otherwise(F.col("class_id")).alias("class_id"))
+    return signed.select("id", "digest", "node").join(materialize(nodes, "nodes"), "node"), repeated
 
 
 def near_duplicates(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``key, class_id``: one row for each row with a key; the class is named by
-    its smallest key.
-
-    ``key`` holds integers; rows with a null key are left out. Null texts count
-    as empty; texts without words form one class. Rows that share a key are one
-    document and share its class. An empty table gives an empty result, and
-    other columns are not read.
+    """``key, class_id``: one row for each row; the class is named by its
+    smallest key.
+
+    ``key`` holds integers; a row with a null key has a class like any other,
+    named null if no row of it has a key. Null texts count as empty; texts
+    without words form one class. A row's class follows from its own text, also
+    where a key is repeated with other texts. An empty table gives an empty
+    result, and other columns are not read.
     """
-    spark = documents.sparkSession
-    small_batches(spark)
-    signed = materialize(_signed(documents, key, text), "signed")
-    firsts = materialize(signed.groupBy("fp").agg(F.min(F.struct("id", "bands")).alias("r")).select("fp", "r.id", "r.bands"), "firsts")
-    entries = firsts.where(F.col("bands").isNotNull()).select("id", F.explode("bands").alias("bucket"))
-    shared = entries.groupBy("bucket").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo <> hi").select("bucket")
-    buckets = materialize(entries.join(shared, "bucket").select("bucket", "id").distinct(), "buckets")
-    # One key with several texts links those texts.
-    named = firsts.select("fp", "id")
-    other = signed.select("fp", "id").distinct().join(named.select("fp", F.col("id").alias("first")), "fp").where("id <> first").select(F.col("id").alias("a"), F.col("first").alias("b"))
-    classes = links(documents, key, text, buckets)
-    other = materialize(other, "other")
-    whole = classes if other.isEmpty() else components(other.unionByName(classes.select(F.col("id").alias("a"), F.col("root").alias("b"))))
-    rows = signed.select("id").join(whole, "id", "left")
-    return rows.select(F.col("id").alias(key), F.coalesce("root", "id").alias("class_id"))
+    rows, _ = classes_of_rows(documents, key, text)
+    return rows.select(F.col("id").alias(key), "class_id")
 
 
 def one_of_each(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``documents`` whose key names its class, one for each class;
-    rows with a null key stay."""
-    classes = near_duplicates(documents, key, text)
-    copies = materialize(classes.where(F.col(key) != F.col("class_id")).select(F.col(key).alias("_copy")).distinct(), "copies")
-    kept = documents.join(copies, F.col(key) == F.col("_copy"), "left_anti")
-    nameless = kept.where(F.col(key).isNull())
-    return kept.where(F.col(key).isNotNull()).dropDuplicates([key]).unionByName(nameless)
+    """One row of ``documents`` for each class, that with the least key (null
+    keys last; of several with that key, that whose text has the least digest)."""
+    rows, repeated = classes_of_rows(documents, key, text)
+    rows = materialize(rows.select("id", "digest", "root"), "rows")
+    best = rows.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("no"), "id", "digest")).alias("r"))
+    best = materialize(best.select("root", F.col("r.id").alias("_id"), F.col("r.digest").alias("_digest")), "best")
+    other = (~F.col("id").eqNullSafe(F.col("_id"))) | (F.col("digest") != F.col("_digest"))
+    copies = materialize(rows.join(best, "root").where(other).select(F.col("id").alias("_copy"), F.col("digest").alias("_print")).distinct(), "copies")
+    copies = F.broadcast(copies) if copies.count() <= BROADCAST_ROWS else copies
+    body = F.unhex(F.md5(text_of(text)))
+    kept = documents.join(copies, F.col(key).cast("long").eqNullSafe(F.col("_copy")) & (body == F.col("_print")), "left_anti")
+    if not repeated:
+        return kept
+    return kept.withColumn("_print", body).dropDuplicates([key, "_print"]).drop("_print")
 
 
 def op7_near_duplicates(spark, root: str) -> DataFrame:
