@@ -208,11 +208,29 @@ def test_neighbours_recall_and_ties(spark):
     assert ann.nearest(df.limit(0), df.limit(0)).count() == 0
 
 
-def test_every_query_gets_all_its_rows(spark):
-    x = np.random.default_rng(8).standard_normal((12_000, 64))
+@pytest.mark.parametrize("clusters", [0, 60])
+def test_recall_over_many_lists(spark, clusters):
+    rng = np.random.default_rng(8)
+    x = rng.standard_normal((12_000, 64))
+    if clusters:
+        x = 0.4 * x + rng.standard_normal((clusters, 64))[rng.integers(0, clusters, len(x))]
+    model = ann.fit(x[::2], len(x), 5)
+    assert len(model["centroids"]) == ann.lists_for(len(x)) >= 20 and (not clusters or model["probes"] <= 12)
     df = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<double>")
-    got = collections.Counter(r.query_id for r in ann.nearest(df, df.where("vec_id % 50 = 0")).collect())
-    assert got == {i: 5 for i in range(0, 12_000, 50)}
+    got = collections.defaultdict(set)
+    for r in ann.nearest(df, df.where("vec_id % 50 = 0")).collect():
+        got[r.query_id].add(r.vec_id)
+    assert {q: len(v) for q, v in got.items()} == {i: 5 for i in range(0, 12_000, 50)}
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    sims = u[::50] @ u.T
+    sims[np.arange(240), np.arange(0, 12_000, 50)] = -9
+    best = np.argsort(-sims, axis=1)[:, :5]
+    recall = np.mean([len(got[50 * i] & set(b.tolist())) / 5 for i, b in enumerate(best)])
+    assert recall >= 0.9
+
+
+def test_lists_grow_with_the_square_root():
+    assert [ann.lists_for(n) for n in (1, 1000, 51_200, 10**8, 10**10)] == [1, 1, 100, 20_000, 200_000]
 
 
 def test_few_candidates(spark):
@@ -335,6 +353,26 @@ def test_urls_equal_brute_force(spark):
     assert {r.verdict for r in urlfilter.judge_urls(pages, "page_id", "url", listed.limit(0)).collect()} == {"allow"}
 
 
+def test_listed_urls(spark):
+    """A list of a hundred thousand urls: the filter passes all listed ones and
+    some others, which the exact join removes; rules go before the list."""
+    listed = spark.range(100_000).select(F.concat(F.lit("http://H"), F.col("id") % 977, F.lit(".Example.org:80/p/"), "id", F.lit("?q#f")).alias("url"))
+    listed = listed.unionByName(spark.createDataFrame([(None,), ("no url",), ("https://x.net",)], "url string"))
+    pages = spark.range(50_000, 150_000).select(F.col("id").alias("page_id"), F.concat(F.lit("https://h"), F.col("id") % 977, F.lit(".example.org/p/"), "id").alias("url"))
+    pages = pages.unionByName(spark.createDataFrame([(1, "http://x.net/?a"), (2, "http://x.net/b"), (3, None), (4, "http://h1.example.org/p/1x")], "page_id long, url string"))
+    rules = spark.createDataFrame([("net/b", "allow"), ("h1.example.org/", "allow")], "rule string, verdict string")
+    got = urlfilter.judge_urls(pages, "page_id", "url", rules, listed)
+    counts = got.where("page_id >= 50000 AND host <> 'h1.example.org'").groupBy((F.col("page_id") < 100_000).alias("listed"), "verdict").count().collect()
+    assert {(r.listed, r.verdict) for r in counts} == {(True, "block"), (False, "allow")}
+    assert {(r.page_id, r.rule, r.verdict) for r in got.where("page_id < 10").collect()} == {(1, None, "block"), (2, "net/b", "allow"), (3, None, "allow"), (4, "h1.example.org/", "allow")}
+    assert {r.verdict for r in got.where("host = 'h1.example.org'").collect()} == {"allow"}
+    entries = urlfilter.entries_of(rules, listed)
+    places = got.select("host", "path", F.concat("host", "path").alias("form")).where("host <> ''").distinct()
+    possible, small = urlfilter.possible_entries(places, entries, [2, 1])
+    passed, exact = possible.count(), possible.join(entries, ["kind", "entry"]).count()
+    assert small and exact >= 50_000 and 0 < passed - exact < 0.1 * places.count()
+
+
 def test_bloom_filter_misses_nothing(spark):
     keys = spark.range(5000).select(F.col("id").cast("string").alias("k"))
     bloom = urlfilter.blocked_bloom(keys, "k", 160)

@@ -1,8 +1,11 @@
 """Nearest neighbours by an adaptive dimension scan of an inverted file.
 
-Fit (on a sample of about ``SAMPLE`` vectors, on the driver): a random
-rotation, centroids by spherical k-means, and the number of lists to probe, the
-smallest that reaches ``TARGET`` recall on the sample. Index: every distinct
+Fit (on a sample, on the driver): a random rotation, centroids by spherical
+k-means, and the number of lists to probe, the smallest that reaches ``TARGET``
+recall on the sample. There are as many lists as keep both a list and their
+number near the square root of all vectors, and the sample has ``PER_LIST``
+vectors a list (``SAMPLE`` at least), so what the driver holds and what tasks get
+as a broadcast grow with that root. Index: every distinct
 vector is put into the list of its nearest centroid; a list is split into
 blocks of bounded size. Search: a query goes to every block of its nearest
 lists. In a block, rotated vectors are read in column blocks; after each one
@@ -29,9 +32,11 @@ from pyspark.sql import functions as F
 
 from tidewire.llm.common import materialize, small_batches
 
-#: About so many vectors the index is fitted on (by hash, at most twice as many),
-#: and the recall it is calibrated to.
-SAMPLE, TARGET = 8192, 0.97
+#: About so many vectors the index is fitted on at least, and for each list (by
+#: hash, at most twice as many); the recall it is calibrated to.
+SAMPLE, PER_LIST, TARGET = 8192, 16, 0.97
+#: Vectors a list has, up to where the square root takes over.
+IN_LIST = 512
 #: Vectors of one candidate block and queries of one query block at most.
 BLOCK, QUERIES = 4096, 4096
 #: Rotated dimensions of a column block and the significance of the test.
@@ -52,20 +57,24 @@ def _unit(rows: np.ndarray) -> np.ndarray:
     return rows / np.linalg.norm(rows, axis=1, keepdims=True)
 
 
+def lists_for(total: int) -> int:
+    """Lists of an index of so many vectors."""
+    return int(max(1, min(total // IN_LIST, 2 * total**0.5)))
+
+
 def fit(sample: np.ndarray, total: int, k: int) -> dict:
-    """Rotation, centroids, probes and the sample itself (all bounded)."""
+    """Rotation, centroids, probes and the sample itself."""
     rng = np.random.default_rng(SEED)
     dim = sample.shape[1]
     rotation = np.linalg.qr(rng.standard_normal((dim, dim)))[0]
     x = _unit(sample) @ rotation
-    lists = int(min(256, max(1, total // 1024), len(x)))
+    lists = min(lists_for(total), len(x))
     centroids = x[rng.choice(len(x), lists, replace=False)].copy()
     for _ in range(10):
-        near = (x @ centroids.T).argmax(axis=1)
-        for c in range(lists):
-            mean = x[near == c].sum(axis=0)
-            if (norm := np.linalg.norm(mean)) > 0:
-                centroids[c] = mean / norm
+        sums = np.zeros_like(centroids)
+        np.add.at(sums, (x @ centroids.T).argmax(axis=1), x)
+        norm = np.linalg.norm(sums, axis=1, keepdims=True)
+        centroids = np.where(norm > 0, sums / np.where(norm > 0, norm, 1), centroids)
     near = (x @ centroids.T).argmax(axis=1)
     tests = rng.choice(len(x), min(400, len(x)), replace=False)
     sims = x[tests] @ x.T
@@ -137,16 +146,19 @@ def nearest(vectors: DataFrame, queries: DataFrame, key: str = "vec_id", vector:
     total = reps.count()
     if not total:
         return spark.createDataFrame([], out)
-    sample = np.vstack([np.asarray(r.v) for r in reps.where(F.pmod(F.xxhash64("rep"), F.lit(max(1, total // SAMPLE))) == 0).limit(2 * SAMPLE).select("v").collect()])
+    size = max(SAMPLE, PER_LIST * lists_for(total))
+    sample = np.vstack([np.asarray(r.v) for r in reps.where(F.pmod(F.xxhash64("rep"), F.lit(max(1, total // size))) == 0).limit(2 * size).select("v").collect()])
     model = fit(sample, total, k)
-    rotation, centroids, probes, seen = model["rotation"], model["centroids"], model["probes"], model["sample"]
+    shared, lists = spark.sparkContext.broadcast(model), len(model["centroids"])
 
     def assign(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rotation, centroids = shared.value["rotation"], shared.value["centroids"]
         for pdf in it:
             x = _unit(np.vstack(pdf.v.to_numpy())) @ rotation
             yield pdf.assign(list=(x @ centroids.T).argmax(axis=1).astype("int32"))
 
     def route(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rotation, centroids, probes, seen = (shared.value[n] for n in ("rotation", "centroids", "probes", "sample"))
         for pdf in it:
             x = _unit(np.vstack(pdf.v.to_numpy())) @ rotation
             near = np.argsort(-(x @ centroids.T), axis=1, kind="stable")[:, :probes]
@@ -163,7 +175,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, key: str = "vec_id", vector:
         if not len(cands) or not len(asks):
             return empty
         raw = np.vstack(cands.v.to_numpy())
-        asked_raw = np.vstack(asks.v.to_numpy())
+        asked_raw, rotation = np.vstack(asks.v.to_numpy()), shared.value["rotation"]
         x, y = _unit(raw) @ rotation, _unit(asked_raw) @ rotation
         reps_, qids, found = cands.rep.to_numpy(), asks.qid.to_numpy(), []
         for at in range(0, len(y), 256):
@@ -171,9 +183,9 @@ def nearest(vectors: DataFrame, queries: DataFrame, key: str = "vec_id", vector:
             qi, ri = whole_scan(y[at : at + 256], x, keep) if np.isinf(radius).all() else adaptive_scan(y[at : at + 256], radius, x)
             a, b = asked_raw[at + qi], raw[ri]
             sa, sb = np.abs(a).max(axis=1), np.abs(b).max(axis=1)
-            plain = bool(len(qi)) and sa.max() < 1e100 and sb.max() < 1e100 and sa.min() > 1e-100 and sb.min() > 1e-100
-            if not plain:
-                a, b = a / sa[:, None], b / sb[:, None]
+            # Only where squares would overflow or vanish; each pair by itself.
+            far = (np.maximum(sa, sb) > 1e100) | (np.minimum(sa, sb) < 1e-100)
+            a, b = a / np.where(far, sa, 1)[:, None], b / np.where(far, sb, 1)[:, None]
             score = np.einsum("ij,ij->i", a, b) / (np.sqrt(np.einsum("ij,ij->i", a, a)) * np.sqrt(np.einsum("ij,ij->i", b, b)))
             part = pd.DataFrame({"q": at + qi, "score": score, "row": ri, "rep": reps_[ri]}).sort_values(["q", "score", "rep"], ascending=[True, False, True])
             found.append(part.groupby("q").head(keep))
@@ -196,7 +208,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, key: str = "vec_id", vector:
     enough = hits.groupBy("qid").agg(F.sum(F.size("ids")).alias("found")).where(F.col("found") >= keep).select("qid")
     short = materialize(distinct_queries.select(F.col("id").alias("qid"), "v").join(enough, "qid", "left_anti"), "short")
     if not short.isEmpty():
-        every = F.explode(F.sequence(F.lit(0), F.lit(len(centroids) - 1))).alias("list")
+        every = F.explode(F.sequence(F.lit(0), F.lit(lists - 1))).alias("list")
         again = scan(short.select("qid", "v", F.lit(float("inf")).alias("radius"), every))
         hits = hits.join(short.select("qid"), "qid", "left_anti").unionByName(again)
     # The few best vectors of each distinct query, as single ids again.

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
@@ -20,21 +22,39 @@ BATCH_ROWS = 200
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Only where that is unset (local mode, tests) a temporary folder is used.
+    Where that is unset a temporary folder is used in local mode, which is gone
+    when the process ends; on a cluster it is an error, as a local folder would
+    lose data.
     """
     set_dir = spark.conf.get("spark.checkpoint.dir", None)
     if set_dir:
         return set_dir.rstrip("/")
+    if not spark.sparkContext.master.split("[")[0] == "local":
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
     own = spark.conf.get("tidewire.local.dir", None)
     if not own:
         own = tempfile.mkdtemp(prefix="tidewire-")
+        atexit.register(shutil.rmtree, own, ignore_errors=True)
         spark.conf.set("tidewire.local.dir", own)
     return own
 
 
+def work_dir(spark: SparkSession) -> str:
+    """This application's part of the shared folder."""
+    return f"{shared_dir(spark)}/tidewire-{spark.sparkContext.applicationId}"
+
+
 def new_path(spark: SparkSession, name: str) -> str:
     """A path in the shared folder that nothing else uses."""
-    return f"{shared_dir(spark)}/tidewire-{uuid.uuid4().hex}/{name}"
+    return f"{work_dir(spark)}/{uuid.uuid4().hex}/{name}"
+
+
+def remove_intermediates(spark: SparkSession) -> None:
+    """Delete what this application has written between its steps. Results that
+    have not been written yet can no longer be read after it."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(work_dir(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
@@ -51,7 +71,8 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 
 def small_batches(spark: SparkSession) -> None:
     """Bound the rows of an Arrow batch (see ``BATCH_ROWS``), and let local
-    Python workers find this package wherever the driver was started."""
+    Python workers find this package wherever the driver was started. Both are
+    settings of the session and stay set."""
     root = str(Path(__file__).resolve().parents[2])
     paths = spark.sparkContext.environment.get("PYTHONPATH", "")
     if root not in paths.split(os.pathsep):
@@ -61,6 +82,14 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(key, str(BATCH_ROWS))
 
 
+def unused(name: str, columns: Iterable[str]) -> str:
+    """A column name that none of ``columns`` has."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def text_of(column: str | Column) -> Column:
     """The column as a string, null as the empty string."""
     column = F.col(column) if isinstance(column, str) else column

@@ -125,7 +125,14 @@ class WordEncoder:
             self.known.clear()
         if len(self.known.pieces) > CACHE_PIECES:
             self.known.pieces.clear()
-        return ids if sys.byteorder == "little" else array("I", ids).byteswap().tobytes()
+        return ids if sys.byteorder == "little" else swapped(ids)
+
+
+def swapped(ids: bytes) -> bytes:
+    """32-bit numbers in the other byte order."""
+    numbers = array("I", ids)
+    numbers.byteswap()
+    return numbers.tobytes()
 
 
 _ENCODERS: dict[str, WordEncoder] = {}

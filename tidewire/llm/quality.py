@@ -20,13 +20,13 @@ from itertools import pairwise
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewire.llm.common import fold, materialize, small_batches, text_of
 
 FEATURES, GAMMA, RIDGE, BINS, SEED = 384, 0.12, 1.0, 512, 11
-THRESHOLD = 0.3
+THRESHOLD, CLIP, FOLDS = 0.3, 6, 5
 #: Copies of the normal equations that are added up side by side.
 WAYS = 32
 
@@ -94,12 +94,12 @@ class Model:
         self.edges, self.values = np.asarray([0.0]), np.asarray([0.5])
 
     def map(self, stats: np.ndarray) -> np.ndarray:
-        z = np.clip((stats - self.mean) / self.scale, -6, 6)
+        z = np.clip((stats - self.mean) / self.scale, -CLIP, CLIP)
         out = np.sqrt(2 / FEATURES) * np.cos(z @ self.omega + self.phase)
         return np.hstack([out, np.ones((len(out), 1))])
 
-    def raw(self, stats: np.ndarray) -> np.ndarray:
-        return self.map(stats) @ self.weights
+    def raw(self, stats: np.ndarray, weights: np.ndarray | None = None) -> np.ndarray:
+        return self.map(stats) @ (self.weights if weights is None else weights)
 
     def score(self, stats: np.ndarray) -> np.ndarray:
         return np.interp(self.raw(stats), self.edges, self.values)
@@ -133,8 +133,14 @@ def features(documents: DataFrame, key: str, text: str) -> DataFrame:
     return out.withColumnRenamed("key", key)
 
 
+def solve(total: np.ndarray) -> np.ndarray:
+    """Ridge weights of normal equations (their last row: the right side); the
+    constant is not penalised."""
+    return np.linalg.lstsq(total[:-1] + RIDGE * np.diag([*np.ones(FEATURES), 0.0]), total[-1], rcond=None)[0]
+
+
 def fit(labelled: DataFrame) -> Model:
-    """A model of rows ``stats, label`` (label 0 or 1)."""
+    """A model of rows ``stats, label, fold`` (label 0 to 1)."""
     sums = labelled.select(F.posexplode("stats").alias("i", "x")).groupBy("i").agg(F.avg("x").alias("mean"), F.stddev_pop("x").alias("sd")).collect()
     mean, scale = np.zeros(_STATS), np.ones(_STATS)
     for r in sums:
@@ -142,35 +148,44 @@ def fit(labelled: DataFrame) -> Model:
     model = Model(mean, scale)
     if not sums:
         return model
+    height = FEATURES + 2
 
     def equations(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = np.zeros((FEATURES + 2, FEATURES + 1))
+        total = np.zeros((FOLDS, height, FEATURES + 1))
         for pdf in it:
-            x = model.map(np.vstack(pdf.stats.to_numpy()))
-            total[:-1] += x.T @ x
-            total[-1] += x.T @ pdf.label.to_numpy(dtype=float)
-        if total.any():
-            yield pd.DataFrame({"i": np.arange(len(total)), "row": list(total)})
+            x, y, fold_of = model.map(np.vstack(pdf.stats.to_numpy())), pdf.label.to_numpy(dtype=float), pdf.fold.to_numpy()
+            for f in np.unique(fold_of):
+                own = fold_of == f
+                total[f, :-1] += x[own].T @ x[own]
+                total[f, -1] += x[own].T @ y[own]
+        for f in range(FOLDS):
+            if total[f].any():
+                yield pd.DataFrame({"i": np.arange(height) + f * height, "row": list(total[f])})
 
     def add(pdf: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame({"i": [int(pdf.i.iloc[0])], "row": [np.sum(np.vstack(pdf.row.to_numpy()), axis=0)]})
 
     # A row of the equations for each partition, added up in two steps.
-    parts = labelled.select("stats", "label").mapInPandas(equations, "i int, row array<double>")
+    parts = labelled.select("stats", "label", "fold").mapInPandas(equations, "i int, row array<double>")
     parts = parts.groupBy("i", F.pmod(F.spark_partition_id(), F.lit(WAYS)).alias("way")).applyInPandas(add, "i int, row array<double>")
-    solved = parts.groupBy("i").applyInPandas(add, "i int, row array<double>").collect()
-    total = np.zeros((FEATURES + 2, FEATURES + 1))
-    for r in solved:
-        total[r.i] = r.row
-    gram = total[:-1] + RIDGE * np.diag([*np.ones(FEATURES), 0.0])
-    model.weights = np.linalg.lstsq(gram, total[-1], rcond=None)[0]
+    by_fold = np.zeros((FOLDS, height, FEATURES + 1))
+    for r in parts.groupBy("i").applyInPandas(add, "i int, row array<double>").collect():
+        by_fold[r.i // height, r.i % height] = r.row
+    total = by_fold.sum(axis=0)
+    model.weights = solve(total)
+    # A fold that holds all rows is scored with the weights of all.
+    others = [solve(total - own) if (total - own).any() else model.weights for own in by_fold]
 
     def count(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in it:
-            bins = np.clip(np.floor((model.raw(np.vstack(pdf.stats.to_numpy())) + 0.5) / 2 * BINS), 0, BINS - 1)
+            stats, fold_of = np.vstack(pdf.stats.to_numpy()), pdf.fold.to_numpy()
+            raw = np.zeros(len(pdf))
+            for f in np.unique(fold_of):
+                raw[fold_of == f] = model.raw(stats[fold_of == f], others[f])
+            bins = np.clip(np.floor((raw + 0.5) / 2 * BINS), 0, BINS - 1)
             yield pd.DataFrame({"bin": bins.astype("int32"), "label": pdf.label.to_numpy(dtype=float)})
 
-    binned = labelled.select("stats", "label").mapInPandas(count, "bin int, label double").groupBy("bin").agg(F.sum("label").alias("p"), F.count("*").alias("n")).collect()
+    binned = labelled.select("stats", "label", "fold").mapInPandas(count, "bin int, label double").groupBy("bin").agg(F.sum("label").alias("p"), F.count("*").alias("n")).collect()
     p, n = np.zeros(BINS), np.zeros(BINS)
     for r in binned:
         p[r.bin], n[r.bin] = r.p, r.n
@@ -184,18 +199,29 @@ def train(stats: DataFrame, labels: DataFrame, key: str, label: str, usable) ->
     A key that is labelled repeatedly counts once, with its mean label.
     """
     marks = labels.where(usable & F.col(label).isNotNull() & F.col(key).isNotNull()).groupBy(key).agg(F.avg(F.col(label)).alias("label"))
-    return fit(materialize(stats.join(marks, key).select("stats", "label"), "labelled"))
+    fold_of = F.pmod(F.xxhash64(key), F.lit(FOLDS)).cast("int").alias("fold")
+    return fit(materialize(stats.join(marks, key).select("stats", "label", fold_of), "labelled"))
 
 
-def score_column(documents: DataFrame, text: str, model: Model, name: str) -> DataFrame:
-    """``documents`` with the score of ``text`` (null: the empty text)."""
+def with_statistics(documents: DataFrame, text: str, name: str) -> DataFrame:
+    """``documents`` with the statistics of ``text`` (null: the empty text)."""
     small_batches(documents.sparkSession)
 
+    @F.pandas_udf("array<double>")
+    def stats(texts: pd.Series) -> pd.Series:
+        return texts.map(statistics)
+
+    return documents.withColumn(name, stats(text_of(text)))
+
+
+def score_of(stats: Column, model: Model) -> Column:
+    """The score of statistics."""
+
     @F.pandas_udf("double")
-    def score(texts: pd.Series) -> pd.Series:
-        return pd.Series(model.score(np.vstack([statistics(t or "") for t in texts]))) if len(texts) else pd.Series(dtype="float64")
+    def score(rows: pd.Series) -> pd.Series:
+        return pd.Series(model.score(np.vstack(rows.to_numpy()))) if len(rows) else pd.Series(dtype="float64")
 
-    return documents.withColumn(name, score(text_of(text)))
+    return score(stats)
 
 
 def classify(documents: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", modulus: int = 5, held: int = 0) -> DataFrame:

@@ -9,7 +9,11 @@ the offending sentences stand out although none was ever labelled.
 
 Words count with their beginnings (of 4, 5 and 6 letters), so that other
 endings of a word are known too. The model is fitted on a bounded sample of
-labelled documents (``SAMPLE`` of each label, weighted back to their share).
+labelled documents (``SAMPLE`` of each label, weighted back to their share), and
+its parameters are bounded too: the ``VOCABULARY`` words that tell the labels
+apart best among those in ``LEAST`` toxic sample documents or more. What reaches
+the driver is the numbers of known words of each sample sentence that has any;
+texts stay with the tasks. Scoring reads whole texts.
 """
 
 from __future__ import annotations
@@ -217,6 +221,6 @@ def located(model: Model, text: str) -> list[dict]:
 
 
 def op8_toxicity(spark, root: str) -> DataFrame:
-    """The toxicity score of every document and how many sentences offend."""
-    scored = classify(spark.read.parquet(f"{root}/documents.parquet"), spark.read.parquet(f"{root}/labels.parquet"))
-    return scored.select("doc_id", "held_out", "score", "predicted", F.size("sentences").alias("offending"))
+    """The toxicity score of every document and its offending sentences (start,
+    end, score), worst first."""
+    return classify(spark.read.parquet(f"{root}/documents.parquet"), spark.read.parquet(f"{root}/labels.parquet"))

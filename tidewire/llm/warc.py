@@ -30,8 +30,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewire.llm.common import new_path, small_batches, text_of
+from tidewire.llm.common import materialize, new_path, small_batches, text_of
 
+#: Repeated digests that are broadcast at most (about 120 bytes each).
+BROADCAST_ROWS = 500_000
 #: Compressed bytes after which a package is closed.
 PACKAGE_BYTES = 32 << 20
 DATE = "2020-01-01T00:00:00Z"
@@ -227,11 +229,13 @@ def write_packages(pages: DataFrame, path: str, key: str = "page_id", url: str =
     small_batches(pages.sparkSession)
     body = text_of(payload)
     read = pages.select(F.col(key).alias("key"), F.col(url).cast("string").alias("url"), body.alias("body"), F.sha1(body.cast("binary")).alias("sha"))
-    # Only digests are grouped (pre-aggregated before the shuffle); a digest
-    # that a third of all rows share is a skewed join, which is split.
-    kept = read.groupBy("sha").agg(F.max("key").alias("first"))
-    rows = read.join(kept, "sha")
-    revisits = (F.octet_length("body") >= least) & ~F.col("key").eqNullSafe(F.col("first"))
+    # Only digests are grouped (pre-aggregated before the shuffle), and only
+    # those of several rows are joined back: as a broadcast while they are few,
+    # so that no body is shuffled; else as a skewed join, which is split.
+    kept = materialize(read.groupBy("sha").agg(F.max("key").alias("first"), F.count("*").alias("n")).where("n > 1").select("sha", "first", F.lit(True).alias("several")), "repeated")
+    kept = F.broadcast(kept) if kept.count() <= BROADCAST_ROWS else kept
+    rows = read.join(kept, "sha", "left")
+    revisits = F.coalesce("several", F.lit(False)) & (F.octet_length("body") >= least) & ~F.col("key").eqNullSafe(F.col("first"))
     rows = rows.select(F.col("key").cast("string").alias("key"), "url", F.octet_length("body").cast("long").alias("n"), F.unhex("sha").alias("sha"), F.when(revisits, F.col("first").cast("string")).alias("first"), F.when(~revisits, F.col("body").cast("binary")).alias("body"))
 
     def write(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
