@@ -13,7 +13,8 @@ the worst component, are never visited, so large counts cost little. A process
 depends on its shingle and interval alone: two signatures agree in a component
 with exactly the probability of the similarity.
 
-Texts of equal words are one node, named by a 128-bit fingerprint. Signatures
+Texts of equal words, by a 128-bit fingerprint, are one node with a number of its
+own. Signatures
 are cut into bands; nodes that agree in a band are in one bucket. In a bucket
 some members are centres in turn: each is compared with the bucket's later
 members of other classes, by the exact overlap of their multisets (of 64-bit
@@ -179,7 +180,7 @@ def _keyed(documents: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def _signed(rows: DataFrame) -> DataFrame:
-    """``id, digest, node, bands``: fingerprint of the words and band numbers
+    """``id, digest, print, bands``: fingerprint of the words and band numbers
     (null: no words)."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -192,9 +193,9 @@ def _signed(rows: DataFrame) -> DataFrame:
                     seen[fp] = bands_of(signature(*counted(shingles(words)))).tolist() if words else None
                 prints.append(fp)
                 bands.append(seen[fp])
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(prints, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], ["id", "digest", "node", "bands"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(prints, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], ["id", "digest", "print", "bands"])
 
-    return rows.mapInArrow(run, "id long, digest binary, node binary, bands array<long>")
+    return rows.mapInArrow(run, "id long, digest binary, print binary, bands array<long>")
 
 
 def _sets(rows: DataFrame, wanted: DataFrame, repeated: bool) -> DataFrame:
@@ -210,7 +211,7 @@ def _sets(rows: DataFrame, wanted: DataFrame, repeated: bool) -> DataFrame:
     few = F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted
     kept = rows.join(few, rows.id.eqNullSafe(few.id) & (rows.digest == few.digest)).select("node", "text")
     kept = kept.dropDuplicates(["node"]) if repeated else kept
-    return kept.mapInArrow(run, "node binary, members array<long>")
+    return kept.mapInArrow(run, "node long, members array<long>")
 
 
 def overlaps(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -334,15 +335,16 @@ def _open_buckets(rest: DataFrame, classes: DataFrame) -> DataFrame:
 
 
 def classes_of_rows(documents: DataFrame, key: str, text: str) -> tuple[DataFrame, bool]:
-    """``id, digest, node, root, class_id`` of every row, and whether any row is
+    """``id, digest, root, class_id`` of every row, and whether any row is
     repeated."""
     small_batches(documents.sparkSession)
     rows = _keyed(documents, key, text)
     signed = materialize(_signed(rows), "signed")
     repeated = not signed.groupBy("id", "digest").agg(F.count("*").alias("k")).where("k > 1").isEmpty()
-    # A node's row: the least key with one of its texts, null keys last.
-    firsts = signed.groupBy("node").agg(F.min(F.struct(F.col("id").isNull().alias("no"), "id", "digest", "bands")).alias("r"))
-    firsts = materialize(firsts.select("node", "r.id", "r.digest", "r.bands"), "firsts")
+    # A node's row: the least key with one of its texts, null keys last. Nodes
+    # are numbered as they are written, once.
+    firsts = signed.groupBy("print").agg(F.min(F.struct(F.col("id").isNull().alias("no"), "id", "digest", "bands")).alias("r"))
+    firsts = materialize(firsts.select(F.monotonically_increasing_id().alias("node"), "print", "r.id", "r.digest", "r.bands"), "firsts")
     entries = firsts.where(F.col("bands").isNotNull()).select("node", F.explode("bands").alias("bucket"))
     shared = materialize(entries.groupBy("bucket").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi").select("bucket"), "shared")
     buckets = materialize(entries.join(shared, "bucket").select("bucket", "node").distinct(), "buckets")
@@ -350,8 +352,9 @@ def classes_of_rows(documents: DataFrame, key: str, text: str) -> tuple[DataFram
     classes = links(materialize(_sets(rows, wanted, repeated), "sets"), buckets).select(F.col("id").alias("node"), "root")
     ids = materialize(firsts.select("node", "id").join(classes, "node").groupBy("root").agg(F.min("id").alias("class_id")), "ids")
     named = classes.join(ids, "root")
-    nodes = firsts.select("node", "id").join(named, "node", "left").select("node", F.coalesce("root", "node").alias("root"), F.when(F.col("root").isNull(), F.col("id")).otherwise(F.col("class_id")).alias("class_id"))
-    return signed.select("id", "digest", "node").join(materialize(nodes, "nodes"), "node"), repeated
+    nodes = firsts.select("node", "print", "id").join(named, "node", "left")
+    nodes = nodes.select("print", F.coalesce("root", "node").alias("root"), F.when(F.col("root").isNull(), F.col("id")).otherwise(F.col("class_id")).alias("class_id"))
+    return signed.select("id", "digest", "print").join(materialize(nodes, "nodes"), "print").drop("print"), repeated
 
 
 def near_duplicates(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
