@@ -284,8 +284,8 @@ def pseudo_gradient(model: dict, rows: list[list[int]], y: np.ndarray, near: np.
     w, a, b = model["weights"], model["near"], model["skip"]
     owner = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
     flat = np.concatenate([np.asarray(r, dtype=int) for r in rows])
-    z = np.zeros((len(y), w.shape[1]))
-    np.add.at(z, owner, w[flat])
+    labels = range(w.shape[1])
+    z = np.stack([np.bincount(owner, w[flat, k], len(y)) for k in labels], axis=1)
     for edges, left, right in ((near, a, a), (skip, b, b)):
         if len(edges):
             i, j = edges.T
@@ -295,8 +295,7 @@ def pseudo_gradient(model: dict, rows: list[list[int]], y: np.ndarray, near: np.
     log = z - np.log(np.exp(z).sum(axis=1, keepdims=True))
     gap = -np.exp(log)
     gap[np.arange(len(y)), y] += 1
-    by = [np.zeros_like(w), np.zeros_like(a), np.zeros_like(b)]
-    np.add.at(by[0], flat, gap[owner])
+    by = [np.stack([np.bincount(flat, gap[owner, k], len(w)) for k in labels], axis=1), np.zeros_like(a), np.zeros_like(b)]
     for edges, g in ((near, by[1]), (skip, by[2])):
         if len(edges):
             i, j = edges.T
