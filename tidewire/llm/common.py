@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 #: Rows of one Arrow batch sent to a Python worker, so that a batch of very
 #: long texts still fits into a worker's memory.
 BATCH_ROWS = 200
+WAVES = 4
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -57,14 +58,17 @@ def remove_intermediates(spark: SparkSession) -> None:
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
+def materialize(df: DataFrame, name: str, narrow: bool = False) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
     This cuts the lineage: a lost executor costs the reading of a file, and
-    values that depend on the partitioning are computed once.
+    values that depend on the partitioning are computed once. ``narrow`` tables
+    (a few numbers a row) are written by at most ``WAVES`` tasks a core, so that
+    many small steps do not make many small files.
     """
     spark = df.sparkSession
     path = new_path(spark, name)
+    df = df.coalesce(WAVES * spark.sparkContext.defaultParallelism) if narrow else df
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

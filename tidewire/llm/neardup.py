@@ -173,6 +173,11 @@ def fingerprint(words: list[str]) -> bytes:
     return xxhash.xxh3_128_digest(" ".join(words).encode("utf-8", "surrogatepass"))
 
 
+def _stored(df: DataFrame, name: str) -> DataFrame:
+    """A table of numbers, written and reread."""
+    return materialize(df, name, narrow=True)
+
+
 def _keyed(documents: DataFrame, key: str, text: str) -> DataFrame:
     """``id, digest, text``: the digest names the text of a row."""
     body = text_of(text)
@@ -228,7 +233,7 @@ def components(edges: DataFrame) -> DataFrame:
     """``id, root`` (root: the smallest id of its component) of the ids in
     ``edges (a, b)``, by alternating large and small stars. Each step replaces
     the edges by at most as many; it ends when all point at their roots."""
-    edges = materialize(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges")
+    edges = _stored(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges")
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
@@ -236,7 +241,7 @@ def components(edges: DataFrame) -> DataFrame:
         large = large.where("u <> v").distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        new = materialize(small.unionByName(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct(), "edges")
+        new = _stored(small.unionByName(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct(), "edges")
         # Done when each id has one edge and no root has one.
         again = new.groupBy("u").agg(F.count("*").alias("n"), F.min("v").alias("v"))
         roots = new.select(F.col("v").alias("u")).distinct()
@@ -265,7 +270,7 @@ def unshared(sets: DataFrame) -> DataFrame:
 
 def _in_parts(few: DataFrame) -> DataFrame:
     """The few rows of a bucket for each of its parts, written."""
-    return materialize(few.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts"), "few")
+    return _stored(few.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts"), "few")
 
 
 ROW = ["bucket", "part", "parts", "o", "node", "n", "u"]
@@ -280,23 +285,23 @@ def links(sets: DataFrame, buckets: DataFrame) -> DataFrame:
     the number of its other elements that are shared at all (``x``): two
     members overlap in at most the smaller ``c`` plus the smaller ``x``.
     """
-    live = materialize(buckets.join(materialize(unshared(sets), "unshared"), "node"), "live")
+    live = _stored(buckets.join(unshared(sets), "node"), "live")
     sizes = live.groupBy("bucket").agg(F.count("*").alias("k")).where("k > 1")
-    sizes = materialize(sizes.select("bucket", "k", F.ceil(F.col("k") / PART).cast("int").alias("parts")), "sizes")
-    live = materialize(live.join(sizes, "bucket").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")), "sized")
-    degrees = materialize(live.groupBy("node").agg(F.sum("k").alias("degree")), "degrees")
+    sizes = _stored(sizes.select("bucket", "k", F.ceil(F.col("k") / PART).cast("int").alias("parts")), "sizes")
+    live = _stored(live.join(sizes, "bucket").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")), "sized")
+    degrees = live.groupBy("node").agg(F.sum("k").alias("degree"))
     shared = F.col("n") - F.col("u")
     active = live.join(degrees, "node").withColumn("o", F.struct((-F.col("degree")).alias("d"), "node"))
-    active = materialize(active.select(*ROW, shared.alias("c"), shared.alias("x")), "active")
+    active = _stored(active.select(*ROW, shared.alias("c"), shared.alias("x")), "active")
     near = f"n >= na * {SIMILARITY} - 1e-6 AND na >= n * {SIMILARITY} - 1e-6"
 
     # The first round: every member meets its bucket's first, found by a minimum.
     first = active.groupBy("bucket").agg(F.min(F.struct("o", "node", "n", "parts")).alias("f"))
     first = _in_parts(first.select("bucket", F.col("f.parts").alias("parts"), F.col("f.node").alias("a"), F.col("f.n").alias("na")))
-    met = materialize(active.join(first, ["bucket", "part"]).where("node <> a"), "met")
-    compared = materialize(overlaps(met.where(near).select("a", F.col("node").alias("b")).distinct(), sets), "compared")
+    met = _stored(active.join(first, ["bucket", "part"]).where("node <> a"), "met")
+    compared = _stored(overlaps(met.where(near).select("a", F.col("node").alias("b")).distinct(), sets), "compared")
     edges = compared.where("similar").select("a", "b")
-    classes = materialize(components(edges), "classes")
+    classes = _stored(components(edges), "classes")
     rest = met.join(compared.select("a", F.col("b").alias("node"), "common"), ["a", "node"], "left")
     other = shared - F.col("common")
     rest = rest.select(*ROW, F.coalesce("common", "c").alias("c"), F.coalesce(other, "x").alias("x"))
@@ -309,11 +314,11 @@ def links(sets: DataFrame, buckets: DataFrame) -> DataFrame:
         first = _in_parts(first.select("bucket", "parts", F.col("o").alias("oa"), F.col("node").alias("a"), F.col("n").alias("na"), F.col("c").alias("ca"), F.col("x").alias("xa"), F.col("root").alias("ra")))
         possible = f"o > oa AND root <> ra AND {near} AND least(c, ca) + least(x, xa) >= (n + na) * {SHARE} - 1e-6"
         pairs = active.join(first, ["bucket", "part"]).where(possible).select("a", F.col("node").alias("b")).distinct()
-        new = materialize(overlaps(pairs, sets).where("similar").select("a", "b"), "links")
+        new = _stored(overlaps(pairs, sets).where("similar").select("a", "b"), "links")
         if not new.isEmpty():
             edges = edges.unionByName(new)
-            classes = materialize(components(edges), "classes")
-        last = materialize(first.groupBy("bucket", "part").agg(F.max("oa").alias("last")), "last")
+            classes = _stored(components(edges), "classes")
+        last = _stored(first.groupBy("bucket", "part").agg(F.max("oa").alias("last")), "last")
         rest = active.join(last, ["bucket", "part"]).where("o > last").select(*ROW, "c", "x")
         active = _open_buckets(rest, classes)
         centres *= GROWTH
@@ -324,14 +329,13 @@ def _open_buckets(rest: DataFrame, classes: DataFrame) -> DataFrame:
     """The members that go on: those of buckets that still hold several classes,
     while their bound allows the smallest multiset of their bucket."""
     named = rest.join(classes.select(F.col("id").alias("node"), "root"), "node", "left")
-    named = materialize(named.select(*ROW, "c", "x", F.coalesce("root", "node").alias("root")), "rest")
+    named = _stored(named.select(*ROW, "c", "x", F.coalesce("root", "node").alias("root")), "rest")
     classes_of = F.max("parts").alias("parts"), F.min("root").alias("lo"), F.max("root").alias("hi")
     several = named.groupBy("bucket").agg(*classes_of, F.min("n").alias("least"), F.max("x").alias("most")).where("lo <> hi")
     several = _in_parts(several.select("bucket", "parts", "least", "most"))
     able = named.join(several, ["bucket", "part"]).where(f"c + least(x, most) >= (n + least) * {SHARE} - 1e-6").drop("least", "most")
-    able = materialize(able, "able")
     several = _in_parts(able.groupBy("bucket").agg(*classes_of).where("lo <> hi").select("bucket", "parts"))
-    return materialize(able.join(several, ["bucket", "part"], "left_semi"), "active")
+    return _stored(able.join(several, ["bucket", "part"], "left_semi"), "active")
 
 
 def classes_of_rows(documents: DataFrame, key: str, text: str) -> tuple[DataFrame, bool]:
@@ -346,15 +350,15 @@ def classes_of_rows(documents: DataFrame, key: str, text: str) -> tuple[DataFram
     firsts = signed.groupBy("print").agg(F.min(F.struct(F.col("id").isNull().alias("no"), "id", "digest", "bands")).alias("r"))
     firsts = materialize(firsts.select(F.monotonically_increasing_id().alias("node"), "print", "r.id", "r.digest", "r.bands"), "firsts")
     entries = firsts.where(F.col("bands").isNotNull()).select("node", F.explode("bands").alias("bucket"))
-    shared = materialize(entries.groupBy("bucket").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi").select("bucket"), "shared")
-    buckets = materialize(entries.join(shared, "bucket").select("bucket", "node").distinct(), "buckets")
-    wanted = materialize(firsts.join(buckets.select("node").distinct(), "node", "left_semi").select("id", "digest", "node"), "wanted")
+    shared = _stored(entries.groupBy("bucket").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi").select("bucket"), "shared")
+    buckets = _stored(entries.join(shared, "bucket").select("bucket", "node").distinct(), "buckets")
+    wanted = _stored(firsts.join(buckets.select("node").distinct(), "node", "left_semi").select("id", "digest", "node"), "wanted")
     classes = links(materialize(_sets(rows, wanted, repeated), "sets"), buckets).select(F.col("id").alias("node"), "root")
-    ids = materialize(firsts.select("node", "id").join(classes, "node").groupBy("root").agg(F.min("id").alias("class_id")), "ids")
+    ids = firsts.select("node", "id").join(classes, "node").groupBy("root").agg(F.min("id").alias("class_id"))
     named = classes.join(ids, "root")
     nodes = firsts.select("node", "print", "id").join(named, "node", "left")
     nodes = nodes.select("print", F.coalesce("root", "node").alias("root"), F.when(F.col("root").isNull(), F.col("id")).otherwise(F.col("class_id")).alias("class_id"))
-    return signed.select("id", "digest", "print").join(materialize(nodes, "nodes"), "print").drop("print"), repeated
+    return signed.select("id", "digest", "print").join(nodes, "print").drop("print"), repeated
 
 
 def near_duplicates(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -375,11 +379,11 @@ def one_of_each(documents: DataFrame, key: str = "doc_id", text: str = "text") -
     """One row of ``documents`` for each class, that with the least key (null
     keys last; of several with that key, that whose text has the least digest)."""
     rows, repeated = classes_of_rows(documents, key, text)
-    rows = materialize(rows.select("id", "digest", "root"), "rows")
+    rows = _stored(rows.select("id", "digest", "root"), "rows")
     best = rows.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("no"), "id", "digest")).alias("r"))
-    best = materialize(best.select("root", F.col("r.id").alias("_id"), F.col("r.digest").alias("_digest")), "best")
+    best = _stored(best.select("root", F.col("r.id").alias("_id"), F.col("r.digest").alias("_digest")), "best")
     other = (~F.col("id").eqNullSafe(F.col("_id"))) | (F.col("digest") != F.col("_digest"))
-    copies = materialize(rows.join(best, "root").where(other).select(F.col("id").alias("_copy"), F.col("digest").alias("_print")).distinct(), "copies")
+    copies = _stored(rows.join(best, "root").where(other).select(F.col("id").alias("_copy"), F.col("digest").alias("_print")).distinct(), "copies")
     copies = F.broadcast(copies) if copies.count() <= BROADCAST_ROWS else copies
     body = F.unhex(F.md5(text_of(text)))
     kept = documents.join(copies, F.col(key).cast("long").eqNullSafe(F.col("_copy")) & (body == F.col("_print")), "left_anti")
