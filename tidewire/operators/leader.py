@@ -3,43 +3,33 @@
 In input order an item joins its most similar leader, if that is similar
 enough, and else becomes a leader. So an item is a leader exactly if no earlier
 leader is similar to it: the lexicographically first maximal independent set of
-the similarity graph. Edges are found once, in blocks; then, round by round,
-items with an earlier leader are decided against, and items all of whose
-earlier neighbours are decided against become leaders.
+the similarity graph. Edges are found once, among items that share a signature of
+random hyperplanes (or among all); then, round by round, items with an earlier
+leader are decided against, and items all of whose earlier neighbours are decided
+against become leaders.
 """
 
 from __future__ import annotations
 
-import uuid
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidewire.operators.numbering import numbered
+from tidewire.storage import stored
+
 #: Vectors of a block; a task compares two blocks.
 BLOCK = 2048
-
-
-def _stored(df: DataFrame, name: str) -> DataFrame:
-    """Written and reread, so that each round has a short lineage."""
-    spark = df.sparkSession
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("tidewire.local.dir", None)
-    if not root:
-        import tempfile
-
-        root = tempfile.mkdtemp(prefix="tidewire-")
-        spark.conf.set("tidewire.local.dir", root)
-    path = f"{root.rstrip('/')}/leader-{uuid.uuid4().hex}/{name}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+#: Signatures of a vector at most.
+TABLES, SEED = 64, 5
 
 
 def similar_pairs(df: DataFrame, key: str, vector: str, threshold: float) -> DataFrame:
-    """``(a, b, similarity)`` with a < b, by matrix products of blocks.
+    """``(a, b, similarity)`` with a < b, all of them, by matrix products of blocks.
 
-    Every block meets every block once, as a leader may be anywhere; a task
-    holds two blocks.
+    Every block meets every block once, as a leader may be anywhere, so the work
+    grows with the square of the rows; a task holds two blocks.
     """
     total = df.count()
     blocks = max(1, -(-total // BLOCK))
@@ -61,31 +51,87 @@ def similar_pairs(df: DataFrame, key: str, vector: str, threshold: float) -> Dat
     return left.groupBy("p", "q").applyInPandas(compare, "a long, b long, similarity double")
 
 
-def leader_clusters(df: DataFrame, key: str, vector: str, threshold: float, most_rounds: int = 100) -> DataFrame:
-    """``key, leader, cluster, is_leader``; input order is that of the key."""
-    edges = _stored(similar_pairs(df, key, vector, threshold), "edges")
+def hash_shape(threshold: float, recall: float) -> tuple[int, int]:
+    """(bits of a signature, signatures) of random hyperplanes, so that a pair at
+    the threshold shares a signature with the probability ``recall``: of the
+    shapes that reach it with ``TABLES`` signatures at most, the most bits."""
+    agree = 1 - np.arccos(threshold) / np.pi
+    for bits in range(24, 0, -1):
+        tables = int(np.ceil(np.log(1 - recall) / np.log1p(-(agree**bits))))
+        if tables <= TABLES:
+            return bits, tables
+    return 1, TABLES
+
+
+def hashed_pairs(df: DataFrame, key: str, vector: str, threshold: float, recall: float = 0.999) -> DataFrame:
+    """``(a, b, similarity)`` with a < b of pairs that share a signature, verified
+    by their cosine.
+
+    A pair at the threshold is missed with a probability of at most ``1 -
+    recall``, a more similar one more rarely. Rows are grouped by signature;
+    a group is cut into parts of ``BLOCK`` rows and the parts meet in pairs, so
+    that no task holds more than two parts. What is shuffled grows with the rows
+    and the signatures.
+    """
+    bits, tables = hash_shape(threshold, recall)
+    size = df.where(F.col(vector).isNotNull()).select(F.size(vector)).first()
+    planes = np.random.default_rng(SEED).standard_normal((size[0] if size else 1, bits * tables))
+
+    @F.pandas_udf("array<long>")
+    def signatures(vectors: pd.Series) -> pd.Series:
+        if not len(vectors):
+            return pd.Series(dtype="object")
+        side = (np.vstack(vectors.to_numpy()).astype(float) @ planes > 0).reshape(len(vectors), tables, bits)
+        numbers = (side * (1 << np.arange(bits))).sum(axis=2) + (np.arange(tables) << bits)
+        return pd.Series(list(numbers))
+
+    rows = df.where(F.col(vector).isNotNull()).select(F.col(key).alias("id"), F.col(vector).cast("array<double>").alias("v"))
+    each = stored(rows.withColumn("s", signatures("v")).select("id", F.explode("s").alias("s")), "signatures")
+    sizes = stored(each.groupBy("s").agg(F.count("*").alias("n")).where("n > 1").select("s", F.ceil(F.col("n") / BLOCK).cast("int").alias("parts")), "sizes")
+    parts = each.join(sizes, "s").withColumn("part", F.pmod(F.xxhash64("id", "s"), F.col("parts")).cast("int"))
+    meet = parts.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    meet = meet.select("s", F.least("part", "other").alias("p"), F.greatest("part", "other").alias("q"), "part", "id").join(rows, "id")
+
+    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
+        x = np.vstack(pdf.v.to_numpy())
+        x = x / np.linalg.norm(x, axis=1, keepdims=True)
+        ids, part, p, q = pdf.id.to_numpy(), pdf.part.to_numpy(), pdf.p.iloc[0], pdf.q.iloc[0]
+        one, two = np.flatnonzero(part == p), np.flatnonzero(part == q)
+        sims = x[one] @ x[two].T
+        i, j = np.nonzero(sims >= threshold)
+        a, b = ids[one[i]], ids[two[j]]
+        keep = a < b if p == q else a != b
+        return pd.DataFrame({"a": np.minimum(a, b)[keep], "b": np.maximum(a, b)[keep], "similarity": sims[i, j][keep]})
+
+    found = meet.groupBy("s", "p", "q").applyInPandas(compare, "a long, b long, similarity double")
+    return found.groupBy("a", "b").agg(F.max("similarity").alias("similarity"))
+
+
+def leader_clusters(df: DataFrame, key: str, vector: str, threshold: float, exact: bool = False) -> DataFrame:
+    """``key, leader, cluster, is_leader``; input order is that of the key.
+
+    Similar pairs come from ``hashed_pairs``, or from ``similar_pairs`` if
+    ``exact`` is set. Each round settles at least the first open item, so the
+    rounds end; vectors are not null.
+    """
+    pairs = similar_pairs if exact else hashed_pairs
+    edges = stored(pairs(df, key, vector, threshold), "edges")
     items = df.select(F.col(key).alias("id"))
-    leaders = _stored(items.join(edges.select(F.col("b").alias("id")), "id", "left_anti"), "leaders")
-    open_edges = edges.select("a", "b")
-    for _ in range(most_rounds):
-        lost = open_edges.join(leaders.select(F.col("id").alias("a")), "a", "left_semi").select(F.col("b").alias("id")).distinct()
-        lost = _stored(lost, "lost")
-        left = open_edges.join(lost.select(F.col("id").alias("b")), "b", "left_anti").join(lost.select(F.col("id").alias("a")), "a", "left_anti")
-        waiting = open_edges.select(F.col("b").alias("id")).distinct().join(lost, "id", "left_anti")
-        left = _stored(left.select("a", "b"), "open")
-        risen = _stored(waiting.join(left.select(F.col("b").alias("id")), "id", "left_anti"), "risen")
-        if risen.isEmpty() and left.isEmpty():
+    new = stored(items.join(edges.select(F.col("b").alias("id")), "id", "left_anti"), "leaders")
+    leaders, open_edges = new, edges.select("a", "b")
+    while True:
+        # What an earlier leader has is decided; what waits for none is a leader.
+        lost = stored(open_edges.join(new.select(F.col("id").alias("a")), "a", "left_semi").select(F.col("b").alias("id")).distinct(), "lost")
+        waiting = open_edges.join(lost.select(F.col("id").alias("b")), "b", "left_anti")
+        out = lost.select(F.col("id").alias("a"), F.lit(True).alias("out"))
+        left = stored(waiting.join(out, "a", "left").select("a", "b", F.coalesce("out", F.lit(False)).alias("out")), "open")
+        new = stored(left.groupBy("b").agg(F.every("out").alias("free")).where("free").select(F.col("b").alias("id")), "leaders")
+        open_edges = left.where("NOT out").select("a", "b").join(new.select(F.col("id").alias("b")), "b", "left_anti")
+        if new.isEmpty():
             break
-        leaders = _stored(leaders.unionByName(risen), "leaders")
-        open_edges = left
-    else:
-        raise RuntimeError(f"leaders are not settled after {most_rounds} rounds")
+        leaders = leaders.unionByName(new)
     chosen = edges.join(leaders.select(F.col("id").alias("a")), "a", "left_semi").join(leaders.select(F.col("id").alias("b")), "b", "left_anti")
     best = chosen.groupBy("b").agg(F.max_by("a", F.struct("similarity", (-F.col("a")).alias("tie"))).alias("leader")).withColumnRenamed("b", "id")
     all_of = best.unionByName(leaders.select("id", F.col("id").alias("leader")))
-    number = leaders.repartitionByRange("id").sortWithinPartitions("id")
-    from pyspark.sql import Window
-
-    numbered = number.select(F.col("id").alias("leader"), F.dense_rank().over(Window.orderBy("id")).alias("n"))
-    out = all_of.join(numbered, "leader")
-    return out.select(F.col("id").alias(key), "leader", F.format_string("story_%05d", "n").alias("cluster"), (F.col("id") == F.col("leader")).alias("is_leader"))
+    out = all_of.join(numbered(leaders, ["id"], "n").select(F.col("id").alias("leader"), "n"), "leader")
+    return out.select(F.col("id").alias(key), "leader", F.format_string("story_%05d", F.col("n") + 1).alias("cluster"), (F.col("id") == F.col("leader")).alias("is_leader"))

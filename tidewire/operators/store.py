@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from tidewire.operators.numbering import numbered
+
 
 def run_log(articles: DataFrame, started: str) -> DataFrame:
     """One row of counts for a finished run."""
@@ -41,12 +43,7 @@ def number_clusters(rows: DataFrame, leader: str, position: str) -> DataFrame:
     """Numbers clusters by their first appearance, from 0. Only one row a
     cluster is ordered, and the numbers come from a join on the leader."""
     firsts = rows.groupBy(leader).agg(F.min(position).alias("_first"))
-    ordered = firsts.orderBy("_first").select(leader, F.monotonically_increasing_id().alias("_id"), F.spark_partition_id().alias("_part"))
-    before = ordered.groupBy("_part").agg(F.count("*").alias("_n"), F.min("_id").alias("_start"))
-    earlier = before.alias("a").join(F.broadcast(before.select(F.col("_part").alias("_q"), F.col("_n").alias("_m"))), F.col("_q") < F.col("_part"), "left")
-    base = earlier.groupBy("_part", "_start").agg(F.coalesce(F.sum("_m"), F.lit(0)).alias("_base"))
-    numbered = ordered.join(F.broadcast(base), "_part").select(leader, (F.col("_id") - F.col("_start") + F.col("_base")).alias("cluster"))
-    return rows.join(numbered, leader)
+    return rows.join(numbered(firsts, ["_first"], "cluster").drop("_first"), leader)
 
 
 def labelling_file(articles: DataFrame, path: str, columns: list[str]) -> None:

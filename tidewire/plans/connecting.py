@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tidewire.functions.text import escape_html
 from tidewire.sources import web
 from tidewire.streaming import ingest as streams
-from tidewire.streaming.storage import new_path
+from tidewire.storage import new_path
 from tidewire.tables import table
 
 QUERIES, ORACLES = {}, {}

@@ -118,7 +118,7 @@ def left_lookup(spark, root):
 def leader_clusters(spark, root):
     """Leader clustering of all vectors; these hold no pair at the production
     threshold of 0.82, so the query uses 0.3."""
-    return leader.leader_clusters(table(spark, root, "embeddings"), "vec_id", "embedding", 0.3).select("vec_id", "leader", "is_leader")
+    return leader.leader_clusters(table(spark, root, "embeddings"), "vec_id", "embedding", 0.3, exact=True).select("vec_id", "leader", "is_leader")
 
 
 @query("SELECT count(*) AS clusters, CAST(sum(n) AS BIGINT) AS articles, CAST(sum(n - 1) AS BIGINT) AS duplicates, max(n) AS largest FROM (SELECT source, count(*) AS n FROM documents GROUP BY 1)")
