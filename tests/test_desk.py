@@ -14,7 +14,7 @@ ROOT = "/root/testdata/sf0.001"
 @pytest.fixture(scope="module")
 def desk(spark):
     records = spark.createDataFrame([("a",), ("a",), ("c",)], "source_name string")
-    dead = spark.createDataFrame([("CSV",), ("JSON",)], "source_type string")
+    dead = spark.createDataFrame([("CSV", "2020", "a"), ("JSON", "2021", "b")], "source_type string, timestamp string, error_message string")
     return Desk(articles(spark, ROOT).cache(), "2030-01-01", records, dead)
 
 
@@ -26,11 +26,12 @@ def test_every_query_runs(desk):
     assert desk.monitoring(7).count() == 7 and desk.review().where("requires_human_review <> 1").count() == 0
     assert all(d.count() > 0 for d in desk.locations().values())
     assert desk.entities().collect() == desk.entities("nonsense").collect() != []
-    assert desk.sources().agg(F.sum("n")).first()[0] == total and desk.map().count() > 0
+    assert desk.sources().agg(F.sum("articles")).first()[0] == total and desk.map().count() == 0
     assert desk.trends()["days"].count() == 0 and desk.categories().agg(F.sum("n")).first()[0] == total
     one = desk.at(3).first()
-    assert desk.article(one.article_id).count() == 1 and desk.legacy("CLICK").where("article_type <> 'click'").count() == 0
-    assert desk.digest(["click"]).where("article_type = 'click'").agg(F.min("position")).first()[0] == 0
+    assert desk.article(one.article_id).count() == 1 and desk.legacy("CLICK").where("category <> 'click'").count() == 0
+    assert desk.stories(["click"]).where("article_type = 'click'").agg(F.min("position")).first()[0] == 0
+    assert desk.digest().count() == total
 
 
 def test_briefs(desk):

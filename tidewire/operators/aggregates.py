@@ -17,7 +17,7 @@ def kpis(df: DataFrame) -> DataFrame:
         n("requires_human_review = 1").alias("review"),
         n("emerging_situation = 1").alias("emerging"),
         n("potential_threat = 'YES'").alias("potential"),
-        n("importance = 'HIGH'").alias("important"),
+        n("military_relevance = 'HIGH' OR national_security_relevance = 'HIGH'").alias("important"),
     )
 
 
@@ -33,7 +33,9 @@ def distribution(df: DataFrame, column: str, top: int | None = None) -> DataFram
 
 
 def source_stats(df: DataFrame) -> DataFrame:
-    return df.where("source IS NOT NULL AND source <> ''").groupBy("source").agg(F.count("*").alias("n"), F.max("published_at").alias("last_published"))
+    """Articles of each named source, its last publication and last fetch."""
+    named = df.where("source IS NOT NULL AND source <> ''")
+    return named.groupBy("source").agg(F.count("*").alias("n"), F.max("published_at").alias("last_published"), F.max("fetched_at").alias("last_fetched"))
 
 
 def place_counts(df: DataFrame, column: str, top: int = 20) -> DataFrame:
@@ -77,6 +79,17 @@ def fixed_domain_counts(df: DataFrame, column: str, labels: list[str]) -> DataFr
     return F.broadcast(domain).join(counts, "label", "left").select("position", "label", F.coalesce("n", F.lit(0)).alias("n"))
 
 
+def with_unlabelled(df: DataFrame, column: str, labels: list[str], name: str = "Unclassified") -> DataFrame:
+    """As ``fixed_domain_counts``, and at the end the rows without a label."""
+    none = df.agg(F.count_if(F.col(column).isNull() | (F.col(column) == "")).alias("n"))
+    return fixed_domain_counts(df, column, labels).unionByName(none.select(F.lit(len(labels)).alias("position"), F.lit(name).alias("label"), "n"))
+
+
+def type_counts(df: DataFrame, column: str) -> DataFrame:
+    """Rows of each value and a total row (null value)."""
+    return df.rollup(column).agg(F.count("*").alias("n"))
+
+
 def cluster_stats(df: DataFrame, cluster: str) -> DataFrame:
     sizes = df.groupBy(cluster).agg(F.count("*").alias("n"))
     return sizes.agg(F.count("*").alias("clusters"), F.sum("n").alias("articles"), F.sum(F.col("n") - 1).alias("duplicates"), F.max("n").alias("largest"))
@@ -102,6 +115,31 @@ def class_metrics(df: DataFrame, gold: str, predicted: str, labels: list[str]) -
     return sums.select("label", F.round(p, 4).alias("precision"), F.round(r, 4).alias("recall"), F.round(F.when(p + r > 0, 2 * p * r / (p + r)).otherwise(0.0), 4).alias("f1"), "support")
 
 
+def metric_totals(df: DataFrame, gold: str, predicted: str, labels: list[str]) -> DataFrame:
+    """One row: sample size, accuracy, macro precision, recall and F1 over all
+    labels, and F1 weighted by support; rows outside the labels do not count."""
+    kept = df.where(F.col(gold).isin(labels) & F.col(predicted).isin(labels))
+    counts = kept.groupBy(F.col(gold).alias("g"), F.col(predicted).alias("p")).agg(F.count("*").alias("n"))
+    both = counts.select(F.explode(F.array_distinct(F.array("g", "p"))).alias("label"), "g", "p", "n")
+    total = lambda test: F.sum(F.when(test, F.col("n")).otherwise(0))
+    g, p = F.col("g") == F.col("label"), F.col("p") == F.col("label")
+    per = both.groupBy("label").agg(total(g & p).alias("tp"), total(p).alias("said"), total(g).alias("support"))
+    part = lambda a, b: F.when(b > 0, a / b).otherwise(0.0)
+    precision, recall = part(F.col("tp"), F.col("said")), part(F.col("tp"), F.col("support"))
+    f1 = F.when(precision + recall > 0, 2 * precision * recall / (precision + recall)).otherwise(0.0)
+    # Labels that do not occur count as zero in the means.
+    mean = lambda c, name: F.round(F.sum(c) / len(labels), 4).alias(name)
+    size = F.sum("support")
+    return per.agg(size.alias("sample_size"), F.round(F.sum("tp") / size, 4).alias("accuracy"), mean(precision, "macro_precision"), mean(recall, "macro_recall"), mean(f1, "macro_f1"), F.round(F.sum(f1 * F.col("support")) / size, 4).alias("weighted_f1"))
+
+
+def evaluation(df: DataFrame, gold: str, predicted: str) -> DataFrame:
+    """One row: whether there is anything to evaluate, samples, how many are
+    right, and the percentage."""
+    same = F.count_if(F.col(gold).eqNullSafe(F.col(predicted)))
+    return df.agg((F.count("*") > 0).alias("available"), F.count("*").alias("samples"), same.alias("correct"), F.bround(F.coalesce(same / F.nullif(F.count("*"), F.lit(0)), F.lit(0.0)) * 100, 1).alias("accuracy"))
+
+
 def accuracy(df: DataFrame, gold: str, predicted: str) -> Column:
     return df.agg(F.round(F.avg((F.col(gold) == F.col(predicted)).cast("double")) * 100, 1).alias("accuracy"))
 

@@ -61,10 +61,16 @@ def synthesize(articles: DataFrame, group: list[str], order: list[Column], lead:
     )
 
 
+def or_else(chosen: DataFrame, other: DataFrame) -> DataFrame:
+    """``chosen``, or ``other`` if it has no row; which of them is known from one
+    row, inside the plan."""
+    none = F.broadcast(chosen.limit(1).agg(F.count("*").alias("_n")).where("_n = 0"))
+    return chosen.unionByName(other.join(none, how="left_semi"))
+
+
 def or_unfiltered(recent: DataFrame, every: DataFrame, order: list[Column], most: int, most_of_all: int) -> DataFrame:
     """The first ``most`` recent rows, or, if there are none, the first of all."""
-    chosen = recent.orderBy(*order).limit(most)
-    return every.orderBy(*order).limit(most_of_all) if chosen.isEmpty() else chosen
+    return or_else(recent.orderBy(*order).limit(most), every.orderBy(*order).limit(most_of_all))
 
 
 def stories(articles: DataFrame, category: str, order: list[Column], known: list[str], most: int = PER_CATEGORY) -> DataFrame:

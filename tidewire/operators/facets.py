@@ -8,6 +8,8 @@ from operator import and_, or_
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidewire.operators.numbering import numbered_within
+
 # The rank maps differ from query to query.
 LISTING_RANK = {"CRITICAL": 1, "HIGH": 2, "MODERATE": 3}
 QUEUE_RANK = {"CRITICAL": 1, "HIGH": 2, "MODERATE": 3, "LOW": 4}
@@ -96,6 +98,40 @@ def term_in_arrays(df: DataFrame, term: str, arrays: list[str], texts: list[str]
     return df.where(reduce(or_, [any_contains(c, term) for c in arrays] + [contains_text(F.col(c), term) for c in texts or []]))
 
 
+def located_rows(df: DataFrame, processed: str = "nlp_processed", states: str = "states") -> DataFrame:
+    """Rows of geographic activity: processed ones, and those with a list of states."""
+    return df.where((F.col(processed) == 1) | F.col(states).isNotNull())
+
+
+def representatives(df: DataFrame, flag: str = "is_cluster_representative") -> DataFrame:
+    """Representatives of their clusters; a missing flag counts as one."""
+    return df.where(F.coalesce(F.col(flag).cast("boolean"), F.lit(True)))
+
+
+def pins(df: DataFrame, level: str, column: str = "max_level") -> DataFrame:
+    """Map pins of a level; ``HIGH`` includes ``CRITICAL``, ``ALL`` is no filter."""
+    if level.upper() == "ALL":
+        return df
+    return df.where(F.col(column).isin(["HIGH", "CRITICAL"] if level.upper() == "HIGH" else [level.upper()]))
+
+
+def newest_dead_letters(df: DataFrame, limit: int, source_type: str | None = None) -> DataFrame:
+    """Dead letters of a source type, the newest first."""
+    rows = df.where(F.col("source_type") == source_type) if source_type else df
+    return rows.orderBy(F.desc_nulls_last("timestamp"), "error_message").limit(limit)
+
+
+def bucketed(df: DataFrame, column: str, order: list, name: str = "Unclassified") -> DataFrame:
+    """``df`` with its bucket (``category``) and its place in it (from 0)."""
+    labelled = df.withColumn("category", F.coalesce(F.nullif(F.col(column), F.lit("")), F.lit(name)))
+    return numbered_within(labelled, "category", order, "position")
+
+
+def sample(df: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
+    """A repeatable sample of n rows: the first by a hash of seed and key."""
+    return df.orderBy(F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string"))), key).limit(n)
+
+
 def at_position(df: DataFrame, position: int, *order: Column) -> DataFrame:
     """The row at a 1-based position."""
     return df.orderBy(*order).offset(position - 1).limit(1)

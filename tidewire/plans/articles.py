@@ -42,6 +42,13 @@ def articles(spark: SparkSession, root: str) -> DataFrame:
         F.array(F.concat(F.lit("org"), (number % 9).cast("string")), F.when(number % 4 == 0, "").otherwise("hq")).alias("organizations"),
         (F.col("value") / 200).alias("confidence"),
         "quality",
+        F.when(number % 5 == 0, "HIGH").otherwise("LOW").alias("military_relevance"),
+        F.when(number % 7 == 0, "HIGH").otherwise("MEDIUM").alias("national_security_relevance"),
+        F.when(number % 3 != 0, F.concat(F.substring(F.col("ts").cast("string"), 1, 10), F.lit("T23:59:00Z"))).alias("fetched_at"),
+        (number % 2).cast("int").alias("nlp_processed"),
+        F.when(number % 4 != 0, F.concat(F.lit("http://news/"), number.cast("string"))).alias("url"),
+        F.when(number % 6 != 0, F.substring("text", 1, 400)).alias("summary"),
+        F.when(number % 4 == 1, 0).when(number % 4 == 2, 1).cast("int").alias("is_cluster_representative"),
     )
 
 
@@ -62,6 +69,10 @@ ARTICLES_SQL = """WITH articles AS (
          [d.lang] AS countries,
          CASE WHEN d.doc_id % 5 = 0 THEN CAST([] AS VARCHAR[]) ELSE [e.event_type, 'topic' || CAST(d.doc_id % 3 AS VARCHAR)] END AS categories,
          ['org' || CAST(d.doc_id % 9 AS VARCHAR), CASE WHEN d.doc_id % 4 = 0 THEN '' ELSE 'hq' END] AS organizations,
-         e.value / 200 AS confidence, l.quality
+         e.value / 200 AS confidence, l.quality,
+         CASE WHEN d.doc_id % 5 = 0 THEN 'HIGH' ELSE 'LOW' END AS military_relevance, CASE WHEN d.doc_id % 7 = 0 THEN 'HIGH' ELSE 'MEDIUM' END AS national_security_relevance,
+         CASE WHEN d.doc_id % 3 <> 0 THEN substring(CAST(e.ts AS VARCHAR), 1, 10) || 'T23:59:00Z' END AS fetched_at, CAST(d.doc_id % 2 AS INTEGER) AS nlp_processed,
+         CASE WHEN d.doc_id % 4 <> 0 THEN 'http://news/' || d.doc_id END AS url, CASE WHEN d.doc_id % 6 <> 0 THEN substring(d.text, 1, 400) END AS summary,
+         CAST(CASE d.doc_id % 4 WHEN 1 THEN 0 WHEN 2 THEN 1 END AS INTEGER) AS is_cluster_representative
   FROM documents d JOIN events e ON e.event_id = d.doc_id LEFT JOIN labels l ON l.doc_id = d.doc_id)
 """

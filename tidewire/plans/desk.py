@@ -7,10 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewire.operators import aggregates, briefs, facets, merge
+from tidewire.operators import aggregates, briefs, cards, facets, intent, merge, sectors
 
 # Bounds (least, most) of each query's parameters.
 BOUNDS = {"articles": (1, 500), "threats": (1, 200), "monitoring": (1, 500), "review": (1, 500), "entities": (1, 100), "trends": (1, 365), "legacy": (1, 1000), "dead_letters": (1, 500), "question": (1, 500)}
+SERVICE = "News Intelligence API"
 ENTITY_FIELDS = ["organizations", "people", "equipment", "countries"]
 
 
@@ -27,8 +28,9 @@ def _bounded(name: str, value: int) -> int:
 
 class Desk:
     """Queries over an article table, and, where given, the record store and
-    the dead letters. Every method returns lazy DataFrames; nothing is read
-    before they are used. ``today`` is an ISO date, so results can be repeated.
+    the dead letters. Methods return lazy DataFrames; ``digest`` writes its
+    positions to the shared folder at once. ``today`` is an ISO date, so results
+    can be repeated.
     """
 
     def __init__(self, articles: DataFrame, today: str, records: DataFrame | None = None, dead: DataFrame | None = None, places: list[str] | None = None, actors: list[str] | None = None):
@@ -45,6 +47,9 @@ class Desk:
     def health(self) -> DataFrame:
         return self.all.agg(F.lit("ok").alias("status"), F.count("*").alias("articles"))
 
+    def legacy_health(self) -> DataFrame:
+        return self.all.agg(F.lit("online").alias("status"), F.lit(SERVICE).alias("service"), (F.count("*") > 0).alias("data_exists"))
+
     def kpis(self) -> dict[str, DataFrame]:
         return {"kpis": aggregates.kpis(self.all), "levels": aggregates.distribution(self.all, "threat_level"), "types": aggregates.distribution(self.all, "article_type", 10)}
 
@@ -65,7 +70,8 @@ class Desk:
         return facets.review_queue(self.all, _bounded("review", limit))
 
     def locations(self) -> dict[str, DataFrame]:
-        return {c: aggregates.place_counts(self.all, c) for c in ("states", "cities", "countries")}
+        rows = facets.located_rows(self.all)
+        return {c: aggregates.place_counts(rows, c) for c in ("states", "cities", "countries")}
 
     def entities(self, field: str = "organizations", limit: int = 20) -> DataFrame:
         """Unknown fields mean the default one."""
@@ -73,10 +79,10 @@ class Desk:
         return aggregates.entity_counts(self.all, chosen, _bounded("entities", limit))
 
     def sources(self) -> DataFrame:
-        return aggregates.source_stats(self.all).orderBy(F.desc("n"), "source")
+        return cards.source_rows(aggregates.source_stats(self.all))
 
-    def map(self, newest: int = 500) -> DataFrame:
-        return aggregates.map_fold(self.all.orderBy(*self.newest).limit(newest)).orderBy(F.desc("risk"), "state")
+    def map(self) -> DataFrame:
+        return sectors.map_sectors(self.all)
 
     def trends(self, days: int = 30) -> dict[str, DataFrame]:
         recent = self._since(_bounded("trends", days))
@@ -97,6 +103,13 @@ class Desk:
         parts = [facets.facet_filter(self.all, country=n).orderBy(*self.newest).limit(limit) for n in names]
         return self._brief(merge.distinct_union(parts, "article_id") if parts else self.all.limit(0))
 
+    def trend_brief(self, limit: int = 40) -> DataFrame:
+        return self._brief(self.all.orderBy(*self.newest).limit(limit))
+
+    def regional_brief(self, region: str, limit: int = 20) -> DataFrame:
+        """Articles of which a place names the region."""
+        return self._brief(facets.term_in_arrays(self.all, region, self.places).orderBy(*self.newest).limit(limit))
+
     def article(self, article_id) -> DataFrame:
         return self.all.where(F.col("article_id") == F.lit(article_id))
 
@@ -107,17 +120,30 @@ class Desk:
         return self.all.groupBy(F.coalesce("article_type", F.lit("Unclassified")).alias("category")).agg(F.count("*").alias("n"))
 
     def legacy(self, category: str = "all", limit: int = 100) -> DataFrame:
+        """Newest articles of a category in the legacy shape; ids are there, so
+        positions stand in for none."""
         rows = self.all if category.lower() == "all" else self.all.where(F.lower("article_type") == category.lower())
-        return rows.orderBy(*self.newest).limit(_bounded("legacy", limit))
+        return cards.legacy(rows.orderBy(*self.newest).limit(_bounded("legacy", limit)).withColumn("_at", F.lit(0)), "_at")
 
-    def digest(self, known: list[str]) -> DataFrame:
+    def digest(self) -> DataFrame:
+        """Every article with its category and its place there, newest first."""
+        return facets.bucketed(self.all, "article_type", self.newest)
+
+    def stories(self, known: list[str]) -> DataFrame:
+        """The first stories of each category for a digest."""
         return briefs.stories(self.all, "article_type", self.newest, known)
 
+    def evaluation(self, gold: str, predicted: str) -> DataFrame:
+        return aggregates.evaluation(self.all, gold, predicted)
+
     def ask(self, question: str, parse: Callable[[str], dict], search: Callable[[dict], DataFrame]) -> DataFrame:
         """The brief of what a question finds: ``parse`` gives the intent,
-        ``search`` the articles of it."""
+        ``search`` its articles; the kind of question chooses the brief."""
         _bounded("question", len(question))
-        return self._brief(search(parse(question)))
+        found = parse(question)
+        rows = search(found)
+        kinds = {"trend_analysis": lambda: self._brief(rows.orderBy(*self.newest).limit(40)), "general_search": lambda: self._brief(rows)}
+        return intent.route(found.get("kind", "general_search"), kinds)
 
     def ingestion_sources(self, configured: DataFrame) -> DataFrame:
         """Configured sources with their records, and sources that are not configured."""
@@ -125,5 +151,8 @@ class Desk:
         return merge.coverage(configured, counts, "source_name", "n")
 
     def dead_letters(self, limit: int = 50, source_type: str | None = None) -> DataFrame:
-        rows = self.dead.where(F.col("source_type") == source_type) if source_type else self.dead
-        return rows.limit(_bounded("dead_letters", limit))
+        return facets.newest_dead_letters(self.dead, _bounded("dead_letters", limit), source_type)
+
+    def record_counts(self) -> DataFrame:
+        """Records of each source type, and all of them (null)."""
+        return aggregates.type_counts(self.records, "source_type")

@@ -42,11 +42,11 @@ add("top_per_category", lambda a: facets.top_of_each(a.where("article_type IS NO
 add("context_budget", lambda a: facets.prefix_within(a, F.length("title"), 2000, F.col("article_id"), group=["source"]).select("source", "article_id", "used"),
     "SELECT source, article_id, CAST(used AS BIGINT) AS used FROM (SELECT *, sum(length(title)) OVER (PARTITION BY source ORDER BY article_id ROWS UNBOUNDED PRECEDING) AS used FROM articles) WHERE used <= 2000")
 add("kpis", aggregates.kpis,
-    "SELECT count(*) AS total, count(*) FILTER (threat_level IN ('HIGH','CRITICAL')) AS high_threat, count(*) FILTER (threat_level = 'CRITICAL') AS critical, count(*) FILTER (army_monitoring_needed = 'YES') AS monitoring, count(*) FILTER (requires_human_review = 1) AS review, count(*) FILTER (emerging_situation = 1) AS emerging, count(*) FILTER (potential_threat = 'YES') AS potential, count(*) FILTER (importance = 'HIGH') AS important FROM articles")
+    "SELECT count(*) AS total, count(*) FILTER (threat_level IN ('HIGH','CRITICAL')) AS high_threat, count(*) FILTER (threat_level = 'CRITICAL') AS critical, count(*) FILTER (army_monitoring_needed = 'YES') AS monitoring, count(*) FILTER (requires_human_review = 1) AS review, count(*) FILTER (emerging_situation = 1) AS emerging, count(*) FILTER (potential_threat = 'YES') AS potential, count(*) FILTER (military_relevance = 'HIGH' OR national_security_relevance = 'HIGH') AS important FROM articles")
 add("routine", lambda a: aggregates.routine(aggregates.kpis(a)), "SELECT greatest(0, count(*) - count(*) FILTER (threat_level = 'CRITICAL') - count(*) FILTER (army_monitoring_needed = 'YES')) AS routine FROM articles")
 add("level_distribution", lambda a: aggregates.distribution(a, "threat_level"), "SELECT threat_level, count(*) AS n FROM articles WHERE threat_level IS NOT NULL GROUP BY 1")
 add("type_distribution", lambda a: aggregates.distribution(a, "article_type", 10), "SELECT article_type, count(*) AS n FROM articles WHERE article_type IS NOT NULL GROUP BY 1 ORDER BY n DESC, article_type LIMIT 10")
-add("source_stats", aggregates.source_stats, "SELECT source, count(*) AS n, max(published_at) AS last_published FROM articles WHERE source <> '' GROUP BY 1")
+add("source_stats", aggregates.source_stats, "SELECT source, count(*) AS n, max(published_at) AS last_published, max(fetched_at) AS last_fetched FROM articles WHERE source <> '' GROUP BY 1")
 for _column in ("states", "cities", "countries"):
     add(f"place_counts_{_column}", lambda a, c=_column: aggregates.place_counts(a, c),
         f"SELECT place, count(*) AS total, count(*) FILTER (threat_level IN ('HIGH','CRITICAL')) AS high_threat, count(*) FILTER (army_monitoring_needed = 'YES') AS monitoring FROM (SELECT unnest({_column}) AS place, threat_level, army_monitoring_needed FROM articles) GROUP BY 1 ORDER BY total DESC, place LIMIT 20")
@@ -58,15 +58,19 @@ add("map_fold", aggregates.map_fold,
 LABELS = ["click", "error", "purchase", "signup", "view", "other"]
 add("fixed_domain_counts", lambda a: aggregates.fixed_domain_counts(a, "article_type", LABELS),
     "SELECT CAST(d.i - 1 AS INTEGER) AS position, d.label, count(a.article_id) AS n FROM (SELECT unnest(['click','error','purchase','signup','view','other']) AS label, unnest([1,2,3,4,5,6]) AS i) d LEFT JOIN articles a ON a.article_type = d.label GROUP BY 1, 2")
-add("category_buckets", lambda a: a.groupBy(F.coalesce("article_type", F.lit("Unclassified")).alias("category")).agg(F.sort_array(F.collect_list("article_id")).alias("ids")), "SELECT coalesce(article_type, 'Unclassified') AS category, list(article_id ORDER BY article_id) AS ids FROM articles GROUP BY 1")
+add("category_buckets", lambda a: facets.bucketed(a, "article_type", ["article_id"]).select("category", "position", "article_id"), "SELECT coalesce(article_type, 'Unclassified') AS category, row_number() OVER (PARTITION BY coalesce(article_type, 'Unclassified') ORDER BY article_id) - 1 AS position, article_id FROM articles")
+add("labels_and_unlabelled", lambda a: aggregates.with_unlabelled(a, "article_type", ["error", "never", "view"]), "SELECT CAST(d.i - 1 AS INTEGER) AS position, d.label, count(a.article_id) AS n FROM (SELECT unnest(['error','never','view']) AS label, unnest([1,2,3]) AS i) d LEFT JOIN articles a ON a.article_type = d.label GROUP BY 1, 2 UNION ALL SELECT 3, 'Unclassified', count(*) FILTER (article_type IS NULL OR article_type = '') FROM articles")
 _GUESS = lambda a: a.where("quality IS NOT NULL").select(F.when(F.col("quality") == 1, "good").otherwise("bad").alias("gold"), F.when(F.length("article_text") > 900, "good").otherwise("bad").alias("said"))
 _GUESS_SQL = ", g AS (SELECT CASE WHEN quality = 1 THEN 'good' ELSE 'bad' END AS gold, CASE WHEN length(article_text) > 900 THEN 'good' ELSE 'bad' END AS said FROM articles WHERE quality IS NOT NULL) "
 add("class_metrics", lambda a: aggregates.class_metrics(_GUESS(a), "gold", "said", ["bad", "good", "never"]),
     _GUESS_SQL + ", s AS (SELECT l.label, count(*) FILTER (gold = label AND said = label) AS tp, count(*) FILTER (said = label) AS said_n, count(*) FILTER (gold = label) AS support FROM (SELECT unnest(['bad','good','never']) AS label) l CROSS JOIN g GROUP BY 1), m AS (SELECT label, CASE WHEN said_n > 0 THEN tp / said_n ELSE 0.0 END AS p, CASE WHEN support > 0 THEN tp / support ELSE 0.0 END AS r, support FROM s) SELECT label, round(p, 4) AS precision, round(r, 4) AS recall, round(CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0.0 END, 4) AS f1, support FROM m")
+add("metric_totals", lambda a: aggregates.metric_totals(_GUESS(a), "gold", "said", ["bad", "good", "never"]),
+    _GUESS_SQL + ", s AS (SELECT l.label, count(*) FILTER (gold = label AND said = label) AS tp, count(*) FILTER (said = label) AS said_n, count(*) FILTER (gold = label) AS support FROM (SELECT unnest(['bad','good','never']) AS label) l CROSS JOIN g GROUP BY 1), m AS (SELECT *, CASE WHEN said_n > 0 THEN tp / said_n ELSE 0.0 END AS p, CASE WHEN support > 0 THEN tp / support ELSE 0.0 END AS r FROM s), f AS (SELECT *, CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0.0 END AS f FROM m) SELECT CAST(sum(support) AS BIGINT) AS sample_size, round(sum(tp) / sum(support), 4) AS accuracy, round(sum(p) / 3, 4) AS macro_precision, round(sum(r) / 3, 4) AS macro_recall, round(sum(f) / 3, 4) AS macro_f1, round(sum(f * support) / sum(support), 4) AS weighted_f1 FROM f")
+add("evaluation", lambda a: aggregates.evaluation(_GUESS(a), "gold", "said"), _GUESS_SQL + "SELECT count(*) > 0 AS available, count(*) AS samples, count(*) FILTER (gold = said) AS correct, round_even(count(*) FILTER (gold = said) / count(*) * 100, 1) AS accuracy FROM g")
 add("confusion", lambda a: aggregates.confusion(_GUESS(a), "gold", "said", ["bad", "good"]), _GUESS_SQL + "SELECT gold, count(*) FILTER (said = 'bad') AS bad, count(*) FILTER (said = 'good') AS good FROM g GROUP BY 1")
 add("accuracy", lambda a: aggregates.accuracy(_GUESS(a), "gold", "said"), _GUESS_SQL + "SELECT round(avg(CASE WHEN gold = said THEN 1.0 ELSE 0.0 END) * 100, 1) AS accuracy FROM g")
 add("source_totals", lambda a: aggregates.totals(a.select("source", F.lit(1).alias("n"), F.length("title").alias("chars")), "source", ["n", "chars"]), "SELECT source, CAST(sum(1) AS BIGINT) AS n, CAST(sum(length(title)) AS BIGINT) AS chars FROM articles GROUP BY ROLLUP (source)")
-add("sample", lambda a: a.orderBy(F.xxhash64("article_id", F.lit(42)), "article_id").limit(200).select("article_id"))
+add("sample", lambda a: facets.sample(a, "article_id", 200).select("article_id"), "SELECT article_id FROM articles ORDER BY md5('42:' || article_id), article_id LIMIT 200")
 add("last_ten_days", lambda a: aggregates.daily_trend(a).orderBy(F.desc("day")).limit(10), "SELECT substring(published_at, 1, 10) AS day, count(*) AS n FROM articles GROUP BY 1 ORDER BY day DESC LIMIT 10")
 add("merged_places", lambda a: aggregates.place_counts(a, "states").select("place", "total").unionByName(aggregates.place_counts(a, "cities").select("place", "total")).orderBy(F.desc("total"), "place").limit(7),
     "SELECT place, total FROM ((SELECT place, count(*) AS total FROM (SELECT unnest(states) AS place FROM articles) GROUP BY 1 ORDER BY total DESC, place LIMIT 20) UNION ALL (SELECT place, count(*) AS total FROM (SELECT unnest(cities) AS place FROM articles) GROUP BY 1 ORDER BY total DESC, place LIMIT 20)) ORDER BY total DESC, place LIMIT 7")

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from tidewire.plans import briefs, connecting, ingestion, intelligence, language, listing, scalars, searching
+from tidewire.plans import briefs, connecting, ingestion, intelligence, language, listing, scalars, searching, serving
 
 QUERIES: dict = {}
 ORACLES: dict = {}
-for _module in (listing, scalars, ingestion, searching, language, intelligence, briefs, connecting):
+for _module in (listing, scalars, ingestion, searching, language, intelligence, briefs, connecting, serving):
     QUERIES |= _module.QUERIES
     ORACLES |= _module.ORACLES

@@ -38,7 +38,6 @@ add("escape_html", "pages", lambda d: d.select("page_id", F.md5(X.escape_html(F.
 add("colour", "events", lambda d: d.select("event_id", X.colour_of(F.col("value")).alias("c")), "SELECT event_id, CASE WHEN value IS NULL THEN 'neutral' WHEN value < 60 THEN 'low' WHEN value < 80 THEN 'medium' ELSE 'high' END AS c FROM events")
 add("stamp_to_iso", "events", lambda d: d.select("event_id", X.stamp_to_iso(F.when(F.col("event_id") % 2 == 0, F.date_format("ts", "yyyyMMdd'T'HHmmss'Z'")).otherwise("soon")).alias("t")), "SELECT event_id, CASE WHEN event_id % 2 = 0 THEN strftime(ts, '%Y-%m-%dT%H:%M:%SZ') ELSE 'soon' END AS t FROM events")
 add("source_kind", "documents", lambda d: d.select("doc_id", X.source_kind(F.col("source"), [("wire", ["src1"]), ("agency", ["src2", "src3"])], "press").alias("kind")), "SELECT doc_id, CASE WHEN contains(lower(source), 'src1') THEN 'wire' WHEN contains(lower(source), 'src2') OR contains(lower(source), 'src3') THEN 'agency' ELSE 'press' END AS kind FROM documents")
-add("confidence_percent", "events", lambda d: d.select("event_id", F.bround(F.when(F.col("value") <= 1, F.col("value") * 100).otherwise(F.col("value")), 1).alias("c")))
 add("classifier_text", "documents", lambda d: d.select("doc_id", F.md5(F.concat_ws(". ", F.nullif("source", F.lit("")), F.nullif(F.col("text"), F.lit("")))).alias("h")), "SELECT doc_id, md5(concat_ws('. ', nullif(source, ''), nullif(text, ''))) AS h FROM documents")
 add("embedding_text", "documents", lambda d: d.select("doc_id", F.md5(F.substring(F.concat_ws(" ", "source", F.substring(F.col("text"), 1, 500), "lang"), 1, 1000)).alias("h")), "SELECT doc_id, md5(substring(concat_ws(' ', source, substring(text, 1, 500), lang), 1, 1000)) AS h FROM documents")
 add("hex_bytes", "documents", lambda d: d.select("doc_id", F.lower(F.hex(F.col("source").cast("binary"))).alias("h")), "SELECT doc_id, lower(hex(source)) AS h FROM documents")
