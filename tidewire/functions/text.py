@@ -123,3 +123,69 @@ def source_kind(c: Column, rules: list[tuple[str, list[str]]], default: str) ->
     for label, parts in reversed(rules):
         out = F.when(reduce(lambda a, b: a | b, [low.contains(p) for p in parts]), label).otherwise(out)
     return out
+
+
+def classifier_text(title: Column, body: Column) -> Column:
+    """Title and body as one text; what is missing is left out."""
+    return F.concat_ws(". ", F.nullif(title, F.lit("")), F.nullif(body, F.lit("")))
+
+
+def embedding_text(title: Column, summary: Column, topics: Column) -> Column:
+    """What a vector stands for: title, the start of the summary, the topics."""
+    return F.substring(F.concat_ws(" ", title, F.substring(summary, 1, 500), F.array_join(topics, " ")), 1, 1000)
+
+
+def summary_of(existing: Column, text: Column, more_than: int = 40) -> Column:
+    """The summary that is there if it has more than so many characters, else a
+    concise one."""
+    return F.when(F.length(F.coalesce(existing, F.lit(""))) > more_than, existing).otherwise(concise_summary(text))
+
+
+def summary_of_new(done: Column, existing: Column, text: Column) -> Column:
+    """As ``summary_of``, but what an earlier run made stays."""
+    return F.coalesce(F.nullif(done, F.lit("")), summary_of(existing, text))
+
+
+def query_tokens(c: Column, stopwords: list[str], aliases: dict[str, str]) -> Column:
+    """The terms of a query in order, each once: tokens of two characters or more
+    that are no stop words, by the names in use. If there are none, the tokens
+    of two characters or more; if there are none, the whole query."""
+    low = F.transform(F.regexp_extract_all(F.coalesce(c, F.lit("")), F.lit("[a-zA-Z0-9]+"), F.lit(0)), F.lower)
+    long = F.filter(low, lambda t: F.length(t) >= 2)
+    table = F.create_map(*[F.lit(x) for a, b in aliases.items() for x in (a, b.lower())])
+    terms = F.array_distinct(F.transform(F.filter(long, lambda t: ~t.isin(stopwords)), lambda t: F.coalesce(F.try_element_at(table, t), t)))
+    whole = F.array(F.lower(F.trim(F.coalesce(c, F.lit("")))))
+    return F.when(F.size(terms) > 0, terms).when(F.size(long) > 0, long).otherwise(whole)
+
+
+def query_string(terms: Column, every: bool) -> Column:
+    """Quoted terms joined by AND or OR; a term of several words is a phrase."""
+    return F.array_join(F.transform(terms, lambda t: F.concat(F.lit('"'), t, F.lit('"'))), " AND " if every else " OR ")
+
+
+_EDGES = r"^[\[\]'\"]+|[\[\]'\"]+$"
+
+
+def parsed_list(c: Column) -> Column:
+    """The strings of a JSON list, of lists in it (two deep), or of one bare value;
+    without quotes and brackets at the edges, filled ones, each once."""
+    clean = lambda x: F.trim(F.regexp_replace(F.trim(x), _EDGES, ""))
+    none = F.expr("array()").cast("array<string>")
+
+    def opened(x: Column) -> Column:
+        listed = F.trim(x).startswith("[") & F.trim(x).endswith("]")
+        return F.coalesce(F.when(listed, F.from_json(F.trim(x), "array<string>")), F.array(x))
+
+    items = F.flatten(F.transform(opened(F.coalesce(c, F.lit(""))), opened))
+    return F.coalesce(F.array_distinct(F.filter(F.transform(items, clean), lambda x: x != "")), none)
+
+
+def dumped(c: Column, is_text: bool = False) -> Column:
+    """A value as JSON; a string passes through unchanged."""
+    return c if is_text else F.to_json(c)
+
+
+def missing_fields(fields: dict[str, Column]) -> Column:
+    """The names of the fields that are null or empty."""
+    there = F.array_compact(F.array(*[F.when(F.coalesce(c.cast("string") != "", F.lit(False)), F.lit(n)) for n, c in fields.items()]))
+    return F.array_except(F.array(*map(F.lit, fields)), there)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import html
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -94,11 +96,22 @@ def story_html(title: Column, source: Column, confidence: Column, text: Column,
     )
 
 
-def sections(chosen: DataFrame, category: str, story: Column, rule: str = "---\n") -> DataFrame:
+def sections(chosen: DataFrame, category: str, story: Column, as_html: bool = False) -> DataFrame:
     """One rendered section a category, from the rows of ``stories``."""
     s = chosen.groupBy("position", category).agg(F.array_sort(F.collect_list(F.struct("rank", story.alias("text")))).alias("s"))
-    body = F.array_join(F.transform("s", lambda x: F.concat(x["text"], F.lit("\n" + rule))), "\n")
-    return s.select("position", F.col(category).alias("category"), F.size("s").alias("stories"), F.concat(F.lit("## "), F.col(category), F.lit("\n\n"), body).alias("section"))
+    if as_html:
+        section = F.concat(F.lit('<section class="category"><h2>'), escape_html(F.col(category)), F.lit("</h2>"), F.array_join(F.transform("s", lambda x: x["text"]), ""), F.lit("</section>"))
+    else:
+        body = F.array_join(F.transform("s", lambda x: F.concat(x["text"], F.lit("\n---\n"))), "\n")
+        section = F.concat(F.lit("## "), F.col(category), F.lit("\n\n"), body)
+    return s.select("position", F.col(category).alias("category"), F.size("s").alias("stories"), section.alias("section"))
+
+
+def digest_page(parts: DataFrame, heading: str, generated: str) -> str:
+    """The whole digest as one HTML page, from sections of HTML."""
+    rows = parts.orderBy("position", "category").collect()
+    head = html.escape(heading)
+    return f'<!DOCTYPE html><html lang="en"><head><meta charset="utf-8"><title>{head}</title></head><body><h1>{head}</h1><p>Generated: {html.escape(generated)}</p><p>Stories: {sum(r.stories for r in rows)}</p>{"".join(r.section for r in rows)}</body></html>'
 
 
 def digest_text(parts: DataFrame, heading: str, generated: str) -> str:

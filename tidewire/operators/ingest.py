@@ -72,8 +72,8 @@ def to_articles(records: DataFrame) -> DataFrame:
 
 def report(valid: DataFrame, dead: DataFrame, inserted: DataFrame) -> DataFrame:
     """Extracted, validated, failed, inserted and skipped records of each source,
-    and a total row (null source)."""
+    and a total row (null source); the status is ``failed`` if nothing was valid."""
     tag = lambda df, name: df.select("source_name", *[(F.lit(1) if n == name else F.lit(0)).alias(n) for n in ("validated", "failed", "inserted")])
     rows = tag(valid, "validated").unionByName(tag(dead, "failed")).unionByName(tag(inserted, "inserted"))
     sums = rows.rollup("source_name").agg(*[F.sum(c).alias(c) for c in ("validated", "failed", "inserted")])
-    return sums.withColumn("extracted", F.col("validated") + F.col("failed")).withColumn("skipped", F.col("validated") - F.col("inserted"))
+    return sums.withColumn("extracted", F.col("validated") + F.col("failed")).withColumns({"skipped": F.col("validated") - F.col("inserted"), "status": F.when((F.col("validated") == 0) & (F.col("failed") > 0), "failed").otherwise("completed")})

@@ -61,3 +61,27 @@ def coverage(configured: DataFrame, counts: DataFrame, key: str, count: str) ->
 
 def url_key(c: Column) -> Column:
     return F.regexp_replace(c, "/+$", "")
+
+
+def write_counters(attempted: DataFrame, inserted: DataFrame) -> DataFrame:
+    """One row: rows that a write attempted, inserted and skipped."""
+    both = attempted.select(F.lit(1).alias("a"), F.lit(0).alias("i")).unionByName(inserted.select(F.lit(0).alias("a"), F.lit(1).alias("i")))
+    return both.agg(F.sum("a").alias("attempted"), F.sum("i").alias("inserted"), (F.sum("a") - F.sum("i")).alias("skipped"))
+
+
+def left_lookup(rows: DataFrame, table: DataFrame, key: str) -> DataFrame:
+    """``rows`` with the columns of the table's row of their key, or nulls; the
+    table has a key once."""
+    return rows.join(table, key, "left")
+
+
+def matched(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+    """The rows of both sides that share a key."""
+    return left.join(right, key)
+
+
+def stamped_upsert(new: DataFrame, stored: DataFrame, key: str, overwrite: list[str], keep: list[str], flags: list[str], now: str) -> DataFrame:
+    """As ``upsert``; rows that are written get ``updated_at`` and have their
+    processing flags reset to 0, the others keep theirs."""
+    fresh = new.withColumns({**{f: F.lit(0) for f in flags}, "updated_at": F.lit(now)})
+    return upsert(fresh, stored, key, [*overwrite, *flags, "updated_at"], keep)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tidewire.functions import places
 from tidewire.operators import briefs, intent
 from tidewire.plans.articles import ARTICLES_SQL, articles
+from tidewire.plans.scalars import extractive_sql
 from tidewire.tables import table
 
 QUERIES, ORACLES = {}, {}
@@ -57,7 +58,7 @@ def digest_pages(spark, root):
     """HTML of each category's first ten stories."""
     a = articles(spark, root)
     story = briefs.story_html(F.col("title"), F.col("source"), F.col("confidence"), F.col("article_text"), F.col("article_id").cast("string"))
-    return briefs.sections(briefs.stories(a, "article_type", _order(), KNOWN), "article_type", story, "<hr>\n")
+    return briefs.sections(briefs.stories(a, "article_type", _order(), KNOWN), "article_type", story, True)
 
 
 def _located(spark, root):
@@ -152,3 +153,10 @@ SELECT conv_id, turn, locations, search_terms, CASE WHEN contains(b, 'high threa
  CAST(CASE WHEN contains(b, 'week') THEN 7 WHEN contains(b, 'month') OR contains(b, '30 day') THEN 30 WHEN contains(b, 'today') THEN 1 END AS INTEGER) AS days,
  CASE WHEN contains(b, 'trend') OR contains(b, 'over the last') OR contains(b, 'during the last') THEN 'trend_analysis' WHEN contains(b, 'what is happening') OR contains(b, 'current status') OR contains(b, 'situation') THEN 'situation_brief' WHEN len(locations) > 0 THEN 'location_search' ELSE 'general_search' END AS kind,
  substring(array_to_string(list_filter(parts, lambda x, i: list_position(low, lower(x)) = i), ' '), 1, 200) AS search_query FROM z"""
+
+
+_STORIES = ARTICLES_SQL + ", r AS (SELECT *, row_number() OVER (PARTITION BY article_type ORDER BY published_at DESC NULLS LAST, article_id) AS rank FROM articles WHERE coalesce(article_type, '') <> ''), t AS (SELECT *, " + extractive_sql("article_text") + " AS told, printf('%.1f%%', round(coalesce(confidence, 0.0) * 100, 1)) AS sure FROM r WHERE rank <= 10)"
+_SECTION = " SELECT CAST(CASE article_type WHEN 'error' THEN 0 WHEN 'purchase' THEN 1 ELSE 999 END AS INTEGER) AS position, article_type AS category, CAST(count(*) AS INTEGER) AS stories, "
+_escape = lambda c: f"""replace(replace(replace(replace(replace({c}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&#x27;')"""
+ORACLES["digest_sections"] = _STORIES + _SECTION + "'## ' || article_type || chr(10) || chr(10) || string_agg('### ' || title || chr(10) || chr(10) || '**Source:** ' || source || '  ' || chr(10) || '**Classification confidence:** ' || sure || '  ' || chr(10) || chr(10) || told || chr(10) || chr(10) || '[Read original article](' || article_id || ')' || chr(10) || chr(10) || '---' || chr(10), chr(10) ORDER BY rank) AS section FROM t GROUP BY article_type"
+ORACLES["digest_pages"] = _STORIES + _SECTION + f"""'<section class="category"><h2>' || {_escape("article_type")} || '</h2>' || string_agg('<article class="story"><h3>' || {_escape("coalesce(nullif(trim(title, ' '), ''), 'Untitled')")} || '</h3><div class="metadata">Source: ' || {_escape("source")} || ' Classification confidence: ' || sure || '</div><p>' || {_escape("told")} || '</p><a href="' || article_id || '" rel="noopener noreferrer">Read original article</a></article>', '' ORDER BY rank) || '</section>' AS section FROM t GROUP BY article_type"""

@@ -23,35 +23,51 @@ def query(sql=None):
 
 
 def _records(spark, root):
+    """Events as records: some payloads are empty, some ids blank, of which some
+    have another field that stands in."""
     e = table(spark, root, "events")
-    payload = F.when(F.col("event_id") % 17 == 0, F.expr("map()").cast("map<string,string>")).otherwise(F.create_map(F.lit("id"), F.when(F.col("event_id") % 13 == 0, "").otherwise((F.col("event_id") % 500).cast("string")), F.lit("title"), "event_type"))
-    return ingest.to_records(e.select(payload.alias("payload")), "JSON", "stream", "event", "id", [])
+    blank = F.col("event_id") % 13 == 0
+    fields = [F.lit("id"), F.when(blank, "").otherwise((F.col("event_id") % 500).cast("string")), F.lit("title"), F.col("event_type"), F.lit("url"), F.when(F.col("event_id") % 2 == 0, F.concat(F.lit("u"), (F.col("event_id") % 300).cast("string"))).otherwise("")]
+    payload = F.when(F.col("event_id") % 17 == 0, F.expr("map()").cast("map<string,string>")).otherwise(F.create_map(*fields))
+    return ingest.to_records(e.select(payload.alias("payload")), "JSON", "stream", "event", "id", ["url"])
 
 
-_VALID = "WITH r AS (SELECT event_id, event_id % 17 = 0 AS empty, CASE WHEN event_id % 13 = 0 THEN event_type ELSE CAST(event_id % 500 AS VARCHAR) END AS entity_id, CASE WHEN event_id % 13 = 0 THEN '' ELSE CAST(event_id % 500 AS VARCHAR) END AS id, event_type FROM events)"
+_VALID = """WITH r AS (SELECT event_id, event_id % 17 = 0 AS empty, CASE WHEN event_id % 13 = 0 THEN '' ELSE CAST(event_id % 500 AS VARCHAR) END AS id, event_type, CASE WHEN event_id % 2 = 0 THEN 'u' || event_id % 300 ELSE '' END AS url FROM events),
+v AS (SELECT *, CASE WHEN empty THEN NULL ELSE coalesce(nullif(id, ''), nullif(url, '')) END AS entity_id, '{"id":"' || id || '","title":"' || event_type || '","url":"' || url || '"}' AS payload FROM r)"""
 
 
-@query(_VALID + """ SELECT DISTINCT entity_id, md5('{"id":"' || id || '","title":"' || event_type || '"}') AS checksum FROM r WHERE NOT empty AND id <> ''""")
+@query(_VALID + " SELECT DISTINCT entity_id, md5(payload) AS checksum FROM v WHERE entity_id IS NOT NULL")
 def valid_records(spark, root):
-    """Validated records, inserted once each."""
+    """Validated records, once each."""
     valid, _ = ingest.split_valid(_records(spark, root))
-    return valid.where("entity_id <> ''").where(F.col("payload")["id"] != "").select("entity_id", "checksum").distinct()
+    return valid.select("entity_id", "checksum").distinct()
 
 
-@query("SELECT 'validation' AS error_type, 'entity_id is missing; payload is empty' AS error_message, count(*) AS n FROM events WHERE event_id % 17 = 0 HAVING count(*) > 0 UNION ALL SELECT 'validation', 'entity_id is missing', 0 WHERE FALSE")
+@query(_VALID + " SELECT 'validation' AS error_type, CASE WHEN empty THEN 'entity_id is missing; payload is empty' ELSE 'entity_id is missing' END AS error_message, count(*) AS n FROM v WHERE entity_id IS NULL GROUP BY 1, 2")
 def dead_letters(spark, root):
     """Rejected records by reason."""
     _, dead = ingest.split_valid(_records(spark, root))
-    return dead.where(F.col("error_message").contains("payload")).groupBy("error_type", "error_message").agg(F.count("*").alias("n"))
+    return dead.groupBy("error_type", "error_message").agg(F.count("*").alias("n"))
 
 
-@query()
+_REPORT = "SELECT count(*) FILTER (entity_id IS NOT NULL) AS validated, count(*) FILTER (entity_id IS NULL) AS failed, count(DISTINCT CASE WHEN entity_id IS NOT NULL THEN entity_id || payload END) AS inserted, count(*) AS extracted FROM v"
+
+
+@query(_VALID + f", c AS ({_REPORT}) SELECT source_name, validated, failed, inserted, extracted, validated - inserted AS skipped, 'completed' AS status FROM c, (SELECT unnest(['stream', NULL]) AS source_name)")
 def ingestion_report(spark, root):
+    """Counts of each source and of all."""
     valid, dead = ingest.split_valid(_records(spark, root))
     inserted = merge.insert_or_ignore(valid, valid.limit(0), ["entity_id", "checksum"], "record_id")
     return ingest.report(valid, dead, inserted)
 
 
+@query(_VALID + f", c AS ({_REPORT}) SELECT validated AS attempted, inserted, validated - inserted AS skipped FROM c")
+def write_counters(spark, root):
+    """What a write attempted, inserted and skipped."""
+    valid, _ = ingest.split_valid(_records(spark, root))
+    return merge.write_counters(valid, merge.insert_or_ignore(valid, valid.limit(0), ["entity_id", "checksum"], "record_id"))
+
+
 _OLD = "SELECT * FROM customer WHERE c_custkey % 3 <> 0"
 
 
@@ -109,7 +125,24 @@ def source_coverage(spark, root):
 @query("SELECT o_orderkey, c_name FROM orders LEFT JOIN customer ON o_custkey = c_custkey AND c_custkey % 2 = 0")
 def left_lookup(spark, root):
     o, c = table(spark, root, "orders"), table(spark, root, "customer").where("c_custkey % 2 = 0")
-    return o.join(c, o.o_custkey == c.c_custkey, "left").select("o_orderkey", "c_name")
+    return merge.left_lookup(o, c.select(F.col("c_custkey").alias("o_custkey"), "c_name"), "o_custkey").select("o_orderkey", "c_name")
+
+
+@query("SELECT l.doc_id, CASE WHEN quality = 1 THEN 'good' ELSE 'bad' END AS gold, CASE WHEN length(text) > 900 THEN 'good' ELSE 'bad' END AS predicted FROM labels l JOIN documents d ON d.doc_id = l.doc_id WHERE quality IS NOT NULL")
+def gold_and_predicted(spark, root):
+    """Gold labels joined with predictions by article."""
+    gold = table(spark, root, "labels").where("quality IS NOT NULL").select("doc_id", F.when(F.col("quality") == 1, "good").otherwise("bad").alias("gold"))
+    said = table(spark, root, "documents").select("doc_id", F.when(F.length("text") > 900, "good").otherwise("bad").alias("predicted"))
+    return merge.matched(gold, said, "doc_id")
+
+
+@query("SELECT coalesce(n.c_custkey, s.c_custkey) AS c_custkey, CASE WHEN n.c_custkey IS NOT NULL THEN 'new' ELSE s.c_name END AS c_name, CAST(CASE WHEN n.c_custkey IS NOT NULL THEN 0 ELSE 1 END AS INTEGER) AS nlp_processed, CASE WHEN n.c_custkey IS NOT NULL THEN '2026-01-01' ELSE '2020-01-01' END AS updated_at FROM (SELECT c_custkey FROM customer WHERE c_custkey % 2 = 0) n FULL JOIN (SELECT * FROM customer WHERE c_custkey % 3 <> 0) s ON n.c_custkey = s.c_custkey")
+def stamped_upsert(spark, root):
+    """Rows that are written anew are stamped and their flags are reset."""
+    c = table(spark, root, "customer")
+    new = c.where("c_custkey % 2 = 0").select("c_custkey", F.lit("new").alias("c_name"))
+    old = c.where("c_custkey % 3 <> 0").select("c_custkey", "c_name", F.lit(1).alias("nlp_processed"), F.lit("2020-01-01").alias("updated_at"))
+    return merge.stamped_upsert(new, old, "c_custkey", ["c_name"], [], ["nlp_processed"], "2026-01-01")
 
 
 
