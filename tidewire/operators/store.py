@@ -50,3 +50,9 @@ def labelling_file(articles: DataFrame, path: str, columns: list[str]) -> None:
     """A CSV file for annotators: the columns and two empty ones."""
     out = articles.select(*columns, F.lit("").alias("gold_category"), F.lit("").alias("annotation_notes"))
     out.coalesce(1).write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
+
+
+def save_results(results: DataFrame, path: str) -> None:
+    """Results for readers, a few rows: as JSON lines and as CSV with a header."""
+    results.coalesce(1).write.mode("overwrite").json(f"{path}/results.json")
+    results.coalesce(1).write.mode("overwrite").option("header", True).csv(f"{path}/confusion.csv")

@@ -16,9 +16,23 @@ DEAD_SCHEMA = "source_type string, source_name string, raw_record string, error_
 
 
 def sniff(sample: str) -> str:
-    """The delimiter that the first line has most of; a comma if it has none."""
-    line = sample[:SNIFF_CHARS].split("\n", 1)[0]
-    return max(DELIMITERS, key=line.count)
+    """The delimiter that most lines of the sample have equally often, and of
+    several the one they have more of; a comma if no line has any."""
+    lines = [x for x in sample[:SNIFF_CHARS].split("\n") if x.strip()]
+    if len(lines) > 1 and len(sample) > SNIFF_CHARS:
+        lines.pop()  # cut off
+
+    def fit(sep: str) -> tuple[int, int]:
+        first = lines[0].count(sep) if lines else 0
+        return (sum(x.count(sep) == first for x in lines) if first else 0, first)
+
+    return max(DELIMITERS, key=fit)
+
+
+def _first_lines(spark: SparkSession, path: str, most: int = 40) -> list[str]:
+    """The first filled lines of the first file."""
+    rows = spark.read.text(path).where(F.length("value") > 0).limit(most).collect()
+    return [r[0].lstrip("\ufeff") if i == 0 else r[0] for i, r in enumerate(rows)]
 
 
 def _first_line(spark: SparkSession, path: str) -> str:
@@ -32,28 +46,34 @@ def csv_rows(spark: SparkSession, path: str, delimiter: str | None = None, encod
     A row with a surplus value is an error; missing and empty values are left
     out of the payload. An empty file gives no rows.
     """
-    line = _first_line(spark, path)
-    sep = delimiter or sniff(line)
-    read = spark.read.option("sep", sep).option("encoding", encoding).option("escape", '"').option("multiLine", multi_line)
-    names = _header(spark, line, sep)
+    lines = _first_lines(spark, path)
+    sep = delimiter or sniff("\n".join(lines))
+    read = spark.read.option("sep", sep).option("encoding", encoding).option("escape", '"').option("multiLine", multi_line).option("columnNameOfCorruptRecord", "_raw").option("columnPruning", False)
+    names, width = _header(spark, lines[0] if lines else "", sep)
     schema = StructType()
-    for i in range(len(names) + 1):
+    for i in range(width + 1):
         schema = schema.add(f"c{i}", "string")
-    rows = read.option("header", True).option("enforceSchema", True).schema(schema).csv(path)
+    # The schema has one value more than the header: a row that fits it is too
+    # long, and of one that does not (its text is kept) the separators are counted.
+    rows = read.option("header", True).option("enforceSchema", True).schema(schema.add("_raw", "string")).csv(path)
+    bare = F.regexp_replace("_raw", '"[^"]*"', "")
+    long = F.coalesce(F.length(bare) - F.length(F.replace(bare, F.lit(sep), F.lit(""))) >= width, F.lit(True))
     pairs = F.array(*[F.struct(F.lit(n).alias("key"), F.trim(f"c{i}").alias("value")) for i, n in enumerate(names)]) if names else F.expr("array()").cast("array<struct<key:string,value:string>>")
     payload = F.map_from_entries(F.filter(pairs, lambda p: F.coalesce(p["value"], F.lit("")) != ""))
-    return rows.select(payload.alias("payload"), F.when(F.coalesce(F.trim(f"c{len(names)}"), F.lit("")) != "", "row is longer than the header").alias("error"))
+    return rows.select(payload.alias("payload"), F.when(long, "row is longer than the header").alias("error"))
 
 
-def _header(spark: SparkSession, line: str, sep: str) -> list[str]:
-    """The distinct column names of a header line; a repeated name gets its place."""
+def _header(spark: SparkSession, line: str, sep: str) -> tuple[list[str], int]:
+    """The distinct column names of a header line and its columns; a repeated name
+    gets its place, unnamed columns at the end have no name."""
     if not line:
-        return []
+        return [], 0
     row = spark.createDataFrame([(line,)], "v string").select(F.from_csv("v", ", ".join(f"c{i} string" for i in range(line.count(sep) + 1)), {"sep": sep, "escape": '"'}).alias("r")).first().r
     names = [(n or "").strip() for n in row]
+    width = len(names)
     while names and not names[-1]:
         names.pop()
-    return [n if n and n not in names[:i] else f"{n}_{i}" for i, n in enumerate(names)]
+    return [n if n and n not in names[:i] else f"{n}_{i}" for i, n in enumerate(names)], width
 
 
 def flatten_fields(schema: StructType, depth: int = 1, prefix: str = "", path: Column | None = None) -> list[tuple[str, Column]]:
@@ -96,14 +116,41 @@ def table_rows(df: DataFrame) -> DataFrame:
     return df.select(as_payload([(f.name, F.col(f"`{f.name}`").cast("string")) for f in df.schema.fields]).alias("payload"), F.lit(None).cast("string").alias("error"))
 
 
+def parquet_rows(spark: SparkSession, path: str, where: str | None = None) -> DataFrame:
+    """``payload, error`` of a Parquet table; the filter reaches the scan."""
+    df = spark.read.parquet(path)
+    return table_rows(df.where(where) if where else df)
+
+
+def articles_of_json(spark: SparkSession, path: str, schema: str, whole: bool = True) -> DataFrame:
+    """Articles of JSON files that hold a list, or an object whose ``articles``
+    are one; an object without them gives none. ``whole``: each file is one text,
+    else each line."""
+    text = spark.read.text(path, wholetext=whole)
+    low = F.ltrim(F.regexp_replace("value", "^\ufeff", ""))
+    wrapped = F.from_json("value", f"articles array<struct<{schema}>>")["articles"]
+    items = F.when(low.startswith("["), F.from_json("value", f"array<struct<{schema}>>")).otherwise(wrapped)
+    return text.select(F.explode(items).alias("a")).where("a IS NOT NULL").select("a.*")
+
+
 def jdbc_rows(spark: SparkSession, url: str, name: str, where: str | None = None, **options) -> DataFrame:
     """``payload, error`` of a database table. The filter runs in the database.
     ``partitionColumn``, ``lowerBound``, ``upperBound`` and ``numPartitions``
-    among the options make the scan parallel."""
-    df = spark.read.format("jdbc").option("url", url).option("dbtable", name).option("fetchsize", FETCH_ROWS).options(**options).load()
+    among the options make the scan parallel. A table that is not there is a
+    ``ValueError``."""
+    try:
+        df = _jdbc(spark, url, name, options)
+    except Exception as e:
+        if any(m in str(e).lower() for m in ("no such table", "does not exist", "doesn't exist", "not found", "unknown table")):
+            raise ValueError(f"there is no table {name}") from e
+        raise
     return table_rows(df.where(where) if where else df)
 
 
+def _jdbc(spark: SparkSession, url: str, name: str, options: dict) -> DataFrame:
+    return spark.read.format("jdbc").option("url", url).option("dbtable", name).option("fetchsize", FETCH_ROWS).options(**options).load()
+
+
 def dead_of(rows: DataFrame, source_type: str, source_name: str) -> DataFrame:
     """Dead letters of the rows with an error."""
     return rows.where("error IS NOT NULL").select(F.lit(source_type).alias("source_type"), F.lit(source_name).alias("source_name"), F.to_json("payload").alias("raw_record"), F.lit("structural").alias("error_type"), F.col("error").alias("error_message"), F.lit(1).alias("attempts"))
@@ -124,10 +171,13 @@ def clear_dead(spark: SparkSession, path: str) -> None:
 
 
 def read_records(spark: SparkSession, path: str, source_type: str | None = None, entity_type: str | None = None, limit: int | None = None) -> DataFrame:
-    """Canonical records of a Parquet store; the filters reach the scan."""
+    """Canonical records of a Parquet store; the filters reach the scan, and
+    payloads of JSON text are parsed."""
     rows = spark.read.parquet(path)
     for name, value in (("source_type", source_type), ("entity_type", entity_type)):
         rows = rows.where(F.col(name) == value) if value else rows
+    if "payload" in rows.columns and rows.schema["payload"].dataType.simpleString() == "string":
+        rows = rows.withColumn("payload", F.from_json("payload", "map<string,string>"))
     return rows.limit(limit) if limit else rows
 
 

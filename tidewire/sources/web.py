@@ -19,6 +19,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from tidewire.functions.text import first_filled, squeeze, stamp_to_iso, strip_tags
 from tidewire.operators.merge import first_rows
+from tidewire.storage import stored
 
 # Attempts and waits of a retry, codes that no retry mends, limits.
 ATTEMPTS, FIRST_WAIT, LONGEST_WAIT = 5, 2.0, 60.0
@@ -198,10 +199,10 @@ def payload_of(rows: DataFrame) -> DataFrame:
 
 
 def bodies(spark: SparkSession, urls: dict[str, str], **options) -> DataFrame:
-    """Bodies by tag; ``Fatal`` if none could be read. They are written once
-    (checkpoint) so that nothing is fetched twice."""
+    """Bodies by tag; ``Fatal`` if none could be read. They are written once, so
+    that nothing is fetched twice."""
     rows = scan(spark, BodySource, urls=urls, **options)
-    rows = rows.checkpoint() if spark.sparkContext.getCheckpointDir() else rows.cache()
+    rows = stored(rows, "bodies")
     if rows.where("error IS NULL").isEmpty():
         raise Fatal("no source could be read")
     return rows
@@ -219,12 +220,12 @@ def _item(item: Column, tag: str) -> Column:
     return F.trim(text)
 
 
-def feed_entries(rows: DataFrame, most: int, now: str) -> DataFrame:
+def feed_entries(rows: DataFrame, most: int, now: str, strict: bool = False) -> DataFrame:
     """The first ``most`` entries of each feed (``tag, value``), RSS or Atom.
 
     Items are found by their tags, so that a feed that is no well-formed XML
     still gives those it holds. An entry with neither title nor link is left
-    out; the link may follow its tag as bare text; the id is the link, else the
+    out, with ``strict`` one that lacks either; the link may follow its tag as bare text; the id is the link, else the
     MD5 of title and date; an entry without a date has ``now``.
     """
     items = F.slice(F.regexp_extract_all("value", F.lit(r"(?s)<(item|entry)(?:\s[^>]*)?>(.*?)</(?:item|entry)\s*>"), F.lit(2)), 1, most)
@@ -242,7 +243,7 @@ def feed_entries(rows: DataFrame, most: int, now: str) -> DataFrame:
         first_filled(_item(i, "author"), _item(i, "dc:creator")).alias("author"),
         F.coalesce(F.date_format(stamp, "yyyy-MM-dd'T'HH:mm:ss'+00:00'"), dated, F.lit(now)).alias("published"),
         F.filter(F.transform(F.regexp_extract_all("item", F.lit(r"(?s)<category(?:\s[^>]*)?>(.*?)</category>"), F.lit(1)), F.trim), lambda t: t != "").alias("tags"),
-    ).where("title <> '' OR link <> ''")
+    ).where("title <> '' AND link <> ''" if strict else "title <> '' OR link <> ''")
     return shaped.withColumn("id", F.when(F.col("link") != "", F.col("link")).otherwise(F.md5(F.concat("title", "published")))).withColumnRenamed("tag", "source_feed")
 
 
@@ -250,18 +251,21 @@ def feed_entries(rows: DataFrame, most: int, now: str) -> DataFrame:
 
 
 def event_rows(rows: DataFrame, topics: list[str], most: int = EVENT_ROWS) -> DataFrame:
-    """Rows of CSV bodies tagged by topic, each url once with the first topic.
+    """Rows of CSV bodies tagged by topic, each url once with the first topic; of
+    a topic the first ``most`` rows, by a column ``position`` of its bodies if
+    there is one, and then by line.
 
     Rows of fewer than four values are left out, surplus values cut, missing
     ones empty.
     """
     order = F.array_position(F.array(*map(F.lit, topics)), F.col("tag"))
-    lines = rows.where("value IS NOT NULL").select(F.col("tag").alias("query_topic"), order.alias("_topic"), F.posexplode(F.split("value", r"\r?\n")).alias("_line", "line"))
+    place = F.col("position") if "position" in rows.columns else F.lit(0)
+    lines = rows.where("value IS NOT NULL").select(F.col("tag").alias("query_topic"), order.alias("_topic"), place.alias("_body"), F.posexplode(F.split("value", r"\r?\n")).alias("_line", "line"))
     schema = ", ".join(f"{c} string" for c in EVENT_COLUMNS)
-    wide = lines.where("trim(line) <> ''").select("query_topic", "_topic", "_line", F.size(F.split("line", ",")).alias("_n"), F.from_csv("line", schema, {"escape": '"'}).alias("r"))
-    rows = wide.where("_n >= 4 AND lower(trim(r.url)) <> 'url' AND r.url <> ''").select("query_topic", "_topic", "_line", *[F.coalesce(F.col(f"r.{c}"), F.lit("")).alias(c) for c in EVENT_COLUMNS])
-    top = rows.withColumn("_n", F.row_number().over(Window.partitionBy("query_topic").orderBy("_line"))).where(F.col("_n") <= most)
-    once = first_rows(top.withColumn("_position", F.struct("_topic", "_line")), ["url"], "_position")
+    wide = lines.where("trim(line) <> ''").select("query_topic", "_topic", "_body", "_line", F.size(F.split("line", ",")).alias("_n"), F.from_csv("line", schema, {"escape": '"'}).alias("r"))
+    rows = wide.where("_n >= 4 AND lower(trim(r.url)) <> 'url' AND r.url <> ''").select("query_topic", "_topic", "_body", "_line", *[F.coalesce(F.col(f"r.{c}"), F.lit("")).alias(c) for c in EVENT_COLUMNS])
+    top = rows.withColumn("_n", F.row_number().over(Window.partitionBy("query_topic").orderBy("_body", "_line"))).where(F.col("_n") <= most)
+    once = first_rows(top.withColumn("_position", F.struct("_topic", "_body", "_line")), ["url"], "_position")
     return once.withColumn("seendate", stamp_to_iso(F.col("seendate"))).select(*EVENT_COLUMNS, "query_topic")
 
 
@@ -283,8 +287,7 @@ def cached_events(spark: SparkSession, path: str, default_topic: str = "") -> Da
 def search_events(spark: SparkSession, url: str, topics: list[str], language: str = "english", cache: str | None = None, **options) -> DataFrame:
     """Events of all topics; those of the cache if no topic gives any."""
     asked = {t: with_params(url, {"query": f'"{t}" sourcelang:{language}', "mode": "ArtList", "maxrecords": EVENT_ROWS, "format": "CSV"}) for t in topics}
-    rows = scan(spark, BodySource, urls=asked, **options).cache()
-    found = event_rows(rows, topics)
+    found = event_rows(stored(scan(spark, BodySource, urls=asked, **options), "bodies"), topics)
     if not found.isEmpty():
         if cache:
             found.coalesce(1).write.mode("overwrite").option("header", True).option("escape", '"').csv(cache)
@@ -309,4 +312,4 @@ def join_indicators(share: DataFrame, amount: DataFrame, keys: list[str], positi
     ``amount`` of the same keys; an amount of zero counts as missing."""
     last = amount.groupBy(*keys).agg(F.max_by("value", position).alias("amount"))
     found = share.where("value IS NOT NULL").join(last, keys, "left")
-    return found.withColumn("value", F.round(F.col("value").cast("double"), 4)).withColumn("amount", F.round(F.nullif(F.col("amount").cast("double"), F.lit(0.0)), 2))
+    return found.withColumn("value", F.bround(F.col("value").cast("double"), 4)).withColumn("amount", F.bround(F.nullif(F.col("amount").cast("double"), F.lit(0.0)), 2))
