@@ -72,6 +72,22 @@ def terms_in_text(text: Column, terms: list[str] | dict[str, str], keep_short: b
     return F.array_sort(F.array_distinct(F.concat(*parts)))
 
 
+def spaced(text: Column) -> Column:
+    """The lower-case words of letters a-z and digits, with single spaces."""
+    return F.trim(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), "[^a-z0-9]+", " "))
+
+
+def runs_in_text(spaced_text: Column, forms: dict[str, str]) -> Column:
+    """The values of the word runs that a ``spaced`` text has, sorted and distinct;
+    forms count by their own words."""
+    plain: dict[str, list[str]] = {}
+    for form, value in forms.items():
+        words = " ".join(re.findall("[a-z0-9]+", form.lower()))
+        if words:
+            plain.setdefault(words, []).append(value)
+    return F.array_sort(F.array_distinct(_found(spaced_text, plain)))
+
+
 def in_order(found: Column, terms: list[str], most: int | None = None) -> Column:
     """The found terms in the order of the list."""
     kept = F.filter(F.array(*map(F.lit, terms)), lambda t: F.array_contains(found, t))

@@ -11,6 +11,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidewire.functions.lexicon import runs_in_text, spaced
 from tidewire.functions.rules import first_rule, match_gazetteer
 
 # Sentiment labels, what they are called, and the stance each implies.
@@ -45,27 +46,55 @@ def classify_place(kinds: Column) -> Column:
     return first_rule([(F.array_contains(kinds, k), k) for k in KINDS], "unknown")
 
 
-def locate(df: DataFrame, key: str, text: str, gazetteer: DataFrame, home: str, longest: int = 4) -> DataFrame:
+LISTS = ["countries", "states", "cities", "localities", "regions"]
+
+
+def _implied(kind: Column, place: Column, state: Column, country: Column, home: str) -> dict[str, Column]:
+    """What a hit adds to each list, as an array."""
+    is_home = kind.isin("state", "city")
+    cases = {
+        "countries": [(kind == "country", place), (is_home, F.lit(home)), (kind == "strategic", country)],
+        "states": [(kind == "state", place), (kind.isin("city", "strategic"), state)],
+        "cities": [(kind == "city", place)],
+        "localities": [(kind == "strategic", place)],
+        "regions": [(kind == "region", place)],
+    }
+    return {name: F.array_compact(F.array(*[F.when(t, v) for t, v in own])) for name, own in cases.items()}
+
+
+def locate(df: DataFrame, key: str, text: str, gazetteer: list[tuple] | DataFrame, home: str, longest: int = 4) -> DataFrame:
     """The places of each text: sorted ``countries``, ``states``, ``cities``,
-    ``localities``, ``regions`` and ``place_types``. A state or city implies the
-    ``home`` country, a city its state, a strategic place its state and country.
-    Every row of ``df`` comes back, also those without a place.
+    ``localities``, ``regions`` and ``strategic_type``. A state or city implies
+    the ``home`` country, a city its state, a strategic place its state and
+    country. Every row of ``df`` comes back, also those without a place.
+
+    A gazetteer that is a list of rows (up to some thousands) is matched inside
+    the row; one that is a table, of any size, by a join on the words, for which
+    a key must be in one row.
     """
-    hit = match_gazetteer(df, key, text, gazetteer, longest)
-    kind = F.col("kind")
-    pick = lambda *cases: F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.array_compact(F.array(*cases))))))
-    place, is_home = F.col("place"), kind.isin("state", "city")
-    found = hit.groupBy(key).agg(
-        pick(F.when(kind == "country", place), F.when(is_home, F.lit(home)), F.when(kind == "strategic", F.col("country"))).alias("countries"),
-        pick(F.when(kind == "state", place), F.when(kind.isin("city", "strategic"), F.col("state"))).alias("states"),
-        pick(F.when(kind == "city", place)).alias("cities"),
-        pick(F.when(kind == "strategic", place)).alias("localities"),
-        pick(F.when(kind == "region", place)).alias("regions"),
-        F.min(F.when(kind == "strategic", F.struct("place", "type"))).alias("_first"),
-    )
-    lists = ["countries", "states", "cities", "localities", "regions"]
     empty = F.expr("array()").cast("array<string>")
-    return df.join(found, key, "left").select(*df.columns, *[F.coalesce(F.col(c), empty).alias(c) for c in lists], F.col("_first.type").alias("strategic_type"))
+    if isinstance(gazetteer, DataFrame):
+        hit = match_gazetteer(df, key, text, gazetteer, longest)
+        implied = _implied(*[F.col(c) for c in ("kind", "place", "state", "country")], home)
+        sets = [F.array_sort(F.array_distinct(F.flatten(F.collect_list(c)))).alias(n) for n, c in implied.items()]
+        found = hit.groupBy(key).agg(*sets, F.min(F.when(F.col("kind") == "strategic", F.struct("place", "type"))).alias("_first"))
+        return df.join(found, key, "left").select(*df.columns, *[F.coalesce(F.col(c), empty).alias(c) for c in LISTS], F.col("_first.type").alias("strategic_type"))
+    rows = sorted(gazetteer, key=lambda r: (r[1] or "", r[5] or ""))
+    entry = "struct<place: string, kind: string, state: string, country: string, type: string>"
+    table = F.array(*[F.struct(*[F.lit(v).cast("string").alias(n) for n, v in zip(("place", "kind", "state", "country", "type"), r[1:], strict=True)]) for r in rows]).cast(f"array<{entry}>")
+    forms: dict[str, str] = {}
+    for i, r in enumerate(rows):
+        # Two rows of one term are two forms that mean different rows.
+        forms[r[0] + "." * sum(x[0] == r[0] for x in rows[:i])] = f"{i + 1:06d}"
+    hits = F.transform(runs_in_text(spaced(F.col(text)), forms), lambda i: F.element_at(table, i.cast("int")))
+    out = df.withColumn("_hits", hits)
+
+    def pick(name: str) -> Column:
+        nested = F.transform("_hits", lambda h: _implied(h["kind"], h["place"], h["state"], h["country"], home)[name])
+        return F.array_sort(F.array_distinct(F.flatten(nested)))
+
+    first = F.filter("_hits", lambda h: h["kind"] == "strategic")
+    return out.withColumns({**{n: pick(n) for n in LISTS}, "strategic_type": F.try_element_at(first, F.lit(1))["type"]}).drop("_hits")
 
 
 def location_type(text: Column, strategic_type: Column, keywords: dict[str, list[str]], border: list[str]) -> Column:

@@ -11,8 +11,9 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Entries of a gazetteer that is broadcast at most; a larger one is shuffled.
-BROADCAST_ENTRIES = 200_000
+#: Bytes of a gazetteer's terms that are broadcast at most (with some room a
+#: row); a larger one is shuffled.
+BROADCAST_BYTES = 32 << 20
 
 
 def word_rule(term: str, ignore_case: bool = True) -> str:
@@ -45,7 +46,9 @@ def match_gazetteer(df: DataFrame, key: str, text: str, gazetteer: DataFrame, lo
     """``key`` and the columns of ``gazetteer (term, ...)`` for each term that a
     text has: an equi join on the words, never a comparison of all pairs."""
     words = df.select(key, F.explode(ngrams(F.col(text), longest)).alias("term"))
-    small = gazetteer.limit(BROADCAST_ENTRIES + 1).count() <= BROADCAST_ENTRIES
+    room = [F.octet_length(F.coalesce(F.col(c).cast("string"), F.lit(""))) for c in gazetteer.columns]
+    size = gazetteer.agg(F.coalesce(F.sum(sum(room, F.lit(64))), F.lit(0))).first()[0]
+    small = size <= BROADCAST_BYTES
     return words.join(F.broadcast(gazetteer) if small else gazetteer, "term")
 
 

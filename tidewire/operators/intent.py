@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import logging
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewire.functions.places import contains_any
-from tidewire.functions.rules import first_rule, ngrams
+from tidewire.functions.lexicon import in_order, runs_in_text, spaced
+from tidewire.functions.rules import first_rule
 
 # Words that name a severity, sentiment, kind of question or span of days.
 SEVERE = ["high threat", "high-threat", "critical"]
@@ -15,7 +18,7 @@ SPANS = [(7, ["week"]), (30, ["month", "30 day"]), (1, ["today"])]
 QUERY_CHARS = 200
 
 
-def parse(questions: DataFrame, text: str, places: list[str], aliases: dict[str, str], stopwords: list[str], longest: int = 4) -> DataFrame:
+def parse(questions: DataFrame, text: str, places: list[str], aliases: dict[str, str], stopwords: list[str]) -> DataFrame:
     """Adds ``locations, search_terms, threat_level, sentiment, days, kind`` and
     ``search_query`` to each question.
 
@@ -23,19 +26,24 @@ def parse(questions: DataFrame, text: str, places: list[str], aliases: dict[str,
     names by alias. A term is a token of two characters or more that is no stop
     word, no location and no alias of one. Null text counts as empty.
     """
-    low = F.lower(F.coalesce(F.col(text), F.lit("")))
-    tokens = F.regexp_extract_all(low, F.lit("[a-z0-9]+"), F.lit(0))
     empty = F.expr("array()").cast("array<string>")
     table = F.create_map(*[F.lit(x) for pair in aliases.items() for x in pair]) if aliases else None
+    # Step by step, so that each list is computed once.
+    q = questions.withColumns({"_low": F.lower(F.coalesce(F.col(text), F.lit(""))), "_words": spaced(F.col(text))})
+    q = q.withColumn("_tokens", F.filter(F.split("_words", " "), lambda t: t != ""))
+    low, tokens = F.col("_low"), F.col("_tokens")
     by_alias = F.array_compact(F.transform(tokens, lambda t: F.try_element_at(table, t))) if aliases else empty
-    known = F.array(*[F.lit(p) for p in places]) if places else empty
-    runs = F.col("_runs")
-    named = F.filter(known, lambda p: F.array_contains(runs, F.array_join(F.regexp_extract_all(F.lower(p), F.lit("[a-z0-9]+"), F.lit(0)), " ")))
-    q = questions.withColumn("_runs", ngrams(low, longest)).withColumn("locations", F.array_distinct(F.concat(by_alias, named))).drop("_runs")
+    named = in_order(runs_in_text(F.col("_words"), {p: p for p in places}), places) if places else empty
+    q = q.withColumn("locations", F.array_distinct(F.concat(by_alias, named)))
     taken = F.transform("locations", F.lower)
     if aliases:
-        taken = F.concat(taken, F.transform(F.filter(F.map_entries(table), lambda e: F.array_contains(F.col("locations"), e["value"])), lambda e: e["key"]))
-    terms = F.filter(tokens, lambda t: (F.length(t) >= 2) & ~F.array_contains(taken, t))
+        known: dict[str, list[str]] = {}
+        for alias, place in aliases.items():
+            known.setdefault(place, []).append(alias)
+        names = F.create_map(*[x for place, own in known.items() for x in (F.lit(place), F.array(*map(F.lit, own)))])
+        taken = F.concat(taken, F.flatten(F.transform("locations", lambda p: F.coalesce(F.try_element_at(names, p), empty))))
+    q = q.withColumn("_taken", taken)
+    terms = F.filter(tokens, lambda t: (F.length(t) >= 2) & ~F.array_contains("_taken", t))
     if stopwords:
         terms = F.filter(terms, lambda t: ~t.isin(stopwords))
     days = F.lit(None).cast("int")
@@ -49,7 +57,7 @@ def parse(questions: DataFrame, text: str, places: list[str], aliases: dict[str,
         "days": days,
         "kind": kind,
     })
-    return out.withColumn("search_query", search_query(F.col("locations"), F.col("search_terms"), tokens))
+    return out.withColumn("search_query", search_query(F.col("locations"), F.col("search_terms"), tokens)).drop("_low", "_words", "_tokens", "_taken")
 
 
 def search_query(locations: Column, terms: Column, fallback: Column) -> Column:
@@ -77,6 +85,19 @@ def filters_of(intent: dict, today: str) -> dict:
     return out
 
 
+def with_parser(question: str, parser, fallback) -> dict:
+    """The intent that a language model's ``parser`` gives, a dict; that of the
+    rules (``fallback``) if there is no parser, it fails, or gives none."""
+    if parser is not None:
+        try:
+            found = parser(question)
+            if isinstance(found, dict) and found:
+                return found
+        except Exception as e:  # noqa: BLE001 - any failure of a client means the rules
+            logging.getLogger(__name__).warning("the parser failed: %s", e)
+    return fallback(question)
+
+
 def route(kind: str, handlers: dict, *args):
     """Calls the handler of a kind of question, else that of ``general_search``."""
     return handlers.get(kind, handlers["general_search"])(*args)

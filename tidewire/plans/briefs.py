@@ -62,8 +62,7 @@ def digest_pages(spark, root):
 
 
 def _located(spark, root):
-    g = spark.createDataFrame(GAZETTEER, "term string, place string, kind string, state string, country string, type string")
-    return places.locate(table(spark, root, "documents"), "doc_id", "text", g, HOME, 2)
+    return places.locate(table(spark, root, "documents"), "doc_id", "text", GAZETTEER, HOME)
 
 
 def located(spark, root):
@@ -72,6 +71,13 @@ def located(spark, root):
     return d.select("doc_id", "countries", "states", "cities", "localities", "regions", F.round(places_confidence(), 2).alias("confidence"))
 
 
+def located_by_join(spark, root):
+    """The same places by a join with a gazetteer table."""
+    g = spark.createDataFrame(GAZETTEER, "term string, place string, kind string, state string, country string, type string")
+    d = places.locate(table(spark, root, "documents").select("doc_id", "text"), "doc_id", "text", g, HOME, 2)
+    return d.select("doc_id", "countries", "states", "cities", "localities", "regions", F.round(places_confidence(), 2).alias("confidence"))
+
+
 def places_confidence():
     from tidewire.functions.rules import confidence
 
@@ -99,10 +105,21 @@ def sentiments(spark, root):
 def questions(spark, root):
     """The conversation turns read as questions."""
     q = table(spark, root, "conversations").select("conv_id", "turn", "text")
-    return intent.parse(q, "text", PLACES, ALIASES, STOP, 2).drop("text")
+    return intent.parse(q, "text", PLACES, ALIASES, STOP).drop("text")
+
+
+def production_questions(spark, root):
+    """The turns read with the production places, aliases and stop words."""
+    from tidewire.functions import vocabulary as V
+    from tidewire.functions.geography import STATE_OF_CITY
 
+    places_ = [*V.STATES, *STATE_OF_CITY]
+    pick = F.element_at(F.array(*map(F.lit, [*places_, *V.ALIASES])), (F.col("conv_id") * 7 % (len(places_) + len(V.ALIASES)) + 1).cast("int"))
+    q = table(spark, root, "conversations").select("conv_id", "turn", F.concat(F.lit("what is the situation in "), pick, F.lit(" and in "), F.lower(pick)).alias("text"))
+    return intent.parse(q, "text", places_, V.ALIASES, V.STOPWORDS).select("conv_id", "turn", "locations", "search_terms", "kind")
 
-_run = [briefs_by_source, brief_of_all, digest_stories, digest_sections, digest_pages, located, location_types, sentiment_targets, sentiments, questions]
+
+_run = [production_questions, briefs_by_source, brief_of_all, digest_stories, digest_sections, digest_pages, located, located_by_join, location_types, sentiment_targets, sentiments, questions]
 QUERIES |= {f.__name__: f for f in _run}
 
 
@@ -138,6 +155,7 @@ ORACLES["located"] = (
     + _LIST(("e", "Ofthe Pass")) + " AS localities, " + _LIST(("f", "North")) + " AS regions, "
     + "round(CASE WHEN a OR b OR c OR d OR e THEN 0.3 ELSE 0 END + CASE WHEN c OR d OR e THEN 0.3 ELSE 0 END + CASE WHEN d THEN 0.2 ELSE 0 END + CASE WHEN e THEN 0.2 ELSE 0 END, 2)::DOUBLE AS confidence FROM m"
 )
+ORACLES["located_by_join"] = ORACLES["located"]
 ORACLES["location_types"] = f"WITH {_WORDS} SELECT doc_id, CASE WHEN e THEN 'border_area' WHEN contains(lower(text), 'road') OR contains(lower(text), 'way') THEN 'road_area' WHEN contains(lower(text), 'thought') THEN 'conflict_zone' WHEN c OR d THEN 'border_area' ELSE 'unknown' END AS location_type FROM m"
 ORACLES["sentiment_targets"] = ARTICLES_SQL + ", x AS (SELECT *, lower(coalesce(title, '') || ' ' || substring(coalesce(article_text, ''), 1, 500)) AS b FROM articles) SELECT article_id, CASE WHEN article_id % 7 = 0 OR contains(b, 'army') THEN 'Military' WHEN contains(b, 'which') THEN 'Government' WHEN article_id % 5 = 0 OR contains(b, 'that') THEN 'Country' WHEN contains(b, 'from') THEN 'Policy' WHEN contains(b, 'con') THEN 'Event' WHEN article_id % 3 = 0 THEN 'Organization' ELSE 'Government' END AS target FROM x"
 ORACLES["sentiments"] = "SELECT event_id, ['Positive', 'Negative', 'Neutral', 'Concern', 'Critical', 'Escalatory', 'De-escalatory', 'Neutral'][event_id % 8 + 1] AS sentiment, ['Reassuring', 'Critical', 'Neutral', 'Alarming', 'Critical', 'Alarming', 'Supportive', 'Neutral'][event_id % 8 + 1] AS stance FROM events"
@@ -160,3 +178,29 @@ _SECTION = " SELECT CAST(CASE article_type WHEN 'error' THEN 0 WHEN 'purchase' T
 _escape = lambda c: f"""replace(replace(replace(replace(replace({c}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&#x27;')"""
 ORACLES["digest_sections"] = _STORIES + _SECTION + "'## ' || article_type || chr(10) || chr(10) || string_agg('### ' || title || chr(10) || chr(10) || '**Source:** ' || source || '  ' || chr(10) || '**Classification confidence:** ' || sure || '  ' || chr(10) || chr(10) || told || chr(10) || chr(10) || '[Read original article](' || article_id || ')' || chr(10) || chr(10) || '---' || chr(10), chr(10) ORDER BY rank) AS section FROM t GROUP BY article_type"
 ORACLES["digest_pages"] = _STORIES + _SECTION + f"""'<section class="category"><h2>' || {_escape("article_type")} || '</h2>' || string_agg('<article class="story"><h3>' || {_escape("coalesce(nullif(trim(title, ' '), ''), 'Untitled')")} || '</h3><div class="metadata">Source: ' || {_escape("source")} || ' Classification confidence: ' || sure || '</div><p>' || {_escape("told")} || '</p><a href="' || article_id || '" rel="noopener noreferrer">Read original article</a></article>', '' ORDER BY rank) || '</section>' AS section FROM t GROUP BY article_type"""
+
+
+def _production_questions_sql() -> str:
+    import re
+
+    from tidewire.functions import vocabulary as V
+    from tidewire.functions.geography import STATE_OF_CITY
+
+    places_ = [*V.STATES, *STATE_OF_CITY]
+    words = lambda t: " ".join(re.findall("[a-z0-9]+", t.lower()))
+    quote = lambda t: "'" + t.replace("'", "''") + "'"
+    names = "[" + ", ".join(map(quote, [*places_, *V.ALIASES])) + "]"
+    alias = "CASE x " + " ".join(f"WHEN {quote(a)} THEN {quote(b)}" for a, b in V.ALIASES.items()) + " END"
+    known = ", ".join(f"CASE WHEN contains(t, ' {words(p)} ') THEN {quote(p)} END" for p in places_)
+    taken = ", ".join(f"CASE WHEN list_contains(locations, {quote(b)}) THEN {quote(a)} END" for a, b in V.ALIASES.items())
+    stop = "(" + ", ".join(map(quote, V.STOPWORDS)) + ")"
+    return f"""WITH q AS (SELECT conv_id, turn, 'what is the situation in ' || {names}[conv_id * 7 % {len(places_) + len(V.ALIASES)} + 1] AS b FROM conversations),
+r AS (SELECT conv_id, turn, lower(b || ' and in ' || substring(b, 26)) AS b FROM q),
+k AS (SELECT *, regexp_extract_all(b, '[a-z0-9]+') AS k FROM r), p AS (SELECT *, ' ' || array_to_string(k, ' ') || ' ' AS t FROM k),
+l AS (SELECT *, list_concat(list_filter([{alias} for x in k], lambda y: y IS NOT NULL), list_filter([{known}], lambda y: y IS NOT NULL)) AS raw FROM p),
+n AS (SELECT *, list_filter(raw, lambda x, i: list_position(raw, x) = i) AS locations FROM l),
+a AS (SELECT *, list_concat([lower(y) for y in locations], list_filter([{taken}], lambda y: y IS NOT NULL)) AS taken FROM n)
+SELECT conv_id, turn, locations, list_filter(k, lambda x: length(x) >= 2 AND x NOT IN {stop} AND NOT list_contains(taken, x)) AS search_terms, 'situation_brief' AS kind FROM a"""
+
+
+ORACLES["production_questions"] = _production_questions_sql()
