@@ -94,34 +94,47 @@ class Model:
         return float(-np.expm1(none))
 
 
+class Bags:
+    """Bags ``(plain sentences, known sentences as lists of word numbers, label,
+    weight)`` as arrays."""
+
+    def __init__(self, bags: list[tuple[int, list[list[int]], float, float]], size: int):
+        self.count, self.size = len(bags), size
+        self.owner = np.asarray([i for i, b in enumerate(bags) for _ in b[1]], dtype=int)
+        self.sentence = np.repeat(np.arange(len(self.owner)), [len(s) for b in bags for s in b[1]]) if len(self.owner) else np.zeros(0, int)
+        self.words = np.asarray([x for b in bags for s in b[1] for x in s], dtype=int)
+        self.plain = np.asarray([b[0] for b in bags], dtype=float)
+        self.y = np.asarray([b[2] for b in bags])
+        self.weight = np.asarray([b[3] for b in bags])
+
+    def likelihood(self, w: np.ndarray, bias: float, rest: float) -> tuple[float, np.ndarray, float, float]:
+        """The weighted log likelihood of the labels under noisy-or, and its
+        gradient by word weights, bias and rest."""
+        z = bias + np.bincount(self.sentence, weights=w[self.words], minlength=len(self.owner))
+        p = 1 / (1 + np.exp(-z))
+        p0, pr = 1 / (1 + np.exp(-bias)), 1 / (1 + np.exp(-rest))
+        none = np.bincount(self.owner, weights=-np.logaddexp(0, z), minlength=self.count) - self.plain * np.logaddexp(0, bias) - np.logaddexp(0, rest)
+        some = np.clip(-np.expm1(none), 1e-9, 1)
+        value = float((self.weight * (self.y * np.log(some) + (1 - self.y) * none)).sum())
+        # d log-likelihood / d sentence log-odds = p * (y * (1 - some) / some - (1 - y))
+        pull = self.weight * (self.y * np.exp(none) / some - (1 - self.y))
+        by_sentence = pull[self.owner] * p
+        by_word = np.bincount(self.words, weights=by_sentence[self.sentence], minlength=self.size)
+        return value, by_word, float((pull * self.plain * p0).sum() + by_sentence.sum()), float((pull * pr).sum())
+
+
 def fit(bags: list[tuple[int, list[list[int]], float, float]], size: int, start: np.ndarray) -> tuple[np.ndarray, float, float]:
-    """Weights, bias and rest of bags ``(plain sentences, known sentences as
-    lists of word numbers, label, weight)`` by gradient ascent on the noisy-or
-    likelihood."""
+    """Weights, bias and rest by gradient ascent on the noisy-or likelihood."""
     w, bias, rest = start.copy(), -9.0, -5.0
     if not bags:
         return w, bias, rest
-    owner = np.asarray([i for i, b in enumerate(bags) for _ in b[1]], dtype=int)
-    sentence = np.repeat(np.arange(len(owner)), [len(s) for b in bags for s in b[1]]) if len(owner) else np.zeros(0, int)
-    words = np.asarray([x for b in bags for s in b[1] for x in s], dtype=int)
-    plain = np.asarray([b[0] for b in bags], dtype=float)
-    y = np.asarray([b[2] for b in bags])
-    importance = np.asarray([b[3] for b in bags])
-    seen = np.bincount(words, minlength=size) + 10.0
+    data = Bags(bags, size)
+    seen, total = np.bincount(data.words, minlength=size) + 10.0, data.weight.sum()
     for _ in range(ROUNDS):
-        z = bias + np.bincount(sentence, weights=w[words], minlength=len(owner))
-        p = 1 / (1 + np.exp(-z))
-        p0, pr = 1 / (1 + np.exp(-bias)), 1 / (1 + np.exp(-rest))
-        none = np.bincount(owner, weights=-np.logaddexp(0, z), minlength=len(bags)) - plain * np.logaddexp(0, bias) - np.logaddexp(0, rest)
-        some = np.clip(-np.expm1(none), 1e-9, 1)
-        # d log-likelihood / d sentence log-odds = p * (y * (1 - some) / some - (1 - y))
-        pull = importance * (y * np.exp(none) / some - (1 - y))
-        by_sentence = pull[owner] * p
-        step = np.bincount(words, weights=by_sentence[sentence], minlength=size) - PENALTY * seen * w
-        w = np.clip(w + RATE * 8 * step / seen, -4, 14)
-        total = importance.sum()
-        bias = float(np.clip(bias + RATE * 20 * ((pull * plain * p0).sum() + by_sentence.sum()) / total, -14, -4))
-        rest = float(np.clip(rest + RATE * 20 * (pull * pr).sum() / total, -8, -1))
+        _, by_word, by_bias, by_rest = data.likelihood(w, bias, rest)
+        w = np.clip(w + RATE * 8 * (by_word - PENALTY * seen * w) / seen, -4, 14)
+        bias = float(np.clip(bias + RATE * 20 * by_bias / total, -14, -4))
+        rest = float(np.clip(rest + RATE * 20 * by_rest / total, -8, -1))
     return w, bias, rest
 
 
