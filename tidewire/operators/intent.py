@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import json
 import logging
+import re
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -98,6 +100,17 @@ def with_parser(question: str, parser, fallback) -> dict:
     return fallback(question)
 
 
+def parse_answer(text: str | None) -> dict | None:
+    """The JSON object in a language model's answer, with or without a code fence
+    around it; None if there is none."""
+    found = re.search(r"\{.*\}", text or "", re.DOTALL)
+    try:
+        answer = json.loads(found[0]) if found else None
+    except ValueError:
+        return None
+    return answer if isinstance(answer, dict) else None
+
+
 def route(kind: str, handlers: dict, *args):
     """Calls the handler of a kind of question, else that of ``general_search``."""
     return handlers.get(kind, handlers["general_search"])(*args)

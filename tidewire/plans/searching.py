@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tidewire.functions import embedding
 from tidewire.operators import search
 from tidewire.operators.index import TextIndex, vector_upsert
 from tidewire.plans.articles import ARTICLES_SQL, articles
@@ -74,6 +75,23 @@ def retrieval(spark, root):
     return search.retrieve(a, e, INTENT, F.col("q"), {"before": "2999"}, ["title", "article_text"])
 
 
+def index_stats(spark, root):
+    """Documents with a word and their mean length."""
+    return search.index_stats(search.features(table(spark, root, "documents"), "doc_id", ["text"], PHRASES)).select("docs", F.round("mean_size", 6).alias("mean_size"))
+
+
+def vector_search_by_three(spark, root):
+    """The nearest of those that have three values, at the production threshold."""
+    e = table(spark, root, "embeddings").withColumns({"level": F.when(F.col("vec_id") % 2 == 0, "HIGH").otherwise("LOW"), "kind": F.col("vec_id") % 3})
+    near = e.where("level = 'HIGH' AND kind = 0 AND label >= 0").crossJoin(_query_vector(spark, root))
+    return search.vector_search(near, F.col("q"), "vec_id", "embedding", search.VECTOR_HITS, search.LEAST_SIMILAR)
+
+
+def text_vectors(spark, root):
+    """Vectors of texts without a model, their filled places."""
+    return embedding.sparse(table(spark, root, "documents"), "doc_id", "text", 64).select("doc_id", "place", F.round("weight", 6).alias("weight"))
+
+
 def vector_upserts(spark, root):
     """New vectors beside kept and beside replaced ones."""
     e = table(spark, root, "embeddings").select("vec_id", "label")
@@ -118,7 +136,7 @@ def rerank(spark, root):
 
 
 _NEAR = "SELECT e.vec_id, round(list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])), 4) AS similarity FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 0) q"
-QUERIES |= {f.__name__: f for f in (bm25, keyword_search, indexed_search, index_upkeep, like_fallback, hits_with_articles, retrieval, vector_upserts, vector_search, vector_search_filtered, fusion, rerank)}
+QUERIES |= {f.__name__: f for f in (bm25, keyword_search, indexed_search, index_upkeep, like_fallback, hits_with_articles, retrieval, index_stats, vector_search_by_three, text_vectors, vector_upserts, vector_search, vector_search_filtered, fusion, rerank)}
 ORACLES["bm25"] = _POST + _HITS + " SELECT doc, matched, round(score, 9) AS score FROM s"
 ORACLES["keyword_search"] = _POST + _HITS + " SELECT doc, matched, round(score, 9) AS score FROM s, (SELECT max(matched) AS most FROM s) WHERE most < 2 OR matched = 2 ORDER BY s.score, doc LIMIT 20"
 ORACLES["vector_search"] = f"SELECT * FROM (SELECT * FROM ({_NEAR}) ORDER BY similarity DESC, vec_id LIMIT 30) WHERE similarity >= 0.1 ORDER BY similarity DESC, vec_id LIMIT 15"
@@ -160,3 +178,7 @@ y AS (SELECT *, b + CASE WHEN s >= 0.4 THEN 4 * s ELSE 0 END + CASE WHEN contain
 r AS (SELECT article_id, round(CASE WHEN score >= 3 THEN score + CASE threat_level WHEN 'CRITICAL' THEN 1.5 WHEN 'HIGH' THEN 1.0 WHEN 'MODERATE' THEN 0.5 ELSE 0 END ELSE score END, 6) AS rerank FROM y)
 SELECT article_id, CAST(rerank AS DOUBLE) AS rerank FROM r WHERE rerank >= 4 ORDER BY rerank DESC, article_id LIMIT 15"""
 )
+
+ORACLES["index_stats"] = "SELECT count(*) AS docs, round(avg(n), 6) AS mean_size FROM (SELECT len(regexp_extract_all(lower(text), '[a-z0-9]+')) AS n FROM documents) WHERE n > 0"
+ORACLES["vector_search_by_three"] = f"SELECT * FROM (SELECT * FROM ({_NEAR} WHERE e.vec_id % 6 = 0 AND e.label >= 0) ORDER BY similarity DESC, vec_id LIMIT 30) WHERE similarity >= 0.35 ORDER BY similarity DESC, vec_id LIMIT 15"
+ORACLES["text_vectors"] = "WITH w AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS w FROM documents), p AS (SELECT doc_id, CAST(CAST('0x' || substring(md5(w), 1, 8) AS BIGINT) % 64 AS INTEGER) AS place, count(*) AS n FROM w GROUP BY 1, 2) SELECT doc_id, place, round(n / sqrt(sum(n * n) OVER (PARTITION BY doc_id)), 6) AS weight FROM p"

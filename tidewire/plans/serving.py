@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tidewire.functions import vocabulary as V
 from tidewire.functions.geography import STATE_OF_CITY
-from tidewire.operators import aggregates, briefs, cards, facets, sectors
+from tidewire.operators import aggregates, briefs, cards, facets, reports, sectors
 from tidewire.operators.numbering import numbered
 from tidewire.plans.articles import ARTICLES_SQL, articles
 from tidewire.plans.briefs import KNOWN, _brief_sql
@@ -142,3 +142,9 @@ view("category_chart", lambda a: briefs.or_else(aggregates.distribution(a.where(
 add("confidence_percent", lambda spark, root: table(spark, root, "events").select("event_id", cards.confidence_percent(F.when(F.col("event_id") % 5 == 0, "none").otherwise(F.format_string("%.4f", F.col("value")))).alias("c")), "SELECT event_id, CASE WHEN event_id % 5 <> 0 THEN round_even(CASE WHEN CAST(printf('%.4f', value) AS DOUBLE) <= 1 THEN CAST(printf('%.4f', value) AS DOUBLE) * 100 ELSE CAST(printf('%.4f', value) AS DOUBLE) END, 1) END AS c FROM events")
 _KINDS = ["PIB Delhi", "Indian Army blog", "Defence Review", "The Diplomat", "ORF", "ANI", "PTI wire", "Govt press", "Daily Mail", "Military Times"]
 add("source_categories", lambda spark, root: table(spark, root, "nation").select("n_nationkey", cards.source_category(F.element_at(F.array(*map(F.lit, _KINDS)), F.col("n_nationkey") % len(_KINDS) + 1)).alias("category")), "SELECT n_nationkey, ['Official Government', 'Dedicated Defence', 'Dedicated Defence', 'Strategic Research', 'Strategic Research', 'News Wire', 'News Wire', 'Official Government', 'National Media', 'Dedicated Defence'][n_nationkey % 10 + 1] AS category FROM nation")
+
+
+_RULE = "=" * 54
+view("kpi_report", lambda a: reports.kpi_report(aggregates.kpis(a).select("total", "critical")), f"SELECT CAST(i - 1 AS INTEGER) AS line, t[i] AS text FROM (SELECT ['{_RULE}', 'Intelligence KPIs', '{_RULE}', printf('%-20s %8d', 'total', count(*)), printf('%-20s %8d', 'critical', count(*) FILTER (threat_level = 'CRITICAL')), '{_RULE}'] AS t FROM articles), range(1, 7) r(i)")
+view("category_report", lambda a: reports.category_report(aggregates.with_unlabelled(a, "article_type", ["click", "never"])), f"SELECT CAST(i - 1 AS INTEGER) AS line, t[i] AS text FROM (SELECT ['{_RULE}', 'Category distribution', '{_RULE}', printf('%-28s %8d %6.1f%%', 'click', c, round(c * 100 / (c + u), 1)), printf('%-28s %8d %6.1f%%', 'never', 0, 0.0), printf('%-28s %8d %6.1f%%', 'Unclassified', u, round(u * 100 / (c + u), 1)), '{_RULE}'] AS t FROM (SELECT count(*) FILTER (article_type = 'click') AS c, count(*) FILTER (article_type IS NULL) AS u FROM articles)), range(1, 8) r(i)")
+view("metric_report", lambda a: reports.metric_report(aggregates.metric_totals(a.select(F.lit("x").alias("g"), F.when(F.col("article_id") % 4 == 0, "y").otherwise("x").alias("p")), "g", "p", ["x", "y"]).select("sample_size", "accuracy")), f"SELECT CAST(i - 1 AS INTEGER) AS line, t[i] AS text FROM (SELECT ['{_RULE}', 'Classification metrics', '{_RULE}', printf('%-20s %8d', 'sample_size', count(*)), printf('%-20s %8.4f', 'accuracy', round(count(*) FILTER (article_id % 4 <> 0) / count(*), 4)), '{_RULE}'] AS t FROM articles), range(1, 7) r(i)")
