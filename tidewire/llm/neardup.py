@@ -309,8 +309,10 @@ def links(sets: DataFrame, buckets: DataFrame) -> DataFrame:
 
     centres = GROWTH
     while not active.isEmpty():
-        order = Window.partitionBy("bucket").orderBy("o")
-        first = active.withColumn("k", F.row_number().over(order)).where(F.col("k") <= centres)
+        # The first of each part, then of those the first of the bucket.
+        first = active
+        for group in (["bucket", "part"], ["bucket"]):
+            first = first.withColumn("k", F.row_number().over(Window.partitionBy(*group).orderBy("o"))).where(F.col("k") <= centres)
         first = _in_parts(first.select("bucket", "parts", F.col("o").alias("oa"), F.col("node").alias("a"), F.col("n").alias("na"), F.col("c").alias("ca"), F.col("x").alias("xa"), F.col("root").alias("ra")))
         possible = f"o > oa AND root <> ra AND {near} AND least(c, ca) + least(x, xa) >= (n + na) * {SHARE} - 1e-6"
         pairs = active.join(first, ["bucket", "part"]).where(possible).select("a", F.col("node").alias("b")).distinct()
