@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidewire.functions import vocabulary as V
 from tidewire.functions.geography import located
-from tidewire.functions.lexicon import in_order, terms_in_text, union_of
+from tidewire.functions.lexicon import grouped_terms, in_order, of_group, terms_in_text, union_of
 from tidewire.functions.rules import topics_of
 
 #: Shorter texts have no entities.
@@ -16,19 +16,10 @@ MOST_KEYWORDS, MOST_PHRASES, MOST_PARTS = 20, 3, 3
 ALL_EQUIPMENT = union_of(V.EQUIPMENT)
 
 
-def organizations(text: Column) -> Column:
-    """Known organisations; names of up to four letters in their own case."""
-    return terms_in_text(text, V.ORGANIZATIONS, keep_short=True)
-
-
-def equipment(text: Column) -> Column:
-    """Known equipment of all groups; short names in their own case."""
-    return terms_in_text(text, ALL_EQUIPMENT, keep_short=True)
-
-
-def countries(text: Column) -> Column:
-    """Known countries in any case."""
-    return terms_in_text(text, V.COUNTRIES)
+def named(text: Column) -> Column:
+    """Known organisations, equipment of all groups and countries, for ``of_group``;
+    short names of the first two in their own case."""
+    return grouped_terms(text, {"organization": V.ORGANIZATIONS, "equipment": ALL_EQUIPMENT, "country": V.COUNTRIES}, keep_short=("organization", "equipment"))
 
 
 def keywords(text: Column) -> Column:
@@ -59,15 +50,16 @@ def entities(df: DataFrame, title: str, text: str, recognised: str | None = None
     empty = F.expr("array()").cast("array<string>")
     both = F.concat_ws("\n", F.coalesce(title, F.lit("")), F.coalesce(text, F.lit("")))
     found = df.withColumn("_both", both)
+    found = found.withColumn("_named", F.when(F.length(F.trim("_both")) >= LEAST, named(F.col("_both"))))
     enough = F.length(F.trim("_both")) >= LEAST
     more = {n: F.coalesce(F.col(f"{recognised}.{n}"), empty) if recognised else empty for n in ("people", "organizations")}
     found = found.withColumns({
         "people": F.when(enough, people(more["people"])).otherwise(empty),
-        "organizations": F.when(enough, cleaned(F.concat(organizations(F.col("_both")), more["organizations"]))).otherwise(empty),
-        "countries": F.when(enough, countries(F.col("_both"))).otherwise(empty),
-        "equipment": F.when(enough, equipment(F.col("_both"))).otherwise(empty),
+        "organizations": F.when(enough, cleaned(F.concat(of_group(F.col("_named"), "organization"), more["organizations"]))).otherwise(empty),
+        "countries": F.when(enough, of_group(F.col("_named"), "country")).otherwise(empty),
+        "equipment": F.when(enough, of_group(F.col("_named"), "equipment")).otherwise(empty),
         "keywords": keywords(F.concat_ws(" ", F.coalesce(title, F.lit("")), F.coalesce(text, F.lit("")))),
-    }).drop("_both")
+    }).drop("_both", "_named")
     return found.withColumn("topics", topics_of(F.col("equipment"), F.col("keywords"), F.col("countries"), V.TOPICS))
 
 

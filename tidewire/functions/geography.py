@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from tidewire.functions import vocabulary as V
-from tidewire.functions.lexicon import look_up, terms_in_text
+from tidewire.functions.lexicon import grouped_terms, look_up, of_group
 from tidewire.functions.places import location_type
 from tidewire.functions.rules import confidence, first_rule
 
@@ -64,31 +64,30 @@ def _if(test: Column, *values: str) -> Column:
     return F.when(test, F.array(*map(F.lit, values))).otherwise(F.expr("array()").cast("array<string>"))
 
 
-def places_of(title: Column, text: Column) -> dict[str, Column]:
-    """``countries, states, cities, localities, regions`` (sorted lists) of a
-    title and text. A state or city implies the home country, a city its state,
-    a strategic place its state (and home) or country, a state its region. The
-    columns are to be computed once, with ``withColumns``, before they are used.
-    """
-    both = F.concat_ws("\n", F.coalesce(title, F.lit("")), F.coalesce(text, F.lit("")))
-    low = F.lower(both)
+def places_of(both: Column, low: Column) -> dict[str, Column]:
+    """What a text (and it in lower case) names: places of the lists, places that
+    are common words, and regions."""
     special = []
     for name, (own, pattern) in SPECIAL.items():
         hit = low.rlike(pattern)
         special.append(_if(hit | both.rlike(own) if own else hit, name))
     plain = [n for n in V.STRATEGIC if n not in SPECIAL]
     regions = [_if(low.rlike("|".join(patterns)), region) for region, patterns in V.REGION_PATTERNS.items()]
-    return {
-        "_countries": terms_in_text(both, PLACE_COUNTRIES),
-        "_states": terms_in_text(both, V.STATES),
-        "cities": terms_in_text(both, list(STATE_OF_CITY)),
-        "localities": _joined(terms_in_text(both, plain), *special),
-        "_regions": F.concat(*regions),
-    }
+    # One pass tells whether any region is named at all.
+    some = low.rlike("|".join(p for patterns in V.REGION_PATTERNS.values() for p in patterns))
+    named = grouped_terms(both, {"country": PLACE_COUNTRIES, "state": V.STATES, "city": list(STATE_OF_CITY), "place": plain}, lowered=low)
+    return {"_named": named, "_special": F.concat(*special), "_regions": F.when(some, F.concat(*regions)).otherwise(F.expr("array()").cast("array<string>"))}
+
+
+def by_group() -> dict[str, Column]:
+    """The lists of ``places_of`` by kind."""
+    return {"_countries": of_group(F.col("_named"), "country"), "_states": of_group(F.col("_named"), "state"), "cities": of_group(F.col("_named"), "city"), "localities": _joined(of_group(F.col("_named"), "place"), F.col("_special"))}
 
 
 def implied() -> dict[str, Column]:
-    """The lists that follow from those of ``places_of``."""
+    """The lists that follow from those of ``places_of``: a state or city implies
+    the home country, a city its state, a strategic place its state (and home) or
+    country, a state its region."""
     local_states = F.transform("localities", lambda p: strategic(p, 1))
     states = _joined(F.col("_states"), F.transform("cities", state_of), local_states)
     home = (F.size("_states") > 0) | (F.size("cities") > 0) | F.exists(local_states, lambda s: s.isNotNull())
@@ -104,11 +103,12 @@ def located(df, title: str, text: str):
     location_type, location_confidence``; earlier columns of these names go.
     Null titles and texts count as empty."""
     both = F.concat_ws("\n", F.coalesce(title, F.lit("")), F.coalesce(text, F.lit("")))
-    kept = df.withColumns({"_both": both}).withColumns(places_of(F.col(title), F.col(text))).withColumns(implied())
+    kept = df.withColumn("_both", both).withColumn("_low", F.lower("_both"))
+    kept = kept.withColumns(places_of(F.col("_both"), F.col("_low"))).withColumns(by_group()).withColumns(implied())
     # Of several strategic places the first by name gives the type.
     kind = F.element_at(F.concat(F.filter(F.transform("localities", lambda p: strategic(p, 0)), lambda t: t.isNotNull()), F.array(F.lit(None).cast("string"))), 1)
     kept = kept.withColumns({
-        "location_type": location_type(F.col("_both"), kind, V.LOCATION_TYPES, V.BORDER_STATES),
+        "location_type": location_type(F.col("_low"), kind, V.LOCATION_TYPES, V.BORDER_STATES, lowered=True),
         "location_confidence": F.round(confidence(F.col("countries"), F.col("states"), F.col("cities"), F.col("localities")), 6),
     })
-    return kept.drop("_both", "_countries", "_states", "_regions")
+    return kept.drop("_both", "_low", "_named", "_special", "_countries", "_states", "_regions")

@@ -56,11 +56,12 @@ def _found(text: Column, forms: dict[str, list[str]]) -> Column:
     return F.flatten(F.transform(seen, lambda f: F.element_at(table, f)))
 
 
-def terms_in_text(text: Column, terms: list[str] | dict[str, str], keep_short: bool = False) -> Column:
+def terms_in_text(text: Column, terms: list[str] | dict[str, str], keep_short: bool = False, lowered: bool = False) -> Column:
     """The terms that stand as whole words in a text, sorted and distinct.
 
     ``terms``: a list, or a map from forms to what they mean. Case does not
     count, but with ``keep_short`` names of up to four letters keep their own.
+    ``lowered``: the text is in lower case already.
     """
     pairs = terms.items() if isinstance(terms, dict) else [(t, t) for t in terms]
     plain: dict[str, list[str]] = {}
@@ -68,10 +69,31 @@ def terms_in_text(text: Column, terms: list[str] | dict[str, str], keep_short: b
     for form, value in pairs:
         kept = keep_short and len(form) <= SHORT
         (own if kept else plain).setdefault(form if kept else form.lower(), []).append(value)
-    parts = [_found(F.lower(text), plain)] + ([_found(text, own)] if own else [])
+    parts = [_found(text if lowered else F.lower(text), plain)] + ([_found(text, own)] if own else [])
     return F.array_sort(F.array_distinct(F.concat(*parts)))
 
 
+def grouped_terms(text: Column, groups: dict[str, list[str]], keep_short: tuple[str, ...] = (), lowered: Column | None = None) -> Column:
+    """The terms of several lists that a text has, in one pass over it: strings
+    ``group:term`` for ``of_group``. ``keep_short`` names the groups whose names
+    of up to four letters keep their case; ``lowered`` is the text in lower case.
+    """
+    plain: dict[str, list[str]] = {}
+    own: dict[str, list[str]] = {}
+    for group, terms in groups.items():
+        for term in terms:
+            kept = group in keep_short and len(term) <= SHORT
+            (own if kept else plain).setdefault(term if kept else term.lower(), []).append(f"{group}:{term}")
+    parts = [_found(F.lower(text) if lowered is None else lowered, plain)] + ([_found(text, own)] if own else [])
+    return F.concat(*parts)
+
+
+def of_group(found: Column, group: str) -> Column:
+    """The terms of one group, sorted and distinct."""
+    mine = F.filter(found, lambda t: t.startswith(f"{group}:"))
+    return F.array_sort(F.array_distinct(F.transform(mine, lambda t: F.substring(t, len(group) + 2, 1000))))
+
+
 def spaced(text: Column) -> Column:
     """The lower-case words of letters a-z and digits, with single spaces."""
     return F.trim(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), "[^a-z0-9]+", " "))
@@ -90,10 +112,19 @@ def runs_in_text(spaced_text: Column, forms: dict[str, str]) -> Column:
 
 def in_order(found: Column, terms: list[str], most: int | None = None) -> Column:
     """The found terms in the order of the list."""
-    kept = F.filter(F.array(*map(F.lit, terms)), lambda t: F.array_contains(found, t))
+    listed = F.array(*map(F.lit, terms))
+    placed = F.array_sort(F.transform(found, lambda t: F.struct(F.array_position(listed, t).alias("at"), t.alias("term"))))
+    kept = F.transform(placed, lambda x: x["term"])
     return F.slice(kept, 1, most) if most else kept
 
 
+def apart(column: str, use) -> Column:
+    """``use(column)`` for an array column that ``use`` takes into a function of
+    elements. The column is named twice, so that the optimizer does not move what
+    computes it into that function, to be computed for every element."""
+    return F.when(F.size(column) >= 0, use(F.col(column)))
+
+
 def contains_word(text: Column, words: list[str]) -> Column:
     """Whether any of the words is a substring of a text; null has none."""
     if not words:

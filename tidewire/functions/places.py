@@ -11,7 +11,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewire.functions.lexicon import runs_in_text, spaced
+from tidewire.functions.lexicon import contains_word, runs_in_text, spaced
 from tidewire.functions.rules import first_rule, match_gazetteer
 
 # Sentiment labels, what they are called, and the stance each implies.
@@ -97,11 +97,12 @@ def locate(df: DataFrame, key: str, text: str, gazetteer: list[tuple] | DataFram
     return out.withColumns({**{n: pick(n) for n in LISTS}, "strategic_type": F.try_element_at(first, F.lit(1))["type"]}).drop("_hits")
 
 
-def location_type(text: Column, strategic_type: Column, keywords: dict[str, list[str]], border: list[str]) -> Column:
+def location_type(text: Column, strategic_type: Column, keywords: dict[str, list[str]], border: list[str], lowered: bool = False) -> Column:
     """The type of a strategic place, else the first keyword group, else by the
-    border states, cities and states found (columns of ``locate``)."""
-    low = F.lower(text)
-    rules = [(contains_any(low, words), label) for label, words in keywords.items()]
+    border states, cities and states found (columns of ``locate``). ``lowered``:
+    the text is in lower case already."""
+    low = text if lowered else F.lower(text)
+    rules = [(contains_word(low, words), label) for label, words in keywords.items()]
     rules.append((F.arrays_overlap("states", F.array(*map(F.lit, border))) if border else F.lit(False), "border_area"))
     rules += [(F.size("cities") > 0, "city"), (F.size("states") > 0, "state")]
     return F.coalesce(F.nullif(strategic_type, F.lit("")), first_rule(rules, "unknown"))

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewire.functions.places import contains_any
-from tidewire.functions.lexicon import in_order, runs_in_text, spaced
+from tidewire.functions.lexicon import apart, in_order, runs_in_text, spaced
 from tidewire.functions.rules import first_rule
 
 # Words that name a severity, sentiment, kind of question or span of days.
@@ -45,9 +45,8 @@ def parse(questions: DataFrame, text: str, places: list[str], aliases: dict[str,
         names = F.create_map(*[x for place, own in known.items() for x in (F.lit(place), F.array(*map(F.lit, own)))])
         taken = F.concat(taken, F.flatten(F.transform("locations", lambda p: F.coalesce(F.try_element_at(names, p), empty))))
     q = q.withColumn("_taken", taken)
-    terms = F.filter(tokens, lambda t: (F.length(t) >= 2) & ~F.array_contains("_taken", t))
-    if stopwords:
-        terms = F.filter(terms, lambda t: ~t.isin(stopwords))
+    keep = lambda t: (F.length(t) >= 2) & ~t.isin(stopwords) if stopwords else F.length(t) >= 2
+    terms = apart("_taken", lambda taken: F.filter(tokens, lambda t: keep(t) & ~F.array_contains(taken, t)))
     days = F.lit(None).cast("int")
     for n, words in reversed(SPANS):
         days = F.when(contains_any(low, words), n).otherwise(days)
@@ -59,17 +58,18 @@ def parse(questions: DataFrame, text: str, places: list[str], aliases: dict[str,
         "days": days,
         "kind": kind,
     })
-    return out.withColumn("search_query", search_query(F.col("locations"), F.col("search_terms"), tokens)).drop("_low", "_words", "_tokens", "_taken")
-
-
-def search_query(locations: Column, terms: Column, fallback: Column) -> Column:
-    """Locations and terms, each once whatever its case, at most 200 characters;
-    the fallback tokens if there are none."""
-    parts = F.concat(locations, terms)
-    parts = F.when(F.size(parts) > 0, parts).otherwise(fallback)
-    low = F.transform(parts, F.lower)
-    once = F.filter(parts, lambda p, i: F.array_position(low, F.lower(p)) == i + 1)
-    return F.substring(F.array_join(once, " "), 1, QUERY_CHARS)
+    out = search_query(out, "locations", "search_terms", "_tokens")
+    return out.drop("_low", "_words", "_tokens", "_taken")
+
+
+def search_query(df: DataFrame, locations: str, terms: str, fallback: str) -> DataFrame:
+    """``df`` with ``search_query``: locations and terms, each once whatever its
+    case, at most 200 characters; the fallback tokens if there are none."""
+    both = F.concat(locations, terms)
+    q = df.withColumn("_parts", F.when(F.size(both) > 0, both).otherwise(F.col(fallback)))
+    q = q.withColumn("_lower", F.transform("_parts", F.lower))
+    once = apart("_lower", lambda low: F.filter("_parts", lambda p, i: F.array_position(low, F.lower(p)) == i + 1))
+    return q.withColumn("search_query", F.substring(F.array_join(once, " "), 1, QUERY_CHARS)).drop("_parts", "_lower")
 
 
 def filters_of(intent: dict, today: str) -> dict:
