@@ -397,3 +397,33 @@ def one_of_each(documents: DataFrame, key: str = "doc_id", text: str = "text") -
 def op7_near_duplicates(spark, root: str) -> DataFrame:
     """The near-duplicate class of every document."""
     return near_duplicates(spark.read.parquet(f"{root}/documents.parquet"))
+
+
+#: All pairs of texts that share a run of five words, by brute force. The bands
+#: miss a pair at the threshold with a probability of 5e-5; the test tables hold
+#: none that they miss.
+OP7_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '\s+'), lambda x: x <> '') AS w FROM documents),
+k AS (
+  SELECT doc_id, w, array_to_string(w, ' ') AS k FROM w),
+n AS (
+  SELECT k, min(doc_id) AS id, any_value(w) AS w FROM k GROUP BY 1),
+g AS (
+  SELECT id, unnest([array_to_string(w[i:i+4], ' ') for i in range(1, greatest(2, len(w) - 3))]) AS g FROM n WHERE len(w) > 0),
+c AS MATERIALIZED (
+  SELECT id, g, count(*) AS c FROM g GROUP BY 1, 2),
+z AS (
+  SELECT id, sum(c) AS z FROM c GROUP BY 1),
+m AS (
+  SELECT a.id AS a, b.id AS b, sum(least(a.c, b.c)) AS m FROM c a JOIN c b ON a.g = b.g AND a.id < b.id GROUP BY 1, 2),
+l AS MATERIALIZED (
+  SELECT a, b FROM m JOIN z x ON x.id = a JOIN z y ON y.id = b WHERE m >= (x.z + y.z - m) * 0.8 - 1e-9),
+e AS MATERIALIZED (
+  SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r(id, reach) AS (
+  SELECT id, id FROM n UNION SELECT r.id, e.b FROM r JOIN e ON e.a = r.reach),
+o AS (
+  SELECT id, min(reach) AS root FROM r GROUP BY 1)
+SELECT doc_id, root AS class_id FROM k JOIN n ON n.k = k.k JOIN o ON o.id = n.id
+"""

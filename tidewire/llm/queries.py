@@ -17,5 +17,4 @@ QUERIES = {
     "op9_shards": sharding.op9_shards,
 }
 
-#: DuckDB has no crc32, so op9's checksum column cannot be part of an oracle.
-ORACLES = {"op6_urls": urlfilter.OP6_SQL}
+ORACLES = {"op4_warc": warc.OP4_SQL, "op6_urls": urlfilter.OP6_SQL, "op7_near_duplicates": neardup.OP7_SQL, "op9_shards": sharding.OP9_SQL}

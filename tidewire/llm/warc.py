@@ -321,3 +321,16 @@ def op4_warc(spark: SparkSession, root: str) -> DataFrame:
     pages = spark.read.parquet(f"{root}/pages.parquet")
     packages = write_packages(pages, new_path(spark, "packages"))
     return digest_columns(read_packages(packages), F.nullif(F.col("record_id"), F.lit("")).cast("long"))
+
+
+#: Forty hexadecimal digits as base32: four letters for every five digits.
+OP4_SQL = """
+WITH p AS (
+  SELECT page_id, coalesce(html, '') AS body FROM pages),
+d AS (
+  SELECT page_id, CAST(strlen(body) AS BIGINT) AS payload_bytes, max(page_id) OVER (PARTITION BY body) AS first,
+         [CAST('0x' || x AS BIGINT) for x in regexp_extract_all(sha1(body), '.....')] AS five FROM p),
+b AS (
+  SELECT *, array_to_string([substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((n >> 15) & 31) + 1, 1) || substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((n >> 10) & 31) + 1, 1) || substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((n >> 5) & 31) + 1, 1) || substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (n & 31) + 1, 1) for n in five], '') AS payload_digest FROM d)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN first = page_id THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN first <> page_id THEN first END AS refers_to FROM b
+"""
