@@ -19,7 +19,10 @@ def _feeds(spark: SparkSession, root: str) -> DataFrame:
     d = table(spark, root, "documents").withColumn("feed", F.floor(F.col("doc_id") / 300))
     title = F.when(F.col("doc_id") % 7 == 0, "").otherwise(escape_html(F.concat(F.regexp_replace("source", "[0-9]", "<"), F.lit(" & "), F.col("doc_id").cast("string"))))
     link = F.when(F.col("doc_id") % 5 == 0, "").otherwise(F.concat(F.lit("http://feed/"), F.col("doc_id").cast("string")))
-    item = F.concat(F.lit("<item><title>"), title, F.lit("</title><link>"), link, F.lit("</link><description><![CDATA[<b>"), "source", F.lit("</b>  now]]></description><pubDate>Thu, 26 Nov 2026 15:06:00 GMT</pubDate></item>"))
+    # Some links stand after an empty tag; some dates are ISO, some are missing.
+    linked = F.when(F.col("doc_id") % 4 == 0, F.concat(F.lit("<link/>"), link, F.lit(" "))).otherwise(F.concat(F.lit("<link>"), link, F.lit("</link>")))
+    dated = F.when(F.col("doc_id") % 3 == 0, "<pubDate>Thu, 26 Nov 2026 15:06:00 GMT</pubDate>").when(F.col("doc_id") % 3 == 1, "<published>2025-02-03T04:05:06Z</published>").otherwise("")
+    item = F.concat(F.lit("<item><title>"), title, F.lit("</title>"), linked, F.lit("<description><![CDATA[<b>"), "source", F.lit("</b>  now]]></description>"), dated, F.lit("</item>"))
     rows = F.array_sort(F.collect_list(F.struct("doc_id", item.alias("item"))))
     feeds = d.groupBy(F.concat_ws("-", "source", "feed").alias("tag")).agg(F.array_join(F.transform(rows, lambda r: r["item"]), "\n").alias("items"))
     return feeds.select("tag", F.concat(F.lit("<rss><channel>"), "items", F.lit("</channel></rss>")).alias("value"))
@@ -44,6 +47,14 @@ def event_rows(spark: SparkSession, root: str) -> DataFrame:
     return web.event_rows(bodies, ["first", "second"], 100).select("url", "seendate", "query_topic", "sourcecountry")
 
 
+def cached_events(spark: SparkSession, root: str) -> DataFrame:
+    """A cache file of events with other spellings of its columns."""
+    p, path = table(spark, root, "pages"), new_path(spark, "cache")
+    rows = p.select(F.when(F.col("page_id") % 7 == 0, F.lit("ftp://x")).otherwise(F.col("url")).alias("URL"), F.lit("20260909T120000Z").alias("Date"), F.concat(F.lit("t, "), F.col("page_id").cast("string")).alias("title"), F.lit("X").alias("source_country"))
+    rows.coalesce(1).write.option("header", True).option("escape", '"').csv(path)
+    return web.cached_events(spark, path, "topic").select("url", "language", "query_topic").distinct()
+
+
 def indicator_join(spark: SparkSession, root: str) -> DataFrame:
     """Order totals with the last line amount of the same order."""
     share = table(spark, root, "orders").select("o_orderkey", F.when(F.col("o_orderkey") % 5 != 0, F.col("o_totalprice")).alias("value"))
@@ -85,10 +96,11 @@ def stream_sessions(spark: SparkSession, root: str) -> DataFrame:
     return counts.select(F.date_format("session_start", "yyyy-MM-dd HH:mm:ss").alias("session_start"), "user_id", "n")
 
 
-QUERIES |= {f.__name__: f for f in (feed_entries, feed_articles, event_rows, indicator_join, context_buckets, stream_windows, stream_sessions)}
-_ITEMS = "WITH i AS (SELECT doc_id, source, concat_ws('-', source, doc_id // 300) AS source_feed, CASE WHEN doc_id % 7 = 0 THEN '' ELSE regexp_replace(source, '[0-9]', '<', 'g') || ' & ' || doc_id END AS title, CASE WHEN doc_id % 5 = 0 THEN '' ELSE 'http://feed/' || doc_id END AS link, row_number() OVER (PARTITION BY source, doc_id // 300 ORDER BY doc_id) AS n FROM documents)"
-ORACLES["feed_entries"] = _ITEMS + " SELECT source_feed, title, link, source || ' now' AS summary, '2026-11-26T15:06:00+00:00' AS published, CASE WHEN link <> '' THEN link ELSE md5(title || '2026-11-26T15:06:00+00:00') END AS id FROM i WHERE n <= 5 AND (title <> '' OR link <> '')"
+QUERIES |= {f.__name__: f for f in (feed_entries, feed_articles, cached_events, event_rows, indicator_join, context_buckets, stream_windows, stream_sessions)}
+_ITEMS = "WITH i AS (SELECT doc_id, source, concat_ws('-', source, doc_id // 300) AS source_feed, CASE WHEN doc_id % 7 = 0 THEN '' ELSE regexp_replace(source, '[0-9]', '<', 'g') || ' & ' || doc_id END AS title, CASE WHEN doc_id % 5 = 0 THEN '' ELSE 'http://feed/' || doc_id END AS link, CASE doc_id % 3 WHEN 0 THEN '2026-11-26T15:06:00+00:00' WHEN 1 THEN '2025-02-03T04:05:06+00:00' ELSE '2026-01-01' END AS published, row_number() OVER (PARTITION BY source, doc_id // 300 ORDER BY doc_id) AS n FROM documents)"
+ORACLES["feed_entries"] = _ITEMS + " SELECT source_feed, title, link, source || ' now' AS summary, published, CASE WHEN link <> '' THEN link ELSE md5(title || published) END AS id FROM i WHERE n <= 5 AND (title <> '' OR link <> '')"
 ORACLES["feed_articles"] = _ITEMS + " SELECT source_feed, title, link FROM i WHERE n <= 20 AND title <> '' AND link <> ''"
+ORACLES["cached_events"] = "SELECT DISTINCT trim(url, ' ') AS url, 'English' AS language, 'topic' AS query_topic FROM pages WHERE page_id % 7 <> 0 AND starts_with(url, 'http')"
 ORACLES["event_rows"] = "WITH a AS (SELECT url, 1 AS k, page_id FROM (SELECT * FROM pages WHERE page_id % 2 = 0 AND url <> '' ORDER BY page_id LIMIT 100) UNION ALL SELECT url, 2, page_id FROM (SELECT * FROM pages WHERE url <> '' ORDER BY page_id LIMIT 100)) SELECT url, '2026-09-09T12:00:00Z' AS seendate, CASE min(k) WHEN 1 THEN 'first' ELSE 'second' END AS query_topic, 'X' AS sourcecountry FROM a GROUP BY url"
 ORACLES["indicator_join"] = "WITH a AS (SELECT l_orderkey, l_linenumber AS n, max(l_extendedprice) AS v FROM lineitem GROUP BY 1, 2), b AS (SELECT l_orderkey, arg_max(v, n) AS v FROM a GROUP BY 1) SELECT o_orderkey, round_even(o_totalprice, 4) AS value, round_even(nullif(v, 0), 2) AS amount FROM orders LEFT JOIN b ON o_orderkey = l_orderkey WHERE o_orderkey % 5 <> 0 AND o_totalprice IS NOT NULL"
 ORACLES["context_buckets"] = "SELECT n_nationkey, CASE WHEN upper(n_name[1:2]) IN ('CN', 'PK') THEN 'HIGH' WHEN upper(n_name[1:2]) IN ('AF', 'MM') THEN 'MODERATE' WHEN upper(n_name[1:2]) IN ('NP', 'BD', 'LK') THEN 'MONITOR' WHEN upper(n_name[1:2]) = 'IN' THEN 'SELF' ELSE 'REFERENCE' END AS context FROM nation"

@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidewire.operators import ingest, store
+from tidewire.operators import facets, ingest, intent, merge, store
 from tidewire.plans import stages
 from tidewire.plans.articles import ARTICLES_SQL, articles
 from tidewire.plans.scalars import sentences_sql
@@ -241,3 +241,43 @@ def saved_results(spark, root):
     counts = articles(spark, root).groupBy(F.col("threat_level").alias("gold")).agg(F.count("*").alias("n"))
     store.save_results(counts, path)
     return spark.read.schema("gold string, n long").json(f"{path}/results.json").join(spark.read.option("header", True).schema("gold string, m long").csv(f"{path}/confusion.csv"), "gold").where("n = m").select("gold", "n")
+
+
+@query("SELECT CAST(0 AS BIGINT) AS n, count(*) FILTER (event_id % 3 = 0) AS before FROM events")
+def cleared_dead_letters(spark, root):
+    """Dead letters before and after they are cleared."""
+    path = new_path(spark, "dead")
+    files.append_dead(_dead(spark, root), path)
+    before = files.read_dead(spark, path).count()
+    files.clear_dead(spark, path)
+    return files.read_dead(spark, path).agg(F.count("*").alias("n"), F.lit(before).cast("long").alias("before"))
+
+
+@query("SELECT n_nationkey, n_name, CAST(NULL AS INTEGER) AS rank, CAST(NULL AS VARCHAR) AS note FROM nation")
+def grown_schema(spark, root):
+    """A table that gets the columns which a newer schema has."""
+    newer = spark.createDataFrame([], "n_name string, rank int, note string").schema
+    return store.grow(table(spark, root, "nation").select("n_nationkey", "n_name"), newer)
+
+
+@query(ARTICLES_SQL + "SELECT CAST(article_id AS VARCHAR) AS article_id, article_type AS predicted, CAST(NULL AS VARCHAR) AS gold_category FROM articles")
+def labelling_file(spark, root):
+    """A file for annotators, read back; its empty columns are nulls."""
+    path = new_path(spark, "labelling")
+    store.labelling_file(articles(spark, root).select("article_id", F.col("article_type").alias("predicted")), path, ["article_id", "predicted"])
+    return spark.read.option("header", True).csv(path).select("article_id", "predicted", "gold_category")
+
+
+@query(ARTICLES_SQL + "SELECT article_id FROM articles WHERE threat_level = 'HIGH' AND published_at >= '2024-01-23'")
+def intent_filters(spark, root):
+    """The filters that a parsed question means."""
+    found = intent.filters_of({"threat_level": "HIGH", "days": 7, "sentiment": None}, "2024-01-30")
+    return facets.facet_filter(articles(spark, root), **found).select("article_id")
+
+
+@query("SELECT page_id, url FROM pages WHERE page_id % 2 = 0 UNION ALL SELECT page_id, CASE WHEN page_id % 5 = 0 THEN NULL ELSE url END AS url FROM pages WHERE page_id % 2 = 1 AND (page_id % 3 = 0 OR page_id % 5 = 0)")
+def append_new_and_keyless(spark, root):
+    """Another source's rows: those whose url is new, and those without one."""
+    p = table(spark, root, "pages").select("page_id", "url")
+    more = p.where("page_id % 2 = 1 AND (page_id % 3 = 0 OR page_id % 5 = 0)").withColumn("url", F.when(F.col("page_id") % 5 != 0, F.col("url")))
+    return merge.append_new(p.where("page_id % 2 = 0"), more, "url")
