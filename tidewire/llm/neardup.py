@@ -47,9 +47,9 @@ BANDS, ROWS = 25, 5
 #: By how much the centres of a bucket grow from round to round, and rows of a
 #: bucket's part.
 GROWTH, PART = 16, 256
-#: Rows of a list of texts that is broadcast (about 60 bytes each); a longer one
+#: Rows of a list of texts that is broadcast (about 160 bytes each); a longer one
 #: is joined by a shuffle.
-BROADCAST_ROWS = 500_000
+BROADCAST_ROWS = 300_000
 SEED = np.uint64(0x51ED2701A9C3)
 
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)

@@ -27,8 +27,9 @@ from pyspark.sql import functions as F
 from tidewire.llm.common import small_batches, text_of
 
 END_ID, LONGEST = 2, 4096
-#: Words and pieces of words whose ids a worker keeps (about 300 bytes each).
-CACHE_WORDS, CACHE_PIECES = 800_000, 400_000
+#: Words and pieces of words whose ids a worker keeps, from the second time that
+#: they occur (about 300 bytes each), and bits of the table that tells so.
+CACHE_WORDS, CACHE_PIECES, AGAIN_BITS = 500_000, 250_000, 22
 #: Longer words are encoded but not kept.
 CACHE_CHARS = 48
 #: Bytes of ids in a batch that a worker hands over.
@@ -62,15 +63,34 @@ def byte_symbols() -> dict[int, str]:
     return {c: "".join(symbol[b] for b in chr(c).encode()) for c in range(0xC0, 0x180)}
 
 
+class _Again:
+    """Whether a word was met before, nearly always right: bytes by the word's
+    hash, forgotten when half of them are set. Words that occur once so take no
+    room in a cache."""
+
+    def __init__(self):
+        self.seen, self.left = bytearray(1 << AGAIN_BITS), 1 << (AGAIN_BITS - 1)
+
+    def __call__(self, word: str) -> bool:
+        at = hash(word) & ((1 << AGAIN_BITS) - 1)
+        if self.seen[at]:
+            return True
+        self.seen[at] = 1
+        self.left -= 1
+        if not self.left:
+            self.__init__()
+        return False
+
+
 class _Pieces(dict):
     """Ids of a lower-cased piece, as bytes: the tokenizer's model applied to it."""
 
     def __init__(self, model):
-        self.model, self.symbols = model, byte_symbols()
+        self.model, self.symbols, self.again = model, byte_symbols(), _Again()
 
     def __missing__(self, piece: str) -> bytes:
         ids = array("I", [t.id for t in self.model.tokenize(piece.translate(self.symbols))]).tobytes()
-        if len(piece) <= CACHE_CHARS:
+        if len(piece) <= CACHE_CHARS and self.again(piece):
             self[piece] = ids
         return ids
 
@@ -80,7 +100,7 @@ class _Words(dict):
 
     def __init__(self, tokenizer, special: list[str]):
         self.tokenizer, self.special = tokenizer, special
-        self.pieces = _Pieces(tokenizer.model)
+        self.pieces, self.again = _Pieces(tokenizer.model), _Again()
 
     def __missing__(self, word: str) -> bytes:
         if _PLAIN.fullmatch(word) and not ("<" in word and any(s in word for s in self.special)):
@@ -88,7 +108,7 @@ class _Words(dict):
             ids = b"".join(map(self.pieces.__getitem__, _SPLIT.findall(word.lower())))
         else:
             ids = array("I", self.tokenizer.encode(word, add_special_tokens=False).ids).tobytes()
-        if len(word) <= CACHE_CHARS:
+        if len(word) <= CACHE_CHARS and self.again(word):
             self[word] = ids
         return ids
 
