@@ -116,13 +116,16 @@ def short_texts(spark, root):
 
 
 def _places_sql() -> str:
-    plain = [(n, n) for n in V.STRATEGIC if n not in geography.SPECIAL]
+    plain = _same(n for n in V.STRATEGIC if n not in geography.SPECIAL)
     special = "list_filter([CASE WHEN regexp_matches(b, '\\bUri\\b') OR regexp_matches(l, '\\buri\\s+(?:sector|attack|base|encounter|infiltration|loc)\\b') THEN 'Uri' END, CASE WHEN regexp_matches(l, '\\bhot\\s+springs?\\s+(?:sector|friction|lac|ladakh|patrol)\\b') THEN 'Hot Springs' END], lambda x: x IS NOT NULL)"
     spots = lambda at: "[" + ", ".join(f"{{'n': {_quoted(n)}, 'v': {_quoted(v[at])}}}" for n, v in V.STRATEGIC.items() if v[at]) + "]"
     of_city = "[" + ", ".join(f"{{'n': {_quoted(c)}, 'v': {_quoted(s)}}}" for c, s in geography.STATE_OF_CITY.items()) + "]"
     of_state = "[" + ", ".join(f"{{'n': {_quoted(s)}, 'v': {_quoted(r)}}}" for s, r in geography.REGION_OF_STATE.items()) + "]"
     at = lambda table, names: f"list_transform(list_filter({table}, lambda e: list_contains({names}, e.n)), lambda e: e.v)"
-    terms = " ".join(f"WHEN regexp_matches(l, '{'|'.join(w.lower() if w.islower() else chr(0) for w in words)}') THEN {_quoted(kind)}" for kind, words in ((k, [x for x in w if x.islower()]) for k, w in V.LOCATION_TYPES.items()))
+    # Words in capitals are never found in the lower-case text.
+    words = {kind: [w for w in found if w.islower()] for kind, found in V.LOCATION_TYPES.items()}
+    terms = " ".join(f"WHEN regexp_matches(l, '{'|'.join(found)}') THEN {_quoted(kind)}" for kind, found in words.items())
+    of_spot = " ".join(f"WHEN localities[1] = {_quoted(n)} THEN {_quoted(v[0])}" for n, v in V.STRATEGIC.items())
     regions = "list_filter([" + ", ".join(f"CASE WHEN regexp_matches(l, '{'|'.join(p)}') THEN {_quoted(r)} END" for r, p in V.REGION_PATTERNS.items()) + "], lambda x: x IS NOT NULL)"
     return f"""{STORY_SQL},
 f AS (SELECT *, {_named(_same(geography.PLACE_COUNTRIES), False)} AS c0, {_named(_same(V.STATES), False)} AS s0, {_sorted(_named(_same(geography.STATE_OF_CITY), False))} AS cities,
@@ -131,12 +134,11 @@ g AS (SELECT *, {_sorted(f"list_concat(s0, {at(of_city, 'cities')}, {at(spots(1)
 h AS (SELECT *, {_sorted(f"list_concat(c0, {at(spots(2), 'localities')}, CASE WHEN len(states) > 0 THEN ['India'] ELSE CAST([] AS VARCHAR[]) END)")} AS countries,
  {_sorted(f"list_concat(r0, {at(of_state, 'states')})")} AS regions FROM g)
 SELECT doc_id, countries, states, cities, localities, regions,
- CASE {" ".join(f"WHEN list_filter(localities, lambda x: x <> 'INS no')[1] = {_quoted(n)} THEN {_quoted(v[0])}" for n, v in V.STRATEGIC.items())}
-  {terms} WHEN list_has_any(states, {_list(V.BORDER_STATES)}) THEN 'border_area' WHEN len(cities) > 0 THEN 'city' WHEN len(states) > 0 THEN 'state' ELSE 'unknown' END AS location_type,
+ CASE {of_spot} {terms} WHEN list_has_any(states, {_list(V.BORDER_STATES)}) THEN 'border_area' WHEN len(cities) > 0 THEN 'city' WHEN len(states) > 0 THEN 'state' ELSE 'unknown' END AS location_type,
  CAST(round(CASE WHEN len(countries) > 0 THEN 0.3 ELSE 0 END + CASE WHEN len(states) > 0 THEN 0.3 ELSE 0 END + CASE WHEN len(cities) > 0 THEN 0.2 ELSE 0 END + CASE WHEN len(localities) > 0 THEN 0.2 ELSE 0 END, 6) AS DOUBLE) AS location_confidence FROM h"""
 
 
-@query(_places_sql().replace("list_filter(localities, lambda x: x <> 'INS no')[1]", "localities[1]"))
+@query(_places_sql())
 def story_places(spark, root):
     """Countries, states, cities, strategic places and regions of each story, what
     they imply, the kind of place and the confidence."""

@@ -37,6 +37,11 @@ def desk(name, run, sql, *columns):
     add(name, lambda spark, root: (lambda df: df.select(*columns) if columns else df)(run(_desk(spark, root))), ARTICLES_SQL + sql)
 
 
+def brief(name, run, where):
+    """A brief of the desk, of the articles that ``where`` means."""
+    add(name, lambda spark, root: run(_desk(spark, root)), _brief_sql("", where, "list_concat(cities, states, countries)"))
+
+
 BRIEF, BRIEF_SQL = ["article_id", "threat_level", "published_at"], "article_id, threat_level, published_at"
 _COUNT = lambda c: f"SELECT place, count(*) AS total, count(*) FILTER (threat_level IN ('HIGH','CRITICAL')) AS high_threat, count(*) FILTER (army_monitoring_needed = 'YES') AS monitoring FROM (SELECT unnest({c}) AS place, threat_level, army_monitoring_needed FROM articles WHERE nlp_processed = 1 OR states IS NOT NULL) GROUP BY 1 ORDER BY total DESC, place LIMIT 20"
 desk("desk_health", lambda d: d.health(), "SELECT 'ok' AS status, count(*) AS articles FROM articles")
@@ -62,18 +67,12 @@ desk("desk_legacy_articles", lambda d: d.legacy("CLICK", 50), f"SELECT * FROM ({
 desk("desk_digest", lambda d: d.digest(), "SELECT coalesce(article_type, 'Unclassified') AS category, row_number() OVER (PARTITION BY coalesce(article_type, 'Unclassified') ORDER BY published_at DESC, article_id) - 1 AS position, article_id FROM articles", "category", "position", "article_id")
 desk("desk_evaluation", lambda d: d.evaluation("article_type", "threat_level"), "SELECT count(*) > 0 AS available, count(*) AS samples, count(*) FILTER (article_type = threat_level) AS correct, CAST(0.0 AS DOUBLE) AS accuracy FROM articles")
 desk("desk_dead_letters", lambda d: d.dead_letters(25, "CSV"), "SELECT 'CSV' AS source_type, substring(CAST(ts AS VARCHAR), 1, 10) || 'T00:00:00' AS timestamp, 'error ' || printf('%08d', event_id) AS error_message FROM events WHERE event_id % 17 = 0 AND event_id % 2 = 0 ORDER BY timestamp DESC, error_message LIMIT 25")
-desk("desk_daily_brief", lambda d: d.daily_brief(), "SELECT 1")
-ORACLES["desk_daily_brief"] = _brief_sql("", "article_id IN (SELECT article_id FROM articles ORDER BY published_at DESC NULLS LAST, article_id LIMIT 30)", "list_concat(cities, states, countries)")
-desk("desk_situation_brief", lambda d: d.situation_brief("state3 Sector", ["nothing of it"]), "SELECT 1")
-ORACLES["desk_situation_brief"] = _brief_sql("", "article_id IN (SELECT article_id FROM articles WHERE title ILIKE '%state3%' OR len(list_filter(list_concat(states, cities, countries), lambda x: x ILIKE '%state3%')) > 0 ORDER BY published_at DESC NULLS LAST, article_id LIMIT 20)", "list_concat(cities, states, countries)")
-desk("desk_country_brief", lambda d: d.country_brief("en vs de"), "SELECT 1")
-ORACLES["desk_country_brief"] = _brief_sql("", "article_id IN (SELECT article_id FROM (SELECT article_id FROM articles WHERE len(list_filter(countries, lambda x: x ILIKE '%en%')) > 0 ORDER BY published_at DESC NULLS LAST, article_id LIMIT 25) UNION SELECT article_id FROM (SELECT article_id FROM articles WHERE len(list_filter(countries, lambda x: x ILIKE '%de%')) > 0 ORDER BY published_at DESC NULLS LAST, article_id LIMIT 25))", "list_concat(cities, states, countries)")
-desk("desk_trend_brief", lambda d: d.trend_brief(), "SELECT 1")
-ORACLES["desk_trend_brief"] = _brief_sql("", "article_id IN (SELECT article_id FROM articles ORDER BY published_at DESC NULLS LAST, article_id LIMIT 40)", "list_concat(cities, states, countries)")
-desk("desk_regional_brief", lambda d: d.regional_brief("state2"), "SELECT 1")
-ORACLES["desk_regional_brief"] = _brief_sql("", "article_id IN (SELECT article_id FROM articles WHERE len(list_filter(list_concat(states, cities, countries), lambda x: x ILIKE '%state2%')) > 0 ORDER BY published_at DESC NULLS LAST, article_id LIMIT 20)", "list_concat(cities, states, countries)")
-desk("desk_ask", lambda d: d.ask("what is critical", lambda q: {"kind": "situation_brief", "locations": ["state1"]}, lambda i: d.all.where("threat_level = 'CRITICAL'")), "SELECT 1")
-ORACLES["desk_ask"] = _brief_sql("", "article_id IN (SELECT article_id FROM articles WHERE threat_level = 'CRITICAL')", "list_concat(cities, states, countries)")
+brief("desk_daily_brief", lambda d: d.daily_brief(), "article_id IN (SELECT article_id FROM articles ORDER BY published_at DESC NULLS LAST, article_id LIMIT 30)")
+brief("desk_situation_brief", lambda d: d.situation_brief("state3 Sector", ["nothing of it"]), "article_id IN (SELECT article_id FROM articles WHERE title ILIKE '%state3%' OR len(list_filter(list_concat(states, cities, countries), lambda x: x ILIKE '%state3%')) > 0 ORDER BY published_at DESC NULLS LAST, article_id LIMIT 20)")
+brief("desk_country_brief", lambda d: d.country_brief("en vs de"), "article_id IN (SELECT article_id FROM (SELECT article_id FROM articles WHERE len(list_filter(countries, lambda x: x ILIKE '%en%')) > 0 ORDER BY published_at DESC NULLS LAST, article_id LIMIT 25) UNION SELECT article_id FROM (SELECT article_id FROM articles WHERE len(list_filter(countries, lambda x: x ILIKE '%de%')) > 0 ORDER BY published_at DESC NULLS LAST, article_id LIMIT 25))")
+brief("desk_trend_brief", lambda d: d.trend_brief(), "article_id IN (SELECT article_id FROM articles ORDER BY published_at DESC NULLS LAST, article_id LIMIT 40)")
+brief("desk_regional_brief", lambda d: d.regional_brief("state2"), "article_id IN (SELECT article_id FROM articles WHERE len(list_filter(list_concat(states, cities, countries), lambda x: x ILIKE '%state2%')) > 0 ORDER BY published_at DESC NULLS LAST, article_id LIMIT 20)")
+brief("desk_ask", lambda d: d.ask("what is critical", lambda q: {"kind": "situation_brief", "locations": ["state1"]}, lambda i: d.all.where("threat_level = 'CRITICAL'")), "article_id IN (SELECT article_id FROM articles WHERE threat_level = 'CRITICAL')")
 add("desk_ingestion_sources", lambda spark, root: _desk(spark, root).ingestion_sources(spark.createDataFrame([("click",), ("gone",)], "source_name string")), "SELECT coalesce(c.s, n.event_type) AS source_name, c.s IS NOT NULL AS configured, coalesce(n, 0) AS n FROM (SELECT unnest(['click', 'gone']) AS s) c FULL JOIN (SELECT event_type, count(*) AS n FROM events GROUP BY 1) n ON n.event_type = c.s")
 add("desk_record_counts", lambda spark, root: _desk(spark, root).record_counts(), "SELECT CASE WHEN event_id % 2 = 0 THEN 'CSV' ELSE 'JSON' END AS source_type, count(*) AS n FROM events GROUP BY 1 UNION ALL SELECT NULL, count(*) FROM events")
 
