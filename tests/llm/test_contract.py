@@ -176,7 +176,7 @@ def test_op10_base(spark, tables):
         assert [r[f"n_{k}"] for k in order] == [sum(x[0] == k for x in base) for k in order]
         spans = [x.split(":") for x in r["spans"].split(",") if x]
         spans = [(k, int(s), int(e)) for k, s, e in spans]
-        assert set(base) <= set(spans) and spans == sorted(spans, key=lambda x: (order.index(x[0]), x[1]))
+        assert len(spans) == r["n_spans"] and set(base) <= set(spans) and spans == sorted(spans, key=lambda x: (order.index(x[0]), x[1]))
 
 
 def test_normal_equations_and_isotonic_equal_brute_force(spark):

@@ -448,10 +448,10 @@ def redact_column(documents: DataFrame, text: str, model: dict) -> DataFrame:
 
 
 def op10_pii(spark, root: str) -> DataFrame:
-    """Personal data in every document: counts and digest of the base spans, and
-    all spans as text."""
+    """Personal data in every document: counts and digest of the base spans, all
+    spans as text and their number."""
     found = detect(spark.read.parquet(f"{root}/documents.parquet")).drop("redacted")
     joined = lambda c: F.array_join(F.transform(c, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
     count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
     counts = [count(kind) for kind in KINDS]
-    return found.select("doc_id", *counts, F.sha2(joined("base"), 256).alias("base_sha256"), joined("spans").alias("spans"))
+    return found.select("doc_id", *counts, F.sha2(joined("base"), 256).alias("base_sha256"), joined("spans").alias("spans"), F.size("spans").cast("long").alias("n_spans"))
