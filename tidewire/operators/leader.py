@@ -88,23 +88,35 @@ def hashed_pairs(df: DataFrame, key: str, vector: str, threshold: float, recall:
     rows = df.where(F.col(vector).isNotNull()).select(F.col(key).alias("id"), F.col(vector).cast("array<double>").alias("v"))
     each = stored(rows.withColumn("s", signatures("v")).select("id", F.explode("s").alias("s")), "signatures")
     sizes = stored(each.groupBy("s").agg(F.count("*").alias("n")).where("n > 1").select("s", F.ceil(F.col("n") / BLOCK).cast("int").alias("parts")), "sizes")
+    # Small groups share a task; a large one has tasks of its own.
+    cells = max(1, each.count() // BLOCK)
     parts = each.join(sizes, "s").withColumn("part", F.pmod(F.xxhash64("id", "s"), F.col("parts")).cast("int"))
     meet = parts.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    meet = meet.select("s", F.least("part", "other").alias("p"), F.greatest("part", "other").alias("q"), "part", "id").join(rows, "id")
+    cell = F.when(F.col("parts") == 1, F.pmod(F.xxhash64("s"), F.lit(cells))).otherwise(-1).alias("cell")
+    own = F.when(F.col("parts") > 1, F.col("s")).alias("own")
+    meet = meet.select("s", cell, own, F.least("part", "other").alias("p"), F.greatest("part", "other").alias("q"), "part", "id").join(rows, "id")
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("s")
         x = np.vstack(pdf.v.to_numpy())
         x = x / np.linalg.norm(x, axis=1, keepdims=True)
         ids, part, p, q = pdf.id.to_numpy(), pdf.part.to_numpy(), pdf.p.iloc[0], pdf.q.iloc[0]
-        one, two = np.flatnonzero(part == p), np.flatnonzero(part == q)
-        sims = x[one] @ x[two].T
-        i, j = np.nonzero(sims >= threshold)
-        a, b = ids[one[i]], ids[two[j]]
-        keep = a < b if p == q else a != b
-        return pd.DataFrame({"a": np.minimum(a, b)[keep], "b": np.maximum(a, b)[keep], "similarity": sims[i, j][keep]})
-
-    found = meet.groupBy("s", "p", "q").applyInPandas(compare, "a long, b long, similarity double")
-    return found.groupBy("a", "b").agg(F.max("similarity").alias("similarity"))
+        cuts = np.flatnonzero(np.diff(pdf.s.to_numpy())) + 1
+        found = []
+        for start, end in zip([0, *cuts], [*cuts, len(pdf)], strict=True):
+            own = np.arange(start, end)
+            one, two = own[part[own] == p], own[part[own] == q]
+            sims = x[one] @ x[two].T
+            i, j = np.nonzero(sims >= threshold)
+            a, b = ids[one[i]], ids[two[j]]
+            keep = a < b if p == q else a != b
+            if keep.any():
+                found.append((np.minimum(a, b)[keep], np.maximum(a, b)[keep], sims[i, j][keep]))
+        a, b, sims = (np.concatenate(c) for c in zip(*found, strict=True)) if found else ([], [], [])
+        return pd.DataFrame({"a": np.asarray(a, dtype="int64"), "b": np.asarray(b, dtype="int64"), "similarity": np.asarray(sims, dtype="float64")})
+
+    pairs = meet.groupBy("cell", "own", "p", "q").applyInPandas(compare, "a long, b long, similarity double")
+    return pairs.groupBy("a", "b").agg(F.max("similarity").alias("similarity"))
 
 
 def leader_clusters(df: DataFrame, key: str, vector: str, threshold: float, exact: bool = False) -> DataFrame:

@@ -154,6 +154,19 @@ def leader_clusters(spark, root):
     return leader.leader_clusters(table(spark, root, "embeddings"), "vec_id", "embedding", 0.3, exact=True).select("vec_id", "leader", "is_leader")
 
 
+def hashed_clusters(spark, root):
+    """Leader clustering at the production threshold, its pairs by signatures: of
+    the vectors and near copies of every fifth one."""
+    e = table(spark, root, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("v"))
+    near = F.transform("v", lambda x, i: F.when(i % 16 == 0, x * 0.5).otherwise(x))
+    both = e.unionByName(e.where("vec_id % 5 = 0").select((F.col("vec_id") + 1_000_000_000).alias("vec_id"), near.alias("v")))
+    return leader.leader_clusters(both, "vec_id", "v", 0.82).select("vec_id", "leader", "is_leader")
+
+
+QUERIES["hashed_clusters"] = hashed_clusters
+ORACLES["hashed_clusters"] = ORACLES["leader_clusters"].replace("v AS (SELECT vec_id, embedding, row_number() OVER (ORDER BY vec_id) AS i FROM embeddings)", "x AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS embedding FROM embeddings UNION ALL SELECT vec_id + 1000000000, [CASE WHEN (i - 1) % 16 = 0 THEN CAST(embedding[i] AS DOUBLE) * 0.5 ELSE CAST(embedding[i] AS DOUBLE) END for i in range(1, len(embedding) + 1)] FROM embeddings WHERE vec_id % 5 = 0), v AS (SELECT vec_id, embedding, row_number() OVER (ORDER BY vec_id) AS i FROM x)").replace(">= 0.3", ">= 0.82")
+
+
 @query("SELECT count(*) AS clusters, CAST(sum(n) AS BIGINT) AS articles, CAST(sum(n - 1) AS BIGINT) AS duplicates, max(n) AS largest FROM (SELECT source, count(*) AS n FROM documents GROUP BY 1)")
 def cluster_statistics(spark, root):
     return cluster_stats(table(spark, root, "documents"), "source")
