@@ -73,14 +73,18 @@ def materialize(df: DataFrame, name: str, narrow: bool = False) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def small_batches(spark: SparkSession) -> None:
-    """Bound the rows of an Arrow batch (see ``BATCH_ROWS``), and let local
-    Python workers find this package wherever the driver was started. Both are
-    settings of the session and stay set."""
+def importable(spark: SparkSession) -> None:
+    """Let local Python workers find this package wherever the driver was started."""
     root = str(Path(__file__).resolve().parents[2])
     paths = spark.sparkContext.environment.get("PYTHONPATH", "")
     if root not in paths.split(os.pathsep):
         spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join(filter(None, [paths, root]))
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bound the rows of an Arrow batch (see ``BATCH_ROWS``) and make the package
+    importable. Both are settings of the session and stay set."""
+    importable(spark)
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
         spark.conf.set(key, str(BATCH_ROWS))

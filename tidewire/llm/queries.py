@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidewire.llm import ann, decontaminate, neardup, packing, pii, quality, sharding, toxicity, urlfilter, warc
+from tidewire.llm import ann, decontaminate, merkle, neardup, packing, pii, quality, sharding, toxicity, urlfilter, warc
 
 QUERIES = {
     "op1_leaks": decontaminate.op1_leaks,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_toxicity": toxicity.op8_toxicity,
     "op10_pii": pii.op10_pii,
     "op9_shards": sharding.op9_shards,
+    "op13_manifest": merkle.op13_manifest,
 }
 
-ORACLES = {"op4_warc": warc.OP4_SQL, "op6_urls": urlfilter.OP6_SQL, "op7_near_duplicates": neardup.OP7_SQL, "op9_shards": sharding.OP9_SQL}
+ORACLES = {"op4_warc": warc.OP4_SQL, "op6_urls": urlfilter.OP6_SQL, "op7_near_duplicates": neardup.OP7_SQL, "op9_shards": sharding.OP9_SQL, "op13_manifest": merkle.OP13_SQL}
