@@ -28,26 +28,33 @@ def query(sql=None):
     return register
 
 
-def _main_sql(c: str) -> str:
-    out = rf"regexp_replace(coalesce({c}, ''), '(?s)<!--.*?-->', ' ', 'g')"
-    for tag in pages.DROPPED:
-        out = rf"regexp_replace({out}, '(?is)<{tag}\b[^>]*>.*?</{tag}\s*>', ' ', 'g')"
-    return out
-
-
-_REGION = "CASE " + " ".join(rf"WHEN trim(regexp_extract(c, '(?is)<{t}\b[^>]*>(.*)</{t}\s*>', 1), ' ') <> '' THEN regexp_extract(c, '(?is)<{t}\b[^>]*>(.*)</{t}\s*>', 1)" for t in pages.MAIN) + " ELSE c END"
-_UNESCAPED = r"regexp_replace(regexp_replace(r, '(?i)</?(?:br|p|div|li|ul|ol|h[1-6]|section|article|main|blockquote|pre)\b[^>]*>', chr(10), 'g'), '<[^>]*>', '', 'g')"
-for _a, _b in pages.ENTITIES:
-    _UNESCAPED = f"replace({_UNESCAPED}, '{_a}', '{_b.replace(chr(39), chr(39) * 2)}')"
-_PAGES = f"""WITH a AS (SELECT page_id, url, {_main_sql("CASE WHEN page_id % 4 = 0 THEN NULL ELSE html END")} AS c FROM pages), b AS (SELECT page_id, url, {_REGION} AS r FROM a),
-d AS (SELECT page_id, url, array_to_string(list_filter([trim(regexp_replace(x, '[\\s\\x{{A0}}]+', ' ', 'g'), ' ') for x in string_split({_UNESCAPED}, chr(10))], lambda x: x <> ''), chr(10)) AS t FROM b)
-SELECT page_id, CASE WHEN length(t) > 50 AND page_id % 9 <> 0 THEN md5(t) WHEN length(url) > 20 AND page_id % 2 = 0 THEN md5(url) END AS h, CASE WHEN length(t) > 50 AND page_id % 9 <> 0 THEN 'Extracted' WHEN length(url) > 20 AND page_id % 2 = 0 THEN 'Fallback-Summary' ELSE 'Failed' END AS method FROM d"""
+_OPENED = "sum(CASE WHEN name IN ({}) THEN CASE WHEN starts_with(token, '</') THEN -1 ELSE 1 END ELSE 0 END) OVER w"
+_RAW_TOKENS = "|".join(rf"<{t}\b.*?</{t}\s*>" for t in pages.RAW)
+_NAMES = ", ".join(f"'{t}'" for t in pages.DROPPED if t not in pages.RAW)
+_BREAK_NAMES = ", ".join(f"'{t}'" for t in pages.BREAKS)
+_PAGES = rf"""WITH p AS (SELECT page_id, url, CASE WHEN page_id % 4 = 0 THEN '' WHEN page_id % 3 = 1 THEN replace(replace(html, '<article>', '<div>'), '</article>', '</div>') ELSE html END AS h FROM pages),
+l AS (SELECT page_id, regexp_extract_all(h, '(?is)<!--.*?-->|{_RAW_TOKENS}|</?[a-z][^>]*>|<![^>]*>|[^<]+|<') AS tokens FROM p),
+t AS (SELECT page_id, unnest(tokens) AS token, generate_subscripts(tokens, 1) AS i FROM l),
+n AS (SELECT *, lower(regexp_extract(token, '^</?([a-zA-Z][a-zA-Z0-9]*)', 1)) AS name FROM t),
+o AS (SELECT *, {_OPENED.format(_NAMES)} AS dropped, {_OPENED.format("'article'")} AS in_article, {_OPENED.format("'main'")} AS in_main, {_OPENED.format("'body'")} AS in_body, {_OPENED.format("'a'")} AS linked,
+ sum(CASE WHEN name IN ({_BREAK_NAMES}) THEN 1 ELSE 0 END) OVER w AS line FROM n WINDOW w AS (PARTITION BY page_id ORDER BY i)),
+b AS (SELECT page_id, line, string_agg(token, '' ORDER BY i) AS raw, coalesce(string_agg(token, '' ORDER BY i) FILTER (linked > 0), '') AS in_links,
+ max(CASE WHEN in_article > 0 THEN 3 WHEN in_main > 0 THEN 2 WHEN in_body > 0 THEN 1 ELSE 0 END) AS region FROM o WHERE name = '' AND NOT starts_with(token, '<!') AND dropped = 0 GROUP BY page_id, line),
+c AS (SELECT page_id, line, region, [list_filter(regexp_split_to_array(replace(replace(replace(replace(x, '&copy;', '©'), '&middot;', '·'), '&quot;', '"'), '&amp;', '&'), '[\s\x{{A0}}]+'), lambda y: y <> '') for x in [raw, in_links]] AS w FROM b),
+d AS (SELECT page_id, line, region, array_to_string(w[1], ' ') AS t, length(array_to_string(w[1], '')) AS chars, length(array_to_string(w[2], '')) AS links, greatest(len(w[1]), length(array_to_string(w[1], ' ')) // 8) AS words FROM c WHERE len(w[1]) > 0),
+e AS (SELECT *, max(region) OVER (PARTITION BY page_id) AS best FROM d),
+f AS (SELECT *, coalesce(lag(links / chars) OVER v, 0) AS before_links, coalesce(lag(words) OVER v, 0) AS before_words, coalesce(lead(words) OVER v, 0) AS after_words FROM e WHERE region = best WINDOW v AS (PARTITION BY page_id ORDER BY line)),
+g AS (SELECT page_id, string_agg(t, chr(10) ORDER BY line) AS t FROM f WHERE links * 3 <= chars AND (region > 1 OR CASE WHEN before_links <= 0.555556 THEN words > 16 OR after_words > 15 OR before_words > 4 ELSE words > 40 OR after_words > 17 END) GROUP BY page_id)
+SELECT page_id, CASE WHEN length(t) > 50 AND page_id % 9 <> 0 THEN md5(t) WHEN length(url) > 20 AND page_id % 2 = 0 THEN md5(url) END AS h, CASE WHEN length(t) > 50 AND page_id % 9 <> 0 THEN 'Extracted' WHEN length(url) > 20 AND page_id % 2 = 0 THEN 'Fallback-Summary' ELSE 'Failed' END AS method FROM p LEFT JOIN g USING (page_id)"""
 
 
 @query(_PAGES)
 def page_texts(spark, root):
-    """The prose of each page; a summary where a page gives none."""
-    p = table(spark, root, "pages").withColumns({"one": F.when(F.col("page_id") % 2 == 0, F.lit("<p>short</p>")), "two": F.when(F.col("page_id") % 4 != 0, F.col("html"))})
+    """The prose of each page, a third of them without an article element; a
+    summary where a page gives none."""
+    bare = F.replace(F.replace("html", F.lit("<article>"), F.lit("<div>")), F.lit("</article>"), F.lit("</div>"))
+    html = F.when(F.col("page_id") % 4 != 0, F.when(F.col("page_id") % 3 == 1, bare).otherwise(F.col("html")))
+    p = table(spark, root, "pages").withColumns({"one": F.when(F.col("page_id") % 2 == 0, F.lit("<p>short</p>")), "two": html})
     p = p.withColumns({"summary": F.when(F.col("page_id") % 2 == 0, F.col("url")), "status": F.when(F.col("page_id") % 9 == 0, 404).otherwise(200)})
     return pages.article_texts(p, "one", "two", "summary", "status").select("page_id", F.md5("article_text").alias("h"), F.col("extraction_method").alias("method"))
 
