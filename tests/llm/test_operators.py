@@ -233,6 +233,51 @@ def test_lists_grow_with_the_square_root():
     assert [ann.lists_for(n) for n in (1, 1000, 51_200, 10**8, 10**10)] == [1, 1, 100, 20_000, 200_000]
 
 
+def test_fit_takes_bounded_memory():
+    import tracemalloc
+
+    x = np.random.default_rng(5).standard_normal((ann.SAMPLE_BYTES // (8 * 64), 64))
+    tracemalloc.start()
+    model = ann.fit(x, 10**6, 5)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 500e6 and len(model["centroids"]) == ann.lists_for(10**6) and len(model["seen"]) == ann.SEEN
+    assert len(ann.fit(x[:3200], 10**10, 5)["centroids"]) == 3200 // ann.PER_LIST
+
+
+def test_blocks_of_distances_change_nothing(monkeypatch):
+    x = np.random.default_rng(6).standard_normal((700, 20))
+    whole = ann.closest(x, x[:30]), ann.radii(x, x[:50], 6), ann.fit(x, 10**5, 5)
+    monkeypatch.setattr(ann, "BLOCK_BYTES", 5000)
+    parts = ann.closest(x, x[:30]), ann.radii(x, x[:50], 6), ann.fit(x, 10**5, 5)
+    assert (whole[0] == parts[0]).all() and np.allclose(whole[1], parts[1])
+    assert np.allclose(whole[2]["centroids"], parts[2]["centroids"]) and whole[2]["probes"] == parts[2]["probes"]
+
+
+def test_calibration_counts_what_the_test_loses():
+    rng = np.random.default_rng(9)
+    # Nearest vectors differ in the first columns of the rotated space only.
+    x = rng.standard_normal((2000, 64))
+    model = ann.fit(x, 2000, 5)
+    u = ann._unit(x) @ model["rotation"]
+    sims = u[:200] @ u.T
+    sims[np.arange(200), np.arange(200)] = -9
+    best = np.argsort(-sims, axis=1)[:, :5]
+    radius = np.repeat(ann.radii(u[:200], model["seen"], 6), 5)
+    kept = ann.survives(np.repeat(u[:200], 5, axis=0), u[best.ravel()], radius, model["epsilon"])
+    assert kept.mean() >= 0.97 and model["epsilon"] >= ann.EPSILON
+
+
+def test_exact_search_finds_all(spark):
+    x = np.random.default_rng(10).standard_normal((3000, 16))
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<double>")
+    got = {(r.query_id, r["rank"]): r.vec_id for r in ann.nearest(df, df.where("vec_id % 50 = 0"), exact=True).collect()}
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    sims = u[::50] @ u.T
+    sims[np.arange(60), np.arange(0, 3000, 50)] = -9
+    assert got == {(50 * i, r + 1): int(j) for i, row in enumerate(np.argsort(-sims, axis=1)[:, :5]) for r, j in enumerate(row)}
+
+
 def test_few_candidates(spark):
     df = spark.createDataFrame([(0, [1.0, 0.0]), (50, [2.0, 0.0]), (3, [0.0, 1.0])], "vec_id long, embedding array<double>")
     rows = ann.nearest(df, df.where("vec_id % 50 = 0")).orderBy("query_id", "rank").collect()

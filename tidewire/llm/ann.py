@@ -1,11 +1,14 @@
 """Nearest neighbours by an adaptive dimension scan of an inverted file.
 
 Fit (on a sample, on the driver): a random rotation, centroids by spherical
-k-means, and the number of lists to probe, the smallest that reaches ``TARGET``
-recall on the sample. There are as many lists as keep both a list and their
-number near the square root of all vectors, and the sample has ``PER_LIST``
-vectors a list (``SAMPLE`` at least), so what the driver holds and what tasks get
-as a broadcast grow with that root. Index: every distinct
+k-means, the significance of the test, and the number of lists to probe, the
+smallest that reaches ``TARGET`` recall on the sample with what the test loses.
+There are as many lists as keep both a list and their number near the square root
+of all vectors, and the sample has ``PER_LIST`` vectors a list (``SAMPLE`` at
+least), up to ``SAMPLE_BYTES`` of vectors, from where lists get longer instead of
+more. Distances to all lists are computed in blocks of ``BLOCK_BYTES``, so the
+driver holds a few times that and the sample, and tasks get the lists and ``SEEN``
+vectors as a broadcast. Index: every distinct
 vector is put into the list of its nearest centroid; a list is split into
 blocks of bounded size. Search: a query goes to every block of its nearest
 lists. In a block, rotated vectors are read in column blocks; after each one
@@ -14,7 +17,8 @@ query's radius, and candidates that exceed it significantly are abandoned.
 The radius is the distance to the K-th nearest sample vector, an upper bound.
 What survives is scored by the exact cosine of the original vectors. The
 sample's nearest may lie in lists that are not probed; a query that is left with
-too few hits goes to every list, without a radius.
+too few hits goes to every list, without a radius. ``exact`` sends every query to
+every list and abandons nothing.
 
 Equal vectors are searched once: candidates and queries are first grouped by
 the vector, keeping the smallest ids, so a vector that a third of all rows
@@ -35,11 +39,14 @@ from tidewire.llm.common import materialize, small_batches
 #: About so many vectors the index is fitted on at least, and for each list (by
 #: hash, at most twice as many); the recall it is calibrated to.
 SAMPLE, PER_LIST, TARGET = 8192, 16, 0.97
+#: Bytes of the sample's vectors at most, of a block of distances, and vectors of
+#: the sample that give a query its radius at most.
+SAMPLE_BYTES, BLOCK_BYTES, SEEN = 64 << 20, 16 << 20, 16_384
 #: Vectors a list has, up to where the square root takes over.
 IN_LIST = 512
 #: Vectors of one candidate block and queries of one query block at most.
 BLOCK, QUERIES = 4096, 4096
-#: Rotated dimensions of a column block and the significance of the test.
+#: Rotated dimensions of a column block and the significance of the test at least.
 COLUMNS, EPSILON = 16, 2.1
 SEED = 7
 
@@ -62,44 +69,94 @@ def lists_for(total: int) -> int:
     return int(max(1, min(total // IN_LIST, 2 * total**0.5)))
 
 
+def _blocks(rows: int, columns: int) -> Iterator[slice]:
+    """Slices of rows whose distances to so many others fit a block."""
+    step = max(1, BLOCK_BYTES // (8 * max(columns, 1)))
+    for at in range(0, rows, step):
+        yield slice(at, min(at + step, rows))
+
+
+def closest(x: np.ndarray, centroids: np.ndarray) -> np.ndarray:
+    """The list of each vector."""
+    found = np.empty(len(x), np.int64)
+    for part in _blocks(len(x), len(centroids)):
+        found[part] = (x[part] @ centroids.T).argmax(axis=1)
+    return found
+
+
+def radii(x: np.ndarray, seen: np.ndarray, keep: int) -> np.ndarray:
+    """Squared distances to the ``keep``-th nearest of the vectors seen; 4, which
+    bounds all, if there are fewer."""
+    if len(seen) < keep:
+        return np.full(len(x), 4.0)
+    found = np.empty(len(x))
+    for part in _blocks(len(x), len(seen)):
+        found[part] = 2 + 2 * np.partition(-(x[part] @ seen.T), keep - 1, axis=1)[:, keep - 1]
+    return found
+
+
 def fit(sample: np.ndarray, total: int, k: int) -> dict:
-    """Rotation, centroids, probes and the sample itself."""
+    """Rotation, centroids, probes, significance and the vectors seen."""
     rng = np.random.default_rng(SEED)
     dim = sample.shape[1]
     rotation = np.linalg.qr(rng.standard_normal((dim, dim)))[0]
     x = _unit(sample) @ rotation
-    lists = min(lists_for(total), len(x))
+    lists = min(lists_for(total), max(1, len(x) // PER_LIST))
     centroids = x[rng.choice(len(x), lists, replace=False)].copy()
     for _ in range(10):
+        near = closest(x, centroids)
+        order = np.argsort(near, kind="stable")
+        first = np.flatnonzero(np.diff(near[order], prepend=-1))
         sums = np.zeros_like(centroids)
-        np.add.at(sums, (x @ centroids.T).argmax(axis=1), x)
+        sums[near[order[first]]] = np.add.reduceat(x[order], first, axis=0)
         norm = np.linalg.norm(sums, axis=1, keepdims=True)
         centroids = np.where(norm > 0, sums / np.where(norm > 0, norm, 1), centroids)
-    near = (x @ centroids.T).argmax(axis=1)
+    near, seen = closest(x, centroids), x[:SEEN]
     tests = rng.choice(len(x), min(400, len(x)), replace=False)
-    sims = x[tests] @ x.T
-    sims[np.arange(len(tests)), tests] = -np.inf
-    best = np.argsort(-sims, axis=1)[:, : min(k, len(x) - 1)] if len(x) > 1 else np.zeros((len(tests), 0), int)
-    order = np.argsort(-(x[tests] @ centroids.T), axis=1)
-    place = np.argsort(order, axis=1)  # position of each list in each query's order
-    depth = np.take_along_axis(place, near[best], axis=1) if best.size else np.zeros((1, 1), int)
-    probes = int(np.quantile(depth, TARGET, method="higher")) + 1 if depth.size else lists
-    return {"rotation": rotation, "centroids": centroids, "probes": min(probes, lists), "sample": x}
-
-
-def adaptive_scan(queries: np.ndarray, radius: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    k = min(k, len(x) - 1)
+    best, depth = np.zeros((len(tests), k), int), np.zeros((len(tests), k), int)
+    for part in _blocks(len(tests), len(x) + lists):
+        sims = x[tests[part]] @ x.T
+        sims[np.arange(len(sims)), tests[part]] = -np.inf
+        best[part] = np.argpartition(-sims, k - 1, axis=1)[:, :k] if k else best[part]
+        place = np.argsort(np.argsort(-(x[tests[part]] @ centroids.T), axis=1, kind="stable"), axis=1)
+        depth[part] = np.take_along_axis(place, near[best[part]], axis=1)
+    # A neighbour that the test loses is found by no number of probes: the test is
+    # made weaker until it loses but a third of what the target allows.
+    epsilon, radius = EPSILON, np.repeat(radii(x[tests], seen, k + 1), k)
+    pairs = np.repeat(x[tests], k, axis=0), x[best.ravel()]
+    while (lost := ~survives(*pairs, radius, epsilon)).mean() > (1 - TARGET) / 3 if k else False:
+        epsilon *= 1.25
+    if k:
+        depth = np.where(lost.reshape(depth.shape), lists, depth)
+        probes = int(np.quantile(depth, TARGET, method="higher")) + 1
+    else:
+        probes = lists
+    return {"rotation": rotation, "centroids": centroids, "probes": min(probes, lists), "epsilon": epsilon, "seen": seen}
+
+
+def survives(queries: np.ndarray, rows: np.ndarray, radius: np.ndarray, epsilon: float) -> np.ndarray:
+    """Whether the test keeps each (query, row) that is within its radius."""
+    part, dim = np.cumsum((queries - rows) ** 2, axis=1), rows.shape[1]
+    kept = np.ones(len(rows), bool)
+    for to in range(COLUMNS, dim, COLUMNS):
+        kept &= part[:, to - 1] <= radius * (1 + epsilon / np.sqrt(to)) ** 2 * to / dim + 1e-9
+    return kept | (part[:, -1] > radius + 1e-9)
+
+
+def adaptive_scan(queries: np.ndarray, radius: np.ndarray, rows: np.ndarray, epsilon: float = EPSILON) -> tuple[np.ndarray, np.ndarray]:
     """(query, row) positions that no test abandoned; unit vectors, rotated.
 
     ``radius``: squared distances. Partial squared distances over the first d
     of D rotated dimensions, times D / d, estimate the whole; a candidate is
-    abandoned once the estimate exceeds ``radius * (1 + EPSILON / sqrt(d))**2``.
+    abandoned once the estimate exceeds ``radius * (1 + epsilon / sqrt(d))**2``.
     After the last column block the distance is exact.
     """
     dim = rows.shape[1]
     first = min(COLUMNS, dim)
     part = ((queries[:, :first] ** 2).sum(1)[:, None] + (rows[:, :first] ** 2).sum(1)[None, :]) - 2 * (queries[:, :first] @ rows[:, :first].T)
     slack = 1e-9
-    bound = radius * (1 + EPSILON / np.sqrt(first)) ** 2 * first / dim if first < dim else radius
+    bound = radius * (1 + epsilon / np.sqrt(first)) ** 2 * first / dim if first < dim else radius
     qi, ri = np.nonzero(part <= bound[:, None] + slack)
     part = part[qi, ri]
     done = first
@@ -107,7 +164,7 @@ def adaptive_scan(queries: np.ndarray, radius: np.ndarray, rows: np.ndarray) ->
         to = min(done + COLUMNS, dim)
         gap = queries[qi, done:to] - rows[ri, done:to]
         part = part + np.einsum("ij,ij->i", gap, gap)
-        bound = radius * (1 + EPSILON / np.sqrt(to)) ** 2 * to / dim if to < dim else radius
+        bound = radius * (1 + epsilon / np.sqrt(to)) ** 2 * to / dim if to < dim else radius
         stays = part <= bound[qi] + slack
         qi, ri, part, done = qi[stays], ri[stays], part[stays], to
     return qi, ri
@@ -121,7 +178,7 @@ def whole_scan(queries: np.ndarray, rows: np.ndarray, keep: int) -> tuple[np.nda
     return np.nonzero(gap <= radius[:, None] + 1e-9)
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, key: str = "vec_id", vector: str = "embedding", k: int = 5) -> DataFrame:
+def nearest(vectors: DataFrame, queries: DataFrame, key: str = "vec_id", vector: str = "embedding", k: int = 5, exact: bool = False) -> DataFrame:
     """``query_id, rank, <key>, score``: the k nearest found for each query.
 
     ``vectors`` and ``queries`` have ``key`` (integers) and ``vector`` (arrays
@@ -129,7 +186,8 @@ def nearest(vectors: DataFrame, queries: DataFrame, key: str = "vec_id", vector:
     zero, or hold null or non-finite components take no part, neither do rows
     with a null key; repeated rows count once; fewer candidates than k give
     fewer rows; an empty table gives none. Ties go to the smaller id. The exact
-    score is the cosine in double precision of the original vectors.
+    score is the cosine in double precision of the original vectors. ``exact``
+    compares every query with every vector.
     """
     spark = vectors.sparkSession
     small_batches(spark)
@@ -146,29 +204,28 @@ def nearest(vectors: DataFrame, queries: DataFrame, key: str = "vec_id", vector:
     total = reps.count()
     if not total:
         return spark.createDataFrame([], out)
-    size = max(SAMPLE, PER_LIST * lists_for(total))
-    sample = np.vstack([np.asarray(r.v) for r in reps.where(F.pmod(F.xxhash64("rep"), F.lit(max(1, total // size))) == 0).limit(2 * size).select("v").collect()])
-    model = fit(sample, total, k)
+    dim = reps.select(F.size("v")).first()[0]
+    size = max(1, min(max(SAMPLE, PER_LIST * lists_for(total)), SAMPLE_BYTES // (16 * dim)))
+    taken = reps.where(F.pmod(F.xxhash64("rep"), F.lit(max(1, total // size))) == 0).limit(2 * size).select("v").toArrow()
+    model = fit(taken["v"].combine_chunks().flatten().to_numpy().reshape(-1, dim), total, k)
     shared, lists = spark.sparkContext.broadcast(model), len(model["centroids"])
 
     def assign(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rotation, centroids = shared.value["rotation"], shared.value["centroids"]
         for pdf in it:
             x = _unit(np.vstack(pdf.v.to_numpy())) @ rotation
-            yield pdf.assign(list=(x @ centroids.T).argmax(axis=1).astype("int32"))
+            yield pdf.assign(list=closest(x, centroids).astype("int32"))
 
     def route(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rotation, centroids, probes, seen = (shared.value[n] for n in ("rotation", "centroids", "probes", "sample"))
+        rotation, centroids, probes, seen = (shared.value[n] for n in ("rotation", "centroids", "probes", "seen"))
         for pdf in it:
             x = _unit(np.vstack(pdf.v.to_numpy())) @ rotation
             near = np.argsort(-(x @ centroids.T), axis=1, kind="stable")[:, :probes]
-            sims = np.partition(-(x @ seen.T), min(keep, len(seen)) - 1, axis=1)[:, min(keep, len(seen)) - 1]
-            radius = 2 + 2 * sims if len(seen) >= keep else np.full(len(x), 4.0)
+            radius = radii(x, seen, keep)
             yield pd.DataFrame({"qid": np.repeat(pdf.id.to_numpy(), near.shape[1]), "v": np.repeat(pdf.v.to_numpy(), near.shape[1]), "radius": np.repeat(radius, near.shape[1]), "list": near.ravel().astype("int32")})
 
     indexed = materialize(reps.mapInPandas(assign, "v array<double>, rep long, ids array<long>, list int"), "index")
     distinct_queries = materialize(asked.groupBy("v").agg(F.min("id").alias("id")), "asked")
-    routed = materialize(distinct_queries.select("id", "v").mapInPandas(route, "qid long, v array<double>, radius double, list int"), "probes")
 
     def search(cands: pd.DataFrame, asks: pd.DataFrame) -> pd.DataFrame:
         empty = pd.DataFrame({"qid": pd.Series(dtype="int64"), "score": pd.Series(dtype="float64"), "rep": pd.Series(dtype="int64"), "ids": pd.Series(dtype="object")})
@@ -180,7 +237,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, key: str = "vec_id", vector:
         reps_, qids, found = cands.rep.to_numpy(), asks.qid.to_numpy(), []
         for at in range(0, len(y), 256):
             radius = asks.radius.to_numpy()[at : at + 256]
-            qi, ri = whole_scan(y[at : at + 256], x, keep) if np.isinf(radius).all() else adaptive_scan(y[at : at + 256], radius, x)
+            qi, ri = whole_scan(y[at : at + 256], x, keep) if np.isinf(radius).all() else adaptive_scan(y[at : at + 256], radius, x, shared.value["epsilon"])
             a, b = asked_raw[at + qi], raw[ri]
             sa, sb = np.abs(a).max(axis=1), np.abs(b).max(axis=1)
             # Only where squares would overflow or vanish; each pair by itself.
@@ -204,13 +261,17 @@ def nearest(vectors: DataFrame, queries: DataFrame, key: str = "vec_id", vector:
         top = Window.partitionBy("qid").orderBy(F.desc("score"), "rep")
         return hits.withColumn("n", F.row_number().over(top)).where(F.col("n") <= keep)
 
-    hits = materialize(scan(routed), "hits")
-    enough = hits.groupBy("qid").agg(F.sum(F.size("ids")).alias("found")).where(F.col("found") >= keep).select("qid")
-    short = materialize(distinct_queries.select(F.col("id").alias("qid"), "v").join(enough, "qid", "left_anti"), "short")
-    if not short.isEmpty():
-        every = F.explode(F.sequence(F.lit(0), F.lit(lists - 1))).alias("list")
-        again = scan(short.select("qid", "v", F.lit(float("inf")).alias("radius"), every))
-        hits = hits.join(short.select("qid"), "qid", "left_anti").unionByName(again)
+    every = F.explode(F.sequence(F.lit(0), F.lit(lists - 1))).alias("list")
+    whole = lambda asks: scan(asks.select("qid", "v", F.lit(float("inf")).alias("radius"), every))
+    if exact:
+        hits = whole(distinct_queries.select(F.col("id").alias("qid"), "v"))
+    else:
+        routed = materialize(distinct_queries.select("id", "v").mapInPandas(route, "qid long, v array<double>, radius double, list int"), "probes")
+        hits = materialize(scan(routed), "hits")
+        enough = hits.groupBy("qid").agg(F.sum(F.size("ids")).alias("found")).where(F.col("found") >= keep).select("qid")
+        short = materialize(distinct_queries.select(F.col("id").alias("qid"), "v").join(enough, "qid", "left_anti"), "short")
+        if not short.isEmpty():
+            hits = hits.join(short.select("qid"), "qid", "left_anti").unionByName(whole(short))
     # The few best vectors of each distinct query, as single ids again.
     flat = hits.select("qid", "score", F.explode("ids").alias("id"))
     order = Window.partitionBy("qid").orderBy(F.desc("score"), "id")
