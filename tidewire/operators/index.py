@@ -1,23 +1,66 @@
-"""A stored full-text index: postings by term, document sizes, upkeep.
+"""A stored full-text index: segments of postings, tombstones, merges.
 
-Postings are one row for a term in a column of a document, with its positions,
-in folders by a hash of the term, so that a query reads the folders of its
-terms alone. A change writes a new version: what is left of the old postings and
-those of the changed documents. The name of the version in use is a small file,
-written last.
+A change writes one segment: the postings and sizes of the changed documents, and
+the keys of all documents that it replaces or deletes. A posting counts if no later
+segment names its document. So what an update writes is in proportion to the
+change. Segments of like size at the end are merged once there are ``FANOUT`` of
+them, so there are about log(documents) segments, and each posting is rewritten
+about that often.
+
+Postings are one row for a term in a column of a document, with its positions, in
+folders by a hash of the term, so that a query reads the folders of its terms
+alone. The segments in use stand in a small file, one for each version, which is
+renamed into place and never replaced: of two writers one gets the number, and the
+other adds its segment to what it then finds.
 """
 
 from __future__ import annotations
 
+import json
+import math
+import re
+import time
 import uuid
+from collections import Counter, defaultdict
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 WORD = "[a-z0-9]+"
 POSTINGS = "doc long, column int, term string, positions array<int>, bucket int"
 SIZES = "doc long, size long"
+GONE = "doc long"
+#: Segments of like size that are merged, and how often a change that meets others
+#: is tried again.
+FANOUT, TRIES = 4, 10
+
+
+class RacingWriters(RuntimeError):
+    """Another writer has taken the version number."""
+
+
+def _posted(batches):
+    """Postings of texts that are in lower case already."""
+    word = re.compile(WORD)
+    for batch in batches:
+        docs, column, terms, ends, flat = [], [], [], [0], []
+        for doc, *texts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for i, text in enumerate(texts):
+                at = defaultdict(list)
+                for p, term in enumerate(word.findall(text)):
+                    at[term].append(p)
+                for term, places in at.items():
+                    docs.append(doc)
+                    column.append(i)
+                    terms.append(term)
+                    flat += places
+                    ends.append(len(flat))
+        places = pa.ListArray.from_arrays(pa.array(np.array(ends, np.int32)), pa.array(flat, pa.int32()))
+        yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(column, pa.int32()), pa.array(terms, pa.string()), places], names=["doc", "column", "term", "positions"])
 
 
 class TextIndex:
@@ -29,72 +72,173 @@ class TextIndex:
     def _bucket(self, term) -> F.col:
         return F.pmod(F.xxhash64(term), F.lit(self.buckets)).cast("int")
 
-    def _version(self) -> str | None:
-        """The folder of the version in use."""
+    # Files -----------------------------------------------------------------
+
+    def _fs(self, path: str):
+        at = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        return at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), at
+
+    def _listed(self, folder: str) -> list:
+        fs, at = self._fs(f"{self.path}/{folder}")
+        return list(fs.listStatus(at)) if fs.exists(at) else []
+
+    def _versions(self) -> list[int]:
+        return sorted(int(f.getPath().getName().split(".")[0]) for f in self._listed("versions") if f.getPath().getName()[0].isdigit())
+
+    def _manifest(self, version: int) -> list[dict]:
+        fs, at = self._fs(f"{self.path}/versions/{version:012d}.json")
+        stream = fs.open(at)
         try:
-            return max((r.version, r.folder) for r in self.spark.read.schema("version long, folder string").json(f"{self.path}/versions").collect())[1]
-        except Exception as e:  # noqa: BLE001
-            if "PATH_NOT_FOUND" in str(e):
-                return None
-            raise
+            return json.loads(bytes(stream.readAllBytes()).decode())
+        finally:
+            stream.close()
+
+    def segments(self) -> list[dict]:
+        """``number, folder, documents`` of the segments in use, the oldest first."""
+        versions = self._versions()
+        return self._manifest(versions[-1]) if versions else []
 
     def exists(self) -> bool:
-        return self._version() is not None
+        return bool(self._versions())
+
+    def _commit(self, version: int, segments: list[dict]) -> None:
+        jvm = self.spark.sparkContext._jvm
+        fs, draft = self._fs(f"{self.path}/versions/.{uuid.uuid4().hex}")
+        stream = fs.create(draft, False)
+        stream.write(bytearray(json.dumps(segments).encode()))
+        stream.close()
+        files = jvm.org.apache.hadoop.fs.FileContext.getFileContext(draft.toUri(), self.spark.sparkContext._jsc.hadoopConfiguration()) if draft.isAbsolute() and draft.toUri().getScheme() else jvm.org.apache.hadoop.fs.FileContext.getFileContext(self.spark.sparkContext._jsc.hadoopConfiguration())
+        never = self.spark.sparkContext._gateway.new_array(getattr(jvm, "org.apache.hadoop.fs.Options$Rename"), 0)
+        try:
+            files.rename(draft, self._fs(f"{self.path}/versions/{version:012d}.json")[1], never)
+        except Py4JJavaError as e:
+            fs.delete(draft, False)
+            if "FileAlreadyExists" in str(e.java_exception):
+                raise RacingWriters(f"version {version} of {self.path}") from e
+            raise
+
+    # Writing ---------------------------------------------------------------
 
     def _postings(self, df: DataFrame) -> DataFrame:
-        parts = []
-        for i, column in enumerate(self.columns):
-            words = F.regexp_extract_all(F.lower(F.coalesce(F.col(column), F.lit(""))), F.lit(WORD), F.lit(0))
-            parts.append(df.select(F.col(self.key).cast("long").alias("doc"), F.lit(i).alias("column"), F.posexplode(words).alias("p", "term")))
-        each = reduce(DataFrame.unionByName, parts).groupBy("doc", "column", "term").agg(F.sort_array(F.collect_list("p")).alias("positions"))
+        texts = [F.lower(F.coalesce(F.col(c).cast("string"), F.lit(""))).alias(f"t{i}") for i, c in enumerate(self.columns)]
+        each = df.select(F.col(self.key).cast("long").alias("doc"), *texts).mapInArrow(_posted, "doc long, column int, term string, positions array<int>")
         return each.withColumn("bucket", self._bucket("term"))
 
     def _sizes(self, df: DataFrame) -> DataFrame:
-        total = reduce(lambda a, b: a + b, [F.regexp_count(F.lower(F.coalesce(F.col(c), F.lit(""))), F.lit(WORD)) for c in self.columns])
+        total = reduce(lambda a, b: a + b, [F.regexp_count(F.lower(F.coalesce(F.col(c).cast("string"), F.lit(""))), F.lit(WORD)) for c in self.columns])
         return df.select(F.col(self.key).cast("long").alias("doc"), total.cast("long").alias("size"))
 
-    def _write(self, postings: DataFrame, sizes: DataFrame, version: int) -> None:
-        folder = f"{self.path}/{uuid.uuid4().hex}"
+    def _write(self, postings: DataFrame, sizes: DataFrame, gone: DataFrame) -> dict:
+        folder = f"{self.path}/segments/{uuid.uuid4().hex}"
         # A common term fills a folder; AQE splits what is too large for a task.
         dealt = postings.hint("rebalance", "bucket").sortWithinPartitions("bucket", "term", "doc")
         dealt.write.partitionBy("bucket").parquet(f"{folder}/postings")
         sizes.write.parquet(f"{folder}/sizes")
-        row = self.spark.createDataFrame([(version, folder)], "version long, folder string")
-        row.coalesce(1).write.mode("append").json(f"{self.path}/versions")
+        gone.distinct().write.parquet(f"{folder}/gone")
+        documents = self.spark.read.schema(SIZES).parquet(f"{folder}/sizes").count()
+        return {"folder": folder, "documents": documents}
+
+    def _append(self, segment: dict) -> None:
+        for _ in range(TRIES):
+            versions = self._versions()
+            have = self._manifest(versions[-1]) if versions else []
+            try:
+                self._commit(versions[-1] + 1 if versions else 0, [*have, segment | {"number": have[-1]["number"] + 1 if have else 0}])
+                return
+            except RacingWriters:
+                continue
+        raise RacingWriters(f"{TRIES} times at {self.path}")
 
     def build(self, df: DataFrame) -> TextIndex:
-        """The first version, of the whole table."""
-        self._write(self._postings(df), self._sizes(df), 0)
+        """The first segment, of the whole table (a key once)."""
+        self._append(self._write(self._postings(df), self._sizes(df), self.spark.createDataFrame([], GONE)))
         return self
 
     def update(self, changed: DataFrame, deleted: DataFrame | None = None) -> TextIndex:
-        """A new version: ``changed`` rows (new or altered) take the place of
-        their old selves, and the keys in ``deleted`` are gone."""
-        if not self.exists():
-            return self.build(changed)
+        """A new segment: ``changed`` rows (new or altered, a key once) take the place
+        of their old selves, and the keys in ``deleted`` are gone."""
         gone = changed.select(F.col(self.key).cast("long").alias("doc"))
         if deleted is not None:
             gone = gone.unionByName(deleted.select(F.col(self.key).cast("long").alias("doc")))
             changed = changed.join(deleted.select(self.key), self.key, "left_anti")
-        gone = gone.distinct()
-        postings = self.postings().join(gone, "doc", "left_anti").unionByName(self._postings(changed))
-        sizes = self.sizes().join(gone, "doc", "left_anti").unionByName(self._sizes(changed))
-        versions = self.spark.read.schema("version long, folder string").json(f"{self.path}/versions")
-        self._write(postings, sizes, versions.agg(F.max("version")).first()[0] + 1)
+        self._append(self._write(self._postings(changed), self._sizes(changed), gone))
+        self.merge()
         return self
 
-    def postings(self) -> DataFrame:
-        return self.spark.read.schema(POSTINGS).parquet(f"{self._version()}/postings")
+    def _mergeable(self, segments: list[dict]) -> list[dict]:
+        """The segments at the end that are of the size of the last few or less."""
+        if len(segments) < FANOUT:
+            return []
+        tier = lambda s: int(math.log(max(s["documents"], 1), FANOUT))
+        most, first = max(tier(s) for s in segments[-FANOUT:]), len(segments)
+        # Only a run of like sizes is worth it: the last few must be of one tier.
+        while first and tier(segments[first - 1]) <= min(most, tier(segments[-1]) + 1):
+            first -= 1
+        return segments[first:] if len(segments) - first >= FANOUT else []
+
+    def merge(self, everything: bool = False) -> bool:
+        """The last segments of like size, or all, as one. What they say of earlier
+        ones is kept, and forgotten where there is none. A writer that comes in
+        between wins: the merge is left for the next time."""
+        versions = self._versions()
+        have = self._manifest(versions[-1]) if versions else []
+        some = have if everything else self._mergeable(have)
+        if len(some) < 2:
+            return False
+        gone = self._gone(some) if len(some) < len(have) else self.spark.createDataFrame([], GONE)
+        merged = self._write(self._live(some, "postings", POSTINGS), self._live(some, "sizes", SIZES), gone.select("doc"))
+        try:
+            self._commit(versions[-1] + 1, [*have[: len(have) - len(some)], merged | {"number": some[-1]["number"]}])
+        except RacingWriters:
+            return False
+        return True
+
+    def clean(self, older_seconds: float = 86400) -> int:
+        """Delete old versions and the segments that only they use, and what failed
+        writers left, if it is older than any reader or writer may be; the number
+        of segments deleted."""
+        versions, before = self._versions(), (time.time() - older_seconds) * 1000
+        for f in self._listed("versions"):
+            name = f.getPath().getName()
+            if name != f"{versions[-1]:012d}.json" and f.getModificationTime() <= before and not name.endswith(".crc"):
+                self._fs(f.getPath().toString())[0].delete(f.getPath(), False)
+        used = Counter(s["folder"].rsplit("/", 1)[-1] for v in self._versions() for s in self._manifest(v))
+        old = [f for f in self._listed("segments") if f.getPath().getName() not in used and f.getModificationTime() <= before]
+        for f in old:
+            self._fs(f.getPath().toString())[0].delete(f.getPath(), True)
+        return len(old)
+
+    # Reading ---------------------------------------------------------------
+
+    def _read(self, segments: list[dict], what: str, schema: str) -> DataFrame:
+        parts = [self.spark.read.schema(schema).parquet(f"{s['folder']}/{what}").withColumn("segment", F.lit(s["number"])) for s in segments]
+        return reduce(DataFrame.unionByName, parts) if parts else self.spark.createDataFrame([], f"{schema}, segment int")
+
+    def _gone(self, segments: list[dict]) -> DataFrame:
+        """``doc, last``: the last segment that replaces or deletes a document."""
+        return self._read(segments, "gone", GONE).groupBy("doc").agg(F.max("segment").alias("last"))
+
+    def _live(self, segments: list[dict], what: str, schema: str, wanted=None) -> DataFrame:
+        rows = self._read(segments, what, schema)
+        rows = rows if wanted is None else rows.where(wanted)
+        if len(segments) > 1:
+            # The first segment's own tombstones have nothing to act on.
+            rows = rows.join(self._gone(segments[1:]), "doc", "left").where("last IS NULL OR last <= segment").drop("last")
+        return rows.drop("segment")
+
+    def postings(self, wanted=None) -> DataFrame:
+        """Postings that count, of the ``wanted`` ones (a condition on them)."""
+        return self._live(self.segments(), "postings", POSTINGS, wanted)
 
     def sizes(self) -> DataFrame:
-        return self.spark.read.schema(SIZES).parquet(f"{self._version()}/sizes")
+        return self._live(self.segments(), "sizes", SIZES)
 
     def hits(self, phrases: list[list[str]]) -> DataFrame:
         """``doc, size, f`` of the documents with a phrase; reads the postings of
         the phrases' terms alone."""
         terms = sorted({w for p in phrases for w in p})
         buckets = [r.b for r in self.spark.createDataFrame([(t,) for t in terms], "term string").select(self._bucket("term").alias("b")).distinct().collect()]
-        read = self.postings().where(F.col("bucket").isin(buckets) & F.col("term").isin(terms))
+        read = self.postings(F.col("bucket").isin(buckets) & F.col("term").isin(terms))
         found = read.groupBy("doc", "column").agg(F.map_from_entries(F.collect_list(F.struct("term", "positions"))).alias("at"))
         none = F.expr("array()").cast("array<int>")
 
