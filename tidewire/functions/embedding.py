@@ -21,12 +21,12 @@ def sparse(df: DataFrame, key: str, text: str, dimensions: int = DIMENSIONS) ->
     return each.join(norms, key).select(key, "place", (F.col("n") / F.col("norm")).alias("weight"))
 
 
-def dense(df: DataFrame, key: str, text: str, dimensions: int = DIMENSIONS) -> DataFrame:
-    """``key, embedding``: an array of floats of unit length; texts without a word
+def dense(df: DataFrame, key: str, text: str, dimensions: int = DIMENSIONS, kind: str = "float") -> DataFrame:
+    """``key, embedding``: an array of numbers of unit length; texts without a word
     have no vector."""
     own = sparse(df, key, text, dimensions).groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("place", "weight"))).alias("m"))
     places = F.sequence(F.lit(0), F.lit(dimensions - 1))
-    return own.select(key, F.transform(places, lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0.0)).cast("float")).alias("embedding"))
+    return own.select(key, F.transform(places, lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0.0)).cast(kind)).alias("embedding"))
 
 
 class Lazy:

@@ -69,7 +69,8 @@ class TextIndex:
     def __init__(self, spark: SparkSession, path: str, key: str, columns: list[str], buckets: int = 64):
         self.spark, self.path, self.key, self.columns, self.buckets = spark, path.rstrip("/"), key, columns, buckets
 
-    def _bucket(self, term) -> F.col:
+    def bucket(self, term):
+        """The folder of a term."""
         return F.pmod(F.xxhash64(term), F.lit(self.buckets)).cast("int")
 
     # Files -----------------------------------------------------------------
@@ -122,7 +123,7 @@ class TextIndex:
     def _postings(self, df: DataFrame) -> DataFrame:
         texts = [F.lower(F.coalesce(F.col(c).cast("string"), F.lit(""))).alias(f"t{i}") for i, c in enumerate(self.columns)]
         each = df.select(F.col(self.key).cast("long").alias("doc"), *texts).mapInArrow(_posted, "doc long, column int, term string, positions array<int>")
-        return each.withColumn("bucket", self._bucket("term"))
+        return each.withColumn("bucket", self.bucket("term"))
 
     def _sizes(self, df: DataFrame) -> DataFrame:
         total = reduce(lambda a, b: a + b, [F.regexp_count(F.lower(F.coalesce(F.col(c).cast("string"), F.lit(""))), F.lit(WORD)) for c in self.columns])
@@ -237,7 +238,7 @@ class TextIndex:
         """``doc, size, f`` of the documents with a phrase; reads the postings of
         the phrases' terms alone."""
         terms = sorted({w for p in phrases for w in p})
-        buckets = [r.b for r in self.spark.createDataFrame([(t,) for t in terms], "term string").select(self._bucket("term").alias("b")).distinct().collect()]
+        buckets = [r.b for r in self.spark.createDataFrame([(t,) for t in terms], "term string").select(self.bucket("term").alias("b")).distinct().collect()]
         read = self.postings(F.col("bucket").isin(buckets) & F.col("term").isin(terms))
         found = read.groupBy("doc", "column").agg(F.map_from_entries(F.collect_list(F.struct("term", "positions"))).alias("at"))
         none = F.expr("array()").cast("array<int>")

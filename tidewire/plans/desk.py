@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewire.operators import aggregates, briefs, cards, facets, intent, merge, sectors
+from tidewire.operators import aggregates, briefs, cards, chat, facets, intent, merge, sectors
+from tidewire.operators.index import TextIndex
+from tidewire.storage import stored
 
 # Bounds (least, most) of each query's parameters.
 BOUNDS = {"articles": (1, 500), "threats": (1, 200), "monitoring": (1, 500), "review": (1, 500), "entities": (1, 100), "trends": (1, 365), "legacy": (1, 1000), "dead_letters": (1, 500), "question": (1, 500)}
@@ -136,14 +138,40 @@ class Desk:
     def evaluation(self, gold: str, predicted: str) -> DataFrame:
         return aggregates.evaluation(self.all, gold, predicted)
 
-    def ask(self, question: str, parse: Callable[[str], dict], search: Callable[[dict], DataFrame]) -> DataFrame:
-        """The brief of what a question finds: ``parse`` gives the intent,
-        ``search`` its articles; the kind of question chooses the brief."""
-        _bounded("question", len(question))
-        found = parse(question)
-        rows = search(found)
-        kinds = {"trend_analysis": lambda: self._brief(rows.orderBy(*self.newest).limit(40)), "general_search": lambda: self._brief(rows)}
-        return intent.route(found.get("kind", "general_search"), kinds)
+    def ask_all(self, questions: DataFrame, key: str, text: str, index: TextIndex, vocabulary: tuple[list[str], dict[str, str], list[str]], vectors: DataFrame | None = None, embed=None) -> DataFrame:
+        """The answers to a table of questions, in one plan: ``vocabulary`` holds the
+        places, their aliases and the stop words; ``index`` the articles' texts.
+        Empty questions, and those over the bound, have no row."""
+        length = F.length(F.trim(F.coalesce(F.col(text), F.lit(""))))
+        asked = chat.parsed(questions.where(length.between(*BOUNDS["question"])), key, text, self.today, *vocabulary)
+        return self._answered(asked, index, vectors, embed)
+
+    def ask(self, question: str, parse: Callable[[str], dict] | None = None, search: Callable[[dict], DataFrame] | None = None, *, index: TextIndex | None = None, vocabulary: tuple[list[str], dict[str, str], list[str]] = ([], {}, []), vectors: DataFrame | None = None) -> DataFrame:
+        """The answer to one question, by the stored index and the rules of intent.
+
+        A language model's ``parse`` may give parts of the intent (a dict); without
+        it, or if it fails, the rules do. With a ``search`` of the caller's own, the
+        brief of what it gives for the intent.
+        """
+        _bounded("question", len(question.strip()))
+        if search is not None:
+            found = parse(question)
+            rows = search(found)
+            kinds = {"trend_analysis": lambda: self._brief(rows.orderBy(*self.newest).limit(40)), "general_search": lambda: self._brief(rows)}
+            return intent.route(found.get("kind", "general_search"), kinds)
+        one = self.all.sparkSession.createDataFrame([(0, question)], "qid long, question string")
+        asked = chat.parsed(one, "qid", "question", self.today, *vocabulary)
+        given = intent.with_parser(question, parse, lambda q: {})
+        for column in {"kind", "locations", "search_terms", "level", "mood", "since"} & set(given):
+            asked = asked.withColumn(column, F.lit(given[column]).cast(asked.schema[column].dataType))
+        if {"locations", "search_terms"} & set(given):
+            asked = intent.search_query(asked.withColumn("_own", F.split("question", " ")), "locations", "search_terms", "_own").drop("_own")
+        return self._answered(asked, index, vectors)
+
+    def _answered(self, asked: DataFrame, index: TextIndex, vectors: DataFrame | None, embed=None) -> DataFrame:
+        asked = stored(asked, "questions")
+        hits = stored(chat.retrieved(asked, self.all, index, vectors, embed), "answers")
+        return chat.answered(asked, hits, self.all, self.newest, self.places, self.actors)
 
     def ingestion_sources(self, configured: DataFrame) -> DataFrame:
         """Configured sources with their records, and sources that are not configured."""
