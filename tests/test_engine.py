@@ -44,10 +44,16 @@ def test_engine_isolates_failures_and_inserts_once(spark, tmp_path):
 
 
 def test_reference_tables_are_a_source(spark, tmp_path):
-    paths = reference.seed(spark, str(tmp_path))
+    rows = spark.createDataFrame([("A", "Aland", 1, "x"), ("B", "Bland", 0, "x"), ("A", "Zland", 1, "x"), (None, "C", 1, "x")], "id string, country_name string, nuclear_power int, other string")
+    paths = reference.seed(spark, str(tmp_path), {"countries_of_interest": rows, "defence_assets": spark.createDataFrame([], "id int")})
+    got = reference.reference_table(spark, str(tmp_path), "countries_of_interest")
+    assert sorted((r["id"], r["country_name"], r["nuclear_power"], r["notes"]) for r in got.collect()) == [("A", "Aland", 1, None), ("B", "Bland", 0, None)]
+    assert reference.reference_table(spark, str(tmp_path), "defence_assets").count() == 0
+    with pytest.raises(ValueError, match="planets"):
+        reference.seed(spark, str(tmp_path), {"planets": rows})
     e = engine.Engine(spark, str(tmp_path / "store"), str(tmp_path / "dead"))
     e.register(engine.Source("countries", "sql", "strategic_reference", "id", {"path": paths[0], "where": "nuclear_power = 1"}))
-    assert e.run().first().inserted == e.records().count() == 6
+    assert e.run().first().inserted == e.records().count() == 1
 
 
 def test_stages_resume(spark, tmp_path):

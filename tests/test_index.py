@@ -8,7 +8,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidewire.operators import index as stored_index
-from tidewire.operators.index import RacingWriters, TextIndex
+from tidewire.operators.index import TextIndex
+from tidewire.storage import RacingWriters
 
 
 def frame(spark, docs):

@@ -16,20 +16,20 @@ other adds its segment to what it then finds.
 
 from __future__ import annotations
 
-import json
 import math
 import re
 import time
 import uuid
-from collections import Counter, defaultdict
+from collections import defaultdict
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidewire.storage import Manifest, RacingWriters
+
 WORD = "[a-z0-9]+"
 POSTINGS = "doc long, column int, term string, positions array<int>, bucket int"
 SIZES = "doc long, size long"
@@ -39,10 +39,6 @@ GONE = "doc long"
 FANOUT, TRIES = 4, 10
 
 
-class RacingWriters(RuntimeError):
-    """Another writer has taken the version number."""
-
-
 def _posted(batches):
     """Postings of texts that are in lower case already."""
     word = re.compile(WORD)
@@ -68,55 +64,21 @@ class TextIndex:
 
     def __init__(self, spark: SparkSession, path: str, key: str, columns: list[str], buckets: int = 64):
         self.spark, self.path, self.key, self.columns, self.buckets = spark, path.rstrip("/"), key, columns, buckets
+        self.manifest = Manifest(spark, f"{self.path}/versions")
 
     def bucket(self, term):
         """The folder of a term."""
         return F.pmod(F.xxhash64(term), F.lit(self.buckets)).cast("int")
 
-    # Files -----------------------------------------------------------------
-
-    def _fs(self, path: str):
-        at = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-        return at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), at
-
-    def _listed(self, folder: str) -> list:
-        fs, at = self._fs(f"{self.path}/{folder}")
-        return list(fs.listStatus(at)) if fs.exists(at) else []
-
-    def _versions(self) -> list[int]:
-        return sorted(int(f.getPath().getName().split(".")[0]) for f in self._listed("versions") if f.getPath().getName()[0].isdigit())
-
-    def _manifest(self, version: int) -> list[dict]:
-        fs, at = self._fs(f"{self.path}/versions/{version:012d}.json")
-        stream = fs.open(at)
-        try:
-            return json.loads(bytes(stream.readAllBytes()).decode())
-        finally:
-            stream.close()
-
     def segments(self) -> list[dict]:
         """``number, folder, documents`` of the segments in use, the oldest first."""
-        versions = self._versions()
-        return self._manifest(versions[-1]) if versions else []
+        return self.manifest.latest()[1] or []
 
     def exists(self) -> bool:
-        return bool(self._versions())
+        return bool(self.manifest.versions())
 
     def _commit(self, version: int, segments: list[dict]) -> None:
-        jvm = self.spark.sparkContext._jvm
-        fs, draft = self._fs(f"{self.path}/versions/.{uuid.uuid4().hex}")
-        stream = fs.create(draft, False)
-        stream.write(bytearray(json.dumps(segments).encode()))
-        stream.close()
-        files = jvm.org.apache.hadoop.fs.FileContext.getFileContext(draft.toUri(), self.spark.sparkContext._jsc.hadoopConfiguration()) if draft.isAbsolute() and draft.toUri().getScheme() else jvm.org.apache.hadoop.fs.FileContext.getFileContext(self.spark.sparkContext._jsc.hadoopConfiguration())
-        never = self.spark.sparkContext._gateway.new_array(getattr(jvm, "org.apache.hadoop.fs.Options$Rename"), 0)
-        try:
-            files.rename(draft, self._fs(f"{self.path}/versions/{version:012d}.json")[1], never)
-        except Py4JJavaError as e:
-            fs.delete(draft, False)
-            if "FileAlreadyExists" in str(e.java_exception):
-                raise RacingWriters(f"version {version} of {self.path}") from e
-            raise
+        self.manifest.commit(version, segments)
 
     # Writing ---------------------------------------------------------------
 
@@ -141,10 +103,10 @@ class TextIndex:
 
     def _append(self, segment: dict) -> None:
         for _ in range(TRIES):
-            versions = self._versions()
-            have = self._manifest(versions[-1]) if versions else []
+            version, have = self.manifest.latest()
+            have = have or []
             try:
-                self._commit(versions[-1] + 1 if versions else 0, [*have, segment | {"number": have[-1]["number"] + 1 if have else 0}])
+                self._commit(version + 1, [*have, segment | {"number": have[-1]["number"] + 1 if have else 0}])
                 return
             except RacingWriters:
                 continue
@@ -181,15 +143,15 @@ class TextIndex:
         """The last segments of like size, or all, as one. What they say of earlier
         ones is kept, and forgotten where there is none. A writer that comes in
         between wins: the merge is left for the next time."""
-        versions = self._versions()
-        have = self._manifest(versions[-1]) if versions else []
+        version, have = self.manifest.latest()
+        have = have or []
         some = have if everything else self._mergeable(have)
         if len(some) < 2:
             return False
         gone = self._gone(some) if len(some) < len(have) else self.spark.createDataFrame([], GONE)
         merged = self._write(self._live(some, "postings", POSTINGS), self._live(some, "sizes", SIZES), gone.select("doc"))
         try:
-            self._commit(versions[-1] + 1, [*have[: len(have) - len(some)], merged | {"number": some[-1]["number"]}])
+            self._commit(version + 1, [*have[: len(have) - len(some)], merged | {"number": some[-1]["number"]}])
         except RacingWriters:
             return False
         return True
@@ -198,15 +160,17 @@ class TextIndex:
         """Delete old versions and the segments that only they use, and what failed
         writers left, if it is older than any reader or writer may be; the number
         of segments deleted."""
-        versions, before = self._versions(), (time.time() - older_seconds) * 1000
-        for f in self._listed("versions"):
+        manifest, before = self.manifest, (time.time() - older_seconds) * 1000
+        versions = manifest.versions()
+        for f in manifest.listed():
             name = f.getPath().getName()
             if name != f"{versions[-1]:012d}.json" and f.getModificationTime() <= before and not name.endswith(".crc"):
-                self._fs(f.getPath().toString())[0].delete(f.getPath(), False)
-        used = Counter(s["folder"].rsplit("/", 1)[-1] for v in self._versions() for s in self._manifest(v))
-        old = [f for f in self._listed("segments") if f.getPath().getName() not in used and f.getModificationTime() <= before]
-        for f in old:
-            self._fs(f.getPath().toString())[0].delete(f.getPath(), True)
+                manifest.fs(manifest.folder)[0].delete(f.getPath(), False)
+        used = {s["folder"].rsplit("/", 1)[-1] for v in manifest.versions() for s in manifest.read(v)}
+        fs, folder = manifest.fs(f"{self.path}/segments")
+        old = [f.getPath() for f in fs.listStatus(folder) if f.getPath().getName() not in used and f.getModificationTime() <= before]
+        for path in old:
+            fs.delete(path, True)
         return len(old)
 
     # Reading ---------------------------------------------------------------

@@ -131,15 +131,19 @@ def sanitised_payloads(spark, root):
     return e.select("event_id", p.alias("p")).select("event_id", F.col("p.ts").alias("at"), F.col("p.b").alias("raw"), F.array_contains(F.map_keys("p"), "value").alias("valued"))
 
 
-@query("SELECT * FROM (VALUES ('countries_of_interest', 15, 13), ('threat_categories', 12, 7), ('border_regions', 18, 10), ('defence_assets', 25, 9), ('strategic_events_ref', 25, 8)) t(name, n, width)")
+@query("""SELECT CAST(n_nationkey AS VARCHAR) AS id, n_name AS name, r_name AS of, CAST(n_nationkey * 10 AS INTEGER) AS number, 'countries' AS kind FROM nation JOIN region ON n_regionkey = r_regionkey
+UNION ALL SELECT CAST(CAST(event_id AS INTEGER) AS VARCHAR), event_type, substring(CAST(ts AS VARCHAR), 1, 10), NULL, 'events' FROM events""")
 def reference_tables(spark, root):
-    """Rows and columns of the reference tables."""
-    parts = None
-    for path in reference.seed(spark, new_path(spark, "reference")):
-        t = spark.read.parquet(path)
-        one = t.agg(F.lit(path.rsplit("/", 1)[1]).alias("name"), F.count("*").cast("int").alias("n"), F.lit(len(t.columns)).alias("width"))
-        parts = one if parts is None else parts.unionByName(one)
-    return parts
+    """Two reference tables of given rows, written and read back; one has every row
+    twice, and columns that it lacks or that are its own."""
+    n, r, e = (table(spark, root, t) for t in ("nation", "region", "events"))
+    countries = n.join(r, n.n_regionkey == r.r_regionkey).select(F.col("n_nationkey").alias("id"), F.col("n_name").alias("country_name"), F.col("r_name").alias("region"), (F.col("n_nationkey") * 10).alias("border_length_km"), F.lit("x").alias("own"))
+    events = e.select(F.col("event_id").alias("id"), F.substring(F.col("ts").cast("string"), 1, 10).alias("event_date"), F.col("event_type").alias("event_name"))
+    folder = new_path(spark, "reference")
+    reference.seed(spark, folder, {"strategic_events_ref": events, "countries_of_interest": countries.unionByName(countries)})
+    c, s = reference.reference_table(spark, folder, "countries_of_interest"), reference.reference_table(spark, folder, "strategic_events_ref")
+    one = c.select("id", F.col("country_name").alias("name"), F.col("region").alias("of"), F.col("border_length_km").alias("number"), F.lit("countries").alias("kind"))
+    return one.unionByName(s.select(F.col("id").cast("string").alias("id"), F.col("event_name").alias("name"), F.col("event_date").alias("of"), F.lit(None).cast("int").alias("number"), F.lit("events").alias("kind")))
 
 
 @query("SELECT CAST(n_nationkey AS VARCHAR) AS id, n_name AS name, CASE WHEN n_nationkey % 5 = 0 THEN 'row is longer than the header' END AS error FROM nation")

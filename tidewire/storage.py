@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import atexit
+import json
 import shutil
 import tempfile
 import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -47,3 +49,62 @@ def remove_intermediates(spark: SparkSession) -> None:
     not been written yet can no longer be read after it."""
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(work_dir(spark))
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+class RacingWriters(RuntimeError):
+    """Another writer has taken the version number."""
+
+
+class Manifest:
+    """What is valid below a folder: numbered versions, each one small JSON file.
+
+    A version is written aside and renamed into place, and never replaced, so what
+    it names becomes valid at once or not at all, and of two writers of one number
+    the second learns it."""
+
+    def __init__(self, spark: SparkSession, folder: str):
+        self.spark, self.folder = spark, folder.rstrip("/")
+
+    def fs(self, path: str):
+        """The file system of a path, and the path on it."""
+        at = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        return at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), at
+
+    def listed(self) -> list:
+        fs, at = self.fs(self.folder)
+        return list(fs.listStatus(at)) if fs.exists(at) else []
+
+    def versions(self) -> list[int]:
+        return sorted(int(f.getPath().getName().split(".")[0]) for f in self.listed() if f.getPath().getName()[0].isdigit())
+
+    def path(self, version: int) -> str:
+        return f"{self.folder}/{version:012d}.json"
+
+    def read(self, version: int):
+        fs, at = self.fs(self.path(version))
+        stream = fs.open(at)
+        try:
+            return json.loads(bytes(stream.readAllBytes()).decode())
+        finally:
+            stream.close()
+
+    def latest(self):
+        """The last version's number and content; (-1, None) before the first."""
+        versions = self.versions()
+        return (versions[-1], self.read(versions[-1])) if versions else (-1, None)
+
+    def commit(self, version: int, content) -> None:
+        jvm, conf = self.spark.sparkContext._jvm, self.spark.sparkContext._jsc.hadoopConfiguration()
+        fs, draft = self.fs(f"{self.folder}/.{uuid.uuid4().hex}")
+        stream = fs.create(draft, False)
+        stream.write(bytearray(json.dumps(content).encode()))
+        stream.close()
+        files = jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), conf)
+        never = self.spark.sparkContext._gateway.new_array(getattr(jvm, "org.apache.hadoop.fs.Options$Rename"), 0)
+        try:
+            files.rename(fs.makeQualified(draft), fs.makeQualified(self.fs(self.path(version))[1]), never)
+        except Py4JJavaError as e:
+            fs.delete(draft, False)
+            if "FileAlreadyExists" in str(e.java_exception):
+                raise RacingWriters(f"version {version} of {self.folder}") from e
+            raise
