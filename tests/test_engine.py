@@ -6,13 +6,16 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from test_sources import server  # noqa: F401 - a fixture
+
 import tidewire
 from tidewire.functions import embedding, lexicon, severity
 from tidewire.functions import vocabulary as V
 from tidewire.operators import briefs, intent, leader, numbering, search
 from tidewire.operators.index import TextIndex
 from tidewire.plans import stages
-from tidewire.sources import engine, files, reference
+from tidewire.sources import engine, files, reference, web
+from tidewire.storage import Manifest
 from tidewire.streaming import ingest as streams
 
 
@@ -33,7 +36,7 @@ def test_engine_isolates_failures_and_inserts_once(spark, tmp_path):
     # The same payload of another source is the same record.
     assert (stats["b"].inserted, stats["b"].skipped, stats["c"].status) == (1, 1, "aborted")
     assert e.totals() == {"attempted": 4, "inserted": 3, "skipped": 1, "failed": 2}
-    assert e.records().count() == 3 and files.read_dead(spark, e.dead).count() == 2
+    assert e.records().count() == 3 and files.read_dead(spark, e.dead).count() == 2 == e.dead_letters().count()
     again = engine.Engine.from_config(spark, config, only="a")
     assert [s.name for s in again.sources] == ["a"] and again.run().first().inserted == 0
     assert [s.name for s in engine.sources_of(config, skip=("csv", "sql"))] == ["b"]
@@ -43,6 +46,59 @@ def test_engine_isolates_failures_and_inserts_once(spark, tmp_path):
     assert engine.REGISTRY.types() == ["csv", "events", "json", "rest", "rss", "sql"]
 
 
+def _lines(tmp_path, *ids):
+    path = tmp_path / f"{len(list(tmp_path.iterdir()))}.json"
+    path.write_text("\n".join('{"id": "%s", "v": "1"}' % i if i else "{broken" for i in ids))
+    return {"source_type": "json", "file_path": str(path), "entity_type": "event"}
+
+
+def test_a_run_killed_before_its_commit_leaves_nothing(spark, tmp_path, monkeypatch):
+    config = {"storage": {"store": str(tmp_path / "store"), "dead": str(tmp_path / "dead")}, "sources": {"a": _lines(tmp_path, "1", "2", "", "3")}}
+    plain = Manifest.commit
+
+    def killed(self, version, content):
+        raise KeyboardInterrupt
+
+    monkeypatch.setattr(Manifest, "commit", killed)
+    e = engine.Engine.from_config(spark, config)
+    with pytest.raises(KeyboardInterrupt):
+        e.run()
+    assert e.records() is None and e.dead_letters().count() == 0 and e.log().count() == 0
+    monkeypatch.setattr(Manifest, "commit", plain)
+    for inserted in (3, 0):
+        assert [tuple(r)[2:8] for r in engine.Engine.from_config(spark, config).run().collect()] == [("success", 4, 3, 1, inserted, 3 - inserted)]
+    assert e.records().count() == 3 and e.dead_letters().count() == 2 and e.log().count() == 2
+
+
+def test_of_two_runs_at_once_each_record_is_kept_once(spark, tmp_path, monkeypatch):
+    place = {"store": str(tmp_path / "store"), "dead": str(tmp_path / "dead")}
+    one = engine.Engine.from_config(spark, {"storage": place, "sources": {"a": _lines(tmp_path, "1", "2")}})
+    two = engine.Engine.from_config(spark, {"storage": place, "sources": {"a": _lines(tmp_path, "2", "3")}})
+    plain, raced = Manifest.commit, []
+
+    def commit(self, version, content):
+        if not raced:
+            raced.append(version)
+            two.run()
+        return plain(self, version, content)
+
+    monkeypatch.setattr(Manifest, "commit", commit)
+    assert one.run().first().inserted == 1
+    assert sorted(r["entity_id"] for r in one.records().collect()) == ["1", "2", "3"]
+
+
+def test_classes_of_errors(spark, server, tmp_path):
+    assert [engine.error_type(e) for e in (web.Fatal("x"), web.Structural("x"), web.Transient("x"), TimeoutError(), ValueError("x"))] == ["fatal", "structural", "transient", "transient", "fatal"]
+    config = {"sources": {
+        "missing": {"source_type": "rest", "url": f"{server}/nowhere"},
+        "broken": {"source_type": "rest", "url": f"{server}/broken"},
+        "no file": {"source_type": "csv", "file_path": str(tmp_path / "none.csv")},
+        "no table": {"source_type": "sql", "path": str(tmp_path / "none")},
+    }}
+    got = {r["source_name"]: (r["status"], r["error_type"]) for r in engine.Engine.from_config(spark, config).run().collect()}
+    assert got == {"missing": ("aborted", "fatal"), "broken": ("aborted", "structural"), "no file": ("aborted", "fatal"), "no table": ("aborted", "fatal")}
+
+
 def test_reference_tables_are_a_source(spark, tmp_path):
     rows = spark.createDataFrame([("A", "Aland", 1, "x"), ("B", "Bland", 0, "x"), ("A", "Zland", 1, "x"), (None, "C", 1, "x")], "id string, country_name string, nuclear_power int, other string")
     paths = reference.seed(spark, str(tmp_path), {"countries_of_interest": rows, "defence_assets": spark.createDataFrame([], "id int")})

@@ -18,13 +18,14 @@ def entity_id(payload: str, declared: str | None, aliases: list[str]) -> Column:
     return first_filled(*fields, F.try_element_at(F.map_values(payload), F.lit(1)))
 
 
-def to_records(rows: DataFrame, source_type: str, source_name: str, kind: str, declared: str | None, aliases: list[str]) -> DataFrame:
-    """Rows with a map column ``payload`` as canonical records.
+def to_records(rows: DataFrame, source_type: str, source_name: str, kind: str, declared: str | None, aliases: list[str], keep: tuple[str, ...] = ()) -> DataFrame:
+    """Rows with a map column ``payload`` as canonical records, with the columns in
+    ``keep``.
 
     The record id is a function of the content, so a repeated run gives the
     same ids.
     """
-    out = rows.select(F.lit(source_type).alias("source_type"), F.trim(F.lit(source_name)).alias("source_name"), F.trim(F.lit(kind)).alias("entity_type"), F.trim(entity_id("payload", declared, aliases)).alias("entity_id"), "payload")
+    out = rows.select(*keep, F.lit(source_type).alias("source_type"), F.trim(F.lit(source_name)).alias("source_name"), F.trim(F.lit(kind)).alias("entity_type"), F.trim(entity_id("payload", declared, aliases)).alias("entity_id"), "payload")
     out = out.withColumn("checksum", payload_checksum(F.col("payload")))
     return out.withColumn("record_id", F.md5(F.concat_ws("|", "source_type", "source_name", "entity_id", "checksum")))
 

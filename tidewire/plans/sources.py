@@ -204,8 +204,8 @@ _NEW = "SELECT DISTINCT CAST(event_id % 400 AS VARCHAR) AS id, event_type AS kin
 
 
 @query(f"""WITH n AS ({_NEW}), lines AS (SELECT count(*) AS all_rows, count(*) FILTER (event_id % 11 = 0) AS bad FROM events), k AS (SELECT count(*) AS n FROM n)
-SELECT 'first' AS source_name, 'JSON' AS source_type, 'success' AS status, all_rows AS extracted, all_rows - bad AS validated, bad AS failed, n AS inserted, all_rows - bad - n AS skipped FROM lines, k
-UNION ALL SELECT 'again', 'JSON', 'success', all_rows, all_rows - bad, bad, 0, all_rows - bad FROM lines UNION ALL SELECT 'gone', 'CSV', 'aborted', 0, 0, 0, 0, 0""")
+SELECT 'first' AS source_name, 'JSON' AS source_type, 'success' AS status, CAST(NULL AS VARCHAR) AS error_type, all_rows AS extracted, all_rows - bad AS validated, bad AS failed, n AS inserted, all_rows - bad - n AS skipped FROM lines, k
+UNION ALL SELECT 'again', 'JSON', 'success', NULL, all_rows, all_rows - bad, bad, 0, all_rows - bad FROM lines UNION ALL SELECT 'gone', 'CSV', 'aborted', 'fatal', 0, 0, 0, 0, 0""")
 def engine_run(spark, root):
     """Three configured sources: one file twice, so that the second inserts nothing,
     and one that fails without stopping the others."""

@@ -3,7 +3,12 @@ of all of them into the record store.
 
 A reader is a function ``(spark, options) -> DataFrame`` of ``payload, error``
 (a map of texts, and what could not be parsed). The failure of one source does
-not stop the others: it is in the statistics.
+not stop the others: its class (transient, structural or fatal) and message are in
+the statistics.
+
+What a source adds (records, dead letters, its line of the run log) becomes valid at
+once, by a version of the store's manifest: a run that is killed in between leaves
+folders that nobody reads, and can be run again. Counts come from the writes.
 """
 
 from __future__ import annotations
@@ -11,18 +16,21 @@ from __future__ import annotations
 import json
 import os
 import time
+import uuid
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from tidewire.operators import ingest, merge
 from tidewire.sources import files, web
-from tidewire.storage import new_path, stored
+from tidewire.storage import Manifest, RacingWriters, new_path, stored
 
 Reader = Callable[[SparkSession, dict], DataFrame]
-STATS = "source_type string, source_name string, status string, extracted long, validated long, failed long, inserted long, skipped long, seconds double, message string"
+STATS = "source_type string, source_name string, status string, extracted long, validated long, failed long, inserted long, skipped long, seconds double, error_type string, message string"
+#: How often a source is added again where another run came in between.
+TRIES = 5
 # Other fields that may hold a record's id, by the kind of reader.
 ID_FIELDS = {"rss": ["id", "link", "title"], "events": ["url", "title"], "indicators": ["id", "country_code"], "sql": ["id", "name"]}
 
@@ -109,12 +117,35 @@ def describe(spark: SparkSession, config: dict, registry: Registry = REGISTRY) -
     return spark.createDataFrame(rows, "name string, source_type string, enabled boolean, registered boolean, options string")
 
 
+#: What tells the class of an error that has passed through Spark: the exceptions of
+#: the web sources by name, and what Spark, drivers and networks say.
+_MARKS = [
+    (ingest.FATAL, ["web.Fatal"]), (ingest.STRUCTURAL, ["web.Structural"]), (ingest.TRANSIENT, ["web.Transient"]),
+    (ingest.TRANSIENT, ["SQLTransient", "SocketTimeout", "timed out", "ConnectException", "Connection reset", "Connection refused"]),
+    (ingest.STRUCTURAL, ["MALFORMED", "CANNOT_PARSE", "PARSE_SYNTAX_ERROR", "JSONDecodeError", "FAILED_READ_FILE", "UNABLE_TO_INFER_SCHEMA"]),
+]
+
+
+def error_type(error: BaseException) -> str:
+    """The class of a source's failure: transient (may pass), structural (what was
+    read has not the expected form), or fatal (all else: missing files and tables,
+    refused access, wrong settings)."""
+    own = {web.Fatal: ingest.FATAL, web.Structural: ingest.STRUCTURAL, web.Transient: ingest.TRANSIENT, json.JSONDecodeError: ingest.STRUCTURAL, UnicodeDecodeError: ingest.STRUCTURAL, TimeoutError: ingest.TRANSIENT, ConnectionError: ingest.TRANSIENT}
+    for kind, name in own.items():
+        if isinstance(error, kind):
+            return name
+    text = f"{type(error).__name__}: {error}"
+    return next((name for name, marks in _MARKS if any(m in text for m in marks)), ingest.FATAL)
+
+
 class Engine:
     """Reads sources into the record store below ``store`` and the dead letters
-    below ``dead`` (Parquet and JSON folders of a shared file system)."""
+    below ``dead`` (Parquet and JSON folders of a shared file system, one for each
+    source of a run; ``runs`` names those that are valid)."""
 
     def __init__(self, spark: SparkSession, store: str, dead: str, registry: Registry = REGISTRY):
         self.spark, self.store, self.dead, self.registry = spark, store.rstrip("/"), dead.rstrip("/"), registry
+        self.runs = Manifest(spark, f"{self.store}/_runs")
         self.sources: list[Source] = []
         self.stats: list[tuple] = []
 
@@ -130,29 +161,55 @@ class Engine:
         self.registry.get(source.type)
         self.sources.append(source)
 
+    def _parts(self, what: str) -> list[str]:
+        return [r[what] for r in self.runs.latest()[1] or [] if r.get(what)]
+
     def records(self) -> DataFrame | None:
         """What the store holds; None before the first record."""
-        try:
-            return self.spark.read.parquet(self.store)
-        except Exception as e:  # noqa: BLE001
-            if "PATH_NOT_FOUND" in str(e) or "UNABLE_TO_INFER_SCHEMA" in str(e):
-                return None
-            raise
-
-    def _run_one(self, source: Source) -> tuple:
+        parts = self._parts("records")
+        return self.spark.read.parquet(*parts) if parts else None
+
+    def dead_letters(self, source_type: str | None = None) -> DataFrame:
+        """The dead letters of all runs."""
+        parts = self._parts("dead")
+        rows = self.spark.read.schema(files.DEAD_SCHEMA).json(parts) if parts else self.spark.createDataFrame([], files.DEAD_SCHEMA)
+        return rows.where(F.col("source_type") == source_type) if source_type else rows
+
+    def log(self) -> DataFrame:
+        """The statistics of every source of every run that ended well."""
+        return self.spark.createDataFrame([tuple(r["log"]) for r in self.runs.latest()[1] or []], STATS)
+
+    def _run_one(self, source: Source, began: float) -> tuple:
         source_type, reader = self.registry.get(source.type)
-        rows = stored(reader(self.spark, source.options), "rows")
-        parsed = ingest.to_records(rows.where("error IS NULL").select("payload"), source_type, source.name, source.entity_type, source.id_field, ID_FIELDS.get(source.type, []))
-        valid, bad = ingest.split_valid(parsed)
-        valid = stored(valid, "valid")
-        bad = stored(bad.unionByName(files.dead_of(rows, source_type, source.name)), "bad")
-        there = self.records()
-        known = valid.limit(0) if there is None else there
-        new = stored(merge.insert_or_ignore(valid, known.select("entity_id", "checksum"), ["entity_id", "checksum"], "record_id"), "new")
-        new.withColumn("ingested_at", F.current_timestamp()).write.mode("append").parquet(self.store)
-        files.append_dead(bad, self.dead)
-        n_valid, n_bad, n_new = valid.count(), bad.count(), new.count()
-        return n_valid + n_bad, n_valid, n_bad, n_new, n_valid - n_new
+        read = reader(self.spark, source.options)
+        parsed = ingest.to_records(read, source_type, source.name, source.entity_type, source.id_field, ID_FIELDS.get(source.type, []), ("error",))
+        parsed = parsed.withColumn("errors", ingest.errors_of(parsed))
+        good = F.col("error").isNull() & (F.size("errors") == 0)
+        seen = Observation()
+        marked = stored(parsed.withColumn("good", good).observe(seen, F.count("*").alias("n"), F.coalesce(F.sum(F.col("good").cast("long")), F.lit(0)).alias("good")), "marked")
+        n, n_valid = seen.get["n"], seen.get["good"]
+        valid = marked.where("good").drop("good", "error", "errors")
+        bad = ingest.split_valid(marked.where("error IS NULL AND NOT good").drop("good", "error", "errors"))[1]
+        bad = bad.unionByName(files.dead_of(marked, source_type, source.name))
+        dead = None
+        if n > n_valid:
+            dead = f"{self.dead}/run={uuid.uuid4().hex}"
+            files.append_dead(bad, dead)
+        for _ in range(TRIES):
+            version, have = self.runs.latest()
+            have, records = have or [], f"{self.store}/run={uuid.uuid4().hex}"
+            parts = [r["records"] for r in have if r.get("records")]
+            known = self.spark.read.parquet(*parts) if parts else valid.limit(0)
+            new, written = merge.insert_or_ignore(valid, known.select("entity_id", "checksum"), ["entity_id", "checksum"], "record_id"), Observation()
+            new.withColumn("ingested_at", F.current_timestamp()).observe(written, F.count("*").alias("n")).write.parquet(records)
+            n_new = written.get["n"]
+            line = (source_type, source.name, "success", n, n_valid, n - n_valid, n_new, n_valid - n_new, time.perf_counter() - began, None, None)
+            try:
+                self.runs.commit(version + 1, [*have, {"records": records if n_new else None, "dead": dead, "log": line}])
+                return line
+            except RacingWriters:  # what the other run added is known now
+                continue
+        raise RacingWriters(f"{TRIES} times at {self.store}")
 
     def run(self) -> DataFrame:
         """Reads every source, one after another; the statistics, a row a source."""
@@ -161,10 +218,9 @@ class Engine:
             began = time.perf_counter()
             kind = self.registry.get(source.type)[0]
             try:
-                counts, status, message = self._run_one(source), "success", None
+                self.stats.append(self._run_one(source, began))
             except Exception as e:  # noqa: BLE001 - one source must not stop the others
-                counts, status, message = (0, 0, 0, 0, 0), "aborted", f"{type(e).__name__}: {str(e)[:300]}"
-            self.stats.append((kind, source.name, status, *counts, time.perf_counter() - began, message))
+                self.stats.append((kind, source.name, "aborted", 0, 0, 0, 0, 0, time.perf_counter() - began, error_type(e), f"{type(e).__name__}: {str(e)[:300]}"))
         return self.spark.createDataFrame(self.stats, STATS)
 
     def totals(self) -> dict[str, int]:
