@@ -52,6 +52,14 @@ def test_equals_plain_search(spark, options):
     assert sorted((tuple(r[:4]) + (bytes(r[4]),) for r in got), key=repr) == plain(rows, options.get("least", 50))
 
 
+def test_many_texts_with_copies_are_not_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(repeats, "BROADCAST_ROWS", 0)
+    rows = documents(77)
+    df = spark.createDataFrame([(k, t, 1, 2, "x") for k, t in rows], SCHEMA).repartition(3)
+    got = repeats.without_repeats(df).collect()
+    assert sorted((tuple(r[:4]) + (bytes(r[4]),) for r in got), key=repr) == plain(rows, 50)
+
+
 def test_empty_table(spark):
     assert repeats.without_repeats(spark.createDataFrame([], SCHEMA)).count() == 0
 

@@ -9,7 +9,9 @@ The key of a string is the least hash of the ``SEED``-byte strings inside it.
 Neighbouring strings mostly share their key, and a run of them is one fragment
 of text.
 
-1. Documents are dealt into blocks, written once as a bucketed table. Each block
+0. A document that equals one with a smaller key is covered as a whole and takes
+   no further part: any of its strings is in that document too.
+1. Documents are cut into blocks, written once as a bucketed table. Each block
    counts its keys and sends each range of hashes to one task, which tells the
    blocks which keys occur more than once: all others can be left alone.
 2. Each block sends its distinct fragments, with the least document of each, to
@@ -41,12 +43,16 @@ from pyspark.sql import functions as F
 from tidewire.llm.common import materialize, new_path, small_batches
 
 LEAST, SEED = 50, 16
-#: Bytes of text of a block, and runs from which a key is cut into strings.
-BLOCK_BYTES, HOT = 16 << 20, 8192
+#: Bytes of text of a block at least, bytes that a block sends to a range at least
+#: (for which the blocks of a large corpus are larger), bytes of text of a
+#: partition, and runs from which a key is cut into strings.
+BLOCK_BYTES, SENT_BYTES, PARTITION_BYTES, HOT = 4 << 20, 512, 16 << 20, 8192
+#: Texts with copies that are broadcast at most (about 60 bytes each).
+BROADCAST_ROWS = 200_000
 #: Strings of a fragment at most (bits of a mask), bytes of a text that is sorted
 #: at once (fragments of one key stay together: at most HOT * (RUN + LEAST) more),
 #: and bytes that are hashed at once.
-RUN, SORTED_BYTES, CHUNK = 32, 1 << 20, 1 << 17
+RUN, SORTED_BYTES, CHUNK = 64, 1 << 18, 1 << 17
 #: No byte of UTF-8.
 END = 0xFF
 NO_KEY = np.iinfo(np.int64).max
@@ -127,7 +133,8 @@ def runs(data: np.ndarray, ends: np.ndarray, least: int, seed: int) -> tuple[np.
         at = until
     if not first:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    return np.concatenate(first), np.concatenate(count), np.concatenate(keys)
+    # Least hashes are small numbers: mixed again, they fill all ranges alike.
+    return np.concatenate(first), np.concatenate(count), _mixed(np.concatenate(keys) + np.uint64(_MIX))
 
 
 def suffix_order(text: np.ndarray, depth: int) -> np.ndarray:
@@ -144,7 +151,7 @@ def suffix_order(text: np.ndarray, depth: int) -> np.ndarray:
         key = key << np.uint64(8) | np.roll(text, -k).astype(np.uint64)
     while True:
         packed = np.sort(key << np.uint64(bits) | place)
-        order = (packed & np.uint64((1 << bits) - 1)).astype(np.int64)
+        order = (packed & np.uint64((1 << bits) - 1)).astype(np.int32)
         if known >= depth:
             return order
         group = packed >> np.uint64(bits)
@@ -166,19 +173,19 @@ def shared_prefixes(text: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarra
     order = suffix_order(text, least)
     transform = text[order - 1]  # the byte before; -1 wraps around
     by_byte = np.argsort(transform, kind="stable")
-    to = np.empty(n, np.int64)  # the row of the suffix one longer
-    to[by_byte] = np.arange(n)
+    to = np.empty(n, np.int32)  # the row of the suffix one longer
+    to[by_byte] = np.arange(n, dtype=np.int32)
     # The next and the last row above with the same byte.
-    after, before = np.full(n, n, np.int64), np.full(n, -1, np.int64)
+    after, before = np.full(n, n, np.int32), np.full(n, -1, np.int32)
     same = np.flatnonzero(transform[by_byte[1:]] == transform[by_byte[:-1]])
     after[by_byte[same]] = by_byte[same + 1]
     before[by_byte[same + 1]] = by_byte[same]
     shared = np.full(n + 1, 255, np.uint8)
     shared[0] = 0
-    low, high = np.zeros(1, np.int64), np.full(1, n, np.int64)
+    low, high = np.zeros(1, np.int32), np.full(1, n, np.int32)
     for length in range(least):
         size = high - low
-        row = np.arange(size.sum()) + np.repeat(low - (np.cumsum(size) - size), size)
+        row = np.arange(size.sum(), dtype=np.int32) + np.repeat(low - (np.cumsum(size, dtype=np.int32) - size), size)
         last = row[after[row] >= np.repeat(high, size)]
         first = row[before[row] < np.repeat(low, size)]
         # Extended intervals lie apart, so sorted ends belong to each other.
@@ -219,12 +226,12 @@ class _Text:
 
     def __init__(self, table: pa.Table, least: int, seed: int):
         table = table.sort_by([("key", "ascending"), ("row", "ascending")])
-        self.texts = table["text"].to_pylist()
+        self.texts = [t or b"" for t in table["text"].to_pylist()]
         self.sizes = np.array([len(t) for t in self.texts], np.int64)
         self.ends = np.cumsum(self.sizes)
         self.raw = b"".join(self.texts)
         self.data = np.frombuffer(self.raw, np.uint8)
-        self.keys = np.array([NO_KEY if k is None else k for k in table["key"].to_pylist()], np.int64)
+        self.keys = table["key"].to_numpy().astype(np.int64)
         self.table = table
         self.least, self.seed = least, seed
 
@@ -264,10 +271,12 @@ def _count_keys(blocks: DataFrame, ranges: int, least: int, seed: int, hot: int)
         block = table["block"][0].as_py()
         keys, counts = np.unique(_Text(table, least, seed).runs()[2], return_counts=True)
         counts = np.minimum(counts, 65535).astype("<u2")
-        return _table([(r, block, keys[i:j].astype("<u8").tobytes(), counts[i:j].tobytes()) for r, i, j in _slices(_range_of(keys, ranges))], _COUNTED)
+        # In a range, half of the hash is enough: keys that are taken for equal only
+        # are looked at in vain.
+        return _table([(r, block, keys[i:j].astype("<u4").tobytes(), counts[i:j].tobytes()) for r, i, j in _slices(_range_of(keys, ranges))], _COUNTED)
 
     def again(key: tuple, table: pa.Table) -> pa.Table:
-        keys, counts = _joined(table["keys"], "<u8"), _joined(table["counts"], "<u2").astype(np.int64)
+        keys, counts = _joined(table["keys"], "<u4"), _joined(table["counts"], "<u2").astype(np.int64)
         held = [len(b) // 2 for b in table["counts"].to_pylist()]
         order = np.argsort(keys)
         first = np.flatnonzero(np.concatenate(([True], keys[order][1:] != keys[order][:-1])))
@@ -330,14 +339,17 @@ def _send_fragments(blocks: DataFrame, told: DataFrame, ranges: int, least: int,
         rows = []
         for r, i, j in _slices(to[by_range]):
             mine = by_range[i:j]
-            rows.append((0, r, block, strings[mine].astype("<u1").tobytes(), holders[mine].astype("<i8").tobytes(), key[mine].astype("<u8").tobytes(), b"".join([fragments[k] for k in mine])))
+            rows.append((0, r, block, strings[mine].astype("<u1").tobytes(), holders[mine].astype("<i8").tobytes(), key[mine].astype("<u4").tobytes(), b"".join([fragments[k] for k in mine])))
         # Fragments are named by their place in what is sent, in the order of ranges.
         name = np.empty(len(fragments), np.int64)
         name[by_range] = np.arange(len(fragments))
         rows.append((1, None, block, size.astype("<u1").tobytes(), name[place].astype("<u4").tobytes(), begin.astype("<i8").tobytes(), holders[by_range].astype("<i8").tobytes()))
         return _table(rows, _FRAGMENTS)
 
-    return materialize(blocks.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(cut, _FRAGMENTS), "fragments")
+    sent = blocks.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(cut, _FRAGMENTS)
+    path = new_path(blocks.sparkSession, "fragments")
+    sent.write.option("compression", "zstd").parquet(path)
+    return blocks.sparkSession.read.schema(sent.schema).parquet(path)
 
 
 def _find_holders(sent: DataFrame, least: int, sorted_bytes: int) -> DataFrame:
@@ -353,10 +365,10 @@ def _find_holders(sent: DataFrame, least: int, sorted_bytes: int) -> DataFrame:
                 slots.append(number.setdefault(raw[at:end], len(number)))
                 at = end
         names, slots = list(number), np.array(slots, np.int64)
-        own, keys = _joined(table["holders"], "<i8"), _joined(table["keys"], "<u8")
+        own, keys = _joined(table["holders"], "<i8"), _joined(table["keys"], "<u4")
         holders = np.full(len(names), NO_KEY, np.int64)
         np.minimum.at(holders, slots, own)
-        by = np.empty(len(names), np.uint64)
+        by = np.empty(len(names), np.uint32)
         by[slots] = keys
         order = np.argsort(by, kind="stable")
         size = np.array([len(names[i]) + 1 for i in order], np.int64)
@@ -383,7 +395,7 @@ def _find_holders(sent: DataFrame, least: int, sorted_bytes: int) -> DataFrame:
         bits = np.add.reduceat(np.where(smaller, np.uint64(1) << nth.astype(np.uint64), np.uint64(0)), base)
         rows, at = [], 0
         for block, held in zip(table["block"].to_pylist(), table["sizes"].to_pylist(), strict=True):
-            rows.append((block, key[0].as_py(), bits[at : at + len(held)].astype("<u4").tobytes()))
+            rows.append((block, key[0].as_py(), bits[at : at + len(held)].astype("<u8").tobytes()))
             at += len(held)
         return _table(rows, _HITS)
 
@@ -396,10 +408,10 @@ def _covered(text: _Text, places: dict, hits: pa.Table, least: int) -> np.ndarra
     if places is None:
         return covered
     hits = hits.sort_by("range")
-    bits = _joined(hits["bits"], "<u4").astype(np.uint64)
+    bits = _joined(hits["bits"], "<u8")
     name, size, begin = np.frombuffer(places["holders"], "<u4"), np.frombuffer(places["sizes"], "<u1").astype(np.int64), np.frombuffer(places["keys"], "<i8")
     holder = np.frombuffer(places["text"], "<i8")
-    mask = np.where(text.keys[text.document(begin)] > holder[name], np.uint64((1 << RUN) - 1), bits[name])
+    mask = np.where(text.keys[text.document(begin)] > holder[name], np.uint64(2**64 - 1), bits[name])
     some = np.flatnonzero(mask)
     count = size[some]
     nth = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
@@ -412,33 +424,58 @@ def _covered(text: _Text, places: dict, hits: pa.Table, least: int) -> np.ndarra
     return np.cumsum(change[:-1]) > 0
 
 
-def bucketed(documents: DataFrame, key: str, text: str, blocks: int) -> DataFrame:
-    """``block, key, row, text`` as a bucketed table in the shared folder: later
-    steps by block read it without a shuffle. Rows are dealt out one by one, so
-    equal texts and keys spread."""
-    spark = documents.sparkSession
+def with_copies(documents: DataFrame, key: str, text: str, least: int) -> DataFrame:
+    """``key, text, whole``: for copies of a text with a smaller key, ``whole`` is
+    the number of its bytes and the text is null. Only the digests of texts are
+    grouped, and only those of texts with copies come back."""
+    read = documents.select(F.coalesce(F.col(key).cast("long"), F.lit(NO_KEY)).alias("key"), F.coalesce(F.col(text).cast("string"), F.lit("")).cast("binary").alias("text"))
+    read = read.withColumn("size", F.octet_length("text").cast("long"))
+    read = read.withColumn("digest", F.when(F.col("size") >= least, F.unhex(F.sha2("text", 256))))
+    firsts = read.where("digest IS NOT NULL").groupBy("digest").agg(F.min("key").alias("first"), F.max("key").alias("last")).where("first < last").select("digest", "first")
+    firsts = materialize(firsts, "copies", narrow=True)
+    firsts = F.broadcast(firsts) if firsts.count() <= BROADCAST_ROWS else firsts
+    copy = F.coalesce(F.col("key") > F.col("first"), F.lit(False))
+    joined = read.withColumn("part", F.spark_partition_id()).join(firsts, "digest", "left")
+    return joined.select("key", F.when(~copy, F.col("text")).alias("text"), F.when(copy, F.col("size")).alias("whole"), "part")
+
+
+def bucketed(rows: DataFrame, in_part: int, buckets: int) -> DataFrame:
+    """``block, key, row, text, whole`` as a table of the shared folder, bucketed by
+    block: later steps by block read it without a shuffle. Each part of the input
+    is ``in_part`` blocks, so it is written without one as well."""
+    spark = rows.sparkSession
     name = f"tidewire_{uuid.uuid4().hex}"
-    row = F.monotonically_increasing_id()
-    read = documents.select(F.col(key).cast("long").alias("key"), F.coalesce(F.col(text).cast("string"), F.lit("")).cast("binary").alias("text"), row.alias("row"))
-    dealt = read.select(F.pmod(F.xxhash64("row"), F.lit(blocks)).alias("block"), "key", "row", "text")
-    dealt.repartition(blocks, "block").write.bucketBy(blocks, "block").option("path", new_path(spark, "blocks")).saveAsTable(name)
+    rows = rows.withColumn("row", F.monotonically_increasing_id())
+    block = F.col("part").cast("long") * in_part + F.pmod(F.xxhash64("row"), F.lit(in_part))
+    rows = rows.select(block.alias("block"), "key", "row", "text", "whole")
+    rows.write.bucketBy(buckets, "block").option("path", new_path(spark, "blocks")).option("compression", "zstd").saveAsTable(name)
     return spark.table(name)
 
 
+def block_size(total: int, least: int, seed: int, smallest: int = BLOCK_BYTES) -> int:
+    """Bytes of a block. Each block sends a row to each range, of which there are
+    as many, so blocks grow with the square root of the corpus once a row would
+    hold less than ``SENT_BYTES`` (about 10 bytes for every run)."""
+    text_a_row = SENT_BYTES / 10 * (least - seed + 2) / 2
+    return max(smallest, int((text_a_row * total) ** 0.5))
+
 
 def without_repeats(documents: DataFrame, key: str = "doc_id", text: str = "text", least: int = LEAST, seed: int = SEED, block_bytes: int = BLOCK_BYTES, hot: int = HOT, sorted_bytes: int = SORTED_BYTES) -> DataFrame:
     """``key, n_bytes, n_removed, n_spans, kept`` (the bytes left), one row a document.
 
     Null texts are empty, and keys are whole numbers. A null key counts as larger
     than any other; rows of equal keys, or both without one, remove nothing from
-    each other. Repeated rows have equal results, and texts shorter than ``least``
+    each other; so does 2^63 - 1. Repeated rows have equal results, and texts shorter than ``least``
     stay whole. An empty table gives an empty result; other columns are not read.
     """
     spark = documents.sparkSession
     small_batches(spark)
-    size = documents.agg(F.sum(F.octet_length(F.col(text).cast("string")))).first()[0] or 0
-    count = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // block_bytes))
-    blocks = bucketed(documents, key, text, count)
+    parts = documents.groupBy(F.spark_partition_id()).agg(F.sum(F.octet_length(F.col(text).cast("string"))).alias("size"))
+    parts, size, largest = parts.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0)), F.coalesce(F.max("size"), F.lit(0))).first()
+    in_part = max(1, -(-largest // block_size(size, least, seed, block_bytes)))
+    count = max(1, parts * in_part)
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(count, -(-size // PARTITION_BYTES)))
+    blocks = bucketed(with_copies(documents, key, text, least), in_part, buckets)
     told = _count_keys(blocks, count, least, seed, hot)
     sent = _send_fragments(blocks, told, count, least, seed)
     hits = _find_holders(sent, least, sorted_bytes)
@@ -459,7 +496,9 @@ def without_repeats(documents: DataFrame, key: str = "doc_id", text: str = "text
             gone.append(n)
             spans.append(int(own[:1].sum() + (own[1:] & ~own[:-1]).sum()) if n else 0)
             kept.append(text_.data[i:j][~own].tobytes() if n else raw)
-        return pa.table([text_.table["key"], pa.array(text_.sizes), pa.array(gone, pa.int64()), pa.array(spans, pa.int64()), pa.array(kept, pa.binary())], names=["key", "n_bytes", "n_removed", "n_spans", "kept"])
+        whole = np.array([w or 0 for w in text_.table["whole"].to_pylist()], np.int64)
+        keys = pa.array(text_.keys, mask=text_.keys == NO_KEY)
+        return pa.table([keys, pa.array(text_.sizes + whole), pa.array(np.array(gone, np.int64) + whole), pa.array(np.array(spans, np.int64) + (whole > 0)), pa.array(kept, pa.binary())], names=["key", "n_bytes", "n_removed", "n_spans", "kept"])
 
     result = blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(removed, "key long, n_bytes long, n_removed long, n_spans long, kept binary")
     return result.withColumnRenamed("key", key)
