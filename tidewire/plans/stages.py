@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tidewire.functions import categories, entities, severity
 from tidewire.functions import vocabulary as V
+from tidewire.functions.models import Model, with_scores
 from tidewire.functions.text import summary_of_new
 from tidewire.operators import ingest
 from tidewire.storage import new_path
@@ -45,11 +46,11 @@ class Pipeline:
         return df
 
 
-def classified(df: DataFrame) -> DataFrame:
-    """Labels by the scorer that needs no model."""
-    text = categories.label_text(F.col("title"), F.col("article_text"), F.col("summary"))
-    scored = df.withColumns({"_text": text, "_scores": categories.overlap_scores(text, V.CATEGORIES)})
-    return categories.classify(scored, "_scores", "_text").drop("_text", "_scores")
+def classified(df: DataFrame, model: Model | None = None) -> DataFrame:
+    """Labels by a model's scores; by the scorer that needs none where it has none."""
+    texts = df.withColumn("_text", categories.label_text(F.col("title"), F.col("article_text"), F.col("summary")))
+    scored = with_scores(texts, "_text", "_scores", model, lambda text: categories.overlap_scores(text, V.CATEGORIES))
+    return categories.classify(scored, "_scores", "_text").drop("_text", "_scores", "_scores_by")
 
 
 def summarised(df: DataFrame) -> DataFrame:
@@ -57,11 +58,12 @@ def summarised(df: DataFrame) -> DataFrame:
     return df.withColumn("ai_summary", summary_of_new(done, F.col("summary"), F.col("article_text")))
 
 
-def article_stages() -> list[Stage]:
-    """From raw articles (``title, article_text, summary``) to judged ones."""
+def article_stages(model: Model | None = None) -> list[Stage]:
+    """From raw articles (``title, article_text, summary``) to judged ones; ``model``
+    scores the labels."""
     return [
         ("cleaning", lambda df: ingest.clean_articles(df, "title", "article_text")),
-        ("classification", classified),
+        ("classification", lambda df: classified(df, model)),
         ("entities_and_places", lambda df: entities.recognise(df, "title", "article_text")),
         ("summaries", summarised),
         ("severity", lambda df: severity.severity(df, "title", "article_text", "summary")),
