@@ -418,6 +418,41 @@ def test_listed_urls(spark):
     assert small and exact >= 50_000 and 0 < passed - exact < 0.1 * places.count()
 
 
+def test_a_million_listed_urls_by_both_joins(spark, monkeypatch):
+    listed = spark.range(1_000_000).select(F.concat(F.lit("http://h"), F.col("id") % 9973, F.lit(".example.org/p/"), "id").alias("url"))
+    pages = spark.range(990_000, 1_010_000).select(F.col("id").alias("page_id"), F.concat(F.lit("https://h"), F.col("id") % 9973, F.lit(".example.org/p/"), "id").alias("url"))
+    rules = spark.createDataFrame(urlfilter.RULES, "rule string, verdict string")
+    entries = urlfilter.entries_of(rules, listed).cache()
+    places = pages.select(urlfilter.host_of(F.col("url")).alias("host"), urlfilter.path_of(F.col("url")).alias("path"), urlfilter.canonical(F.col("url")).alias("form"))
+    found = []
+    for most in (1 << 30, 0):
+        monkeypatch.setattr(urlfilter, "BROADCAST_BYTES", most)
+        possible, small = urlfilter.possible_entries(places, entries, [1, 4], 2)
+        assert small == bool(most)
+        found.append((possible.count(), possible.join(entries, ["kind", "entry"]).count()))
+        got = urlfilter.judge_urls(pages, "page_id", "url", rules, listed).groupBy((F.col("page_id") < 1_000_000).alias("in_list"), "verdict").count().collect()
+        assert {tuple(r) for r in got} == {(True, "block", 10_000), (False, "allow", 10_000)}
+    assert found[0] == found[1] and found[0][1] == 10_000 < found[0][0] < 10_600  # false positives, removed
+    entries.unpersist()
+
+
+def test_hosts_of_thousands_of_labels_and_long_urls(spark):
+    deep, long = "a." * 4000 + "example.net", "x" * 1_000_000
+    rows = [(1, f"http://{deep}/en/1"), (2, f"http://{deep}/de"), (3, f"http://net/{long}"), (4, f"http://{long}.org/fr/"), (5, f"{long}"), (6, "http://" + "." * 3000)]
+    rules = spark.createDataFrame(urlfilter.RULES, "rule string, verdict string")
+    got = urlfilter.judge_urls(spark.createDataFrame(rows, "page_id long, url string"), "page_id", "url", rules)
+    assert {r.page_id: (r.rule, r.verdict) for r in got.collect()} == {1: ("example.net/en/", "allow"), 2: ("net/", "block"), 3: ("net/", "block"), 4: ("org/fr/", "allow"), 5: (None, "allow"), 6: (None, "allow")}
+
+
+def test_toxicity_of_repeated_keys_does_not_depend_on_the_order(spark, prose):
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(60)], "doc_id long, toxic int")
+    rows = [(i, f"{prose(i, 12)}. {'vile scum ' * (i % 3 == 0)}{prose(i + 99, 9)}.") for i in range(60)] + [(i, f"other {prose(i + 500, 15)}.") for i in range(0, 60, 4)]
+    one = spark.createDataFrame(rows, "doc_id long, text string").repartition(1)
+    two = spark.createDataFrame(rows[::-1], "doc_id long, text string").repartition(5)
+    scores = [sorted((r["doc_id"], round(r["score"], 6)) for r in toxicity.classify(df, labels).collect()) for df in (one, two)]
+    assert scores[0] == scores[1]
+
+
 def test_bloom_filter_misses_nothing(spark):
     keys = spark.range(5000).select(F.col("id").cast("string").alias("k"))
     bloom = urlfilter.blocked_bloom(keys, "k", 160)

@@ -141,7 +141,7 @@ def fit(bags: list[tuple[int, list[list[int]], float, float]], size: int, start:
 def train(documents: DataFrame, labels: DataFrame, key: str, text: str, label: str, usable, sample: int = SAMPLE) -> Model:
     """Fit on at most ``sample`` labelled documents of each label, chosen by a
     hash of their key. A key that is labelled repeatedly is toxic if any label
-    says so."""
+    says so; of a key's different texts that with the least SHA-256 is learned from."""
     spark = documents.sparkSession
     small_batches(spark)
     marks = labels.where(usable & F.col(label).isNotNull() & F.col(key).isNotNull()).groupBy(F.col(key).alias("k")).agg(F.max((F.col(label) > 0).cast("int")).alias("y"))
@@ -151,7 +151,7 @@ def train(documents: DataFrame, labels: DataFrame, key: str, text: str, label: s
     chosen = materialize(kept[0].unionByName(kept[1]), "chosen")
     # At most 2 * sample keys: bounded, so broadcast; the texts are not shuffled.
     bags = documents.select(F.col(key).alias("k"), text_of(text).alias("t")).join(F.broadcast(chosen), "k")
-    bags = materialize(bags.dropDuplicates(["k"]), "bags")
+    bags = materialize(bags.groupBy("k").agg(F.min_by("t", F.sha2("t", 256)).alias("t"), F.first("y").alias("y")), "bags")
 
     def count(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in it:

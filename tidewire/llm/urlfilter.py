@@ -90,15 +90,17 @@ def entries_of(rules: DataFrame, listed: DataFrame | None) -> DataFrame:
     return materialize(known.unionByName(urls.select(F.lit(EXACT).alias("kind"), "entry", F.lit("block").alias("verdict"))), "entries")
 
 
-def possible_entries(places: DataFrame, entries: DataFrame, cuts: list[int]) -> tuple[DataFrame, bool]:
+def possible_entries(places: DataFrame, entries: DataFrame, cuts: list[int], labels_most: int | None = None) -> tuple[DataFrame, bool]:
     """``host, path, kind, entry`` of the keys that pass the filter, and whether
-    the entries are small enough to be broadcast."""
+    the entries are small enough to be broadcast. No rule has a host of more than
+    ``labels_most`` labels, so a host of thousands of them has few keys."""
     count, size = entries.count(), _bytes(entries, "entry")
     blocks = max(1, -(-count * BITS_PER_KEY // (64 * BLOCK_WORDS)))
     bloom = blocked_bloom(entries.select(F.concat("kind", "entry").alias("k")), "k", blocks)
     small = blocks * (BLOCK_WORDS * 8 + 64) <= BROADCAST_BYTES and size <= BROADCAST_BYTES
     labels = F.split("host", r"\.")
-    suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.concat_ws(".", F.slice(labels, i, F.size(labels) - i + 1)))
+    first = F.lit(1) if labels_most is None else F.greatest(F.lit(1), F.size(labels) - (labels_most - 1))
+    suffixes = F.transform(F.sequence(first, F.size(labels)), lambda i: F.concat_ws(".", F.slice(labels, i, F.size(labels) - i + 1)))
     prefixes = F.filter(F.transform(F.array(*[F.lit(n) for n in cuts]).cast("array<int>"), lambda n: F.substring(F.col("path"), F.lit(1), n)), lambda p: F.length(p) > 0)
     keys = F.flatten(F.transform(suffixes, lambda h: F.transform(prefixes, lambda p: F.concat(F.lit(RULE), h, p))))
     keys = F.array_distinct(F.concat(F.array(F.concat(F.lit(EXACT), "form")), keys))
@@ -123,8 +125,10 @@ def judge_urls(pages: DataFrame, key: str, url: str, rules: DataFrame, listed: D
     """
     entries = entries_of(rules, listed)
     # One number a distinct prefix length, at most the longest path of a rule.
-    lengths = entries.where(F.col("kind") == RULE).select((F.length("entry") - F.instr("entry", "/") + 1).alias("n"))
-    cuts = sorted(r.n for r in lengths.distinct().collect())
+    labels = F.size(F.split(F.substring_index("entry", "/", 1), r"\."))
+    lengths = entries.where(F.col("kind") == RULE).select((F.length("entry") - F.instr("entry", "/") + 1).alias("n"), labels.alias("labels"))
+    lengths = lengths.groupBy("n").agg(F.max("labels").alias("labels")).collect()
+    cuts, labels_most = sorted(r.n for r in lengths), max((r.labels for r in lengths), default=1)
     base = pages.select(F.col(key).alias(key), host_of(F.col(url)).alias("host"), path_of(F.col(url)).alias("path"), canonical(F.col(url)).alias("form"))
     base = base.select(key, F.coalesce("host", F.lit("")).alias("host"), F.coalesce("path", F.lit("")).alias("path"), "form")
     if not cuts and listed is None:
@@ -132,12 +136,15 @@ def judge_urls(pages: DataFrame, key: str, url: str, rules: DataFrame, listed: D
     # The entry is sought once for each distinct (host, path), so that repeated
     # urls cost one search and the result joins back on what was searched.
     places = base.select("host", "path", "form").where("host <> ''").distinct()
-    possible, small = possible_entries(places, entries, cuts)
+    possible, small = possible_entries(places, entries, cuts, labels_most)
     exact = possible.join(F.broadcast(entries) if small else entries, ["kind", "entry"])
     rank = F.struct((F.col("kind") == RULE).alias("rule"), F.length("entry").alias("n"), "entry", "verdict")
     best = exact.groupBy("host", "path").agg(F.max(rank).alias("best"))
     best = best.select("host", "path", F.when(F.col("best.rule"), F.col("best.entry")).alias("rule"), "best.verdict")
-    return base.join(best, ["host", "path"], "left").select(key, "host", "path", "rule", F.coalesce("verdict", F.lit(default)).alias("verdict"))
+    # Urls without a host have no entry: they are spread instead of meeting in one task.
+    spread = F.when(F.col("host") == "", F.pmod(F.monotonically_increasing_id(), F.lit(1 << 20)).cast("int")).otherwise(-1)
+    sought = base.withColumn("spread_", spread).join(best.withColumn("spread_", F.lit(-1)), ["host", "path", "spread_"], "left")
+    return sought.select(key, "host", "path", "rule", F.coalesce("verdict", F.lit(default)).alias("verdict"))
 
 
 def op6_urls(spark, root: str) -> DataFrame:
