@@ -79,6 +79,8 @@ def test_configuration():
 
 class Handler(BaseHTTPRequestHandler):
     failures: dict = {}
+    answers: dict = {}  # by topic; 204: a header without rows
+    asked: list = []
 
     def do_GET(self):
         path = self.path.split("?")[0]
@@ -89,9 +91,16 @@ class Handler(BaseHTTPRequestHandler):
             "/p1": {"data": [{"id": 1}, {"id": 2}], "next": f"http://127.0.0.1:{port}/p2"},
             "/p2": {"data": [{"id": 3}], "next": None},
             "/odd": {"rows": []},
+            "/topics": {},
             "/ind": [{"pages": 2}, [{"n": self.path.rsplit("page=", 1)[-1]}]],
         }
         body = "<rss><item><title>T</title><link>http://x</link></item></rss>" if path == "/feed" else "{" if path == "/broken" else json.dumps(pages.get(path, []))
+        if path == "/topics":
+            topic = self.path.split("query=")[1].split("&")[0]
+            Handler.asked.append(topic)
+            code = Handler.answers.get(topic, 500)
+            body = "URL,URL_mobile,Date,Title\n" + (f'http://e/{topic},,20240102T030405Z,"a, ""b""\nc"\n' if code == 200 else "")
+            code = 200 if code == 204 else code
         self.send_response(code if path in pages or path in ("/feed", "/broken") else 404)
         self.end_headers()
         self.wfile.write(body.encode())
@@ -216,3 +225,40 @@ def test_filters_and_routes():
     assert intent.filters_of(row, "2026-03-03") == {"level": "HIGH", "since": "2026-02-24"}
     handlers = {"general_search": lambda q: ("general", q), "trend_analysis": lambda q: ("trend", q)}
     assert intent.route("trend_analysis", handlers, "q") == ("trend", "q") and intent.route("odd", handlers, "q") == ("general", "q")
+
+
+def _search(spark, server, answers, cache=None):
+    Handler.answers, Handler.asked[:] = answers, []
+    rows = web.search_events(spark, f"{server}/topics", ["t1", "t2", "t3", "t4"], cache=cache, first_wait=0.01, attempts=1, between=0.01).collect()
+    return sorted((r["url"].rsplit("/", 1)[1], r["title"], r["query_topic"]) for r in rows), [t.split("%22")[1] if "%22" in t else t for t in Handler.asked]
+
+
+def _answers(**codes):
+    return {f"%22{t}%22+sourcelang%3Aenglish": c for t, c in codes.items()}
+
+
+def test_events_with_one_failure_go_on(spark, server, tmp_path):
+    rows, asked = _search(spark, server, _answers(t1=500, t2=200, t3=500, t4=500), str(tmp_path / "c"))
+    title = 'a, "b"\nc'
+    assert asked == ["t1", "t2", "t3", "t4"] and rows == [("%22t2%22+sourcelang%3Aenglish", title, "t2")]
+    # What was found is the cache of the next scan.
+    rows, asked = _search(spark, server, _answers(), str(tmp_path / "c"))
+    assert asked == ["t1", "t2"] and [(r[1].split("\n")[0], r[2]) for r in rows] == [('a, "b"', "t2")]
+
+
+def test_a_service_that_is_down_is_not_asked_on(spark, server, tmp_path):
+    with pytest.raises(web.Fatal):
+        _search(spark, server, _answers(t4=200))
+    assert len(Handler.asked) == 2
+    with pytest.raises(web.Fatal):
+        _search(spark, server, _answers(t1=204, t2=204, t3=204, t4=204), str(tmp_path / "none"))
+    assert len(Handler.asked) == 4  # it answered, with nothing
+    with pytest.raises(web.Fatal):
+        _search(spark, server, _answers(t1=204, t2=500, t3=500, t4=200))
+    assert len(Handler.asked) == 3
+
+
+def test_a_refused_scan_ends_at_once(spark, server):
+    with pytest.raises(Exception, match="Fatal"):
+        _search(spark, server, _answers(t1=403, t2=200))
+    assert len(Handler.asked) == 1

@@ -25,6 +25,12 @@ from tidewire.storage import stored
 ATTEMPTS, FIRST_WAIT, LONGEST_WAIT = 5, 2.0, 60.0
 FATAL_CODES = {400, 401, 403, 404, 410}
 EVENT_ROWS, INDICATOR_PAGE = 250, 500
+# Failures in a row after which a service counts as down, and the wait
+# between two topics in seconds.
+FAILURES, EVENT_WAIT = 2, 1.0
+#: A record of a CSV text, whose quoted values may hold line breaks and commas; a
+#: lone quote is a character.
+CSV_RECORD, CSV_QUOTED = r'(?:[^"\r\n]++|"(?:[^"]++|"")*+"|")++', r'"(?:[^"]++|"")*+"'
 EVENT_COLUMNS = ["url", "url_mobile", "seendate", "title", "socialimage", "domain", "language", "sourcecountry"]
 THREAT_CONTEXT = {"HIGH": ["CN", "PK"], "MODERATE": ["AF", "MM"], "MONITOR": ["NP", "BD", "LK"], "SELF": ["IN"]}
 
@@ -77,7 +83,7 @@ class _Part(InputPartition):
 
 
 class _Reader(DataSourceReader):
-    """Options: ``headers`` and ``params`` (JSON), ``timeout``, ``first_wait``."""
+    """Options: ``headers`` and ``params`` (JSON), ``timeout``, ``first_wait``, ``attempts``."""
 
     def __init__(self, options: dict[str, str]):
         self.options = {k.lower(): v for k, v in options.items()}
@@ -86,7 +92,7 @@ class _Reader(DataSourceReader):
 
     def get(self, url: str) -> str:
         wait, timeout = float(self.options.get("first_wait", FIRST_WAIT)), float(self.options.get("timeout", 30))
-        return with_retry(lambda: fetch(url, self.headers, timeout), wait)
+        return with_retry(lambda: fetch(url, self.headers, timeout), wait, int(self.options.get("attempts", ATTEMPTS)))
 
     def parsed(self, url: str):
         try:
@@ -154,6 +160,41 @@ class BodyReader(_Reader):
             yield partition.tag, None, str(e)
 
 
+class TopicReader(BodyReader):
+    """Bodies of several topics of one service, asked in order, with a wait between
+    them, in one partition: a service that does not answer is not asked on. After
+    ``FAILURES`` topics in a row that failed, with no row read before, the others
+    are left out. An error that no retry mends (a refused key, a wrong address)
+    ends the scan."""
+
+    def partitions(self):
+        return [_Part(self.options["urls"])]
+
+    def read(self, partition) -> Iterator[tuple]:
+        failures, rows, asked = 0, 0, json.loads(partition.url)
+        wait = float(self.options.get("between", EVENT_WAIT))
+        for n, (tag, url) in enumerate(asked.items()):
+            if n:
+                time.sleep(wait)
+            try:
+                body = self.get(with_params(url, self.params))
+                failures = 0
+                rows += max(len(body.strip().splitlines()) - 1, 0)
+                yield tag, body, None
+            except Fatal as e:
+                if not isinstance(e.__cause__, Transient):
+                    raise
+                failures += 1
+                yield tag, None, str(e)
+            except Structural as e:
+                failures += 1
+                yield tag, None, str(e)
+            if failures >= FAILURES and not rows:
+                for left in list(asked)[n + 1 :]:
+                    yield left, None, f"not asked: {failures} topics in a row failed"
+                return
+
+
 class _Source(DataSource):
     reads: type = RestReader
 
@@ -186,6 +227,14 @@ class BodySource(_Source):
         return "tidewire_bodies"
 
 
+class TopicSource(_Source):
+    reads = TopicReader
+
+    @classmethod
+    def name(cls) -> str:
+        return "tidewire_topics"
+
+
 def scan(spark: SparkSession, source: type[DataSource], **options) -> DataFrame:
     """``tag, value, error`` of a web source; dicts among the options go as JSON."""
     spark.dataSource.register(source)
@@ -256,13 +305,13 @@ def event_rows(rows: DataFrame, topics: list[str], most: int = EVENT_ROWS) -> Da
     there is one, and then by line.
 
     Rows of fewer than four values are left out, surplus values cut, missing
-    ones empty.
+    ones empty. Quoted values may hold commas and line breaks.
     """
     order = F.array_position(F.array(*map(F.lit, topics)), F.col("tag"))
     place = F.col("position") if "position" in rows.columns else F.lit(0)
-    lines = rows.where("value IS NOT NULL").select(F.col("tag").alias("query_topic"), order.alias("_topic"), place.alias("_body"), F.posexplode(F.split("value", r"\r?\n")).alias("_line", "line"))
+    lines = rows.where("value IS NOT NULL").select(F.col("tag").alias("query_topic"), order.alias("_topic"), place.alias("_body"), F.posexplode(F.regexp_extract_all("value", F.lit(CSV_RECORD), F.lit(0))).alias("_line", "line"))
     schema = ", ".join(f"{c} string" for c in EVENT_COLUMNS)
-    wide = lines.where("trim(line) <> ''").select("query_topic", "_topic", "_body", "_line", F.size(F.split("line", ",")).alias("_n"), F.from_csv("line", schema, {"escape": '"'}).alias("r"))
+    wide = lines.where("trim(line) <> ''").select("query_topic", "_topic", "_body", "_line", F.size(F.split(F.regexp_replace("line", CSV_QUOTED, ""), ",")).alias("_n"), F.from_csv("line", schema, {"escape": '"', "multiLine": "true"}).alias("r"))
     rows = wide.where("_n >= 4 AND lower(trim(r.url)) <> 'url' AND r.url <> ''").select("query_topic", "_topic", "_body", "_line", *[F.coalesce(F.col(f"r.{c}"), F.lit("")).alias(c) for c in EVENT_COLUMNS])
     top = rows.withColumn("_n", F.row_number().over(Window.partitionBy("query_topic").orderBy("_body", "_line"))).where(F.col("_n") <= most)
     once = first_rows(top.withColumn("_position", F.struct("_topic", "_body", "_line")), ["url"], "_position")
@@ -271,7 +320,7 @@ def event_rows(rows: DataFrame, topics: list[str], most: int = EVENT_ROWS) -> Da
 
 def cached_events(spark: SparkSession, path: str, default_topic: str = "") -> DataFrame:
     """Events of a cache file; other spellings of its columns are accepted."""
-    raw = spark.read.option("header", True).option("escape", '"').csv(path)
+    raw = spark.read.option("header", True).option("escape", '"').option("multiLine", True).csv(path)
     have = {c.strip().lstrip("﻿").lower().replace("_", ""): c for c in raw.columns}
     aliases = {"url_mobile": "mobileurl", "seendate": "date", "socialimage": "image"}
 
@@ -285,16 +334,24 @@ def cached_events(spark: SparkSession, path: str, default_topic: str = "") -> Da
 
 
 def search_events(spark: SparkSession, url: str, topics: list[str], language: str = "english", cache: str | None = None, **options) -> DataFrame:
-    """Events of all topics; those of the cache if no topic gives any."""
+    """Events of all topics, asked in order; those of the cache if no topic gives any
+    (see ``TopicReader`` for when a service counts as down); ``Fatal`` if there is
+    no cache or nothing in it."""
     asked = {t: with_params(url, {"query": f'"{t}" sourcelang:{language}', "mode": "ArtList", "maxrecords": EVENT_ROWS, "format": "CSV"}) for t in topics}
-    found = event_rows(stored(scan(spark, BodySource, urls=asked, **options), "bodies"), topics)
+    found = event_rows(stored(scan(spark, TopicSource, urls=asked, **options), "bodies"), topics)
     if not found.isEmpty():
         if cache:
             found.coalesce(1).write.mode("overwrite").option("header", True).option("escape", '"').csv(cache)
         return found
-    if not cache:
-        raise Fatal("no topic gave an event")
-    return cached_events(spark, cache)
+    kept = cached_events(spark, cache) if cache and _there(spark, cache) else None
+    if kept is None or kept.isEmpty():
+        raise Fatal("no topic gave an event, and there is none in the cache")
+    return kept
+
+
+def _there(spark: SparkSession, path: str) -> bool:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
 
 
 # Indicators
