@@ -171,7 +171,7 @@ def place_lookups(spark, root):
     return d.select("doc_id", place.alias("place"), "c.kind", "c.state", "c.country", geography.region_of(F.col("c.state")).alias("region"), geography.is_state(place).alias("is_state"))
 
 
-def _severity_sql(old: str = "NULL") -> str:
+def severity_sql(story: str = STORY_SQL) -> str:
     has = lambda text, words: f"regexp_matches({text}, '{'|'.join(_escaped(w) for w in words)}')"
     pattern = lambda p: p.replace("'", "''")
 
@@ -181,7 +181,7 @@ def _severity_sql(old: str = "NULL") -> str:
     outcomes = ", ".join("(" + ", ".join([_quoted(k), *(repr(x) if isinstance(x, float) else str(x).upper() if isinstance(x, bool) else _quoted(x) for x in v)]) + ")" for k, v in severity.OUTCOMES.items())
     reason = " ".join(f"WHEN {_quoted(k)} THEN {' || '.join(part for part in [_quoted(p.partition('%s')[0]), k + '_says' if '%s' in p else '', _quoted(p.partition('%s')[2])] if part)}" for k, p in severity.REASONS.items())
     fields = ", ".join(f"CASE WHEN rule = 'critical' AND {has('w', severity.DIPLOMATIC)} THEN 'HIGH' ELSE o.{n} END AS {n}" if n == "diplomatic_significance" else f"CAST(o.{n} AS DOUBLE) AS {n}" if n in ("threat_score", "ai_confidence") else f"o.{n}" for n in severity.FIELDS)
-    return f"""{STORY_SQL},
+    return f"""{story},
 a AS (SELECT doc_id, lower(title) AS t, lower(substring(regexp_replace(body, '{severity.BIO_TAIL}', '', 'g'), 1, 1200)) AS h FROM story),
 w AS (SELECT *, t || ' ' || h AS w FROM a),
 p AS (SELECT *, {says(V.PROCUREMENT, "NOT " + has("t", severity.NOT_PROCUREMENT))} AS procurement_says, {says(V.CRITICAL, has("w", severity.CRITICAL_CONTEXT))} AS critical_says,
@@ -193,13 +193,13 @@ o(k, {", ".join(severity.FIELDS)}) AS (VALUES {outcomes})
 SELECT doc_id, rule AS severity_rule, CASE rule {reason} END AS threat_reason, {fields} FROM r JOIN o ON k = rule"""
 
 
-@query(_severity_sql())
+@query(severity_sql())
 def story_severity(spark, root):
     """The production severity cascade with all its fields."""
     return severity.severity(_story(spark, root), "title", "body").drop("title", "body")
 
 
-@query(f"WITH n AS ({_severity_sql()}) SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'KEPT' ELSE threat_level END AS threat_level, CAST(CASE WHEN doc_id % 3 = 0 THEN 0.77 ELSE threat_score END AS DOUBLE) AS threat_score FROM n")
+@query(f"WITH n AS ({severity_sql()}) SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'KEPT' ELSE threat_level END AS threat_level, CAST(CASE WHEN doc_id % 3 = 0 THEN 0.77 ELSE threat_score END AS DOUBLE) AS threat_score FROM n")
 def severity_of_new(spark, root):
     """Rows that were judged before keep what they have."""
     s = _story(spark, root).withColumns({"threat_level": F.when(F.col("doc_id") % 3 == 0, "KEPT").when(F.col("doc_id") % 3 == 1, ""), "threat_score": F.when(F.col("doc_id") % 3 == 0, 0.77)})
@@ -225,7 +225,7 @@ def story_events(spark, root):
     return s.select("doc_id", F.explode(found).alias("e")).select("doc_id", "e.event_type", "e.matched_phrases", "e.actors", "e.locations")
 
 
-def _scores_sql() -> str:
+def scores_sql() -> str:
     score = lambda label: "(" + " + ".join(f"CAST(contains(l, {_quoted(w)}) AS DOUBLE)" for w in label.lower().split()) + f") / {len(label.split())}"
     return "[" + ", ".join(f"{{'s': -({score(label)}), 'n': {_quoted(label)}}}" for label in V.CATEGORIES) + "]"
 
@@ -236,7 +236,7 @@ def _category_sql() -> str:
         for sub in names:
             words = [w for w in sub.lower().split() if len(w) > 3]
             subs.append(f"CASE WHEN list_contains(primary_categories, {_quoted(label)}) AND ({' OR '.join(f'contains(l, {_quoted(w)})' for w in words)}) THEN {_quoted(sub)} END")
-    return f"""{STORY_SQL}, q AS (SELECT doc_id, lower(b) AS l, doc_id % 4 <> 0 AS known, list_sort({_scores_sql()}) AS r FROM s),
+    return f"""{STORY_SQL}, q AS (SELECT doc_id, lower(b) AS l, doc_id % 4 <> 0 AS known, list_sort({scores_sql()}) AS r FROM s),
 c AS (SELECT *, CASE WHEN NOT known THEN ['National Security'] WHEN r[1].s > -0.25 THEN [r[1].n] ELSE [x.n for x in list_filter(r, lambda x: x.s <= -0.25)[1:5]] END AS primary_categories FROM q)
 SELECT doc_id, primary_categories, CASE WHEN known THEN list_sort(list_distinct(list_filter([{", ".join(subs)}], lambda x: x IS NOT NULL)))[1:4] ELSE CAST([] AS VARCHAR[]) END AS sub_categories,
  CASE WHEN known THEN r[1].n ELSE 'National Security' END AS category, CASE WHEN known THEN round(-r[1].s, 3) ELSE 0.5 END AS category_confidence,

@@ -65,7 +65,7 @@ _LEGACY = "SELECT CAST(article_id AS VARCHAR) AS article_id, title, coalesce(nul
 _LEGACY_COLUMNS = ["article_id", "title", "source", "url", "category", "confidence", "published_at", "fetched_at", "summary", "threat_level"]
 desk("desk_legacy_articles", lambda d: d.legacy("CLICK", 50), f"SELECT * FROM ({_LEGACY}) WHERE category = 'click' ORDER BY published_at DESC, CAST(article_id AS BIGINT) LIMIT 50", *_LEGACY_COLUMNS)
 desk("desk_digest", lambda d: d.digest(), "SELECT coalesce(article_type, 'Unclassified') AS category, row_number() OVER (PARTITION BY coalesce(article_type, 'Unclassified') ORDER BY published_at DESC, article_id) - 1 AS position, article_id FROM articles", "category", "position", "article_id")
-desk("desk_evaluation", lambda d: d.evaluation("article_type", "threat_level"), "SELECT count(*) > 0 AS available, count(*) AS samples, count(*) FILTER (article_type = threat_level) AS correct, CAST(0.0 AS DOUBLE) AS accuracy FROM articles")
+desk("desk_evaluation", lambda d: d.evaluation("military_relevance", "national_security_relevance"), "SELECT count(*) > 0 AS available, count(*) AS samples, count(*) FILTER (military_relevance = national_security_relevance) AS correct, round_even(100.0 * count(*) FILTER (military_relevance = national_security_relevance) / count(*), 1) AS accuracy FROM articles")
 desk("desk_dead_letters", lambda d: d.dead_letters(25, "CSV"), "SELECT 'CSV' AS source_type, substring(CAST(ts AS VARCHAR), 1, 10) || 'T00:00:00' AS timestamp, 'error ' || printf('%08d', event_id) AS error_message FROM events WHERE event_id % 17 = 0 AND event_id % 2 = 0 ORDER BY timestamp DESC, error_message LIMIT 25")
 brief("desk_daily_brief", lambda d: d.daily_brief(), "article_id IN (SELECT article_id FROM articles ORDER BY published_at DESC NULLS LAST, article_id LIMIT 30)")
 brief("desk_situation_brief", lambda d: d.situation_brief("state3 Sector", ["nothing of it"]), "article_id IN (SELECT article_id FROM articles WHERE title ILIKE '%state3%' OR len(list_filter(list_concat(states, cities, countries), lambda x: x ILIKE '%state3%')) > 0 ORDER BY published_at DESC NULLS LAST, article_id LIMIT 20)")

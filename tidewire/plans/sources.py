@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tidewire.operators import facets, ingest, intent, merge, store
 from tidewire.plans import stages
 from tidewire.plans.articles import ARTICLES_SQL, articles
+from tidewire.plans.intelligence import scores_sql, severity_sql
 from tidewire.plans.scalars import sentences_sql
 from tidewire.sources import engine, files, pages, reference
 from tidewire.storage import new_path
@@ -229,10 +230,13 @@ def ingestion_config(spark, root):
     return engine.describe(spark, {"sources": {"a": {"source_type": "CSV", "file_path": "x"}, "b": {"source_type": "telex", "enabled": False}}})
 
 
-_STAGED = f"""WITH d AS (SELECT doc_id, {_SQUEEZED.replace("coalesce(html, '')", "coalesce(text, '')")} AS t, source FROM documents), c AS (SELECT * FROM d WHERE length(t) >= 200),
-s AS (SELECT *, ({sentences_sql("t")})[1:40] AS s FROM c), w AS (SELECT *, [len(string_split(x, ' ')) for x in s] AS w FROM s),
+_CLEANED = f"""WITH d AS (SELECT doc_id, {_SQUEEZED.replace("coalesce(html, '')", "coalesce(text, '')")} AS t, source FROM documents), c AS (SELECT * FROM d WHERE length(t) >= 200)"""
+_JUDGED = severity_sql(f"{_CLEANED}, story AS (SELECT doc_id, source AS title, t AS body FROM c)")
+_STAGED = f"""{_CLEANED},
+s AS (SELECT *, ({sentences_sql("t")})[1:40] AS s, list_sort({scores_sql()}) AS best FROM (SELECT *, lower(source || chr(10) || trim(substring(t, 1, 400), ' ')) AS l FROM c)), w AS (SELECT *, [len(string_split(x, ' ')) for x in s] AS w FROM s),
 k AS (SELECT *, coalesce(list_position([CASE WHEN i = 1 THEN FALSE ELSE list_sum(w[1:i-1]) >= 30 OR list_sum(w[1:i]) > 60 END for i in range(1, len(w) + 1)], TRUE), len(w) + 1) AS stop FROM w)
-SELECT doc_id, CAST(length(t) AS INTEGER) AS text_length, coalesce(nullif(regexp_replace(array_to_string(s[1:stop-1], ' '), '^[A-Z][A-Z ,.]{{2,40}}[:\\-]\\s+', ''), ''), substring(t, 1, 250)) AS ai_summary, CAST(1 AS INTEGER) AS nlp_processed, len(['x']) > 0 AS judged FROM k"""
+SELECT doc_id, CAST(length(t) AS INTEGER) AS text_length, coalesce(nullif(regexp_replace(array_to_string(s[1:stop-1], ' '), '^[A-Z][A-Z ,.]{{2,40}}[:\\-]\\s+', ''), ''), substring(t, 1, 250)) AS ai_summary, CAST(1 AS INTEGER) AS nlp_processed,
+ best[1].n AS category, round(-best[1].s, 3) AS category_confidence, j.severity_rule, j.threat_level, j.threat_score FROM k JOIN ({_JUDGED}) j USING (doc_id)"""
 
 
 @query(_STAGED)
@@ -242,7 +246,7 @@ def staged_articles(spark, root):
     pipeline = stages.Pipeline(spark, stages.article_stages())
     pipeline.run(d)
     out = pipeline.run(d, resume=True)
-    return out.select("doc_id", "text_length", "ai_summary", "nlp_processed", F.col("threat_level").isNotNull().alias("judged"))
+    return out.select("doc_id", "text_length", "ai_summary", "nlp_processed", "category", "category_confidence", "severity_rule", "threat_level", "threat_score")
 
 
 @query(ARTICLES_SQL + "SELECT threat_level AS gold, CAST(count(*) AS BIGINT) AS n FROM articles GROUP BY 1")
