@@ -19,6 +19,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidewire.storage import importable
+
 Predict = Callable[[list[str]], list]
 #: What this worker has loaded, by name; None for good where loading failed.
 _LOADED: dict[str, Predict | None] = {}
@@ -86,6 +88,7 @@ def with_scores(df: DataFrame, text: str, name: str, model: Model | None, fallba
     has none; ``<name>_by`` tells which."""
     if model is None:
         return df.withColumns({name: fallback(F.col(text)), f"{name}_by": F.lit("fallback")})
+    importable(df.sparkSession)
     out = df.withColumn(f"{name}_of", predicted(model, F.col(text), T.MapType(T.StringType(), T.DoubleType())))
     given = F.col(f"{name}_of").isNotNull()
     return out.withColumns({name: F.when(given, F.col(f"{name}_of")).otherwise(fallback(F.col(text))), f"{name}_by": F.when(given, model.name).otherwise("fallback")}).drop(f"{name}_of")

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewire.storage import Manifest, RacingWriters
+from tidewire.storage import Manifest, RacingWriters, importable
 
 WORD = "[a-z0-9]+"
 POSTINGS = "doc long, column int, term string, positions array<int>, bucket int"
@@ -65,6 +65,8 @@ class TextIndex:
     def __init__(self, spark: SparkSession, path: str, key: str, columns: list[str], buckets: int = 64):
         self.spark, self.path, self.key, self.columns, self.buckets = spark, path.rstrip("/"), key, columns, buckets
         self.manifest = Manifest(spark, f"{self.path}/versions")
+        if spark is not None:
+            importable(spark)
 
     def bucket(self, term):
         """The folder of a term."""

@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.functions import arrow_udf
 
+from tidewire.storage import importable
+
 # The least length of a text and of a summary that stands in, and
 # the answers of a server after which a page is not asked for again.
 LEAST_TEXT, LEAST_SUMMARY = 50, 20
@@ -203,6 +205,7 @@ def is_prose(block: Column, before: Column, after: Column) -> Column:
 
 def with_main_text(df: DataFrame, html: Column, name: str) -> DataFrame:
     """``df`` with the lines of a page's prose; '' if it has none. Null counts as empty."""
+    importable(df.sparkSession)
     found = df.withColumn(f"{name}_blocks", blocks(html))
     page = F.col(f"{name}_blocks")
     kept = F.filter(page, lambda b, i: is_prose(b, F.get(page, i - 1), F.get(page, i + 1)))

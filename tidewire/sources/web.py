@@ -19,7 +19,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from tidewire.functions.text import first_filled, squeeze, stamp_to_iso, strip_tags
 from tidewire.operators.merge import first_rows
-from tidewire.storage import stored
+from tidewire.storage import importable, stored
 
 # Attempts and waits of a retry, codes that no retry mends, limits.
 ATTEMPTS, FIRST_WAIT, LONGEST_WAIT = 5, 2.0, 60.0
@@ -237,6 +237,7 @@ class TopicSource(_Source):
 
 def scan(spark: SparkSession, source: type[DataSource], **options) -> DataFrame:
     """``tag, value, error`` of a web source; dicts among the options go as JSON."""
+    importable(spark)
     spark.dataSource.register(source)
     given = {k: json.dumps(v) if isinstance(v, dict) else str(v) for k, v in options.items() if v is not None}
     return spark.read.format(source.name()).options(**given).load()

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import atexit
 import json
+import os
 import shutil
 import tempfile
 import uuid
+from pathlib import Path
 
 from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
@@ -36,9 +38,18 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{work_dir(spark)}/{uuid.uuid4().hex}/{name}"
 
 
+def importable(spark: SparkSession) -> None:
+    """Let local Python workers find this package wherever the driver was started."""
+    root = str(Path(__file__).resolve().parents[1])
+    paths = spark.sparkContext.environment.get("PYTHONPATH", "")
+    if root not in paths.split(os.pathsep):
+        spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join(filter(None, [paths, root]))
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """``df`` written and reread: a short lineage, and values that depend on the
     partitioning are computed once."""
+    importable(df.sparkSession)
     path = new_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
