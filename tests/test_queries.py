@@ -38,6 +38,16 @@ def test_query(spark, duck, name):
         assert sorted(repr([plain(r[c]) for c in columns]) for r in rows) == sorted(repr([plain(r[i]) for i in at]) for r in want.fetchall())
 
 
+@pytest.mark.parametrize("name", ["append_new"])
+def test_pages_that_share_a_url_are_different_pages(spark, tmp_path, name):
+    rows = [(i, ["http://a/", "http://b/", None, ""][i // 3 % 4]) for i in range(60)]
+    spark.createDataFrame(rows, "page_id long, url string").write.parquet(f"{tmp_path}/pages.parquet")
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+    got = registry.QUERIES[name](spark, str(tmp_path)).select("page_id", "url").collect()
+    assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, con.sql(registry.ORACLES[name]).fetchall()))
+
+
 def test_entry_point_without_the_optional_parts(monkeypatch):
     import __spark_entry__
 

@@ -39,7 +39,7 @@ def upsert(new: DataFrame, stored: DataFrame, key: str, overwrite: list[str], ke
 def append_new(base: DataFrame, more: DataFrame, key: str) -> DataFrame:
     """``base`` and the rows of ``more`` whose key it lacks; rows of ``more``
     without a key are kept."""
-    keyless = F.col(key).isNull() | (F.col(key) == "")
+    keyless = F.col(key).isNull() | (F.col(key).cast("string") == "")
     fresh = more.where(~keyless).join(base.select(key), key, "left_anti")
     return base.unionByName(fresh, allowMissingColumns=True).unionByName(more.where(keyless), allowMissingColumns=True)
 
