@@ -45,6 +45,19 @@ def test_blocks(html, want):
     assert lines(html) == want
 
 
+@pytest.mark.parametrize(
+    ("text", "want"),
+    [
+        ("&amp;&amp;&amp", "&&&amp"),  # a title cut inside its last reference
+        ("&ampx; &nosuch; a&b;", "&ampx; &nosuch; a&b;"),
+        ("&#65;&#x42;&copy;&#67", "AB©&#67"),
+        ("&amp;copy; &copy", "&copy; &copy"),
+    ],
+)
+def test_references_end_with_a_semicolon(text, want):
+    assert lines(f"<p>{text}</p>") == [want]
+
+
 def test_links_are_counted():
     (block,) = pages.read_blocks("<p>ab <a href=x>c &amp; d</a> e<a>f")
     assert block == ("ab c & d ef", 7, 4, 5, 0)
