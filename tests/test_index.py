@@ -4,6 +4,7 @@ import os
 import re
 from collections import Counter
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -110,3 +111,14 @@ def test_only_folders_of_the_terms_are_read(spark, tmp_path):
     plan = spark._jvm.org.apache.spark.sql.api.python.PythonSQLUtils.explainString(df._jdf.queryExecution(), "formatted")
     assert len(re.findall(r"PartitionFilters: \[[^\]]*bucket", plan)) >= 2
     assert index.postings(F.col("term") == "w7").count() == 1
+
+
+def test_postings_are_made_by_pieces_of_a_batch(monkeypatch):
+    rows = [(i, f"a b{i} a " * (i % 5), "c a") for i in range(40)] + [(40, None, ""), (41, "", None)]
+    batch = pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*[(i, t or "", u or "") for i, t, u in rows], strict=True)], names=["doc", "t0", "t1"])
+    whole = [b.to_pylist() for b in stored_index._posted([batch])]
+    monkeypatch.setattr(stored_index, "PIECE_BYTES", 64)
+    pieces = [b.to_pylist() for b in stored_index._posted([batch.slice(0, 0), batch])]
+    assert len(whole) == 1 and len(pieces) > 8 and max(map(len, pieces)) < 40
+    assert sum(pieces, []) == whole[0]
+    assert {"doc": 3, "column": 0, "term": "a", "positions": [0, 2, 3, 5, 6, 8]} in whole[0]

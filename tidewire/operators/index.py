@@ -20,11 +20,13 @@ import math
 import re
 import time
 import uuid
+from array import array
 from collections import defaultdict
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,26 +39,38 @@ GONE = "doc long"
 #: Segments of like size that are merged, and how often a change that meets others
 #: is tried again.
 FANOUT, TRIES = 4, 10
+#: Bytes of text whose postings a task makes at once.
+PIECE_BYTES = 1 << 20
+
+
+def _pieces(batch: pa.RecordBatch):
+    """Runs of a batch's rows with about ``PIECE_BYTES`` of text, or one row."""
+    if batch.num_rows:
+        size = sum(pc.fill_null(pc.binary_length(c), 0).to_numpy().astype(np.int64) for c in batch.columns[1:])
+        first = np.flatnonzero(np.diff((np.cumsum(size) - size) // PIECE_BYTES, prepend=-1)).tolist()
+        for i, j in zip(first, [*first[1:], batch.num_rows], strict=True):
+            yield batch.slice(i, j - i)
 
 
 def _posted(batches):
-    """Postings of texts that are in lower case already."""
+    """Postings of texts that are in lower case already. What a task holds as
+    Python objects are those of one piece of a batch."""
     word = re.compile(WORD)
-    for batch in batches:
-        docs, column, terms, ends, flat = [], [], [], [0], []
-        for doc, *texts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+    for piece in (p for batch in batches for p in _pieces(batch)):
+        docs, column, terms, ends, flat = array("q"), array("i"), [], array("i", [0]), array("i")
+        for doc, *texts in zip(*(c.to_pylist() for c in piece.columns), strict=True):
             for i, text in enumerate(texts):
                 at = defaultdict(list)
                 for p, term in enumerate(word.findall(text)):
                     at[term].append(p)
-                for term, places in at.items():
-                    docs.append(doc)
-                    column.append(i)
-                    terms.append(term)
-                    flat += places
+                docs.extend([doc] * len(at))
+                column.extend([i] * len(at))
+                terms += at
+                for places in at.values():
+                    flat.extend(places)
                     ends.append(len(flat))
-        places = pa.ListArray.from_arrays(pa.array(np.array(ends, np.int32)), pa.array(flat, pa.int32()))
-        yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(column, pa.int32()), pa.array(terms, pa.string()), places], names=["doc", "column", "term", "positions"])
+        places = pa.ListArray.from_arrays(pa.array(np.frombuffer(ends, np.int32)), pa.array(np.frombuffer(flat, np.int32)))
+        yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(docs, np.int64)), pa.array(np.frombuffer(column, np.int32)), pa.array(terms, pa.string()), places], names=["doc", "column", "term", "positions"])
 
 
 class TextIndex:
