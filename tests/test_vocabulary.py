@@ -29,3 +29,19 @@ def test_location_types_and_targets(spark):
     none = F.lit(None).cast("array<string>")
     rows = d.select(places.sentiment_target(F.lit("Budget talks"), F.col("t"), V.TARGETS, none, none, none)).collect()
     assert {r[0] for r in rows} == {"Policy"}
+
+
+def test_plain_terms_equal_those_of_a_cleaned_text(spark):
+    texts = ["that", "xthat that", "éthat", "that_ that9", "THAT Nowhere", "a nowhere-b", "of-the x", "of the", "nothing", "", None, "9that that", "that\U0001f600", "to be", "ofxthe xof the"]
+    terms = ["nowhere", "that", "of the", "to"]
+    d = spark.createDataFrame([(t,) for t in texts], "t string")
+    plain = rules.plain_terms_in(F.col("t"), terms, 3)
+    got = d.select(plain.alias("a"), rules.terms_in(F.regexp_replace("t", "[^A-Za-z0-9]", " "), terms, 3).alias("b")).collect()
+    assert [r.a for r in got] == [r.b for r in got] and sum(map(len, (r.a for r in got))) > 10
+
+
+def test_keywords_are_sought_without_a_copy_of_the_text(spark):
+    from tidewire.plans import language
+
+    plan = language.keyword_matches(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp_replace" not in plan

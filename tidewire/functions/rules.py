@@ -26,6 +26,24 @@ def has_term(c: Column, term: str) -> Column:
     return F.coalesce(c.rlike(word_rule(term, len(term) > 4)), F.lit(False))
 
 
+def has_plain_term(c: Column, term: str) -> Column:
+    """``has_term`` of a text whose characters other than A-Z, a-z and 0-9 count as
+    spaces. The text is searched as it is: a copy of it without those characters
+    would cost more than the search, and be made anew for every term. What stands
+    before a match is looked at last, as a search for letters is fast."""
+    letter = "[A-Za-z0-9]"
+    words = term.replace(" ", "[^A-Za-z0-9]")
+    case = "(?i)" if len(term) > 4 else ""
+    return F.coalesce(c.rlike(f"{case}{words}(?<!{letter}{words})(?!{letter})"), F.lit(False))
+
+
+def plain_terms_in(c: Column, terms: list[str], most: int | None = None) -> Column:
+    """The terms, of letters, digits and spaces, that a text has by ``has_plain_term``,
+    in list order."""
+    found = F.array_compact(F.array(*[F.when(has_plain_term(c, t), F.lit(t)) for t in terms]))
+    return F.slice(found, 1, most) if most else found
+
+
 def terms_in(c: Column, terms: list[str], most: int | None = None) -> Column:
     """The terms that a text has, in list order."""
     found = F.array_compact(F.array(*[F.when(has_term(c, t), F.lit(t)) for t in terms]))

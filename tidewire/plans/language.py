@@ -27,7 +27,7 @@ def gazetteer_matches(spark, root):
 
 def keyword_matches(spark, root):
     """Keywords in list order; short ones in their own case."""
-    return table(spark, root, "documents").select("doc_id", rules.terms_in(F.regexp_replace("text", "[^A-Za-z0-9]", " "), KEYWORDS, 20).alias("keywords"))
+    return table(spark, root, "documents").select("doc_id", rules.plain_terms_in(F.col("text"), KEYWORDS, 20).alias("keywords"))
 
 
 def threat_cascade(spark, root):
