@@ -50,9 +50,28 @@ def test_a_large_group_of_near_copies_makes_few_edges(spark, monkeypatch):
     assert edges.count() < 3000  # all pairs of the group would be 244650
 
 
+@pytest.mark.parametrize(("first", "block", "tile"), [(4096, 8192, 1024), (30, 64, 10)])
+def test_exact_batches_equal_the_sequential_rule(spark, monkeypatch, first, block, tile):
+    for name, value in (("FIRST", first), ("BLOCK", block), ("TILE", tile)):
+        monkeypatch.setattr(leader, name, value)
+    x = vectors(7, 500)
+    ids = np.random.default_rng(8).permutation(500) * 7
+    got = {r["id"]: r["leader"] for r in leader.leader_clusters(frame(spark, ids, x), "id", "v", 0.5, exact=True).collect()}
+    assert got == plain(ids, x, 0.5) and len(set(got.values())) > 20
+
+
+def test_exact_edges_are_those_of_leaders(spark, monkeypatch):
+    monkeypatch.setattr(leader, "FIRST", 50)
+    x, ids = vectors(9, 1000, centres=10), np.arange(1000)
+    leaders, edges = leader._leaders_by_batch(frame(spark, ids, x), "id", "v", 0.5, 0.999, exact=True)
+    assert edges.count() <= leaders.count() * 1000 / 4  # all similar pairs are about 50000
+    assert edges.join(leaders.withColumnRenamed("id", "a"), "a", "left_anti").count() == 0
+
+
 def test_empty_and_single(spark):
     empty = spark.createDataFrame([], "id long, v array<double>")
     assert leader.leader_clusters(empty, "id", "v", 0.82).count() == 0
+    assert leader.leader_clusters(empty, "id", "v", 0.82, exact=True).count() == 0
     assert [tuple(r) for r in leader.leader_clusters(frame(spark, [4], np.ones((1, 5))), "id", "v", 0.82).collect()] == [(4, 4, "story_00001", True)]
 
 

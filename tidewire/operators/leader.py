@@ -34,8 +34,9 @@ from pyspark.sql import types as T
 from tidewire.operators.numbering import numbered
 from tidewire.storage import stored
 
-#: Vectors of a block; a task of the exact search compares two blocks.
-BLOCK = 2048
+#: Vectors of a block, of which a task of the exact search compares two, and
+#: vectors of one side whose products are held at once.
+BLOCK, TILE = 8192, 1024
 #: Rows of the first batch, and how much larger each next one is.
 FIRST, GROWTH = 4096, 8
 #: Rows of a bucket that ``shape`` aims at, pairs by which it measures how often
@@ -46,32 +47,62 @@ DIRECTIONS = (2, 3, 4, 6, 8, 11, 16, 23, 32, 45, 64, 91, 128, 181, 256, 362, 512
 SKETCH, SKETCH_LOSS = 128, 1e-5
 
 
+def _similar(ids: np.ndarray, x: np.ndarray, others: np.ndarray, y: np.ndarray, threshold: float) -> pd.DataFrame:
+    """``a, b, similarity`` of similar unit vectors of both sides, by tiles."""
+    found = []
+    for at in range(0, len(x), TILE):
+        sims = x[at : at + TILE] @ y.T
+        i, j = np.nonzero(sims >= threshold)
+        found.append(pd.DataFrame({"a": ids[at + i], "b": others[j], "similarity": sims[i, j]}))
+    return pd.concat(found) if found else pd.DataFrame({"a": ids, "b": ids, "similarity": []})
+
+
+def _units(v: pd.Series) -> np.ndarray:
+    x = np.vstack(v.to_numpy()).astype(float) if len(v) else np.zeros((0, 1))
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
 def similar_pairs(df: DataFrame, key: str, vector: str, threshold: float) -> DataFrame:
     """``(a, b, similarity)`` with a < b, all of them, by matrix products of blocks.
 
-    Every block meets every block once, as a leader may be anywhere, so the work
-    grows with the square of the rows; a task holds two blocks.
+    Every block meets every block once, so the work grows with the square of the
+    rows; a task holds two blocks.
     """
     total = df.count()
     blocks = max(1, -(-total // BLOCK))
-    rows = df.select(F.col(key).alias("id"), F.col(vector).cast("array<double>").alias("v"), F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int").alias("block"))
+    rows = df.select(F.col(key).alias("id"), F.col(vector).alias("v"), F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int").alias("block"))
     left = rows.select("*", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("other"))
     left = left.select(F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"), "block", "id", "v")
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-        x = np.vstack(pdf.v.to_numpy())
-        x = x / np.linalg.norm(x, axis=1, keepdims=True)
-        ids, block, p, q = pdf.id.to_numpy(), pdf.block.to_numpy(), pdf.p.iloc[0], pdf.q.iloc[0]
-        one, two = np.flatnonzero(block == p), np.flatnonzero(block == q)
-        sims = x[one] @ x[two].T
-        i, j = np.nonzero(sims >= threshold)
-        a, b = ids[one[i]], ids[two[j]]
-        keep = a < b if p == q else a != b
-        return pd.DataFrame({"a": np.minimum(a, b)[keep], "b": np.maximum(a, b)[keep], "similarity": sims[i, j][keep]})
+        p, q = pdf.p.iloc[0], pdf.q.iloc[0]
+        one, two = pdf[pdf.block == p], pdf[pdf.block == q]
+        found = _similar(one.id.to_numpy(), _units(one.v), two.id.to_numpy(), _units(two.v), threshold)
+        found = found[found.a < found.b if p == q else found.a != found.b]
+        return pd.DataFrame({"a": np.minimum(found.a, found.b), "b": np.maximum(found.a, found.b), "similarity": found.similarity})
 
     return left.groupBy("p", "q").applyInPandas(compare, "a long, b long, similarity double")
 
 
+def _compared(some: DataFrame, others: DataFrame, total: int, threshold: float) -> DataFrame:
+    """``(a, b, similarity)`` with a < b of ``some`` (a) and ``others`` (b, ``total``
+    rows at most), all of them: every block of the ones meets every block of the others."""
+    p, q = max(1, -(-some.count() // BLOCK)), max(1, -(-total // BLOCK))
+    block = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = some.select("id", "v", F.lit(True).alias("first"), block(p).alias("p"), each(q).alias("q"))
+    right = others.select("id", "v", F.lit(False).alias("first"), each(p).alias("p"), block(q).alias("q"))
+
+    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
+        one, two = pdf[pdf["first"]], pdf[~pdf["first"]]
+        if not len(one) or not len(two):
+            return pd.DataFrame({"a": [], "b": [], "similarity": []})
+        found = _similar(one.id.to_numpy(), _units(one.v), two.id.to_numpy(), _units(two.v), threshold)
+        return found[found.a < found.b]
+
+    return left.unionByName(right).groupBy("p", "q").applyInPandas(compare, "a long, b long, similarity double")
+
+
 @dataclass(frozen=True)
 class Shape:
     """Tables, functions a table, directions a function, and how many of the
@@ -222,22 +253,28 @@ def _limits(rows: DataFrame, total: int) -> list[int]:
     return sorted({int(x) for x in rows.approxQuantile("id", shares, 0.001)}) if shares else []
 
 
-def _leaders_by_batch(df: DataFrame, key: str, vector: str, threshold: float, recall: float) -> tuple[DataFrame, DataFrame]:
+def _leaders_by_batch(df: DataFrame, key: str, vector: str, threshold: float, recall: float, exact: bool = False) -> tuple[DataFrame, DataFrame]:
     """Leaders, and the edges from leaders to later items."""
     total = df.count()
-    rows = stored(hashed(df, key, vector, shape(total, threshold, recall)), "hashed")
+    if exact:
+        rows = stored(df.select(F.col(key).cast("long").alias("id"), F.col(vector).alias("v")), "vectors")
+    else:
+        rows = stored(hashed(df, key, vector, shape(total, threshold, recall)), "hashed")
     left, leaders, found, before = rows, None, None, None
     for limit in [*_limits(rows, total), None]:
         own = F.lit(True) if limit is None else F.col("id") <= limit
         batch = left.where(own)
-        edges = stored(meeting(batch, batch, rows, threshold, True), "edges")
+        if exact:
+            batch = stored(batch, "vectors")
+        edges = stored(similar_pairs(batch, "id", "v", threshold) if exact else meeting(batch, batch, rows, threshold, True), "edges")
         new = stored(independent(batch.select("id"), edges), "batch")
         mine = edges.join(new.select(F.col("id").alias("a")), "a", "left_semi")
         # Later items, and those that an earlier leader has, meet the new leaders.
         others = rows if before is None else rows.where(F.col("id") > before)
         others = others.where(~own) if before is None else others.join(batch.select("id"), "id", "left_anti")
         if not (limit is None and before is None):
-            met = meeting(rows.join(new, "id", "left_semi"), others, rows, threshold, False)
+            leading = rows.join(new, "id", "left_semi")
+            met = _compared(leading, others, total, threshold) if exact else meeting(leading, others, rows, threshold, False)
             mine = stored(mine.unionByName(met), "edges")
         left = left.where(~own).join(mine.select(F.col("b").alias("id")), "id", "left_anti")
         leaders = new if leaders is None else leaders.unionByName(new)
@@ -248,14 +285,9 @@ def _leaders_by_batch(df: DataFrame, key: str, vector: str, threshold: float, re
 
 def leader_clusters(df: DataFrame, key: str, vector: str, threshold: float, exact: bool = False, recall: float = 0.999) -> DataFrame:
     """``key, leader, cluster, is_leader``; input order is that of the key, a whole
-    number. Similar pairs come from hashes, or from all pairs if ``exact`` is set;
-    vectors are not null."""
-    if exact:
-        edges = stored(similar_pairs(df, key, vector, threshold), "edges")
-        leaders = independent(df.select(F.col(key).alias("id")), edges)
-        edges = edges.join(leaders.select(F.col("id").alias("a")), "a", "left_semi")
-    else:
-        leaders, edges = _leaders_by_batch(df, key, vector, threshold, recall)
+    number. Similar pairs come from hashes, or, if ``exact`` is set, from comparing
+    all of a batch and then its leaders with all later vectors; vectors are not null."""
+    leaders, edges = _leaders_by_batch(df, key, vector, threshold, recall, exact)
     chosen = edges.join(leaders.select(F.col("id").alias("b")), "b", "left_anti")
     best = chosen.groupBy("b").agg(F.max_by("a", F.struct("similarity", (-F.col("a")).alias("tie"))).alias("leader")).withColumnRenamed("b", "id")
     all_of = best.unionByName(leaders.select("id", F.col("id").alias("leader")))
