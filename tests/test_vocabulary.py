@@ -45,3 +45,19 @@ def test_keywords_are_sought_without_a_copy_of_the_text(spark):
 
     plan = language.keyword_matches(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert "regexp_replace" not in plan
+
+
+def test_one_pass_tells_whether_a_text_has_events(spark):
+    from tidewire.functions import entities
+
+    patterns = [p for of_kind in V.EVENTS.values() for p in of_kind]
+    depth = lambda p: [p[:i].count("(") - p[:i].count(")") for i, c in enumerate(p) if c == "|"]
+    assert all(min(depth(p), default=1) > 0 for p in patterns)  # a word's edge holds for all of a pattern
+    texts = ["a WAR games day", "xwar games", "a Joint  Exercise; a joint exercise", "quiet", "", None, "border\nclash", "joint\u00e9 exercise"]
+    d = spark.createDataFrame([(t,) for t in texts], "t string")
+    none = F.lit(None).cast("array<string>")
+    df = d.select(entities.events(F.lit(None).cast("string"), F.col("t"), none, none, none, none, none, none).alias("e"), F.array(*[F.coalesce(F.col("t").rlike(f"(?i){p}"), F.lit(False)) for p in patterns]).alias("any"))
+    rows = df.collect()
+    assert [bool(r.e) for r in rows] == [any(r.any) for r in rows] == [True, False, True, False, False, False, True, False]
+    assert rows[3].e == rows[5].e == [] and rows[2].e[0].matched_phrases == ["Joint  Exercise", "joint exercise"]
+    assert df.select("e")._jdf.queryExecution().optimizedPlan().toString().startswith("Project [CASE WHEN RLIKE(")

@@ -13,6 +13,7 @@ from tidewire.functions.rules import topics_of
 #: Shorter texts have no entities.
 LEAST = 50
 MOST_KEYWORDS, MOST_PHRASES, MOST_PARTS = 20, 3, 3
+EVENT = "struct<event_type: string, matched_phrases: array<string>, locations: array<string>, actors: array<string>, equipment: array<string>>"
 ALL_EQUIPMENT = union_of(V.EQUIPMENT)
 
 
@@ -69,11 +70,20 @@ def recognise(df: DataFrame, title: str, text: str) -> DataFrame:
     return located(entities(df, title, text), title, text).withColumn("nlp_processed", F.lit(1))
 
 
+def any_event() -> str:
+    """A pattern that fits where any pattern of an event does. Most begin with a
+    word's edge, which is then looked for once at each place."""
+    patterns = [p for of_kind in V.EVENTS.values() for p in of_kind]
+    edged = [p[2:] for p in patterns if p.startswith(r"\b")]
+    return "(?i)" + "|".join([r"\b(?:" + "|".join(f"(?:{p})" for p in edged) + ")", *[f"(?:{p})" for p in patterns if not p.startswith(r"\b")]])
+
+
 def events(title: Column, text: Column, locations: Column, cities: Column, states: Column, actors: Column, persons: Column, tools: Column) -> Column:
     """``event_type, matched_phrases, locations, actors, equipment`` of each kind
     with a phrase in title or text, in any case.
 
-    Phrases come by pattern and then place. Places are the given locations, else
+    One pass tells whether a text has any phrase at all; only if so each pattern
+    looks for its own. Phrases come by pattern and then place. Places are the given locations, else
     cities and states; actors the organisations, else people; of each the first
     three. Null lists count as empty.
     """
@@ -88,4 +98,5 @@ def events(title: Column, text: Column, locations: Column, cities: Column, state
         phrases = F.array_distinct(F.concat(*[F.regexp_extract_all(both, F.lit(f"(?i){p}"), F.lit(0)) for p in patterns]))
         one = F.struct(F.lit(kind).alias("event_type"), F.slice(phrases, 1, MOST_PHRASES).alias("matched_phrases"), first(spots).alias("locations"), first(who).alias("actors"), first(full(tools)).alias("equipment"))
         found.append(F.when(F.size(phrases) > 0, one))
-    return F.array_compact(F.array(*found))
+    every = F.array_compact(F.array(*found))
+    return F.when(both.rlike(any_event()), every).otherwise(F.array().cast(f"array<{EVENT}>"))
