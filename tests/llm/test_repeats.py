@@ -91,6 +91,16 @@ def test_runs_hold_every_string_once_and_equal_strings_have_equal_keys(monkeypat
     assert count.max() <= repeats.RUN
 
 
+def test_a_phrase_in_different_passages_gives_them_no_common_key():
+    rng = random.Random(11)
+    noise = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(60))
+    texts = [(noise() + " a phrase of many documents " + noise()).encode() for _ in range(200)]
+    ends = np.cumsum([len(t) for t in texts])
+    first, _, keys = repeats.runs(np.frombuffer(b"".join(texts), np.uint8), ends, 50, 16)
+    found = {(key, at) for key, at in zip(keys.tolist(), np.searchsorted(ends, first, side="right").tolist(), strict=True)}
+    assert len({key for key, _ in found}) == len(found)
+
+
 def test_query_equals_its_sql(spark):
     root = "/root/testdata/sf0.001"
     con = duckdb.connect()

@@ -5,9 +5,11 @@ covers its bytes; covered bytes go.
 
 A suffix array of the whole corpus would be one task, so strings that can be
 equal are brought together first, by a rule that depends on the string alone.
-The key of a string is the least hash of the ``SEED``-byte strings inside it.
-Neighbouring strings mostly share their key, and a run of them is one fragment
-of text.
+The key of a string is a hash of the ``SEED`` bytes inside it that have the least
+hash, and of as many bytes before them (or after, if the string has too few) as are
+half of the rest. Neighbouring strings mostly share their key, and a run of them is
+one fragment of text. (By the ``SEED`` bytes alone, frequent phrases make keys recur
+in different passages, the more so the larger the corpus.)
 
 0. A document that equals one with a smaller key is covered as a whole and takes
    no further part: any of its strings is in that document too.
@@ -58,6 +60,8 @@ END = 0xFF
 NO_KEY = np.iinfo(np.int64).max
 
 _MIX = 0x9E3779B97F4A7C15
+#: The bits of a hash that give way to its place in a chunk.
+_PLACE = np.uint64((1 << 18) - 1)
 
 
 def _byte_hashes() -> np.ndarray:
@@ -77,23 +81,27 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-def _hashes(data: np.ndarray, width: int) -> np.ndarray:
-    """A hash of each ``width``-byte string, from those of half its width."""
-    if len(data) < width:
-        return np.zeros(0, np.uint64)
-    parts, span = {1: _BYTES[data]}, 1
+def _hashes(data: np.ndarray, *widths: int) -> list[np.ndarray]:
+    """A hash of each string of a width, from those of half its width."""
+    parts, span, found = {1: _BYTES[data]}, 1, []
     power = lambda n: np.uint64(pow(_MIX, n, 1 << 64))
-    while span * 2 <= width:
+    while span * 2 <= min(max(widths), len(data)):
         h = parts[span]
         parts[span * 2] = h[:-span] * power(span) + h[span:]
         span *= 2
-    found, have = parts[span], span
-    while have < width:
-        step = 1 << ((width - have).bit_length() - 1)
-        more = parts[step][have:]
-        n = min(len(found), len(more))
-        found, have = found[:n] * power(step) + more[:n], have + step
-    return _mixed(found)
+    for width in widths:
+        if len(data) < width:
+            found.append(np.zeros(0, np.uint64))
+            continue
+        have = 1 << (width.bit_length() - 1)
+        h = parts[have]
+        while have < width:
+            step = 1 << ((width - have).bit_length() - 1)
+            more = parts[step][have:]
+            n = min(len(h), len(more))
+            h, have = h[:n] * power(step) + more[:n], have + step
+        found.append(_mixed(h))
+    return found
 
 
 def _least_of(h: np.ndarray, width: int) -> np.ndarray:
@@ -108,12 +116,20 @@ def _least_of(h: np.ndarray, width: int) -> np.ndarray:
 def runs(data: np.ndarray, ends: np.ndarray, least: int, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """First string, number of strings and key of every run in documents that end at ``ends``."""
     first, count, keys = [], [], []
+    half = (least - seed) // 2
     at = 0
     while at + least <= len(data):
         until = min(at + CHUNK, len(data) - least + 1)  # strings [at, until)
-        key = _least_of(_hashes(data[at : until + least - 1], seed), least - seed + 1)
-        place = np.arange(at, until)
-        inside = place + least <= ends[np.searchsorted(ends, place, side="right")]
+        least_hash, wide = _hashes(data[at : until + least - 1], seed, seed + half)
+        # The place of the least hash, the first of equal ones: the low bits are its place.
+        low = least_hash & ~_PLACE | np.arange(len(least_hash), dtype=np.uint64)
+        low = (_least_of(low, least - seed + 1) & _PLACE).astype(np.int64)
+        left = low - np.arange(until - at) >= half
+        key = wide[low - half * left] ^ left.astype(np.uint64)
+        # The end of each string's document.
+        i, j = np.searchsorted(ends, [at, until - 1], side="right")
+        ending = np.repeat(ends[i : j + 1], np.diff(np.minimum(ends[i : j + 1], until), prepend=at))
+        inside = np.arange(at + least, until + least) <= ending
         new = np.ones(len(key), bool)
         new[1:] = (key[1:] != key[:-1]) | ~inside[:-1]
         new &= inside
@@ -371,23 +387,23 @@ def _find_holders(sent: DataFrame, least: int, sorted_bytes: int) -> DataFrame:
         by = np.empty(len(names), np.uint32)
         by[slots] = keys
         order = np.argsort(by, kind="stable")
-        size = np.array([len(names[i]) + 1 for i in order], np.int64)
+        first = np.flatnonzero(np.concatenate(([True], by[order][1:] != by[order][:-1])))
+        of_key = np.diff(np.append(first, len(order)))
+        # A key's only fragment meets no other: all its strings have its holder.
+        strings = np.array([len(name) for name in names], np.int64) - least + 1
+        flat, start = np.repeat(holders, strings), np.cumsum(strings) - strings
+        order = order[np.repeat(of_key > 1, of_key)]
+        of_key = of_key[of_key > 1]
         # Texts end between keys.
-        fresh = np.concatenate(([True], by[order][1:] != by[order][:-1]))
-        ends, first = np.cumsum(size), 0
-        limits = []
-        for i in np.flatnonzero(fresh)[1:].tolist():
-            if ends[i - 1] - (ends[first - 1] if first else 0) >= sorted_bytes:
-                limits.append((first, i))
-                first = i
-        limits.append((first, len(order)))
-        lowest: list = [None] * len(names)
+        ends, done, limits = np.cumsum(strings[order] + least), 0, []
+        for i in np.cumsum(of_key).tolist():
+            if ends[i - 1] - (ends[done - 1] if done else 0) >= sorted_bytes or i == len(order):
+                limits.append((done, i))
+                done = i
         for i, j in limits:
             mine = order[i:j]
             for k, found in zip(mine.tolist(), least_holders([names[k] for k in mine], holders[mine], least), strict=True):
-                lowest[k] = found
-        strings = np.array([len(x) for x in lowest], np.int64)
-        flat, start = np.concatenate(lowest), np.cumsum(strings) - strings
+                flat[start[k] : start[k] + strings[k]] = found
         count = strings[slots]
         base = np.cumsum(count) - count
         nth = np.arange(count.sum()) - np.repeat(base, count)
