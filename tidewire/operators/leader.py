@@ -21,7 +21,7 @@ from __future__ import annotations
 
 import math
 from dataclasses import dataclass
-from functools import lru_cache
+from functools import lru_cache, reduce
 from itertools import product
 
 import numpy as np
@@ -39,12 +39,19 @@ from tidewire.storage import stored
 BLOCK, TILE = 8192, 1024
 #: Rows of the first batch, and how much larger each next one is.
 FIRST, GROWTH = 4096, 8
-#: Rows of a bucket that ``shape`` aims at, pairs by which it measures how often
-#: similar vectors meet, and directions that it tries.
-BUCKET, SAMPLES, SEED = 4, 4000, 5
+#: Leaders' numbers (rows by dimensions) that every task may hold, to compare them
+#: with the vectors as they lie.
+HELD = 1 << 21
+#: Rows of a bucket at most (about), how many pairs of sketches cost what a row that
+#: is shuffled costs, pairs by which ``shape`` measures how often similar vectors
+#: meet, and directions that it tries.
+BUCKET, PAIRS_A_ROW, SAMPLES, SEED = 32, 30, 4000, 5
 DIRECTIONS = (2, 3, 4, 6, 8, 11, 16, 23, 32, 45, 64, 91, 128, 181, 256, 362, 512)
-#: Bits of a sketch, and the probability that it keeps a similar pair from being verified.
-SKETCH, SKETCH_LOSS = 128, 1e-5
+#: Bits of the sketch that goes to the buckets, those of another one that pairs are
+#: held against before their vectors are fetched, and the probability of either that
+#: it keeps a similar pair from being verified.
+SKETCH, WIDE, SKETCH_LOSS = 128, 256, 1e-5
+WORDS = [f"wide{i}" for i in range(WIDE // 64)]
 
 
 def _similar(ids: np.ndarray, x: np.ndarray, others: np.ndarray, y: np.ndarray, threshold: float) -> pd.DataFrame:
@@ -135,27 +142,31 @@ def _meeting(threshold: float, directions: int) -> np.ndarray:
 @lru_cache(maxsize=256)
 def shape(rows: int, threshold: float, recall: float) -> Shape:
     """The cheapest shape by which a pair at the threshold meets with the
-    probability ``recall``, of those with about ``BUCKET`` rows a bucket."""
+    probability ``recall``, of those with about ``BUCKET`` rows a bucket at most.
+    Rows of buckets are shuffled, pairs in a bucket are not, so few tables of
+    fuller buckets are cheaper than many of emptier ones."""
     found = []
     for functions in range(1, 9):
         for directions in DIRECTIONS:
             buckets = (2 * directions) ** functions
-            if not rows / BUCKET / 3 <= buckets <= max(rows, 4) * 4:
+            if not rows / BUCKET <= buckets <= max(rows, 4) * 4:
                 continue
             for probed, meets in enumerate(_meeting(threshold, directions), 1):
                 if 0 < meets < 1 and probed <= directions:
                     tables = math.ceil(math.log(1 - recall) / math.log1p(-(meets**functions)))
                     probes = probed**functions
-                    cost = tables * (1 + probes + probes * rows / buckets / 10 + functions * directions / 300)
+                    # A bucket that is only its own is shuffled once for both sides.
+                    sent = probes + (probes > 1)
+                    cost = tables * (sent + probes * rows / buckets / PAIRS_A_ROW + functions * directions / 300)
                     found.append((cost, Shape(tables, functions, directions, probed)))
     return min(found, key=lambda x: x[0])[1]
 
 
-def sketch_distance(threshold: float) -> int:
+def sketch_distance(threshold: float, bits: int = SKETCH) -> int:
     """Most differing bits of two sketches at the threshold, but for ``SKETCH_LOSS``."""
     p, kept, total = math.acos(threshold) / math.pi, 0, 0.0
-    for kept in range(SKETCH + 1):
-        total += math.comb(SKETCH, kept) * p**kept * (1 - p) ** (SKETCH - kept)
+    for kept in range(bits + 1):
+        total += math.comb(bits, kept) * p**kept * (1 - p) ** (bits - kept)
         if total >= 1 - SKETCH_LOSS:
             break
     return kept
@@ -179,7 +190,7 @@ def _codes(x: np.ndarray, form: Shape) -> tuple[np.ndarray, np.ndarray]:
 
 
 def hashed(df: DataFrame, key: str, vector: str, form: Shape) -> DataFrame:
-    """``id, v, low, high, own, near``: unit vectors, sketches, buckets."""
+    """``id, v, low, high, *WORDS, own, near``: unit vectors, sketches, buckets."""
 
     def hashes(batches):
         for batch in batches:
@@ -189,14 +200,20 @@ def hashed(df: DataFrame, key: str, vector: str, form: Shape) -> DataFrame:
             x = lists.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(batch.num_rows, -1)
             norm = np.linalg.norm(x, axis=1, keepdims=True)
             x = np.divide(x, norm, out=np.zeros_like(x), where=norm > 0)
-            bits = x @ np.random.default_rng([SEED, 2]).standard_normal((x.shape[1], SKETCH)) > 0
-            words = np.packbits(bits, axis=1).view("<i8")
+            bits = [x @ np.random.default_rng([SEED, k]).standard_normal((x.shape[1], n)) > 0 for k, n in ((2, SKETCH), (3, WIDE))]
+            words = np.packbits(np.hstack(bits), axis=1).view("<i8")
             own, near = _codes(x, form)
             lists_of = lambda a: pa.ListArray.from_arrays(np.arange(0, a.size + 1, a.shape[1], dtype=np.int32), pa.array(a.ravel()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), lists_of(x), pa.array(words[:, 0]), pa.array(words[:, 1]), lists_of(own), lists_of(near)], names=["id", "v", "low", "high", "own", "near"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), lists_of(x), *[pa.array(w) for w in words.T], lists_of(own), lists_of(near)], names=["id", "v", "low", "high", *WORDS, "own", "near"])
 
     rows = df.where(F.col(vector).isNotNull()).select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"))
-    return rows.mapInArrow(hashes, "id long, v array<double>, low long, high long, own array<long>, near array<long>")
+    return rows.mapInArrow(hashes, f"id long, v array<double>, low long, high long, {', '.join(f'{w} long' for w in WORDS)}, own array<long>, near array<long>")
+
+
+def _stored_hashes(df: DataFrame, key: str, vector: str, form: Shape) -> DataFrame:
+    """``hashed``, written; without ``near`` where only the own buckets are probed."""
+    found = hashed(df, key, vector, form)
+    return stored(found if form.probed > 1 else found.drop("near"), "hashed")
 
 
 @F.pandas_udf(T.DoubleType())
@@ -207,21 +224,53 @@ def _cosine(a: pd.Series, b: pd.Series) -> pd.Series:
 def meeting(probing: DataFrame, storing: DataFrame, rows: DataFrame, threshold: float, either: bool) -> DataFrame:
     """``(a, b, similarity)`` with a < b of pairs of which one probes a bucket of
     the other; ``either`` one, or only the first. Pairs whose sketches differ too
-    much never leave their bucket; each other pair is verified once."""
-    left = probing.select(F.col("id").alias("a"), "low", "high", F.explode("near").alias("bucket"))
+    much never leave their bucket; each other pair is compared once by a wider sketch, and
+    then by its vectors."""
+    left = probing.select(F.col("id").alias("a"), "low", "high", F.explode("near" if "near" in probing.columns else "own").alias("bucket"))
     right = storing.select(F.col("id").alias("b"), F.col("low").alias("low_b"), F.col("high").alias("high_b"), F.explode("own").alias("bucket"))
     apart = lambda x, y: F.bit_count(F.col(x).bitwiseXOR(F.col(y)))
     pairs = left.join(right, "bucket").where((F.col("a") != F.col("b") if either else F.col("a") < F.col("b")) & (apart("low", "low_b") + apart("high", "high_b") <= sketch_distance(threshold)))
     pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    # Most pairs of a bucket that are left go by the wider sketch: few fetch their vectors.
+    for side in ("a", "b"):
+        pairs = pairs.join(rows.select(F.col("id").alias(side), *[F.col(w).alias(f"{w}_{side}") for w in WORDS]), side)
+    pairs = pairs.where(reduce(lambda x, y: x + y, [apart(f"{w}_a", f"{w}_b") for w in WORDS]) <= sketch_distance(threshold, WIDE)).select("a", "b")
     both = pairs.join(rows.select(F.col("id").alias("a"), F.col("v").alias("va")), "a").join(rows.select(F.col("id").alias("b"), F.col("v").alias("vb")), "b")
     return both.select("a", "b", _cosine("va", "vb").alias("similarity")).where(F.col("similarity") >= threshold)
 
 
+def met_by_all(leading: DataFrame, others: DataFrame, threshold: float) -> DataFrame:
+    """``(a, b, similarity)`` with a < b of ``leading`` (a), at most ``HELD`` numbers,
+    and ``others`` (b), all of them, which are neither shuffled nor written. Products
+    in single precision tell which pairs are verified."""
+    held = leading.select("id", "v").toArrow()
+    vectors = np.array(held["v"].to_pylist(), float) if held.num_rows else np.zeros((0, 1))
+    given = leading.sparkSession.sparkContext.broadcast((held["id"].to_numpy(), vectors))
+
+    def compare(batches):
+        ids, y = given.value
+        for batch in batches:
+            if not batch.num_rows or not len(ids):
+                continue
+            own, x = batch.column(0).to_numpy(), batch.column(1).flatten().to_numpy().reshape(batch.num_rows, -1)
+            low = y.astype(np.float32)
+            for at in range(0, len(x), TILE):
+                some = x[at : at + TILE].astype(np.float32)
+                for by in range(0, len(y), BLOCK):
+                    i, j = np.nonzero(some @ low[by : by + BLOCK].T >= threshold - 1e-4)
+                    i, j = i + at, j + by
+                    similarity = np.einsum("ij,ij->i", y[j], x[i])
+                    kept = (similarity >= threshold) & (ids[j] < own[i])
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[j][kept]), pa.array(own[i][kept]), pa.array(similarity[kept])], names=["a", "b", "similarity"])
+
+    return others.select("id", "v").mapInArrow(compare, "a long, b long, similarity double")
+
+
 def hashed_pairs(df: DataFrame, key: str, vector: str, threshold: float, recall: float = 0.999) -> DataFrame:
     """``(a, b, similarity)`` with a < b of the vectors that share a bucket, verified
     by their cosine. A pair at the threshold is missed with a probability of at
     most ``1 - recall``, a more similar one more rarely. Zero vectors have no pair."""
-    rows = stored(hashed(df, key, vector, shape(df.count(), threshold, recall)), "hashed")
+    rows = _stored_hashes(df, key, vector, shape(df.count(), threshold, recall))
     return meeting(rows, rows, rows, threshold, True)
 
 
@@ -259,23 +308,27 @@ def _leaders_by_batch(df: DataFrame, key: str, vector: str, threshold: float, re
     if exact:
         rows = stored(df.select(F.col(key).cast("long").alias("id"), F.col(vector).alias("v")), "vectors")
     else:
-        rows = stored(hashed(df, key, vector, shape(total, threshold, recall)), "hashed")
-    left, leaders, found, before = rows, None, None, None
+        rows = _stored_hashes(df, key, vector, shape(total, threshold, recall))
+        size = rows.agg(F.coalesce(F.max(F.size("v")), F.lit(0))).first()[0]
+    # What is open goes on without its vectors, which are read where pairs are verified.
+    left, leaders, found, before = rows if exact else rows.drop("v", *WORDS), None, None, None
     for limit in [*_limits(rows, total), None]:
         own = F.lit(True) if limit is None else F.col("id") <= limit
-        batch = left.where(own)
-        if exact:
-            batch = stored(batch, "vectors")
+        batch = stored(left.where(own), "batch")
         edges = stored(similar_pairs(batch, "id", "v", threshold) if exact else meeting(batch, batch, rows, threshold, True), "edges")
         new = stored(independent(batch.select("id"), edges), "batch")
         mine = edges.join(new.select(F.col("id").alias("a")), "a", "left_semi")
         # Later items, and those that an earlier leader has, meet the new leaders.
         others = rows if before is None else rows.where(F.col("id") > before)
-        others = others.where(~own) if before is None else others.join(batch.select("id"), "id", "left_anti")
         if not (limit is None and before is None):
             leading = rows.join(new, "id", "left_semi")
-            met = _compared(leading, others, total, threshold) if exact else meeting(leading, others, rows, threshold, False)
-            mine = stored(mine.unionByName(met), "edges")
+            if not exact and new.count() * size <= HELD:
+                # The batch's own edges are found again.
+                mine = met_by_all(leading, others, threshold)
+            else:
+                others = others.where(~own) if before is None else others.join(batch.select("id"), "id", "left_anti")
+                mine = mine.unionByName(_compared(leading, others, total, threshold) if exact else meeting(leading, others, rows, threshold, False))
+            mine = stored(mine, "edges")
         left = left.where(~own).join(mine.select(F.col("b").alias("id")), "id", "left_anti")
         leaders = new if leaders is None else leaders.unionByName(new)
         found = mine if found is None else found.unionByName(mine)
