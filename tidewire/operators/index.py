@@ -17,11 +17,8 @@ other adds its segment to what it then finds.
 from __future__ import annotations
 
 import math
-import re
 import time
 import uuid
-from array import array
-from collections import defaultdict
 from functools import reduce
 
 import numpy as np
@@ -30,47 +27,41 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidewire.functions.words import PIECE_BYTES, counts, pieces, words
 from tidewire.storage import Manifest, RacingWriters, importable
 
-WORD = "[a-z0-9]+"
 POSTINGS = "doc long, column int, term string, positions array<int>, bucket int"
 SIZES = "doc long, size long"
 GONE = "doc long"
 #: Segments of like size that are merged, and how often a change that meets others
 #: is tried again.
 FANOUT, TRIES = 4, 10
-#: Bytes of text whose postings a task makes at once.
-PIECE_BYTES = 1 << 20
-
-
-def _pieces(batch: pa.RecordBatch):
-    """Runs of a batch's rows with about ``PIECE_BYTES`` of text, or one row."""
-    if batch.num_rows:
-        size = sum(pc.fill_null(pc.binary_length(c), 0).to_numpy().astype(np.int64) for c in batch.columns[1:])
-        first = np.flatnonzero(np.diff((np.cumsum(size) - size) // PIECE_BYTES, prepend=-1)).tolist()
-        for i, j in zip(first, [*first[1:], batch.num_rows], strict=True):
-            yield batch.slice(i, j - i)
 
 
 def _posted(batches):
-    """Postings of texts that are in lower case already. What a task holds as
-    Python objects are those of one piece of a batch."""
-    word = re.compile(WORD)
-    for piece in (p for batch in batches for p in _pieces(batch)):
-        docs, column, terms, ends, flat = array("q"), array("i"), [], array("i", [0]), array("i")
-        for doc, *texts in zip(*(c.to_pylist() for c in piece.columns), strict=True):
-            for i, text in enumerate(texts):
-                at = defaultdict(list)
-                for p, term in enumerate(word.findall(text)):
-                    at[term].append(p)
-                docs.extend([doc] * len(at))
-                column.extend([i] * len(at))
-                terms += at
-                for places in at.values():
-                    flat.extend(places)
-                    ends.append(len(flat))
-        places = pa.ListArray.from_arrays(pa.array(np.frombuffer(ends, np.int32)), pa.array(np.frombuffer(flat, np.int32)))
-        yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(docs, np.int64)), pa.array(np.frombuffer(column, np.int32)), pa.array(terms, pa.string()), places], names=["doc", "column", "term", "positions"])
+    """Postings of texts that are in lower case already, by document, column and term.
+    What a task holds as words are those of one piece of a batch."""
+    for piece in (p for batch in batches for p in pieces(batch, PIECE_BYTES)):
+        columns = piece.num_columns - 1
+        text, place, each = words(pa.concat_arrays(piece.columns[1:]))
+        by_name = pc.array_sort_indices(each.dictionary).to_numpy()
+        rank = np.empty(len(by_name), np.int64)
+        rank[by_name] = np.arange(len(by_name))
+        key = (text % piece.num_rows * columns + text // piece.num_rows) * max(len(rank), 1) + rank[each.indices.to_numpy()]
+        order = np.argsort(key, kind="stable")
+        first = np.flatnonzero(np.diff(key[order], prepend=-1))
+        ends = np.append(first, len(key)).astype(np.int32)
+        places = pa.ListArray.from_arrays(pa.array(ends), pa.array(place[order]))
+        at = order[first]
+        docs, column = piece.column(0).take(pa.array(text[at] % piece.num_rows)), pa.array((text[at] // piece.num_rows).astype(np.int32))
+        yield pa.RecordBatch.from_arrays([docs, column, each.dictionary.take(each.indices.take(pa.array(at))), places], names=["doc", "column", "term", "positions"])
+
+
+def _sized(batches):
+    """How many words the texts of a row have, which are in lower case already."""
+    for piece in (p for batch in batches for p in pieces(batch, PIECE_BYTES)):
+        size = sum((counts(texts) for texts in piece.columns[1:]), np.zeros(piece.num_rows, np.int64))
+        yield pa.RecordBatch.from_arrays([piece.column(0), pa.array(size)], names=["doc", "size"])
 
 
 class TextIndex:
@@ -98,14 +89,16 @@ class TextIndex:
 
     # Writing ---------------------------------------------------------------
 
-    def _postings(self, df: DataFrame) -> DataFrame:
+    def _lowered(self, df: DataFrame) -> DataFrame:
         texts = [F.lower(F.coalesce(F.col(c).cast("string"), F.lit(""))).alias(f"t{i}") for i, c in enumerate(self.columns)]
-        each = df.select(F.col(self.key).cast("long").alias("doc"), *texts).mapInArrow(_posted, "doc long, column int, term string, positions array<int>")
+        return df.select(F.col(self.key).cast("long").alias("doc"), *texts)
+
+    def _postings(self, df: DataFrame) -> DataFrame:
+        each = self._lowered(df).mapInArrow(_posted, "doc long, column int, term string, positions array<int>")
         return each.withColumn("bucket", self.bucket("term"))
 
     def _sizes(self, df: DataFrame) -> DataFrame:
-        total = reduce(lambda a, b: a + b, [F.regexp_count(F.lower(F.coalesce(F.col(c).cast("string"), F.lit(""))), F.lit(WORD)) for c in self.columns])
-        return df.select(F.col(self.key).cast("long").alias("doc"), total.cast("long").alias("size"))
+        return self._lowered(df).mapInArrow(_sized, SIZES)
 
     def _write(self, postings: DataFrame, sizes: DataFrame, gone: DataFrame) -> dict:
         folder = f"{self.path}/segments/{uuid.uuid4().hex}"
