@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidewire.functions import vocabulary as V
 from tidewire.functions.lexicon import trie_pattern
-from tidewire.functions.rules import top_labels
+from tidewire.functions.rules import labels_of
 
 # What an article is without any score.
 FALLBACK, FALLBACK_SCORE = "National Security", 0.5
@@ -38,7 +38,12 @@ def ranked(scores: Column) -> Column:
 
 def top_scores(scores: Column, most: int = 3, digits: int | None = None) -> Column:
     """The best entries of a score map as a map, in order."""
-    best = F.slice(ranked(scores), 1, most)
+    return best_scores(ranked(scores), most, digits)
+
+
+def best_scores(entries: Column, most: int, digits: int | None = None) -> Column:
+    """The first of the entries of ``ranked`` as a map."""
+    best = F.slice(entries, 1, most)
     return F.map_from_entries(F.transform(best, lambda e: F.struct(e["key"].alias("key"), F.round(e["value"], digits).alias("value"))) if digits is not None else best)
 
 
@@ -66,16 +71,18 @@ def classify(df: DataFrame, scores: str, text: str) -> DataFrame:
     category_confidence, category_scores`` from a score map; rows without one get
     the fallback."""
     known = F.coalesce(F.size(scores) > 0, F.lit(False))
-    best = F.element_at(ranked(F.col(scores)), 1)
+    # The entries are sorted once, for all columns that follow from them.
+    ordered = df.withColumn("_ranked", ranked(F.col(scores)))
+    best = F.element_at("_ranked", 1)
     none = F.expr("array()").cast("array<string>")
-    out = df.withColumn("primary_categories", F.when(known, top_labels(F.col(scores))).otherwise(F.array(F.lit(FALLBACK))))
+    out = ordered.withColumn("primary_categories", F.when(known, labels_of(F.col("_ranked"))).otherwise(F.array(F.lit(FALLBACK))))
     return out.withColumns({
         "sub_categories": F.when(known, sub_categories(F.col(text), F.col("primary_categories"))).otherwise(none),
         "article_type": F.when(known, best["key"]).otherwise(FALLBACK),
         "category": F.when(known, best["key"]).otherwise(FALLBACK),
         "category_confidence": F.when(known, F.round(best["value"], 3)).otherwise(FALLBACK_SCORE),
-        "category_scores": F.when(known, top_scores(F.col(scores), TOP_SCORES, 3)).otherwise(F.create_map(F.lit(FALLBACK), F.lit(FALLBACK_SCORE))),
-    })
+        "category_scores": F.when(known, best_scores(F.col("_ranked"), TOP_SCORES, 3)).otherwise(F.create_map(F.lit(FALLBACK), F.lit(FALLBACK_SCORE))),
+    }).drop("_ranked")
 
 
 def best_label(scores: Column) -> Column:

@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewire.functions import vocabulary as V
-from tidewire.functions.geography import located
-from tidewire.functions.lexicon import grouped_terms, in_order, of_group, terms_in_text, union_of
+from tidewire.functions.geography import located, place_words
+from tidewire.functions.lexicon import any_term, grouped_terms, in_order, is_set, may_have, of_group, terms_in_text, union_of
 from tidewire.functions.rules import topics_of
 
 #: Shorter texts have no entities.
@@ -23,6 +23,12 @@ def named(text: Column) -> Column:
     return grouped_terms(text, {"organization": V.ORGANIZATIONS, "equipment": ALL_EQUIPMENT, "country": V.COUNTRIES}, keep_short=("organization", "equipment"))
 
 
+def listed_words(both: Column) -> Column:
+    """Whether a text may have a name that ``named`` seeks, and a keyword."""
+    names = "|".join([any_term([*V.ORGANIZATIONS, *ALL_EQUIPMENT], keep_short=True), any_term(V.COUNTRIES)])
+    return may_have(both, names, any_term(V.KEYWORDS, keep_short=True))
+
+
 def keywords(text: Column) -> Column:
     """The first keywords in list order; short ones in their own case."""
     return in_order(terms_in_text(text, V.KEYWORDS, keep_short=True), V.KEYWORDS, MOST_KEYWORDS)
@@ -46,12 +52,15 @@ def entities(df: DataFrame, title: str, text: str, recognised: str | None = None
     Entities are sought in title and text, if these have ``LEAST`` characters;
     ``recognised`` may name a column ``struct<people, organizations>`` of lists
     that a statistical recogniser found, which are added. Keywords are sought in
-    any text, and topics follow from the other columns.
+    any text, and topics follow from the other columns. Only texts that may have
+    a name or a keyword are searched (``_listed``, if it is there, tells which).
     """
     empty = F.expr("array()").cast("array<string>")
     both = F.concat_ws("\n", F.coalesce(title, F.lit("")), F.coalesce(text, F.lit("")))
     found = df.withColumn("_both", both)
-    found = found.withColumn("_named", F.when(F.length(F.trim("_both")) >= LEAST, named(F.col("_both"))))
+    if "_listed" not in df.columns:
+        found = found.withColumn("_listed", listed_words(F.col("_both")))
+    found = found.withColumn("_named", F.when((F.length(F.trim("_both")) >= LEAST) & is_set("_listed", 0), named(F.col("_both"))).otherwise(empty))
     enough = F.length(F.trim("_both")) >= LEAST
     more = {n: F.coalesce(F.col(f"{recognised}.{n}"), empty) if recognised else empty for n in ("people", "organizations")}
     found = found.withColumns({
@@ -59,15 +68,18 @@ def entities(df: DataFrame, title: str, text: str, recognised: str | None = None
         "organizations": F.when(enough, cleaned(F.concat(of_group(F.col("_named"), "organization"), more["organizations"]))).otherwise(empty),
         "countries": F.when(enough, of_group(F.col("_named"), "country")).otherwise(empty),
         "equipment": F.when(enough, of_group(F.col("_named"), "equipment")).otherwise(empty),
-        "keywords": keywords(F.concat_ws(" ", F.coalesce(title, F.lit("")), F.coalesce(text, F.lit("")))),
-    }).drop("_both", "_named")
+        "keywords": F.when(is_set("_listed", 1), keywords(F.concat_ws(" ", F.coalesce(title, F.lit("")), F.coalesce(text, F.lit(""))))).otherwise(empty),
+    }).drop("_both", "_named", "_listed")
     return found.withColumn("topics", topics_of(F.col("equipment"), F.col("keywords"), F.col("countries"), V.TOPICS))
 
 
 def recognise(df: DataFrame, title: str, text: str) -> DataFrame:
     """Entities and then places of each article, whose countries replace the
     entities' ones; marks the rows as processed."""
-    return located(entities(df, title, text), title, text).withColumn("nlp_processed", F.lit(1))
+    both = df.withColumn("_both", F.concat_ws("\n", F.coalesce(title, F.lit("")), F.coalesce(text, F.lit(""))))
+    # What both need to know of a text in one pass.
+    both = both.withColumns({"_listed": listed_words(F.col("_both")), "_spots": place_words(F.col("_both"))}).drop("_both")
+    return located(entities(both, title, text), title, text).withColumn("nlp_processed", F.lit(1))
 
 
 def any_event() -> str:

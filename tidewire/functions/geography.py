@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from tidewire.functions import vocabulary as V
-from tidewire.functions.lexicon import grouped_terms, look_up, of_group
+from tidewire.functions.lexicon import any_part, any_term, grouped_terms, is_set, look_up, may_have, of_group, union_of
 from tidewire.functions.places import location_type
 from tidewire.functions.rules import confidence, first_rule
 
@@ -64,9 +64,22 @@ def _if(test: Column, *values: str) -> Column:
     return F.when(test, F.array(*map(F.lit, values))).otherwise(F.expr("array()").cast("array<string>"))
 
 
+def place_words(both: Column) -> Column:
+    """Whether a text may have a place that ``places_of`` seeks, and a word that
+    tells the type of a place."""
+    regions = [p for patterns in V.REGION_PATTERNS.values() for p in patterns]
+    edged = [p.replace(r"\b", "") for p in regions if p.startswith(r"\b")]
+    region = "|".join([any_term(edged), any_part([p for p in regions if not p.startswith(r"\b")])])
+    places = any_term([*PLACE_COUNTRIES, *V.STATES, *STATE_OF_CITY, *V.STRATEGIC, *(name.split()[0] for name in SPECIAL)])
+    # Words in capitals are sought in lower-case text, and never found.
+    return may_have(both, places, region, any_part([w for w in union_of(V.LOCATION_TYPES) if w.islower()]))
+
+
 def places_of(both: Column, low: Column) -> dict[str, Column]:
     """What a text (and it in lower case) names: places of the lists, places that
-    are common words, and regions."""
+    are common words, and regions. Only texts that may have any of them are searched
+    (``_spots``, by ``place_words``)."""
+    none = F.expr("array()").cast("array<string>")
     special = []
     for name, (own, pattern) in SPECIAL.items():
         hit = low.rlike(pattern)
@@ -76,7 +89,11 @@ def places_of(both: Column, low: Column) -> dict[str, Column]:
     # One pass tells whether any region is named at all.
     some = low.rlike("|".join(p for patterns in V.REGION_PATTERNS.values() for p in patterns))
     named = grouped_terms(both, {"country": PLACE_COUNTRIES, "state": V.STATES, "city": list(STATE_OF_CITY), "place": plain}, lowered=low)
-    return {"_named": named, "_special": F.concat(*special), "_regions": F.when(some, F.concat(*regions)).otherwise(F.expr("array()").cast("array<string>"))}
+    return {
+        "_named": F.when(is_set("_spots", 0), named).otherwise(none),
+        "_special": F.when(is_set("_spots", 0), F.concat(*special)).otherwise(none),
+        "_regions": F.when(is_set("_spots", 1) & some, F.concat(*regions)).otherwise(none),
+    }
 
 
 def by_group() -> dict[str, Column]:
@@ -103,12 +120,15 @@ def located(df, title: str, text: str):
     location_type, location_confidence``; earlier columns of these names go.
     Null titles and texts count as empty."""
     both = F.concat_ws("\n", F.coalesce(title, F.lit("")), F.coalesce(text, F.lit("")))
-    kept = df.withColumn("_both", both).withColumn("_low", F.lower("_both"))
+    kept = df.withColumn("_both", both)
+    if "_spots" not in df.columns:
+        kept = kept.withColumn("_spots", place_words(F.col("_both")))
+    kept = kept.withColumn("_low", F.lower("_both"))
     kept = kept.withColumns(places_of(F.col("_both"), F.col("_low"))).withColumns(by_group()).withColumns(implied())
     # Of several strategic places the first by name gives the type.
     kind = F.element_at(F.concat(F.filter(F.transform("localities", lambda p: strategic(p, 0)), lambda t: t.isNotNull()), F.array(F.lit(None).cast("string"))), 1)
     kept = kept.withColumns({
-        "location_type": location_type(F.col("_low"), kind, V.LOCATION_TYPES, V.BORDER_STATES, lowered=True),
+        "location_type": location_type(F.when(is_set("_spots", 2), F.col("_low")), kind, V.LOCATION_TYPES, V.BORDER_STATES, lowered=True),
         "location_confidence": F.round(confidence(F.col("countries"), F.col("states"), F.col("cities"), F.col("localities")), 6),
     })
-    return kept.drop("_both", "_low", "_named", "_special", "_countries", "_states", "_regions")
+    return kept.drop("_both", "_spots", "_low", "_named", "_special", "_countries", "_states", "_regions")

@@ -11,6 +11,9 @@ from __future__ import annotations
 import re
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -56,6 +59,53 @@ def _found(text: Column, forms: dict[str, list[str]]) -> Column:
     return F.flatten(F.transform(seen, lambda f: F.element_at(table, f)))
 
 
+def any_part(parts: list[str]) -> str:
+    """A pattern for ``may_have`` of texts that have a part anywhere, in any case."""
+    if not all(p and p.isascii() for p in parts):
+        return ""
+    # Two letters beyond ASCII have a lower case with letters of ASCII.
+    return rf"(?i:{trie_pattern([p.lower() for p in parts])})|[\x{{130}}\x{{212A}}]"
+
+
+def any_term(terms: list[str], keep_short: bool = False) -> str:
+    """A pattern for ``may_have`` of texts that have a term as whole words, in any
+    case; with ``keep_short`` names of up to four letters in their own case."""
+    if not all(t and t.isascii() for t in terms):
+        return ""
+    edged = [t for t in terms if re.fullmatch(r"\w(.*\w)?", t)]
+    own = [t for t in edged if keep_short and len(t) <= SHORT]
+    plain = [t.lower() for t in edged if not (keep_short and len(t) <= SHORT)]
+    loose = [t for t in terms if t not in edged]
+    parts = [rf"\b(?:{trie_pattern(own)})\b"] if own else []
+    if plain:
+        parts.append(rf"(?i:\b(?:{trie_pattern(plain)})\b)|[\x{{130}}\x{{212A}}]")
+    return "|".join(parts + ([any_part(loose)] if loose else []))
+
+
+def may_have(text: Column, *patterns: str) -> Column:
+    """Bits, the first pattern's the lowest: set if the pattern (of RE2) fits a text.
+
+    Patterns of ``any_term`` and ``any_part`` fit every text that has a term, and some
+    others: their word edges are those of ASCII, and any white space is a space. One
+    automaton a pattern reads the text once, far faster than the search for the terms,
+    which texts without any are then spared.
+    """
+    wide = [p.replace("\\ ", r"[\s\x0b]") for p in patterns]
+
+    def seen(texts: pa.Array) -> pa.Array:
+        bits = np.zeros(len(texts), np.int64)
+        for i, pattern in enumerate(wide):
+            bits |= pc.fill_null(pc.match_substring_regex(texts, pattern), False).to_numpy(zero_copy_only=False).astype(np.int64) << i
+        return pa.array(bits)
+
+    return F.arrow_udf(seen, "long")(text)
+
+
+def is_set(bits: str, pattern: int) -> Column:
+    """Whether ``may_have`` has set the bit of a pattern."""
+    return F.col(bits).bitwiseAND(1 << pattern) != 0
+
+
 def terms_in_text(text: Column, terms: list[str] | dict[str, str], keep_short: bool = False, lowered: bool = False) -> Column:
     """The terms that stand as whole words in a text, sorted and distinct.
 

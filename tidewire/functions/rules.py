@@ -126,6 +126,11 @@ def confidence(countries: Column, states: Column, cities: Column, places: Column
 def top_labels(scores: Column, least: float = 0.25, most: int = 5) -> Column:
     """Labels of a score map from ``least`` on, best first; else the best one."""
     entries = F.array_sort(F.map_entries(scores), lambda a, b: F.when(a["value"] > b["value"], -1).when(a["value"] < b["value"], 1).when(a["key"] < b["key"], -1).otherwise(1))
+    return labels_of(entries, least, most)
+
+
+def labels_of(entries: Column, least: float = 0.25, most: int = 5) -> Column:
+    """As ``top_labels``, of a score map's entries, best first."""
     good = F.filter(entries, lambda e: e["value"] >= least)
     chosen = F.when(F.size(good) > 0, F.slice(good, 1, most)).otherwise(F.slice(entries, 1, 1))
     return F.transform(chosen, lambda e: e["key"])

@@ -16,6 +16,8 @@ from tidewire.functions.rules import first_rule
 # What ends a text's own words, and how much of it is looked at.
 BIO_TAIL = r"(?im)(?:senior correspondent|special correspondent|staff reporter|read more at|click here|follow us on|download the app|subscribe to|all rights reserved).*$"
 HEAD = 1200
+#: What begins such a tail, and more characters than it has.
+BIO_START, BIO_CHARS = BIO_TAIL.removesuffix(".*$"), 40
 # Title words that switch a step off, and words that a match in
 # the body alone needs in title or body.
 NOT_PROCUREMENT = ["encounter", "ambush", "gunfight", "martyred", "bomb blast", "kuki", "theft of firearms"]
@@ -59,6 +61,13 @@ def without_bio(c: Column) -> Column:
     return F.regexp_replace(c, BIO_TAIL, "")
 
 
+def head_without_bio(c: Column) -> Column:
+    """The first ``HEAD`` characters of ``without_bio``. A whole text is searched only
+    if a tail begins in them."""
+    tailed = F.substring(c, 1, HEAD + BIO_CHARS).rlike(BIO_START)
+    return F.substring(F.when(tailed, without_bio(c)).otherwise(c), 1, HEAD)
+
+
 def _says(title: Column, body: Column, patterns: dict[str, str], inside: Column | None) -> Column:
     """What the first pattern that fits says: in the title, or in the body if
     ``inside`` holds (never, if it is None)."""
@@ -79,7 +88,7 @@ def severity(df, title: str, body: str, *fallbacks: str):
     """
     t = F.lower(F.coalesce(F.col(title), F.lit("")))
     text = F.coalesce(*[F.nullif(F.col(c), F.lit("")) for c in (body, *fallbacks)], F.lit(""))
-    seen = df.withColumns({"_t": t, "_b": F.lower(F.substring(without_bio(text), 1, HEAD))})
+    seen = df.withColumns({"_t": t, "_b": F.lower(head_without_bio(text))})
     t, b = F.col("_t"), F.col("_b")
     both = F.concat_ws(" ", t, b)
     says = {

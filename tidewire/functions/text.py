@@ -29,20 +29,25 @@ def strip_urls(c: Column) -> Column:
 
 
 def squeeze(c: Column) -> Column:
-    """Every run of white space (also no-break spaces) as one space, trimmed."""
-    return F.trim(F.regexp_replace(c, r"(?U)\s+", " "))
+    """Every run of white space (also no-break spaces) as one space, trimmed. A run
+    that is one space stays as it is."""
+    return F.trim(F.regexp_replace(c, r"(?U)[\s&&[^ ]]\s*| \s+", " "))
 
 
 def clean_text(c: Column) -> Column:
-    return squeeze(strip_urls(strip_tags(F.coalesce(c, F.lit("")))))
+    text = F.coalesce(c, F.lit(""))
+    # What neither a tag nor an address is without; it is found far sooner.
+    marked = reduce(lambda a, b: a | b, [F.contains(text, F.lit(m)) for m in ("<", "://", "www.")])
+    return squeeze(F.when(marked, strip_urls(strip_tags(text))).otherwise(text))
 
 
 def is_article(c: Column, least: int = 200) -> Column:
     return F.coalesce(F.length(F.trim(c)) >= least, F.lit(False))
 
 
-def sentences(c: Column) -> Column:
-    parts = F.split(c, r"(?<=[.!?])\s+")
+def sentences(c: Column, most: int | None = None) -> Column:
+    """The sentences of a text, or the first ``most`` of them."""
+    parts = F.split(c, r"(?<=[.!?])\s+") if most is None else F.slice(F.split(c, r"(?<=[.!?])\s+", most + 1), 1, most)
     return F.filter(F.transform(parts, squeeze), lambda s: s != "")
 
 
@@ -52,7 +57,8 @@ def extractive_summary(c: Column, n: int = 3) -> Column:
 
 
 def concise_summary(c: Column, least: int = 30, most: int = 60, fallback: int = 250) -> Column:
-    """Whole sentences until ``least`` words, none that would pass ``most``."""
+    """Whole sentences until ``least`` words, none that would pass ``most``. As each
+    sentence but a text's last has a word, the first ``least`` are enough."""
     words = lambda s: F.size(F.split(s, " "))
     start = F.struct(F.expr("array()").cast("array<string>").alias("kept"), F.lit(0).alias("n"), F.lit(False).alias("done"))
 
@@ -64,9 +70,11 @@ def concise_summary(c: Column, least: int = 30, most: int = 60, fallback: int =
             stop.alias("done"),
         )
 
-    kept = F.aggregate(sentences(F.coalesce(c, F.lit(""))), start, step, lambda acc: F.array_join(acc["kept"], " "))
+    kept = F.aggregate(sentences(F.coalesce(c, F.lit("")), least), start, step, lambda acc: F.array_join(acc["kept"], " "))
     undated = F.regexp_replace(kept, r"^[A-Z][A-Z ,.]{2,40}[:\-]\s+", "")
-    return F.coalesce(F.nullif(undated, F.lit("")), F.substring(F.coalesce(c, F.lit("")), 1, fallback))
+    # In a list, what is made of the sentences is made once; ``nullif`` names it twice.
+    either = F.filter(F.array(undated, F.substring(F.coalesce(c, F.lit("")), 1, fallback)), lambda x: x != "")
+    return F.coalesce(F.get(either, F.lit(0)), F.lit(""))
 
 
 def article_id(c: Column) -> Column:
