@@ -19,9 +19,10 @@ DIMENSIONS = 384
 ROWS = 1024
 
 
-def place_of(word: bytes, dimensions: int = DIMENSIONS) -> int:
-    """The place of a word, by its MD5."""
-    return int.from_bytes(hashlib.md5(word, usedforsecurity=False).digest()[:4], "big") % dimensions
+def places_of(words: list[bytes], dimensions: int = DIMENSIONS) -> np.ndarray:
+    """The places of words, by the first 32 bits of their MD5."""
+    digests = b"".join([hashlib.md5(w, usedforsecurity=False).digest() for w in words])
+    return (np.frombuffer(digests, ">u4")[::4] % dimensions).astype(np.int64)
 
 
 def _lists(parts: np.ndarray, values: np.ndarray, rows: int) -> pa.ListArray:
@@ -38,7 +39,7 @@ def _counted(df: DataFrame, key: str, text: str, dimensions: int) -> DataFrame:
     def count(batches):
         for piece in (p for batch in batches for p in pieces(batch)):
             row, _, each = words(piece.column(1))
-            at = np.array([place_of(w, dimensions) for w in each.dictionary.cast(pa.binary()).to_pylist()], np.int64)
+            at = places_of(each.dictionary.cast(pa.binary()).to_pylist(), dimensions)
             spot, many = np.unique(row * dimensions + at[each.indices.to_numpy()] if len(row) else row, return_counts=True)
             filled, parts = np.unique(spot // dimensions, return_inverse=True)
             lists = [_lists(parts, v, len(filled)) for v in ((spot % dimensions).astype(np.int32), many.astype(np.int64))]
